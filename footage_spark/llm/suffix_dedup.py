@@ -31,6 +31,8 @@ from .text import chunks, cut, mix, powers, prefix_sums, rows, span_hash, spread
 LENGTH, GRAM = 50, 16
 SIDE = (LENGTH - GRAM) // 2
 CORE = GRAM + SIDE
+#: Bytes that a context of n strings has besides n and its core.
+REST = LENGTH - 1 - CORE
 MOST_FILTER_BITS = 29
 #: Shared keys that a bucket of the last shuffle holds, about.
 BUCKET_KEYS = 60_000
@@ -238,7 +240,7 @@ def _bitmap(bits: int):
 
 
 def _send_contexts(shared, bits: int, n_buckets: int):
-    """(bucket, pickled contexts with their occurrences) of a batch; each different context once."""
+    """(bucket, packed contexts with their occurrences) of a batch; each different context once, without its core."""
 
     def run(batches):
         bitmap = np.frombuffer(shared.value, np.uint8)
@@ -255,6 +257,7 @@ def _send_contexts(shared, bits: int, n_buckets: int):
                 row, key, a, b, core = row[hit], key[hit], a[hit], b[hit], core[hit]
                 sums = prefix_sums(part)
                 context = mix(span_hash(sums, a, b + LENGTH) ^ key)
+                start = (a - offsets[row]).astype(np.int64)
                 bucket = (mix(key) % np.uint64(n_buckets)).astype(np.int64)
                 order = np.lexsort((context, bucket))
                 edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -263,10 +266,12 @@ def _send_contexts(shared, bits: int, n_buckets: int):
                     c = context[own]
                     new = np.append(True, c[1:] != c[:-1])
                     lead = own[new]
-                    sizes = b[lead] - a[lead] + LENGTH
-                    o, p = spread(sizes)
-                    blob = pickle.dumps((key[lead], context[lead], (b - a + 1)[lead].astype(np.int32), core[lead].astype(np.int32), part[a[lead][o] + p].tobytes(), (np.cumsum(new) - 1).astype(np.int32), docs[first + row[own]], prints[first + row[own]], (a[own] - offsets[row[own]]).astype(np.int64)), 5)
-                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+                    o, p = spread(b[lead] - a[lead] + 1 + REST)
+                    at = a[lead][o] + p + np.where(p >= core[lead][o], CORE, 0)
+                    used, of_row = np.unique(row[own], return_inverse=True)
+                    small = np.int64 if start[own].max() >= 1 << 31 else np.int32
+                    blob = pickle.dumps((key[lead], (b - a + 1)[lead].astype(np.uint8), core[lead].astype(np.uint8), part[at].tobytes(), (np.cumsum(new) - 1).astype(np.int32), docs[first + used], prints[first + used], of_row.astype(np.int32), start[own].astype(small)), 5)
+                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([pa.compress(blob, "zstd", asbytes=True)], pa.binary()), pa.array([len(blob)], pa.int64())], ["bucket", "blob", "size"])
 
     return run
 
@@ -287,7 +292,7 @@ def _owners(keys, n_strings, core, body, first_byte, least):
 
     def settle(block: list[int]) -> None:
         begin, middle, many = first_byte[block].tolist(), core[block].tolist(), n_strings[block].tolist()
-        texts = [body[a : a + c] + b"\xff" + body[a + c + CORE : a + m + LENGTH - 1] for a, c, m in zip(begin, middle, many, strict=True)]
+        texts = [body[a : a + c] + b"\xff" + body[a + c : a + m + REST] for a, c, m in zip(begin, middle, many, strict=True)]
         at, key, low = strings[block].tolist(), group[block].tolist(), least[block].tolist()
         run: list[tuple[int, int]] = []
         before = None
@@ -326,16 +331,23 @@ def _owners(keys, n_strings, core, body, first_byte, least):
 
 def _find_spans(batches):
     """(doc_id, print, spans): pairs of first and last + 1 byte that go, of the strings of one bucket."""
-    for _, held in _by_bucket(batches, ["blob"]):
-        parts = [pickle.loads(x[0]) for x in held]
-        key, context, n_strings, core = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        body = b"".join(p[4] for p in parts)
+    for _, held in _by_bucket(batches, ["blob", "size"]):
+        parts = [pickle.loads(pa.decompress(raw, size, "zstd", asbytes=True)) for raw, size in held]
+        key = np.concatenate([p[0] for p in parts])
+        n_strings, core = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2))
+        body = b"".join(p[3] for p in parts)
         shift = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
-        of = np.concatenate([p[5] + s for p, s in zip(parts, shift, strict=True)])
-        doc, prints, start = (np.concatenate([p[i] for p in parts]) for i in (6, 7, 8))
+        of = np.concatenate([p[4] + s for p, s in zip(parts, shift, strict=True)])
+        doc, prints = (np.concatenate([p[i][p[7]] for p in parts]) for i in (5, 6))
+        start = np.concatenate([p[8] for p in parts]).astype(np.int64)
         del parts, held
-        first_byte = np.cumsum(n_strings + LENGTH - 1) - (n_strings + LENGTH - 1)
+        edges = np.append(0, np.cumsum(n_strings + REST))
+        first_byte = edges[:-1]
         # merge equal contexts of different batches
+        flat, context = np.frombuffer(body, np.uint8), np.empty(len(key), np.uint64)
+        for a, b in chunks(edges, HASH_BYTES):
+            context[a:b] = span_hash(prefix_sums(flat[edges[a] : edges[b]]), edges[a:b] - edges[a], edges[a + 1 : b + 1] - edges[a])
+        context = mix(context ^ ((core << 8) | n_strings).astype(np.uint64))
         order = np.lexsort((context, key))
         new = np.append(True, (context[order][1:] != context[order][:-1]) | (key[order][1:] != key[order][:-1]))
         lead = order[new]
@@ -390,7 +402,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     empty = bytes(1 << (bits - COUNT_BITS - 3))
     bitmap = spark.sparkContext.broadcast(b"".join(bytes(slices.get(b, empty)) for b in range(1 << COUNT_BITS)))
     n_buckets = max(8, -(-n // BUCKET_KEYS))
-    sent = texts.mapInArrow(_send_contexts(bitmap, bits, n_buckets), "bucket int, blob binary")
+    sent = texts.mapInArrow(_send_contexts(bitmap, bits, n_buckets), "bucket int, blob binary, size long")
     spans = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_spans, "of long, of_print long, spans binary")
     return spans.groupBy("of", "of_print").agg(F.collect_list("spans").alias("parts"))
 

@@ -35,7 +35,7 @@ CORE = GRAM + SIDE
 REST = LENGTH - 1 - CORE
 MOST_FILTER_BITS = 29
 #: Shared keys that a bucket of the last shuffle holds, about.
-BUCKET_KEYS = 60_000
+BUCKET_KEYS, LEAST_BUCKETS = 60_000, 64
 #: Symbols of contexts whose suffixes are put in order together, about; a few keys at a time stay in cache.
 BLOCK_SYMBOLS = 500
 #: Bytes of text that are hashed at a time.
@@ -401,7 +401,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     slices = {r["bucket"]: r["map"] for r in shared.mapInArrow(_bitmap(bits), "bucket int, map binary").collect()}
     empty = bytes(1 << (bits - COUNT_BITS - 3))
     bitmap = spark.sparkContext.broadcast(b"".join(bytes(slices.get(b, empty)) for b in range(1 << COUNT_BITS)))
-    n_buckets = max(8, -(-n // BUCKET_KEYS))
+    n_buckets = max(LEAST_BUCKETS, -(-n // BUCKET_KEYS))
     sent = texts.mapInArrow(_send_contexts(bitmap, bits, n_buckets), "bucket int, blob binary, size long")
     spans = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_spans, "of long, of_print long, spans binary")
     return spans.groupBy("of", "of_print").agg(F.collect_list("spans").alias("parts"))

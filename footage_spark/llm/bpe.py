@@ -28,6 +28,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SHORT_FORMS = ("s", "t", "re", "ve", "m", "ll", "d")
 OTHER, LETTER, NUMBER, SPACE = range(4)
 NO_PAIR = np.iinfo(np.int32).max
+#: Bytes of text whose different pre-tokens are encoded together; bounds a worker's memory.
+PIECE_BYTES = 1 << 23
 
 
 @lru_cache(1)
@@ -273,6 +275,13 @@ def encode_rows(ranks: Ranks, data: np.ndarray, offsets: np.ndarray, pattern: st
     return np.concatenate(out), np.array(at, np.int64)
 
 
+def _pieces(batch):
+    """A batch in pieces of whole rows: (piece, bytes, offsets)."""
+    data, offsets = rows(batch.column("text"))
+    for a, b in chunks(offsets, PIECE_BYTES):
+        yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
 def encode(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
     """docs with a column `ids` (the ids as little-endian unsigned 32-bit integers, one binary).
 
@@ -284,8 +293,8 @@ def encode(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
 
     def run(batches):
         ranks = load(path)
-        for batch in batches:
-            ids, at = encode_rows(ranks, *rows(batch.column("text")), pattern)
+        for batch, data, offsets in (x for one in batches for x in _pieces(one)):
+            ids, at = encode_rows(ranks, data, offsets, pattern)
             raw = ids.astype("<u4")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=[*kept, "ids"])
 
@@ -315,8 +324,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
 
     def run(batches):
         ranks = load(path)
-        for batch in batches:
-            ids, at = encode_rows(ranks, *rows(batch.column("text")), pattern)
+        for batch, data, offsets in (x for one in batches for x in _pieces(one)):
+            ids, at = encode_rows(ranks, data, offsets, pattern)
             raw = ids.astype("<u4")
             digest = lambda x: hashlib.sha256(x).hexdigest()
             spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .text import LOWER, WHITE_SPACE, chunks, prefix_sums, rows, span_hash, word_spans
 
 FIT_ROWS, BITS, LEAST_SHARE, ROUNDS, GRADES, SHRINK = 12288, 18, 1 / 400, 120, 3, 0.7
+#: Bytes of text whose features are made together; bounds a worker's memory.
+FEATURE_BYTES = 1 << 20
 #: Least tail probability P(grade = 2) of a kept document.
 LEAST_TAIL = 0.6
 _STOP = np.isin(np.arange(256), list(b".,;:!?\"')("))
@@ -55,7 +57,7 @@ def _collect_features(batches):
     for batch in batches:
         data, offsets = rows(batch.column("text"))
         out = []
-        for first, last in chunks(offsets):
+        for first, last in chunks(offsets, FEATURE_BYTES):
             row, feature = features(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             order = np.argsort(row, kind="stable")
             edges = np.searchsorted(row[order], np.arange(last - first + 1)).tolist()
@@ -143,7 +145,7 @@ def _grade(shared, least_tail: float, keep_columns: list[str]):
         for batch in batches:
             data, offsets = rows(batch.column("text"))
             z = []
-            for first, last in chunks(offsets):
+            for first, last in chunks(offsets, FEATURE_BYTES):
                 row, feature = features(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 z.append(np.bincount(row, weights=model.weights[feature], minlength=last - first))
             tails = model.tails(np.concatenate(z) if z else np.zeros(0))

@@ -26,6 +26,8 @@ from .text import cut
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Buckets: 2**BUCKET_BITS; 4,096 would send each fingerprint to about every one of its variants.
 BUCKET_BITS = 6
+#: Variants that a task holds at a time, about.
+PART_VARIANTS = 1 << 21
 _U = np.uint64
 
 
@@ -77,7 +79,6 @@ def _code(values: np.ndarray, bits: int) -> np.ndarray:
 
 def _links_of_bucket(radius: int, bits: int):
     masks = _masks(radius)
-    codes = _code(masks, bits)
 
     def links(batches):
         """All rows of a few whole buckets; every bucket's fingerprints come in binary blocks."""
@@ -87,30 +88,13 @@ def _links_of_bucket(radius: int, bits: int):
                 held.setdefault(bucket, []).append(block)
         for bucket, blocks in held.items():
             fps = np.unique(np.frombuffer(b"".join(blocks), _U))
-            need = _code(fps, bits) ^ bucket
-            order = np.argsort(need, kind="stable")
-            edges = np.searchsorted(need[order], np.arange((1 << bits) + 1))
-            variants, owners = [], []
-            for code in range(1 << bits):
-                at, own = order[edges[code] : edges[code + 1]], masks[codes == code]
-                if len(at) and len(own):
-                    variants.append((fps[at][:, None] ^ own[None, :]).ravel())
-                    owners.append(np.repeat(at, len(own)))
-            if not variants:
+            # further bits of the code cut the bucket's variants into parts of about PART_VARIANTS
+            more = max(0, int(len(fps) * len(masks) >> bits) // PART_VARIANTS).bit_length()
+            codes, own = _code(masks, bits + more), _code(fps, bits + more)
+            found = [_links_of_part(fps, own ^ (part << bits | bucket), masks, codes, bits + more, radius) for part in range(1 << more)]
+            pairs = np.concatenate(found)
+            if not len(pairs):
                 continue
-            v, o = np.concatenate(variants), np.concatenate(owners)
-            del variants, owners
-            by = np.argsort(v)
-            v, o = v[by], o[by]
-            same = v[1:] == v[:-1]
-            if not same.any():
-                continue
-            firsts = np.flatnonzero(np.concatenate([[True], ~same]))
-            lead = np.repeat(np.minimum.reduceat(o, firsts), np.diff(np.append(firsts, len(o))))
-            linked = lead != o
-            pairs = np.unique(np.stack([lead[linked], o[linked]], 1), axis=0)
-            apart = np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]])
-            pairs = pairs[apart <= radius]  # the verification
             root = forest(len(fps), pairs)
             member = np.flatnonzero(root != np.arange(len(fps)))
             yield pa.record_batch([pa.array(fps[member].view(np.int64)), pa.array(fps[root[member]].view(np.int64))], ["a", "b"])
@@ -118,6 +102,28 @@ def _links_of_bucket(radius: int, bits: int):
     return links
 
 
+def _links_of_part(fps, need, masks, codes, bits: int, radius: int) -> np.ndarray:
+    """Star links (places in fps) of the variants fps ^ mask with code(mask) = need."""
+    order = np.argsort(need, kind="stable")
+    edges = np.searchsorted(need[order], np.arange((1 << bits) + 1))
+    variants, owners = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for code in np.unique(codes).tolist():
+        at, own = order[edges[code] : edges[code + 1]], masks[codes == code]
+        if len(at):
+            variants.append((fps[at][:, None] ^ own[None, :]).ravel())
+            owners.append(np.repeat(at, len(own)))
+    v, o = np.concatenate(variants), np.concatenate(owners)
+    by = np.argsort(v)
+    v, o = v[by], o[by]
+    firsts = np.flatnonzero(np.append(True, v[1:] != v[:-1])[: len(v)])
+    if len(firsts) == len(v):
+        return np.zeros((0, 2), np.int64)
+    lead = np.repeat(np.minimum.reduceat(o, firsts), np.diff(np.append(firsts, len(o))))
+    linked = lead != o
+    pairs = np.unique(np.stack([lead[linked], o[linked]], 1), axis=0)
+    return pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius]  # the verification
+
+
 def forest(n: int, pairs: np.ndarray) -> np.ndarray:
     """Smallest member of each node's component."""
     root = np.arange(n)

@@ -318,7 +318,7 @@ def _owners(keys, n_strings, core, body, first_byte, least):
 
     block: list[int] = []
     total = 0
-    for i, n, last in zip(members.tolist(), n_strings[members].tolist(), np.append(group[members][1:] != group[members][:-1], True).tolist(), strict=True):
+    for i, n, last in zip(members.tolist(), n_strings[members].tolist(), np.append(group[members][1:] != group[members][:-1], True)[: len(members)].tolist(), strict=True):
         block.append(i)
         total += n + size
         if total >= BLOCK_SYMBOLS and last:

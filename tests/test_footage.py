@@ -115,7 +115,7 @@ def test_verify_finds_one_flipped_byte(spark, lake):
     same = im.encode_frames(frames.where("frame_index between 10 and 29"), layout="rgba16")
     report = vf.verify_images(ref, same, subset=True)[1].first()
     assert report["passed"] and report["names"] == "SUBSET-OK" and report["compared"] == 20
-    bad = same.withColumn("image", F.when(F.col("frame_index") == 17, F.concat(F.expr("substring(image, 1, 70)"), F.unhex(F.lit("00")), F.expr("substring(image, 72)"))).otherwise(F.col("image")))
+    bad = same.withColumn("image", F.when(F.col("frame_index") == 17, F.concat(F.expr("substring(image, 1, 119)"), F.expr("unhex(lpad(hex(255 - conv(hex(substring(image, 120, 1)), 16, 10)), 2, '0'))"), F.expr("substring(image, 121)"))).otherwise(F.col("image")))
     report = vf.verify_images(ref, bad, subset=True)[1].first()
     assert not report["passed"] and report["mismatched"] == 1 and report["first_mismatch"] == "cam_00017.Png"
 

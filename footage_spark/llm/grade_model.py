@@ -1,7 +1,7 @@
 """Quality classifier: cumulative-link (ordered logit) regression on graded ratings.
 
-Grades: 0 poor text, 1 readable but toxic, 2 good.  One weight per hashed word (presence in the
-text) and a few text shares serve all grades; ordered thresholds t_1 < t_2 give
+Grades: 0 poor text, 1 readable but toxic, 2 good.  One weight per hashed word or beginning of a word
+(presence in the text) and a few text shares serve all grades; ordered thresholds t_1 < t_2 give
 P(grade >= k) = sigmoid(w.x - t_k), hence the expected grade and the tail probability by which
 documents are chosen.  The fit uses at most FIT_ROWS labelled rows, those of the lowest hashes; each
 of them is whole.  Every document is scored.
@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, WHITE_SPACE, chunks, prefix_sums, rows, span_hash, word_spans
+from .text import LOWER, WHITE_SPACE, chunks, mix, prefix_sums, rows, span_hash, word_spans
 
-FIT_ROWS, BITS, LEAST_SHARE, ROUNDS, GRADES, SHRINK = 12288, 18, 1 / 400, 120, 3, 0.7
+FIT_ROWS, BITS, LEAST_SHARE, ROUNDS, RATE, GRADES, SHRINK = 12288, 20, 1 / 400, 200, 0.2, 3, 0.7
+#: Bytes of the beginnings of longer words; they find a stem under many endings.
+BEGINNINGS = (5, 7)
 #: Bytes of text whose features are made together; bounds a worker's memory.
 FEATURE_BYTES = 1 << 20
 #: Least tail probability P(grade = 2) of a kept document.
-LEAST_TAIL = 0.6
+LEAST_TAIL = 0.75
 _STOP = np.isin(np.arange(256), list(b".,;:!?\"')("))
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>!"))
 #: Shares of a text that stand beside its words, each cut into STEPS of presence features.
@@ -40,17 +42,22 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     s, e, row = word_spans(low, offsets)
     for _ in range(2):
         e = np.where((e - s > 1) & _STOP[low[e - 1]], e - 1, e) if len(s) else e
-    h = span_hash(prefix_sums(low), s, e)
-    bucket = (h >> np.uint64(64 - BITS)).astype(np.int64)
-    key = np.unique((row << BITS) | bucket)
+    sums = prefix_sums(low)
+    bucket = lambda h: (h >> np.uint64(64 - BITS)).astype(np.int64)
+    key = np.unique((row << BITS) | bucket(span_hash(sums, s, e)))
     words = np.bincount(row, minlength=n)
     distinct = np.bincount(key >> BITS, minlength=n)
     blank = np.bincount(of, weights=WHITE_SPACE[data], minlength=n)
     shares = [upper, symbol * 2, digit * 2, 1 - distinct / np.maximum(words, 1), np.minimum((size - blank) / np.maximum(words, 1) / 20, 1)]
     step = [np.minimum((np.clip(x, 0, 1) * STEPS).astype(np.int64), STEPS - 1) + i * STEPS for i, x in enumerate(shares)]
+    keys = [key]
+    for n_bytes in BEGINNINGS:
+        a, r = s[e - s > n_bytes], row[e - s > n_bytes]
+        keys.append((r << BITS) | bucket(mix(span_hash(sums, a, a + n_bytes) + np.uint64(1))))
+    key = np.unique(np.concatenate(keys))
     # the share features take the first places; words that fall there move on
-    bucket = np.where((key & ((1 << BITS) - 1)) < SHARES * STEPS, key + SHARES * STEPS, key)
-    return np.concatenate([bucket >> BITS, *[np.arange(n)] * SHARES]), np.concatenate([bucket & ((1 << BITS) - 1), *step])
+    key = np.where((key & ((1 << BITS) - 1)) < SHARES * STEPS, key + SHARES * STEPS, key)
+    return np.concatenate([key >> BITS, *[np.arange(n)] * SHARES]), np.concatenate([key & ((1 << BITS) - 1), *step])
 
 
 def _collect_features(batches):
@@ -79,29 +86,34 @@ class Grader:
         return _sigmoid(z[:, None] - self.thresholds[None, :])
 
 
-def fit_grades(grades: np.ndarray, lists: list[np.ndarray], rounds: int = ROUNDS, rate: float = 1.0, shrink: float = SHRINK) -> Grader:
-    """Log likelihood of the ordered grades, by proximal adaptive gradient steps over all rows.
+def fit_grades(grades: np.ndarray, lists: list[np.ndarray], rounds: int = ROUNDS, rate: float = RATE, shrink: float = SHRINK) -> Grader:
+    """Log likelihood of the ordered grades, by proximal steps along averaged gradients over all rows.
 
     Each word's weight is pulled to 0 by `shrink` times the noise of its gradient, so that words that
-    tell nothing have no weight, however long a text is.
+    tell nothing have no weight, however long a text is.  Steps are scaled by each weight's recent
+    gradients, which lets rare words gain the weight they need, and shrink to nothing in the end.
     """
     size, m = 1 << BITS, len(lists)
     w, t = np.zeros(size), np.linspace(-3.0, -1.0, GRADES - 1)
     if not m:
         return Grader(w, t)
-    flat, of = np.concatenate(lists), np.repeat(np.arange(m), [len(x) for x in lists])
-    rows_of = np.bincount(flat, minlength=size)
+    rows_of = np.zeros(size, np.int64)
+    for x in lists:  # a row has a feature once
+        rows_of[x] += 1
     use = rows_of >= max(4, LEAST_SHARE * m)
     use[: SHARES * STEPS] = True
-    flat, of = flat[use[flat]], of[use[flat]]
-    held = np.flatnonzero(np.bincount(flat, minlength=size))
+    lists = [x[use[x]] for x in lists]
+    flat, of = np.concatenate(lists), np.repeat(np.arange(m), [len(x) for x in lists])
+    held = np.flatnonzero(use & (rows_of > 0))
     place = np.zeros(size, np.int64)
     place[held] = np.arange(len(held))
     flat = place[flat]
-    pull = shrink * np.sqrt(rows_of[held] / m / m)
-    pull[held < SHARES * STEPS] = 0.0
-    v, v2, t2, every = np.zeros(len(held)), np.full(len(held), 1e-4), np.full(GRADES - 1, 1e-4), np.arange(m)
-    for _ in range(rounds):
+    noise = np.sqrt(rows_of[held]) / m
+    pull = shrink * np.where(held < SHARES * STEPS, 0.0, noise)
+    v, every = np.zeros(len(held)), np.arange(m)
+    mean, square = np.zeros(len(held)), np.zeros(len(held))
+    t_mean, t_square = np.zeros(GRADES - 1), np.zeros(GRADES - 1)
+    for k in range(rounds):
         z = np.bincount(of, weights=v[flat], minlength=m)
         p = np.hstack([np.ones((m, 1)), _sigmoid(z[:, None] - t), np.zeros((m, 1))])
         slope = p * (1 - p)
@@ -111,13 +123,15 @@ def fit_grades(grades: np.ndarray, lists: list[np.ndarray], rounds: int = ROUNDS
         dt = np.zeros((m, GRADES + 1))
         dt[every, grades] -= low
         dt[every, grades + 1] += high
-        v2 += grad**2
-        step = rate / np.sqrt(v2)
-        v += step * grad
+        t_grad = dt[:, 1:-1].mean(0)
+        # running means over about 5 and 20 rounds, made whole for the first rounds
+        now, whole, whole_square = rate * (1 - k / rounds), 1 - 0.8 ** (k + 1), 1 - 0.95 ** (k + 1)
+        mean, square = 0.8 * mean + 0.2 * grad, 0.95 * square + 0.05 * grad**2
+        t_mean, t_square = 0.8 * t_mean + 0.2 * t_grad, 0.95 * t_square + 0.05 * t_grad**2
+        step = now / (np.sqrt(square / whole_square) + noise)
+        v += step * mean / whole
         v = np.sign(v) * np.maximum(np.abs(v) - step * pull, 0)
-        gt = dt[:, 1:-1].mean(0)
-        t2 += gt**2
-        t = np.sort(t + rate * gt / np.sqrt(t2))
+        t = np.sort(t + now * (t_mean / whole) / (np.sqrt(t_square / whole_square) + 1e-3))
     w[held] = v
     return Grader(w, t)
 
@@ -134,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grade
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")
     found = some.mapInArrow(_collect_features, "grade int, features binary").toPandas()
-    lists = [np.frombuffer(bytes(x), "<u4").astype(np.int64) for x in found["features"]]
+    lists = [np.frombuffer(bytes(x), "<u4") for x in found["features"]]
     order = sorted(range(len(lists)), key=lambda i: (int(found["grade"][i]), len(lists[i]), lists[i].tobytes()))
     return fit_grades(found["grade"].to_numpy(np.int64)[order], [lists[i] for i in order])
 

@@ -12,12 +12,18 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
 3. The contexts of shared keys meet by key.  Equal contexts are merged; where a key has different
    contexts, their suffixes are put in order by `suffix_order`, and strings that stand side by side
    with LENGTH equal bytes share their smallest document.
-4. The strings with a smaller document give spans, which go back to their documents by a join.
+4. A key of very many documents would gather them all in one task.  The strings of such common keys
+   are keyed by PART_CORE bytes instead, so that few different contexts of a key are possible however
+   large the corpus is.  Only the smallest document of each context is sent; the occurrences look
+   their contexts up, in a small table that every task has (contexts of a thousandth of all
+   occurrences or more) or by a join (the others).
+5. The strings with a smaller document give spans, which go back to their documents by a join.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import pickle
 from bisect import insort
 
@@ -33,7 +39,17 @@ SIDE = (LENGTH - GRAM) // 2
 CORE = GRAM + SIDE
 #: Bytes that a context of n strings has besides n and its core.
 REST = LENGTH - 1 - CORE
+#: A key of about so many documents, counted once a batch, is common.
+COMMON_DOCS = 1024
+#: Strings that a context of a common key has at most, and the bytes that all of them hold.
+PART = 4
+PART_CORE = LENGTH + 1 - PART
+PART_REST = LENGTH - 1 - PART_CORE
+#: Most contexts that are sent to every task.
+HOT = 1000
 MOST_FILTER_BITS = 29
+#: Bytes of text whose keys a bucket counts, about.
+COUNT_BYTES = 1 << 26
 #: Shared keys that a bucket of the last shuffle holds, about.
 BUCKET_KEYS, LEAST_BUCKETS = 60_000, 64
 #: Symbols of contexts whose suffixes are put in order together, about; a few keys at a time stay in cache.
@@ -133,13 +149,13 @@ def suffix_order(texts: list[bytes]) -> list[tuple[int, int]]:
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray):
-    """(row, key, first string, last string, core) of the contexts of a chunk; places are in the chunk.
+    """(row, key, first string, last string, core, anchor) of the contexts of a chunk; places are in the chunk.
 
     The core is the place in the context of the CORE bytes that make its key.
     """
     n, none = len(data), np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none.astype(np.uint64), none, none, none
+        return none, none.astype(np.uint64), none, none, none, none
     sums = prefix_sums(data)
     h = mix((sums[GRAM:] - sums[:-GRAM]) * powers(n + 1)[1][: n - GRAM + 1])
     least = (h & ~_PLACE) | np.arange(n - GRAM + 1, dtype=np.uint64)
@@ -153,7 +169,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray):
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
     valid = np.flatnonzero(np.arange(len(least)) + LENGTH <= offsets[1:][owner])
     if not len(valid):
-        return none, none.astype(np.uint64), none, none, none
+        return none, none.astype(np.uint64), none, none, none, none
     anchor = (least[valid] & _PLACE).astype(np.int64)
     side = valid > anchor - SIDE  # 1: the string holds the bytes after the anchor, 0: those before it
     part = 2 * anchor + side
@@ -162,47 +178,46 @@ def contexts(data: np.ndarray, offsets: np.ndarray):
     anchor, side = anchor[new], side[new]
     a = np.where(side, anchor, anchor - SIDE)
     key = mix(span_hash(sums, a, a + CORE) + side.astype(np.uint64))
-    return owner[first], key, first, last, a - first
+    return owner[first], key, first, last, a - first, anchor
 
 
 def _batch_contexts(batch):
     data, offsets = rows(batch.column("text"))
     for first, last in chunks(offsets, HASH_BYTES):
         part = data[offsets[first] : offsets[last]]
-        row, key, a, b, core = contexts(part, offsets[first : last + 1] - offsets[first])
-        yield first, part, offsets[first : last + 1] - offsets[first], row, key, a, b, core
+        yield first, part, offsets[first : last + 1] - offsets[first], *contexts(part, offsets[first : last + 1] - offsets[first])
 
 
 def _split(key: np.ndarray, bits: int) -> np.ndarray:
     return (key >> np.uint64(64 - bits)).astype(np.int64)
 
 
-COUNT_BITS = 6
+def _send_keys(count_bits: int):
+    """(bucket, keys of one document, keys of more documents, how many) of a batch; 32 bits of a key go."""
 
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            _, doc = np.unique(docs, return_inverse=True)
+            held = []
+            for first, _, _, row, key, *_ in _batch_contexts(batch):
+                _, one = np.unique(mix(key + (doc[first + row] + 1).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), return_index=True)
+                held.append(np.stack([key[one], doc[first + row[one]].astype(np.uint64)]))
+            key, doc_of = np.concatenate(held, 1) if held else np.zeros((2, 0), np.uint64)
+            order = np.lexsort((doc_of, key))
+            key, doc_of = key[order], doc_of[order]
+            key = key[np.append(True, (key[1:] != key[:-1]) | (doc_of[1:] != doc_of[:-1]))[: len(key)]]
+            u, n = np.unique(key, return_counts=True)
+            bucket = _split(u, count_bits)
+            low = ((u >> np.uint64(32 - count_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            for k in np.unique(bucket).tolist():
+                own = slice(*np.searchsorted(bucket, [k, k + 1]))
+                one, more, many = low[own][n[own] == 1], low[own][n[own] > 1], n[own][n[own] > 1].astype(np.uint32)
+                yield pa.record_batch([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (one, more, many))], ["bucket", "once", "more", "many"])
 
-def _send_keys(batches):
-    """(bucket, keys seen in one row, keys seen in more rows) of a batch; 32 bits of a key go."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        _, doc = np.unique(docs, return_inverse=True)
-        held = []
-        for first, _, _, row, key, _, _, _ in _batch_contexts(batch):
-            _, one = np.unique(mix(key + (doc[first + row] + 1).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), return_index=True)
-            held.append(np.stack([key[one], doc[first + row[one]].astype(np.uint64)]))
-        key, doc_of = np.concatenate(held, 1) if held else np.zeros((2, 0), np.uint64)
-        order = np.argsort(key, kind="stable")
-        key, doc_of = key[order], doc_of[order]
-        key = key[np.append(True, (key[1:] != key[:-1]) | (doc_of[1:] != doc_of[:-1]))[: len(key)]]
-        u, n = np.unique(key, return_counts=True)
-        bucket = _split(u, COUNT_BITS)
-        low = ((u >> np.uint64(32 - COUNT_BITS)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        edges = np.searchsorted(bucket, np.arange((1 << COUNT_BITS) + 1))
-        for b in range(1 << COUNT_BITS):
-            s = slice(edges[b], edges[b + 1])
-            if s.stop > s.start:
-                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([low[s][n[s] == 1].tobytes()], pa.binary()), pa.array([low[s][n[s] > 1].tobytes()], pa.binary())], ["bucket", "once", "more"])
+    return run
 
 
 def _by_bucket(batches, columns):
@@ -219,39 +234,63 @@ def _by_bucket(batches, columns):
         yield now, held
 
 
-def _count_keys(batches):
-    for bucket, held in _by_bucket(batches, ["once", "more"]):
-        once = np.sort(np.frombuffer(b"".join(x[0] for x in held), np.uint32))
-        again = once[1:][once[1:] == once[:-1]]
-        shared = np.unique(np.concatenate([again, np.frombuffer(b"".join(x[1] for x in held), np.uint32)]))
-        # a key seen once in a batch and more often in another is among `more` already
-        yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([len(shared)], pa.int64()), pa.array([shared.tobytes()], pa.binary())], ["bucket", "n", "shared"])
+def _count_keys(common_docs: int):
+    def run(batches):
+        for bucket, held in _by_bucket(batches, ["once", "more", "many"]):
+            once, more, many = (np.frombuffer(b"".join(x[i] for x in held), np.uint32) for i in range(3))
+            once = np.sort(once)
+            again = once[1:][once[1:] == once[:-1]]
+            # a key seen once in a batch and more often in another is among `more` already
+            shared, which = np.unique(np.concatenate([again, more]), return_inverse=True)
+            n = np.bincount(which, weights=np.concatenate([np.ones(len(again)), many]), minlength=len(shared))
+            common = shared[n >= common_docs - 1]
+            yield pa.record_batch(
+                [pa.array([bucket], pa.int32()), pa.array([len(shared)], pa.int64()), pa.array([len(common)], pa.int64()), pa.array([shared.tobytes()], pa.binary()), pa.array([common.tobytes()], pa.binary())],
+                ["bucket", "n_shared", "n_common", "shared", "common"],
+            )
+
+    return run
 
 
-def _bitmap(bits: int):
+def _slices(column: str, bits: int, count_bits: int):
     def run(batches):
         for batch in batches:
-            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("shared").to_pylist(), strict=True):
-                out = np.zeros(1 << (bits - COUNT_BITS), bool)
-                out[np.frombuffer(raw, np.uint32) >> np.uint32(32 - (bits - COUNT_BITS))] = True
-                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([np.packbits(out).tobytes()], pa.binary())], ["bucket", "map"])
+            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column(column).to_pylist(), strict=True):
+                if raw:
+                    out = np.zeros(1 << (bits - count_bits), bool)
+                    out[np.frombuffer(raw, np.uint32) >> np.uint32(32 - (bits - count_bits))] = True
+                    yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([np.packbits(out).tobytes()], pa.binary())], ["bucket", "map"])
 
     return run
 
 
-def _send_contexts(shared, bits: int, n_buckets: int):
+def _bitmap(keys: DataFrame, column: str, n: int, count_bits: int) -> tuple[int, bytes]:
+    """(bits, bitmap) of n counted keys: one place in about 32 to 64 is taken, up to MOST_FILTER_BITS."""
+    bits = min(max(int(32 * n).bit_length(), count_bits + 6), MOST_FILTER_BITS)
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (bits - count_bits - 3)
+    for r in keys.mapInArrow(_slices(column, bits, count_bits), "bucket int, map binary").collect():
+        out[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["map"], np.uint8)
+    return bits, out.tobytes()
+
+
+def _among(bitmap: tuple[int, bytes], key: np.ndarray) -> np.ndarray:
+    place = _split(key, bitmap[0])
+    return (np.frombuffer(bitmap[1], np.uint8)[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _send_contexts(filters, n_buckets: int):
     """(bucket, packed contexts with their occurrences) of a batch; each different context once, without its core."""
 
     def run(batches):
-        bitmap = np.frombuffer(shared.value, np.uint8)
+        shared, common = filters.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
             prints = batch.column("print").to_numpy(zero_copy_only=False)
-            for first, part, offsets, row, key, a, b, core in _batch_contexts(batch):
-                place = _split(key, bits)
-                hit = np.flatnonzero((bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
+            for first, part, offsets, row, key, a, b, core, _ in _batch_contexts(batch):
+                hit = np.flatnonzero(_among(shared, key) & ~_among(common, key))
                 if not len(hit):
                     continue
                 row, key, a, b, core = row[hit], key[hit], a[hit], b[hit], core[hit]
@@ -276,10 +315,10 @@ def _send_contexts(shared, bits: int, n_buckets: int):
     return run
 
 
-def _owners(keys, n_strings, core, body, first_byte, least):
+def _owners(keys, n_strings, core, body, first_byte, least, core_size: int = CORE):
     """Smallest document of every string of every context; contexts are sorted by key.
 
-    All contexts of a key hold the same CORE bytes at one place, and so does every string of theirs.
+    All contexts of a key hold the same core_size bytes at one place, and so does every string of theirs.
     The core is put as one symbol above all bytes; strings are equal if what is left of them and
     their keys are.
     """
@@ -288,11 +327,11 @@ def _owners(keys, n_strings, core, body, first_byte, least):
     new = np.append(True, keys[1:] != keys[:-1])
     group = np.cumsum(new) - 1
     members = np.flatnonzero(np.bincount(group)[group] > 1)
-    size = LENGTH - CORE + 1
+    size, rest = LENGTH - core_size + 1, LENGTH - 1 - core_size
 
     def settle(block: list[int]) -> None:
         begin, middle, many = first_byte[block].tolist(), core[block].tolist(), n_strings[block].tolist()
-        texts = [body[a : a + c] + b"\xff" + body[a + c : a + m + REST] for a, c, m in zip(begin, middle, many, strict=True)]
+        texts = [body[a : a + c] + b"\xff" + body[a + c : a + m + rest] for a, c, m in zip(begin, middle, many, strict=True)]
         at, key, low = strings[block].tolist(), group[block].tolist(), least[block].tolist()
         run: list[tuple[int, int]] = []
         before = None
@@ -329,6 +368,31 @@ def _owners(keys, n_strings, core, body, first_byte, least):
     return owner, strings
 
 
+def _span_rows(o, p, owner, doc, prints, start):
+    """Spans of each document, merged; string p of occurrence o goes if its owner is a smaller document."""
+    gone = owner < doc[o]
+    edge = p == 0
+    s = np.flatnonzero(gone & (edge | ~np.append(False, gone[:-1])))
+    e = np.flatnonzero(gone & (np.append(edge[1:], True) | ~np.append(gone[1:], False)))
+    if not len(s):
+        return
+    which = o[s]
+    x, y = start[which] + p[s], start[which] + p[e] + LENGTH
+    d, t = doc[which], prints[which]
+    order = np.lexsort((x, t, d))
+    x, y, d, t = x[order], y[order], d[order], t[order]
+    lead = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]))
+    far = (np.cumsum(lead) - 1) << 36  # one range of places for each document
+    reach = np.maximum.accumulate(y + far)
+    new = np.flatnonzero(np.append(True, (x + far)[1:] > reach[:-1]))
+    y = (reach - far)[np.append(new[1:], len(x)) - 1]
+    raw = np.stack([x[new], y], 1).astype("<i8").tobytes()
+    first = np.flatnonzero(lead[new])
+    ends = np.append(first[1:], len(new)).tolist()
+    d, t = d[new][first], t[new][first]
+    yield pa.record_batch([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array([raw[16 * i : 16 * j] for i, j in zip(first.tolist(), ends, strict=True)], pa.binary())], ["of", "of_print", "spans"])
+
+
 def _find_spans(batches):
     """(doc_id, print, spans): pairs of first and last + 1 byte that go, of the strings of one bucket."""
     for _, held in _by_bucket(batches, ["blob", "size"]):
@@ -360,22 +424,128 @@ def _find_spans(batches):
         n = n_strings[lead][of].astype(np.int64)
         for a in range(0, len(of), 1 << 18):  # occurrences
             o, p = spread(n[a : a + (1 << 18)])
-            gone = owner[strings[of[a + o]] + p] < doc[a + o]
-            edge = p == 0
-            start_of = gone & (edge | ~np.append(False, gone[:-1]))
-            end_of = gone & (np.append(edge[1:], True) | ~np.append(gone[1:], False))
-            s, e = np.flatnonzero(start_of), np.flatnonzero(end_of)
-            if not len(s):
-                continue
-            which = a + o[s]
-            x, y = start[which] + p[s], start[which] + p[e] + LENGTH
-            d, t = doc[which], prints[which]
-            order = np.lexsort((x, t, d))
-            x, y, d, t = x[order], y[order], d[order], t[order]
-            new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])))
-            raw = np.stack([x, y], 1).astype("<i8").tobytes()
-            ends = np.append(new[1:], len(d))
-            yield pa.record_batch([pa.array(d[new]), pa.array(t[new]), pa.array([raw[16 * i : 16 * j] for i, j in zip(new.tolist(), ends.tolist(), strict=True)], pa.binary())], ["of", "of_print", "spans"])
+            yield from _span_rows(o, p, owner[strings[of[a + o]] + p], doc[a:], prints[a:], start[a:])
+
+
+def _cut_parts(part, row, a, b, anchor):
+    """(row, key, shape, first string, number of strings) of the parts of contexts, PART neighbours at most.
+
+    The strings of a part have the anchor within PART bytes of one place, so they share PART_CORE
+    bytes.  The shape is all that a part has besides: its other bytes, their number and the core's place.
+    """
+    far, near = (anchor - a) // PART, (anchor - b) // PART
+    o, p = spread(far - near + 1)
+    q = far[o] - p
+    core = anchor[o] - q * PART
+    first, last = np.maximum(a[o], core - (PART - 1)), np.minimum(b[o], core)
+    key = mix(span_hash(prefix_sums(part), core, core + PART_CORE) + q.astype(np.uint64)).view(np.int64)
+    n, before = last - first + 1, core - first
+    shape = n << 48 | before << 52
+    for j in range(PART + PART_REST):
+        at = np.minimum(first + j + np.where(j >= before, PART_CORE, 0), len(part) - 1)
+        shape |= np.where(j < n + PART_REST, part[at].astype(np.int64), 0) << (8 * j)
+    return row[o], key, shape, first, n
+
+
+def _common_parts(batch, filters):
+    shared, common = filters
+    for first, part, offsets, row, key, a, b, _, anchor in _batch_contexts(batch):
+        hit = np.flatnonzero(_among(common, key) & _among(shared, key))
+        if len(hit):
+            row, key, shape, at, n = _cut_parts(part, row[hit], a[hit], b[hit], anchor[hit])
+            yield first + row, key, shape, at - offsets[row], n
+
+
+def _send_parts(filters):
+    """(key, shape, least and most document, times) of the parts of common keys, each part once a chunk."""
+
+    def run(batches):
+        for batch in batches:
+            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for row, key, shape, _, _ in _common_parts(batch, filters.value):
+                order = np.lexsort((shape, key))
+                key, shape, doc = key[order], shape[order], docs[row[order]]
+                new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (shape[1:] != shape[:-1])))
+                times = np.diff(np.append(new, len(key)))
+                yield pa.record_batch([pa.array(x) for x in (key[new], shape[new], np.minimum.reduceat(doc, new), np.maximum.reduceat(doc, new), times)], ["key", "shape", "least", "most", "times"])
+
+    return run
+
+
+_OWNERS = [f"owner{i}" for i in range(PART)]
+
+
+def _settle_parts(batches):
+    """(key, shape, times, owner of each string) of the parts of which a document loses bytes; rows come by key."""
+    held = np.zeros((5, 0), np.int64)
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("key", "shape", "least", "most", "times")])], 1)
+        whole = held.shape[1] if batch is None else int(np.searchsorted(held[0], held[0, -1])) if held.shape[1] else 0
+        if not whole:
+            continue
+        (key, shape, least, most, times), held = held[:, :whole], held[:, whole:]
+        n, before = shape >> 48 & 15, shape >> 52
+        place = np.arange(PART + PART_REST)
+        body = (shape[:, None] >> (8 * place) & 255).astype(np.uint8)[place < (n + PART_REST)[:, None]].tobytes()
+        owner, strings = _owners(key, n, before, body, np.cumsum(n + PART_REST) - (n + PART_REST), least, PART_CORE)
+        out = np.full((whole, PART), np.iinfo(np.int64).max)
+        o, p = spread(n)
+        out[o, p] = owner
+        lost = np.flatnonzero((out < most[:, None]).any(axis=1))
+        yield pa.record_batch([pa.array(x[lost]) for x in (key, shape, times, *out.T)], ["key", "shape", "times", *_OWNERS])
+
+
+def _look_up(filters, hot):
+    """Spans by the hot parts, and the occurrences of all other parts of common keys."""
+
+    def run(batches):
+        keys, shapes, owners = hot.value
+        none = pa.nulls
+        for batch in batches:
+            docs, prints = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "print"))
+            for row, key, shape, start, n in _common_parts(batch, filters.value):
+                code = mix(key.view(np.uint64) ^ mix(shape.view(np.uint64)))
+                hot_code = mix(keys.view(np.uint64) ^ mix(shapes.view(np.uint64)))
+                order = np.argsort(hot_code)
+                at = np.searchsorted(hot_code[order], code)
+                which = order[np.minimum(at, len(order) - 1)] if len(order) else np.zeros(len(code), np.int64)
+                hit = (keys[which] == key) & (shapes[which] == shape) if len(order) else np.zeros(len(code), bool)
+                if hit.any():
+                    o, p = spread(n[hit])
+                    for out in _span_rows(o, p, owners[which[hit][o], p], docs[row[hit]], prints[row[hit]], start[hit]):
+                        m = out.num_rows
+                        yield pa.record_batch([*out.columns, *(none(m, pa.int64()) for _ in range(3))], [*out.schema.names, "key", "shape", "start"])
+                row, key, shape, start = row[~hit], key[~hit], shape[~hit], start[~hit]
+                if len(row):
+                    yield pa.record_batch([pa.array(docs[row]), pa.array(prints[row]), none(len(row), pa.binary()), pa.array(key), pa.array(shape), pa.array(start)], ["of", "of_print", "spans", "key", "shape", "start"])
+
+    return run
+
+
+def _joined_spans(batches):
+    for batch in batches:
+        if batch.num_rows:
+            doc, prints, start, shape = (batch.column(c).to_numpy() for c in ("of", "of_print", "start", "shape"))
+            owners = np.stack([batch.column(c).to_numpy() for c in _OWNERS], 1)
+            o, p = spread(shape >> 48 & 15)
+            yield from _span_rows(o, p, owners[o, p], doc, prints, start)
+
+
+def _common_spans(texts: DataFrame, filters) -> DataFrame:
+    """of, of_print, spans by the strings of common keys."""
+    parts = texts.mapInArrow(_send_parts(filters), "key long, shape long, least long, most long, times long")
+    parts = parts.groupBy("key", "shape").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("times").alias("times"))
+    settled = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_settle_parts, "key long, shape long, times long, " + ", ".join(f"{c} long" for c in _OWNERS))
+    settled = cut(settled)
+    total = settled.agg(F.sum("times")).first()[0] or 0
+    hot = settled.where(F.col("times") * HOT >= total).collect()  # HOT rows at most
+    table = tuple(np.array([r[c] for r in hot], np.int64) for c in ("key", "shape")) + (np.array([[r[c] for c in _OWNERS] for r in hot], np.int64).reshape(-1, PART),)
+    hot_table = texts.sparkSession.sparkContext.broadcast(table)
+    found = cut(texts.mapInArrow(_look_up(filters, hot_table), "of long, of_print long, spans binary, key long, shape long, start long"))
+    others = found.where("spans is null").join(settled.where(F.col("times") * HOT < total), ["key", "shape"])
+    others = others.select("of", "of_print", "start", "shape", *_OWNERS).mapInArrow(_joined_spans, "of long, of_print long, spans binary")
+    return found.where("spans is not null").select("of", "of_print", "spans").unionByName(others)
 
 
 def merge_spans(parts: list[bytes]) -> list[tuple[int, int]]:
@@ -389,26 +559,27 @@ def merge_spans(parts: list[bytes]) -> list[tuple[int, int]]:
     return list(zip(every[new, 0].tolist(), reach[np.append(new[1:], len(every)) - 1].tolist(), strict=True))
 
 
-def find_repeats(docs: DataFrame) -> DataFrame:
+def find_repeats(docs: DataFrame, common_docs: int = COMMON_DOCS) -> DataFrame:
     """of, of_print, parts (array of packed spans) for each different (doc_id, text) that loses bytes."""
     spark = docs.sparkSession
     # long texts first would be uneven; rows are taken as the source deals them
     texts = docs.where("doc_id is not null and octet_length(text) >= " + str(LENGTH)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
-    keys = texts.select("doc_id", "text").mapInArrow(_send_keys, "bucket int, once binary, more binary")
-    shared = cut(keys.repartition(1 << COUNT_BITS, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_keys, "bucket int, n long, shared binary"))
-    n = shared.agg(F.sum("n")).first()[0] or 0
-    bits = min(max(int(32 * n).bit_length(), 12), MOST_FILTER_BITS)
-    slices = {r["bucket"]: r["map"] for r in shared.mapInArrow(_bitmap(bits), "bucket int, map binary").collect()}
-    empty = bytes(1 << (bits - COUNT_BITS - 3))
-    bitmap = spark.sparkContext.broadcast(b"".join(bytes(slices.get(b, empty)) for b in range(1 << COUNT_BITS)))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count_bits = min(max((size // COUNT_BYTES).bit_length(), 6), 20)
+    keys = texts.select("doc_id", "text").mapInArrow(_send_keys(count_bits), "bucket int, once binary, more binary, many binary")
+    keys = cut(keys.repartition(1 << count_bits, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_keys(common_docs), "bucket int, n_shared long, n_common long, shared binary, common binary"))
+    n, n_common = (x or 0 for x in keys.agg(F.sum("n_shared"), F.sum("n_common")).first())
+    filters = spark.sparkContext.broadcast((_bitmap(keys, "shared", n, count_bits), _bitmap(keys, "common", n_common, count_bits)))
     n_buckets = max(LEAST_BUCKETS, -(-n // BUCKET_KEYS))
-    sent = texts.mapInArrow(_send_contexts(bitmap, bits, n_buckets), "bucket int, blob binary, size long")
+    sent = texts.mapInArrow(_send_contexts(filters, n_buckets), "bucket int, blob binary, size long")
     spans = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_spans, "of long, of_print long, spans binary")
+    if n_common:
+        spans = spans.unionByName(_common_spans(texts, filters))
     return spans.groupBy("of", "of_print").agg(F.collect_list("spans").alias("parts"))
 
 
-def _with_parts(docs: DataFrame) -> DataFrame:
-    found = find_repeats(docs)
+def _with_parts(docs: DataFrame, common_docs: int) -> DataFrame:
+    found = find_repeats(docs, common_docs)
     return docs.join(found, (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("of_print")), "left").drop("of", "of_print")
 
 
@@ -420,7 +591,7 @@ def _cut_bytes(raw: bytes, spans) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def dedup_digests(docs: DataFrame) -> DataFrame:
+def dedup_digests(docs: DataFrame, common_docs: int = COMMON_DOCS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs(doc_id, text).
 
     A null text is empty.  A row with a null doc_id has no rank: it loses nothing and takes nothing.
@@ -437,10 +608,10 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), common_docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def dedup_texts(docs: DataFrame) -> DataFrame:
+def dedup_texts(docs: DataFrame, common_docs: int = COMMON_DOCS) -> DataFrame:
     """docs with the repeated bytes cut out of `text`; a character that is cut through goes whole."""
     columns = docs.columns
 
@@ -451,4 +622,4 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
                 out.append(text if text is None or not parts else _cut_bytes(text.encode(), merge_spans(parts)).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
 
-    return _with_parts(docs).select(*columns, "parts").mapInArrow(run, docs.schema)
+    return _with_parts(docs, common_docs).select(*columns, "parts").mapInArrow(run, docs.schema)

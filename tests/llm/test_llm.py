@@ -89,9 +89,11 @@ def test_suffix_order():
             assert [texts[a][b:] for a, b in got] == sorted(every) and len(set(got)) == len(every)
 
 
-def test_suffix_dedup(docs, local, empty):
+@pytest.mark.parametrize("common_docs, hot", [(suffix_dedup.COMMON_DOCS, suffix_dedup.HOT), (2, suffix_dedup.HOT), (2, 12), (2, 0)])
+def test_suffix_dedup(docs, local, empty, monkeypatch, common_docs, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     got = collections.defaultdict(list)
-    for r in suffix_dedup.dedup_digests(docs).collect():
+    for r in suffix_dedup.dedup_digests(docs, common_docs).collect():
         got[r["doc_id"]].append(r)
     first = {}
     for i, t in sorted((x for x in set(local) if x[0] is not None), key=lambda x: x[0]):

@@ -15,8 +15,8 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
 4. A key of very many documents would gather them all in one task.  The strings of such common keys
    are keyed by PART_CORE bytes instead, so that few different contexts of a key are possible however
    large the corpus is.  Only the smallest document of each context is sent; the occurrences look
-   their contexts up, in a small table that every task has (contexts of a thousandth of all
-   occurrences or more) or by a join (the others).
+   their contexts up, in a table of HOT rows at most that every task has (contexts of more than
+   a HOT-th of all occurrences) or by a join (the others).
 5. The strings with a smaller document give spans, which go back to their documents by a join.
 """
 
@@ -45,8 +45,8 @@ COMMON_DOCS = 1024
 PART = 4
 PART_CORE = LENGTH + 1 - PART
 PART_REST = LENGTH - 1 - PART_CORE
-#: Most contexts that are sent to every task.
-HOT = 1000
+#: Most contexts that are sent to every task; 48 bytes each, so 6 MB.
+HOT = 1 << 17
 MOST_FILTER_BITS = 29
 #: Bytes of text whose keys a bucket counts, about.
 COUNT_BYTES = 1 << 26
@@ -501,16 +501,16 @@ def _look_up(filters, hot):
 
     def run(batches):
         keys, shapes, owners = hot.value
+        codes = mix(keys.view(np.uint64) ^ mix(shapes.view(np.uint64)))
+        order = np.argsort(codes)
+        codes, keys, shapes, owners = codes[order], keys[order], shapes[order], owners[order]
         none = pa.nulls
         for batch in batches:
             docs, prints = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "print"))
             for row, key, shape, start, n in _common_parts(batch, filters.value):
                 code = mix(key.view(np.uint64) ^ mix(shape.view(np.uint64)))
-                hot_code = mix(keys.view(np.uint64) ^ mix(shapes.view(np.uint64)))
-                order = np.argsort(hot_code)
-                at = np.searchsorted(hot_code[order], code)
-                which = order[np.minimum(at, len(order) - 1)] if len(order) else np.zeros(len(code), np.int64)
-                hit = (keys[which] == key) & (shapes[which] == shape) if len(order) else np.zeros(len(code), bool)
+                which = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                hit = (keys[which] == key) & (shapes[which] == shape) if len(codes) else np.zeros(len(code), bool)
                 if hit.any():
                     o, p = spread(n[hit])
                     for out in _span_rows(o, p, owners[which[hit][o], p], docs[row[hit]], prints[row[hit]], start[hit]):
@@ -539,9 +539,9 @@ def _common_spans(texts: DataFrame, filters) -> DataFrame:
     settled = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_settle_parts, "key long, shape long, times long, " + ", ".join(f"{c} long" for c in _OWNERS))
     settled = cut(settled)
     total = settled.agg(F.sum("times")).first()[0] or 0
-    hot = settled.where(F.col("times") * HOT >= total).collect()  # HOT rows at most
-    table = tuple(np.array([r[c] for r in hot], np.int64) for c in ("key", "shape")) + (np.array([[r[c] for c in _OWNERS] for r in hot], np.int64).reshape(-1, PART),)
-    hot_table = texts.sparkSession.sparkContext.broadcast(table)
+    hot = settled.where(F.col("times") * HOT >= total).toArrow()  # HOT rows at most
+    key, shape, *owners = (hot.column(c).to_numpy() for c in ("key", "shape", *_OWNERS))
+    hot_table = texts.sparkSession.sparkContext.broadcast((key, shape, np.stack(owners, 1)))
     found = cut(texts.mapInArrow(_look_up(filters, hot_table), "of long, of_print long, spans binary, key long, shape long, start long"))
     others = found.where("spans is null").join(settled.where(F.col("times") * HOT < total), ["key", "shape"])
     others = others.select("of", "of_print", "start", "shape", *_OWNERS).mapInArrow(_joined_spans, "of long, of_print long, spans binary")

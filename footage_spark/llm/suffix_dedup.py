@@ -496,19 +496,40 @@ def _settle_parts(batches):
         yield pa.record_batch([pa.array(x[lost]) for x in (key, shape, times, *out.T)], ["key", "shape", "times", *_OWNERS])
 
 
+CODE_BITS = 6
+
+
+def _part_codes(key: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    return mix(key.view(np.uint64) ^ mix(shape.view(np.uint64)))
+
+
+def _send_codes(batches):
+    for batch in batches:
+        code = _part_codes(*(batch.column(c).to_numpy() for c in ("key", "shape")))
+        bucket = _split(code, CODE_BITS)
+        low = ((code >> np.uint64(32 - CODE_BITS)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        for k in np.unique(bucket).tolist():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([low[bucket == k].tobytes()], pa.binary())], ["bucket", "codes"])
+
+
+def _join_codes(batches):
+    for bucket, held in _by_bucket(batches, ["codes"]):
+        yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([b"".join(x[0] for x in held)], pa.binary())], ["bucket", "codes"])
+
+
 def _look_up(filters, hot):
-    """Spans by the hot parts, and the occurrences of all other parts of common keys."""
+    """Spans by the hot parts, and the occurrences of the other parts that the bitmap of settled parts lets by."""
 
     def run(batches):
-        keys, shapes, owners = hot.value
-        codes = mix(keys.view(np.uint64) ^ mix(shapes.view(np.uint64)))
+        keys, shapes, owners, settled = hot.value
+        codes = _part_codes(keys, shapes)
         order = np.argsort(codes)
         codes, keys, shapes, owners = codes[order], keys[order], shapes[order], owners[order]
         none = pa.nulls
         for batch in batches:
             docs, prints = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "print"))
             for row, key, shape, start, n in _common_parts(batch, filters.value):
-                code = mix(key.view(np.uint64) ^ mix(shape.view(np.uint64)))
+                code = _part_codes(key, shape)
                 which = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
                 hit = (keys[which] == key) & (shapes[which] == shape) if len(codes) else np.zeros(len(code), bool)
                 if hit.any():
@@ -516,7 +537,8 @@ def _look_up(filters, hot):
                     for out in _span_rows(o, p, owners[which[hit][o], p], docs[row[hit]], prints[row[hit]], start[hit]):
                         m = out.num_rows
                         yield pa.record_batch([*out.columns, *(none(m, pa.int64()) for _ in range(3))], [*out.schema.names, "key", "shape", "start"])
-                row, key, shape, start = row[~hit], key[~hit], shape[~hit], start[~hit]
+                rest = ~hit & _among(settled, code)
+                row, key, shape, start = row[rest], key[rest], shape[rest], start[rest]
                 if len(row):
                     yield pa.record_batch([pa.array(docs[row]), pa.array(prints[row]), none(len(row), pa.binary()), pa.array(key), pa.array(shape), pa.array(start)], ["of", "of_print", "spans", "key", "shape", "start"])
 
@@ -538,10 +560,12 @@ def _common_spans(texts: DataFrame, filters) -> DataFrame:
     parts = parts.groupBy("key", "shape").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("times").alias("times"))
     settled = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_settle_parts, "key long, shape long, times long, " + ", ".join(f"{c} long" for c in _OWNERS))
     settled = cut(settled)
-    total = settled.agg(F.sum("times")).first()[0] or 0
+    n, total = (x or 0 for x in settled.agg(F.count("key"), F.sum("times")).first())
+    codes = settled.select("key", "shape").mapInArrow(_send_codes, "bucket int, codes binary")
+    codes = codes.repartition(1 << CODE_BITS, "bucket").sortWithinPartitions("bucket").mapInArrow(_join_codes, "bucket int, codes binary")
     hot = settled.where(F.col("times") * HOT >= total).toArrow()  # HOT rows at most
     key, shape, *owners = (hot.column(c).to_numpy() for c in ("key", "shape", *_OWNERS))
-    hot_table = texts.sparkSession.sparkContext.broadcast((key, shape, np.stack(owners, 1)))
+    hot_table = texts.sparkSession.sparkContext.broadcast((key, shape, np.stack(owners, 1), _bitmap(codes, "codes", n, CODE_BITS)))
     found = cut(texts.mapInArrow(_look_up(filters, hot_table), "of long, of_print long, spans binary, key long, shape long, start long"))
     others = found.where("spans is null").join(settled.where(F.col("times") * HOT < total), ["key", "shape"])
     others = others.select("of", "of_print", "start", "shape", *_OWNERS).mapInArrow(_joined_spans, "of long, of_print long, spans binary")

@@ -133,3 +133,10 @@ def cut(df):
     """Cut the lineage by an eager checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(True)
+
+
+def with_row(df):
+    """The table with a number of its own for each row (column row), kept in the shared folder so that it stays the same."""
+    from pyspark.sql import functions as F
+
+    return cut(df.withColumn("row", F.monotonically_increasing_id()))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from footage_spark.llm import bpe, chat, grade_model, hmm_lm, line_dedup, media, mixing, quality_rules, simhash, suffix_dedup
+from footage_spark.llm import bpe, chat, grade_model, hmm_lm, line_dedup, media, mixing, near_copies, quality_rules, simhash, suffix_dedup
 from footage_spark.llm.queries import rank_path
 from footage_spark.llm.text import rows
 
@@ -181,6 +181,45 @@ def test_simhash(docs, local, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("small", [near_copies.SMALL, 2])
+def test_near_copies(spark, monkeypatch, small):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    made = []
+    for g in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([4, 30, 120, 400]))]
+        for _ in range(rng.choice([1, 2, 5])):
+            w = list(base)
+            for _ in range(rng.randrange(0, 1 + len(w) // 25)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(3000)}"
+            made.append(" ".join(w))
+    made += [" ".join(made[0].split() + [f"x{i}"] * 3) for i in range(40)] + [None, "", " \n", "one two", "One  two"]
+    rng.shuffle(made)
+    ids = [rng.randrange(5000) if rng.random() < 0.7 else None for _ in made[:-2]] + [7, 7]
+    monkeypatch.setattr(near_copies, "first_of_groups", lambda d, f=near_copies.first_of_groups: f(d, small))
+    made_rows = [(i, t, "en", "s", k) for k, (i, t) in enumerate(zip(ids, made, strict=True))]
+    docs = spark.createDataFrame(made_rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    sets = []
+    for t in made:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(made)))
+    near = [(a, b) for a, b in itertools.combinations(range(len(made)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for a, b in near * 2:
+        low, high = sorted((group[a], group[b]))
+        group = [low if x == high else x for x in group]
+    got = collections.Counter(group[r["n_chars"]] for r in corpus_pipeline.drop_near_copies(spark, docs, None).collect())
+    assert got == collections.Counter(set(group))
+    kept = {group[r["n_chars"]]: r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, None).collect()}
+    for g, i in kept.items():
+        assert i == min((x for x, y in zip(ids, group) if y == g and x is not None), default=None)
+
+
+def test_near_copies_of_nothing(empty):
+    assert near_copies.first_of_groups(empty.select("doc_id", "text", F.lit(0).cast("long").alias("row"))).count() == 0
+
+
 def test_bpe(docs, local, empty):
     import tiktoken
 

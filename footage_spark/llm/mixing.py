@@ -63,29 +63,29 @@ def _settle(a: Column, b: Column) -> Column:
     x, y = a["p"] * a["s"], b["p"] * b["s"]  # expected words of each
     up = F.least(a["s"] - x, y)  # words a can take from b
     down = F.least(x, b["s"] - y)  # words b can take from a
-    rise = _draw(a["id"], b["id"], F.lit("move")) * (up + down) < down
+    rise = _draw(a["tie"], b["tie"], F.lit("move")) * (up + down) < down
     gain = F.when(rise, up).otherwise(-down)
     b_whole = F.when(rise, y <= a["s"] - x).otherwise(b["s"] - y <= x)  # b ends with 0 (rise) or 1
-    new_a = F.struct(a["id"].alias("id"), a["s"].alias("s"), ((x + gain) / a["s"]).alias("p"))
-    new_b = F.struct(b["id"].alias("id"), b["s"].alias("s"), ((y - gain) / b["s"]).alias("p"))
-    whole = lambda v: F.struct(v["id"].alias("id"), v["s"].alias("s"), F.round(v["p"]).alias("p"))
+    new_a = F.struct(a["row"].alias("row"), a["tie"].alias("tie"), a["s"].alias("s"), ((x + gain) / a["s"]).alias("p"))
+    new_b = F.struct(b["row"].alias("row"), b["tie"].alias("tie"), b["s"].alias("s"), ((y - gain) / b["s"]).alias("p"))
+    whole = lambda v: F.struct(v["row"].alias("row"), v["tie"].alias("tie"), v["s"].alias("s"), F.round(v["p"]).alias("p"))
     return F.when(b_whole, F.struct(whole(new_b).alias("done"), new_a.alias("go"))).otherwise(F.struct(whole(new_a).alias("done"), new_b.alias("go")))
 
 
 def _round_blocks(rows: DataFrame) -> DataFrame:
-    """One level: rows (source, block, id, s, p) -> (source, done array, go)."""
-    item = "struct<id:bigint,s:double,p:double>"
-    grouped = rows.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("o"), "id", "s", "p"))).alias("items"))
+    """One level: rows (source, block, row, tie, s, p) -> (source, done array, go)."""
+    item = "struct<row:bigint,tie:bigint,s:double,p:double>"
+    grouped = rows.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("o"), "tie", "row", "s", "p"))).alias("items"))
     zero = F.struct(F.expr(f"cast(array() as array<{item}>)").alias("done"), F.expr(f"cast(null as {item})").alias("go"))
 
     def step(state: Column, x: Column) -> Column:
         pair = _settle(state["go"], x)
         whole = (x["p"] < 1e-9) | (x["p"] > 1 - 1e-9)
-        here = F.struct(x["id"].alias("id"), x["s"].alias("s"), x["p"].alias("p"))
-        fresh = F.struct(x["id"].alias("id"), x["s"].alias("s"), F.round(x["p"]).alias("p"))
+        here = F.struct(x["row"].alias("row"), x["tie"].alias("tie"), x["s"].alias("s"), x["p"].alias("p"))
+        fresh = F.struct(x["row"].alias("row"), x["tie"].alias("tie"), x["s"].alias("s"), F.round(x["p"]).alias("p"))
         keep = lambda d, g: F.struct(d.alias("done"), g.alias("go"))
         spent = (state["go"]["p"] < 1e-9) | (state["go"]["p"] > 1 - 1e-9)
-        ended = F.struct(state["go"]["id"].alias("id"), state["go"]["s"].alias("s"), F.round(state["go"]["p"]).alias("p"))
+        ended = F.struct(state["go"]["row"].alias("row"), state["go"]["tie"].alias("tie"), state["go"]["s"].alias("s"), F.round(state["go"]["p"]).alias("p"))
         return (
             F.when(whole, keep(F.array_append(state["done"], fresh), state["go"]))
             .when(state["go"].isNull(), keep(state["done"], here))
@@ -96,24 +96,29 @@ def _round_blocks(rows: DataFrame) -> DataFrame:
     return grouped.select("source", F.aggregate("items", zero, step).alias("r")).select("source", "r.done", "r.go")
 
 
-def mix_sources(docs: DataFrame, share: float = SHARE, ceiling: float = CEILING, block: int = BLOCK, weights=WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of every row of docs(doc_id, text, source).
+def mix_sources(docs: DataFrame, share: float = SHARE, ceiling: float = CEILING, block: int = BLOCK, weights=WEIGHTS, row: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, source, row of every row of docs(doc_id, text, source).
 
-    A null text has size 0; rows without words get no copies.  A null source is a source of its
-    own, the last one.  Repeated doc_id rows are told apart by their order in the hash and share one
-    decision only if they are alike.  An empty table gives an empty result.
+    row is a number of its own for each row: the column of that name (unique and stable), or a new
+    one.  A null text has size 0; rows without words get no copies.  A null source is a source of its
+    own, the last one.  Rows are settled one by one: the draws of a row with a doc_id of its own
+    depend on that alone, those of rows with a null or repeated doc_id on row.  An empty table gives
+    an empty result.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = cut(sized)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    sized = cut(docs.select("doc_id", "source", size, F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row")))
     by_source = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")).select("source", "source_size", "n_docs").drop("n_docs"), share, ceiling, weights)
     counts = sized.where("size > 0").groupBy("source").count().withColumnRenamed("count", "n")
     plan = cut(by_source.join(counts, by_source["source"].eqNullSafe(counts["source"]), "left").drop(counts["source"]).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
     joined = sized.join(plan.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
     whole = F.floor(F.col("rate") + F.lit(1e-9))
     part = F.greatest(F.col("rate") - whole, F.lit(0.0))
-    # rows of the same doc_id are settled as one
-    level = joined.where("size > 0").groupBy("doc_id", "source").agg(F.sum("size").cast("double").alias("s"), F.first(part).alias("p"), F.first("n").alias("n"))
-    level = level.where("p > 1e-9").select("source", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("id"), "s", "p", "n")
+    level = joined.where("size > 0").select("doc_id", "source", "row", F.col("size").cast("double").alias("s"), part.alias("p"), "n").where("p > 1e-9")
+    # a doc_id of its own is the tie; many rows of one doc_id, or of none, would meet in one block
+    of_row = F.xxhash64("row", F.lit("row"))
+    again = sized.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    named = level.where("doc_id is not null").join(again, F.col("doc_id") == F.col("again"), "left").withColumn("tie", F.when(F.col("again").isNull(), F.col("doc_id").cast("long")).otherwise(of_row)).drop("again")
+    level = named.unionByName(level.where("doc_id is null").withColumn("tie", of_row)).select("source", "row", "tie", "s", "p", "n")
     level = level.withColumn("blocks", F.ceil(F.col("n") / block))
     settled = None
     most = plan.agg(F.max("n")).first()[0] or 0
@@ -121,16 +126,16 @@ def mix_sources(docs: DataFrame, share: float = SHARE, ceiling: float = CEILING,
     while True:
         depth += 1
         last = most <= 1
-        out = cut(_round_blocks(level.withColumn("block", F.pmod(F.xxhash64("id", F.lit(depth)), F.greatest("blocks", F.lit(1))))).join(plan.select(F.col("source").alias("name"), "n"), F.col("source").eqNullSafe(F.col("name")), "left").drop("name"))
+        out = cut(_round_blocks(level.withColumn("block", F.pmod(F.xxhash64("tie", F.lit(depth)), F.greatest("blocks", F.lit(1))))).join(plan.select(F.col("source").alias("name"), "n"), F.col("source").eqNullSafe(F.col("name")), "left").drop("name"))
         done = out.select(F.explode("done").alias("x"), "source").select("source", "x.*")
         settled = done if settled is None else settled.unionByName(done)
         level = out.where("go is not null").select("source", "go.*", "n").withColumn("blocks", F.ceil(F.col("n") / float(block) ** (depth + 1)))
         if last or most <= float(block) ** depth:  # that level had one block for each source
-            rounded = level.select("source", "id", "s", F.round("p").alias("p"))
+            rounded = level.select("source", "row", "tie", "s", F.round("p").alias("p"))
             settled = settled.unionByName(rounded)
             break
-    extra = settled.select(F.col("source").alias("of"), "id", F.col("p").cast("long").alias("extra"))
+    extra = settled.select(F.col("row").alias("of"), F.col("p").cast("long").alias("extra"))
     joined = joined.withColumn("whole", whole.cast("long"))
-    out = joined.join(extra, (F.coalesce("doc_id", F.lit(-(1 << 62))) == F.col("id")) & F.col("source").eqNullSafe(F.col("of")), "left")
+    out = joined.join(extra, F.col("row") == F.col("of"), "left")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).select("doc_id", "size", "source_size", F.col("target").cast("double"), (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
+    return out.withColumn("copies", copies.cast("long")).select("doc_id", "size", "source_size", F.col("target").cast("double"), (F.col("size") * F.col("copies")).alias("taken"), "copies", "source", "row")

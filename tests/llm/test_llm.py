@@ -79,6 +79,19 @@ def test_mix_meets_targets(spark):
         assert abs(r["t"] - r["n"]) <= 49
 
 
+def test_mix_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    ids = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, F.col("id") % 50).otherwise(F.col("id"))
+    docs = spark.range(3000).select(ids.alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 97 + 1).cast("int")).alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), (F.col("id") % 5).cast("string")).alias("source"), F.col("id").alias("n_chars"))
+    got = mixing.mix_sources(docs, block=16)
+    for r in got.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n"), F.countDistinct("row").alias("rows")).collect():
+        assert abs(r["t"] - r["n"]) <= 49 and r["rows"] == 600
+    targets = {r["source"]: r["target"] for r in got.select("source", "target").distinct().collect()}
+    out = corpus_pipeline.mix(spark, docs, None).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("w"))).alias("n"), F.sum(F.col("doc_id").isNull().cast("int")).alias("nulls")).collect()
+    assert all(abs(targets[r["source"]] - r["n"]) <= 49 and r["nulls"] > 0 for r in out) and len(out) == 5
+
+
 def test_suffix_order():
     rng = random.Random(1)
     for alphabet in (b"ab", b"abc\x00\xff", bytes(range(97, 110))):

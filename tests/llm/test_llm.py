@@ -60,6 +60,12 @@ def test_lines(docs, local, empty):
     assert got[0]["text"] is None and line_dedup.dedup_units(empty).count() == 0
 
 
+def test_lines_without_a_length_guard(spark):
+    docs = spark.createDataFrame([(1, "les.\nA\nles."), (2, "a\nother\n\n一行没有空格"), (3, "一行没有空格")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_units(docs, least_words=1).collect()}
+    assert got == {1: "les.\nA", 2: "other\n\n一行没有空格", 3: ""}
+
+
 def test_mix(docs, empty):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == docs.count() and mixing.mix_sources(empty).count() == 0

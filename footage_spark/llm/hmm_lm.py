@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import LOWER, chunks, cut, prefix_sums, rows, span_hash, word_spans
+from .text import LOWER, chunks, cut, prefix_sums, rows, small_batches, span_hash, word_spans
 
 HEAD, TAILS, KNOWN, STATES, ROUNDS = 1 << 14, 1024, 1 << 18, 6, 3
 #: Rows whose class counts seed the states before the rounds over all training rows.
@@ -318,7 +318,7 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
     base model over nothing.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    wide = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     wide = wide.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("row_key", F.monotonically_increasing_id())
     counts = cut(word_counts(wide.where(~F.col("held_out"))))
     base = Base(counts)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import WHITE_SPACE, chunks, mix, prefix_sums, rows, span_hash, word_spans
+from .text import WHITE_SPACE, chunks, cut, mix, prefix_sums, rows, small_batches, span_hash, word_spans
 
 COMMON, WINDOW = 256, 8
 #: A language needs that many words to have a reference; a document needs that many words or characters.
@@ -124,10 +124,8 @@ def _measure_words(data, offsets):
 
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """lang -> (hashes of its common words, their shares and the rest's, character-class shares)."""
-    pooled = docs.select("text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(_pool, "lang string, kind int, key long, n long")
+    pooled = small_batches(docs).select("text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(_pool, "lang string, kind int, key long, n long")
     counts = pooled.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    from .text import cut
-
     counts = cut(counts)
     total = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     common = counts.join(F.broadcast(total) if total.count() < 10_000 else total, ["lang", "kind"]).where((F.col("kind") == 1) | ((F.col("n") * COMMON >= F.col("total")) & (F.col("total") >= MIN_LANGUAGE_WORDS)))

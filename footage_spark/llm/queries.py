@@ -21,7 +21,7 @@ def rank_path() -> str:
 
 
 def op1_line_dedup(spark, sf_dir):
-    """Every row of documents with its repeated lines cut out, and their places as start:length."""
+    """Every row of documents with its repeated units cut out, and their places as start:length."""
     places = F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["length"].cast("string")))
     return line_dedup.dedup_units(table(spark, sf_dir, "documents")).withColumn("removed", F.concat_ws(",", places))
 
@@ -77,25 +77,26 @@ def queries():
     }
 
 
-#: op1: the units, their normal form and the rank are plain SQL.
+#: op1: the units, their normal form and the rank are plain SQL; chr(1) marks the ends of units.
 OP1_SQL = r"""
 WITH u AS (
-  SELECT doc_id, i - 1 AS place, parts[i] AS unit,
-         list_sum(list_transform(parts[1:i-1], lambda x: length(x) + 1)) AS before,
-         trim(regexp_replace(lower(parts[i]), '\s+', ' ', 'g')) AS norm
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) d, unnest(range(1, len(parts) + 1)) t(i)
+  SELECT doc_id, i AS place, parts[i] AS unit, trim(regexp_replace(lower(parts[i]), '[ \t\n\r\f\v]+', ' ', 'g')) AS norm
+  FROM (
+    SELECT doc_id, string_split(replace(regexp_replace(text, '([.!?])([ \t\n\r\f\v])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS parts FROM documents
+  ) d, unnest(range(1, len(parts) + 1)) t(i)
+), p AS (
+  SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u
 ), k AS (
-  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) AS rank FROM u
-  WHERE norm <> '' AND len(string_split(norm, ' ')) >= 8
+  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) AS rank FROM p WHERE len(string_split(norm, ' ')) >= 16
 ), gone AS (
-  SELECT doc_id, count(*) AS n, string_agg(CAST(CAST(coalesce(before, 0) AS INTEGER) AS VARCHAR) || ':' || CAST(length(unit) AS VARCHAR), ',' ORDER BY place) AS removed
+  SELECT doc_id, count(*) AS n, string_agg(CAST(CAST(start AS INTEGER) AS VARCHAR) || ':' || CAST(length(unit) AS VARCHAR), ',' ORDER BY place) AS removed
   FROM k WHERE rank > 1 GROUP BY doc_id
 ), kept AS (
-  SELECT u.doc_id, string_agg(u.unit, chr(10) ORDER BY u.place) AS text
-  FROM u LEFT JOIN k ON u.doc_id = k.doc_id AND u.place = k.place
-  WHERE k.rank IS NULL OR k.rank = 1 GROUP BY u.doc_id
+  SELECT p.doc_id, string_agg(p.unit, '' ORDER BY p.place) AS text
+  FROM p LEFT JOIN k ON p.doc_id = k.doc_id AND p.place = k.place
+  WHERE k.rank IS NULL OR k.rank = 1 GROUP BY p.doc_id
 )
-SELECT d.doc_id, CAST(coalesce(gone.n, 0) AS INTEGER) AS n_removed, coalesce(gone.removed, '') AS removed, coalesce(kept.text, '') AS text
+SELECT d.doc_id, CAST(coalesce(gone.n, 0) AS INTEGER) AS n_removed, coalesce(gone.removed, '') AS removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
 FROM documents d LEFT JOIN gone ON d.doc_id = gone.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import cut
+from .text import cut, small_batches
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Buckets: 2**BUCKET_BITS; 4,096 would send each fingerprint to about every one of its variants.
@@ -61,7 +61,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _masks(radius: int) -> np.ndarray:

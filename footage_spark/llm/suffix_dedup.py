@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import chunks, cut, mix, powers, prefix_sums, rows, span_hash, spread
+from .text import chunks, cut, mix, powers, prefix_sums, rows, small_batches, span_hash, spread
 
 LENGTH, GRAM = 50, 16
 SIDE = (LENGTH - GRAM) // 2
@@ -587,7 +587,7 @@ def find_repeats(docs: DataFrame, common_docs: int = COMMON_DOCS) -> DataFrame:
     """of, of_print, parts (array of packed spans) for each different (doc_id, text) that loses bytes."""
     spark = docs.sparkSession
     # long texts first would be uneven; rows are taken as the source deals them
-    texts = docs.where("doc_id is not null and octet_length(text) >= " + str(LENGTH)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
+    texts = small_batches(docs).where("doc_id is not null and octet_length(text) >= " + str(LENGTH)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count_bits = min(max((size // COUNT_BYTES).bit_length(), 6), 20)
     keys = texts.select("doc_id", "text").mapInArrow(_send_keys(count_bits), "bucket int, once binary, more binary, many binary")

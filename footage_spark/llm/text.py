@@ -23,7 +23,9 @@ _BYTE_CODE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 2
 _powers: list[np.ndarray] = []
 
 #: Bytes of text that the vector code holds at a time; one longer text is handled alone.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
+#: Most bytes of an Arrow batch that goes to a worker; one longer row is a batch of its own.
+BATCH_BYTES = 1 << 22
 
 
 def rows(column) -> tuple[np.ndarray, np.ndarray]:
@@ -57,12 +59,17 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 65536)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _BASE_INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
+    if _powers and len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    size = 1 << max(16, int(n).bit_length())
+    made = []
+    for base in (_BASE, _BASE_INVERSE):
+        out = np.full(size, base, np.uint64)
+        out[0] = 1
+        made.append(np.multiply.accumulate(out, out=out))
+    if size <= 2 * CHUNK_BYTES:  # those of one very long text are not kept
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -117,13 +124,18 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def checkpoint_dir(spark) -> str:
-    """The shared folder that the cluster names; a new one under /tmp only where none is set (tests)."""
+    """The shared folder that the cluster names; a new one under /tmp only in local mode, where none is set (tests)."""
     import tempfile
 
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
+        if current.isDefined():
+            named = current.get()
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -135,6 +147,19 @@ def cut(df):
     return df.checkpoint(True)
 
 
+def small_batches(df):
+    """df, whose rows go to Python workers in batches of BATCH_BYTES at most.
+
+    A worker's memory follows the bytes of a batch.  The session's setting is lowered where it is
+    higher; it holds for the whole session and changes no result.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def with_row(df):
     """The table with a number of its own for each row (column row), kept in the shared folder so that it stays the same."""
     from pyspark.sql import functions as F

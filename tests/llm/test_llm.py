@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -43,27 +44,55 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_lines(docs, local, empty):
-    got = {r["doc_id"]: r for r in line_dedup.dedup_units(docs).collect()}
-    seen, parts = set(), sorted(((i, t) for i, t in set(local) if i is not None and t is not None))
-    for i, t in parts:
-        left = []
-        for line in t.split("\n"):
-            n = " ".join(line.lower().split())
-            if len(n.split(" ")) >= 8 and n in seen:
-                continue
-            seen.add(n) if len(n.split(" ")) >= 8 else None
-            left.append(line)
-        assert got[i]["text"] == "\n".join(left)
-        for s in got[i]["removed"]:
-            assert t[s["start"] : s["start"] + s["length"]] in t.split("\n")
-    assert got[0]["text"] is None and line_dedup.dedup_units(empty).count() == 0
-
-
-def test_lines_without_a_length_guard(spark):
-    docs = spark.createDataFrame([(1, "les.\nA\nles."), (2, "a\nother\n\n一行没有空格"), (3, "一行没有空格")], "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_units(docs, least_words=1).collect()}
-    assert got == {1: "les.\nA", 2: "other\n\n一行没有空格", 3: ""}
+def lines_by_hand(local, least_words):
+    """{(doc_id, text): spans that go}, units in order of doc_id; texts of one doc_id are given once here."""
+    seen, out = set(), {}
+    for i, t in sorted((x for x in set(local) if None not in x), key=lambda x: x[0]):
+        spans = []
+        for m in re.finditer(r"[^\n]*?(?:\n|[.!?](?=\s)|$)", t):
+            words = tuple(m[0].lower().encode().split())
+            if m[0] and len(words) >= least_words:
+                spans += [m.span()] if words in seen else []
+                seen.add(words)
+        out[i, t] = spans
+    return out
+
+
+def check_lines(got, local, least_words):
+    want = lines_by_hand(local, least_words)
+    assert len(got) == len(local)
+    for r in got:
+        t = next(t for (i, t) in local if i == r["doc_id"]) if r["doc_id"] is not None else r["text"]
+        spans = want.get((r["doc_id"], t), [])
+        assert [(x["start"], x["start"] + x["length"]) for x in r["removed"]] == spans and r["n_removed"] == len(spans)
+        assert r["text"] == (None if t is None else "".join(c for k, c in enumerate(t) if not any(a <= k < b for a, b in spans)))
+
+
+@pytest.mark.parametrize("least_words", [line_dedup.LEAST_WORDS, 1])
+def test_lines(docs, local, empty, least_words):
+    check_lines(line_dedup.dedup_units(docs, least_words).collect(), local, least_words)
+    assert line_dedup.dedup_units(empty).count() == 0
+
+
+def test_lines_of_repeated_rows(spark):
+    long = "A passage of more than sixteen words that stands in several texts of this table, and no shorter than it must be."
+    rows_ = [(1, f"Head.\n{long}\nTail."), (2, f"Other {long.lower()} x"), (3, f"Before. {long} After."), (3, f"Before. {long} After."), (4, f"{long}\n{long}"), (5, "é😀 " * 20 + f". {long}")]
+    check_lines(line_dedup.dedup_units(spark.createDataFrame(rows_, "doc_id long, text string")).collect(), rows_, 16)
+    # one doc_id with two texts: each keeps what only it has, and one of them keeps what both have
+    two = spark.createDataFrame([(7, f"{long} Only here."), (7, f"Only there. {long}")], "doc_id long, text string")
+    got = [r["text"] for r in line_dedup.dedup_units(two, 1).collect()]
+    assert sorted(long in t for t in got) == [False, True] and sum("Only here." in t for t in got) == sum("Only there." in t for t in got) == 1
+
+
+def test_lines_are_made_in_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        began = time.time()
+        assert len(line_dedup.split_units("a b.\n" * n)) == 2 * n
+        took.append(time.time() - began)
+    assert took[1] < 40 * took[0]
 
 
 def test_mix(docs, empty):

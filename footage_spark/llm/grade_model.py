@@ -9,6 +9,8 @@ of them is whole.  Every document is scored.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .text import LOWER, WHITE_SPACE, chunks, mix, prefix_sums, rows, small_batches, span_hash, word_spans
 
-FIT_ROWS, BITS, LEAST_SHARE, ROUNDS, RATE, GRADES, SHRINK = 12288, 20, 1 / 400, 200, 0.2, 3, 0.7
+FIT_ROWS, BITS, LEAST_ROWS, ROUNDS, RATE, GRADES, SHRINK = 12288, 20, 8, 200, 0.2, 3, 0.7
 #: Bytes of the beginnings of longer words; they find a stem under many endings.
 BEGINNINGS = (5, 7)
 #: Bytes of text whose features are made together; bounds a worker's memory.
@@ -92,15 +94,17 @@ def fit_grades(grades: np.ndarray, lists: list[np.ndarray], rounds: int = ROUNDS
     Each word's weight is pulled to 0 by `shrink` times the noise of its gradient, so that words that
     tell nothing have no weight, however long a text is.  Steps are scaled by each weight's recent
     gradients, which lets rare words gain the weight they need, and shrink to nothing in the end.
+    Without rows nothing can be told: the model gives every text the top grade, with a warning.
     """
     size, m = 1 << BITS, len(lists)
     w, t = np.zeros(size), np.linspace(-3.0, -1.0, GRADES - 1)
     if not m:
-        return Grader(w, t)
+        warnings.warn("no graded rows: every document gets the top grade and is kept", stacklevel=2)
+        return Grader(w, np.full(GRADES - 1, -np.inf))
     rows_of = np.zeros(size, np.int64)
     for x in lists:  # a row has a feature once
         rows_of[x] += 1
-    use = rows_of >= max(4, LEAST_SHARE * m)
+    use = rows_of >= LEAST_ROWS  # rarer features tell nothing that the pull below would leave
     use[: SHARES * STEPS] = True
     lists = [x[use[x]] for x in lists]
     flat, of = np.concatenate(lists), np.repeat(np.arange(m), [len(x) for x in lists])
@@ -142,7 +146,11 @@ def grade_of(quality, toxic):
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grader:
-    """Fit on at most fit_rows labelled documents, the lowest by hash of doc_id."""
+    """Fit on at most fit_rows labelled documents, the lowest by hash of doc_id.
+
+    Labels of one doc_id are taken together (the highest of each); a label without a document, and one
+    whose values are all null, tells nothing.  Without any the model keeps every document.
+    """
     graded = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     graded = graded.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null")
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)

@@ -314,7 +314,40 @@ def test_grades(spark, docs, empty):
     held = grade_model.grade(some, model).where("doc_id >= 300").collect()
     assert sum(r["kept"] == (r["doc_id"] % 4 > 1) for r in held) / len(held) > 0.95
     assert grade_model.grade(docs, model).count() == docs.count() and grade_model.grade(empty, model).count() == 0
-    assert grade_model.train(empty, labels).weights.sum() == 0
+    for none in (grade_model.train(empty, labels), grade_model.train(some, labels.where("false"))):  # nothing is known: all stay
+        assert grade_model.grade(some, none).where("kept and p_tail > 0.999").count() == 400
+    clash = grade_model.grade(docs.withColumn("p_tail", F.lit("clash")), model)
+    assert sorted(clash.columns) == sorted([*docs.columns, "expected_grade", "p_tail"]) and dict(clash.dtypes)["p_tail"] == "double"
+
+
+def test_grades_fit_is_at_the_least_loss():
+    """The gradient of the pulled log likelihood, by differences, is about nothing where the fit ends."""
+    rng = np.random.default_rng(4)
+    lists = [np.unique(rng.integers(100, 130, rng.integers(3, 12))) for _ in range(600)]
+    true = np.zeros(1 << grade_model.BITS)
+    true[100:130] = rng.normal(0, 1.5, 30)
+    z = np.array([true[x].sum() for x in lists])
+    grades = (rng.logistic(z) > 0).astype(int) + (rng.logistic(z) > 1.5)
+    model = grade_model.fit_grades(grades, lists)
+    rows_of = np.bincount(np.concatenate(lists), minlength=130)
+    pull = grade_model.SHRINK * np.sqrt(rows_of[100:130]) / len(lists)
+
+    def loss(w, t):
+        s = np.array([w[x].sum() for x in lists])
+        p = np.hstack([np.ones((600, 1)), 1 / (1 + np.exp(t - s[:, None])), np.zeros((600, 1))])
+        return -np.log(p[np.arange(600), grades] - p[np.arange(600), grades + 1]).mean() + (pull * np.abs(w[100:130])).sum()
+
+    here = loss(model.weights, model.thresholds)
+    for k in range(100, 130):
+        for step in (-0.05, 0.05):
+            w = model.weights.copy()
+            w[k] += step
+            assert loss(w, model.thresholds) > here - 2e-5
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            t = model.thresholds.copy()
+            t[k] += step
+            assert loss(model.weights, t) > here - 2e-5
 
 
 def test_chat(spark):

@@ -5,15 +5,19 @@ fingerprints that share such a variant are within RADIUS bits.  Every different
 2,081 variants within 2 bits made for it, the variants are brought together by value, and those of
 one value are linked to the smallest fingerprint there (a star, never all pairs).
 
-The shuffle on variants sends no variants: the bucket of a variant is a linear code of its bits
-(a parity check), so bucket(fingerprint ^ mask) = bucket(fingerprint) ^ bucket(mask).  A bucket is
-sent each fingerprint once and makes just those variants that belong to it.  Links of a bucket
-become a spanning forest there, and the forests become components by large-star / small-star joins.
+The variants are shuffled by their first bits, their cell.  A fingerprint has variants in only a few
+cells (with 7 bits in 29 of 128, with 20 in 211 of a million), so it is sent once to each of them
+and the variants of a cell are made where the cell is.  The cells are made narrow enough for the
+number of fingerprints that a task holds about CELL_ROWS of them however large the corpus is.  Links
+of a cell become a spanning forest there, and the forests become components by large-star /
+small-star joins.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +28,8 @@ from pyspark.sql import functions as F
 from .text import cut, small_batches
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Buckets: 2**BUCKET_BITS; 4,096 would send each fingerprint to about every one of its variants.
-BUCKET_BITS = 6
+#: Least bits of a cell, and about the most fingerprints that are sent to one.
+CELL_BITS, CELL_ROWS = 7, 1 << 20
 #: Variants that a task holds at a time, about.
 PART_VARIANTS = 1 << 21
 _U = np.uint64
@@ -64,35 +68,48 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _masks(radius: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in at) for k in range(radius // 2 + 1) for at in combinations(range(64), k)], _U)
+@lru_cache(256)
+def _flips(bits: int, most: int) -> np.ndarray:
+    """All masks of up to `most` ones among the lowest `bits` bits."""
+    return np.array([sum(1 << b for b in at) for k in range(most + 1) for at in combinations(range(bits), k)], _U)
 
 
-def _code(values: np.ndarray, bits: int) -> np.ndarray:
-    """Linear code of 64-bit values: bit i is the parity of the value under a fixed random mask."""
-    checks = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, bits, dtype=_U)
-    out = np.zeros(len(values), np.int64)
-    for i, check in enumerate(checks):
-        out |= (np.bitwise_count(values & check).astype(np.int64) & 1) << i
-    return out
+def cell_bits(n: int, half: int, least: int = CELL_BITS, most_rows: int = CELL_ROWS) -> int:
+    """Bits of a cell by which n fingerprints give about most_rows to each."""
+    share = lambda b: sum(comb(b, k) for k in range(half + 1)) / 2**b
+    return next(b for b in range(least, 33) if n * share(b) <= most_rows or b == 32)
 
 
-def _links_of_bucket(radius: int, bits: int):
-    masks = _masks(radius)
+def _send(bits: int, half: int):
+    """(cell, fingerprints) of a batch, for each cell in which they have variants."""
+    flips = _flips(bits, half).astype(np.int64)
 
+    def send(batches):
+        for batch in batches:
+            fps = batch.column("fp").to_numpy().view(_U)
+            for first in range(0, len(fps), 1 << 14):
+                own = fps[first : first + (1 << 14)]
+                cell = ((own >> _U(64 - bits)).astype(np.int64)[:, None] ^ flips[None, :]).ravel()
+                order = np.argsort(cell, kind="stable")
+                cell, sent = cell[order], own[order // len(flips)]
+                at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+                ends = np.append(at[1:], len(cell))
+                yield pa.record_batch([pa.array(cell[at]), pa.array([sent[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)], pa.binary())], ["cell", "fps"])
+
+    return send
+
+
+def _links_of_cells(bits: int, radius: int):
     def links(batches):
-        """All rows of a few whole buckets; every bucket's fingerprints come in binary blocks."""
+        """All rows of a few whole cells -> the links of each, as a spanning forest."""
         held: dict[int, list[bytes]] = {}
         for batch in batches:
-            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("fps").to_pylist(), strict=True):
-                held.setdefault(bucket, []).append(block)
-        for bucket, blocks in held.items():
+            for cell, block in zip(batch.column("cell").to_pylist(), batch.column("fps").to_pylist(), strict=True):
+                held.setdefault(cell, []).append(block)
+        while held:
+            cell, blocks = held.popitem()
             fps = np.unique(np.frombuffer(b"".join(blocks), _U))
-            # further bits of the code cut the bucket's variants into parts of about PART_VARIANTS
-            more = max(0, int(len(fps) * len(masks) >> bits) // PART_VARIANTS).bit_length()
-            codes, own = _code(masks, bits + more), _code(fps, bits + more)
-            found = [_links_of_part(fps, own ^ (part << bits | bucket), masks, codes, bits + more, radius) for part in range(1 << more)]
-            pairs = np.concatenate(found)
+            pairs = np.concatenate([np.zeros((0, 2), np.int64), *_links_of_part(fps, np.arange(len(fps)), cell, bits, radius)])
             if not len(pairs):
                 continue
             root = forest(len(fps), pairs)
@@ -102,26 +119,35 @@ def _links_of_bucket(radius: int, bits: int):
     return links
 
 
-def _links_of_part(fps, need, masks, codes, bits: int, radius: int) -> np.ndarray:
-    """Star links (places in fps) of the variants fps ^ mask with code(mask) = need."""
-    order = np.argsort(need, kind="stable")
-    edges = np.searchsorted(need[order], np.arange((1 << bits) + 1))
-    variants, owners = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-    for code in np.unique(codes).tolist():
-        at, own = order[edges[code] : edges[code + 1]], masks[codes == code]
-        if len(at):
-            variants.append((fps[at][:, None] ^ own[None, :]).ravel())
-            owners.append(np.repeat(at, len(own)))
+def _links_of_part(fps, at, prefix: int, bits: int, radius: int):
+    """Star links (places in fps) by the variants that begin with the bits of prefix; at: the places that have any."""
+    half, low = (radius + 1) // 2, 64 - bits
+    far = np.bitwise_count((fps[at] >> _U(low)) ^ _U(prefix)).astype(np.int64)
+    at, far = at[far <= half], far[far <= half]
+    many = np.bincount(far, minlength=half + 1)
+    if not len(at) or not low:
+        return
+    if sum(int(many[d]) * sum(comb(low, k) for k in range(half - d + 1)) for d in range(half + 1)) > PART_VARIANTS:
+        for bit in (0, 1):
+            yield from _links_of_part(fps, at, prefix << 1 | bit, bits + 1, radius)
+        return
+    variants, owners = [], []
+    for d in range(half + 1):
+        own = at[far == d]
+        flips = _flips(low, half - d)
+        base = fps[own] & _U((1 << low) - 1)  # the first bits of all variants here are those of prefix
+        variants.append((base[:, None] ^ flips[None, :]).ravel())
+        owners.append(np.repeat(own, len(flips)))
     v, o = np.concatenate(variants), np.concatenate(owners)
     by = np.argsort(v)
     v, o = v[by], o[by]
-    firsts = np.flatnonzero(np.append(True, v[1:] != v[:-1])[: len(v)])
+    firsts = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
     if len(firsts) == len(v):
-        return np.zeros((0, 2), np.int64)
+        return
     lead = np.repeat(np.minimum.reduceat(o, firsts), np.diff(np.append(firsts, len(o))))
     linked = lead != o
     pairs = np.unique(np.stack([lead[linked], o[linked]], 1), axis=0)
-    return pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius]  # the verification
+    yield pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius]  # the verification
 
 
 def forest(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -140,18 +166,6 @@ def forest(n: int, pairs: np.ndarray) -> np.ndarray:
     return root
 
 
-def _send(bits: int):
-    def send(batches):
-        for batch in batches:
-            fps = batch.column("fp").to_numpy().view(_U)
-            block = fps.tobytes()
-            n = 1 << bits
-            if block:
-                yield pa.record_batch([pa.array(np.arange(n)), pa.array([block] * n, pa.binary())], ["bucket", "fps"])
-
-    return send
-
-
 def components(links: DataFrame) -> DataFrame:
     """member, root (smallest of its component) for every node of links(a, b) but the roots themselves.
 
@@ -173,19 +187,23 @@ def components(links: DataFrame) -> DataFrame:
         last = state
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket_bits: int = BUCKET_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of docs(doc_id, text).
 
     A null or empty text has fingerprint zero and links like any other.  Rows with a null doc_id
-    stay, and take part in no component's name.  Repeated rows share a component.  An empty table
-    gives an empty result.
+    stay and link others, and take part in no component's name; a component of such rows alone has a
+    null one.  Repeated rows share a component.  Other columns are left out.  An empty table gives an
+    empty result.
     """
+    half = (radius + 1) // 2
     prints = cut(fingerprints(docs))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    sent = nodes.select("fp").mapInArrow(_send(bucket_bits), "bucket long, fps binary")
-    links = sent.repartition(1 << bucket_bits, "bucket").mapInArrow(_links_of_bucket(radius, bucket_bits), "a long, b long")
+    bits = cell_bits(nodes.count(), half, most_rows=cell_rows)
+    sent = nodes.select("fp").mapInArrow(_send(bits, half), "cell long, fps binary")
+    links = sent.repartition(1 << min(bits, 15), "cell").mapInArrow(_links_of_cells(bits, radius), "a long, b long")
     member = components(links)
     named = cut(nodes.join(member, nodes["fp"] == member["member"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # kept by itself, so that the rows of one root with very many members can be dealt to several tasks
+    lowest = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
     names = named.join(lowest, "root").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

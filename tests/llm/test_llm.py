@@ -229,6 +229,32 @@ def test_simhash(docs, local, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("radius, part", [(4, simhash.PART_VARIANTS), (4, 3000), (2, 3000), (3, 500)])
+def test_ball_hashing_links(monkeypatch, radius, part):
+    """Every pair within the radius is linked, chains too, and no other pair, whatever the cells."""
+    monkeypatch.setattr(simhash, "PART_VARIANTS", part)
+    rng = random.Random(radius)
+    fps = {rng.getrandbits(64) for _ in range(150)}
+    for x in list(fps)[:40]:
+        for _ in range(12):  # a chain
+            for b in rng.sample(range(64), rng.randint(1, 5)):
+                x ^= 1 << b
+            fps.add(x)
+    values = np.array(sorted(fps), np.uint64)
+    near = [(i, j) for i, j in itertools.combinations(range(len(values)), 2) if int(values[i] ^ values[j]).bit_count() <= radius]
+    half = (radius + 1) // 2
+    for bits in (1, 3, 7):
+        sent = [b for b in simhash._send(bits, half)([pa.record_batch([pa.array(values.view(np.int64))], ["fp"])])]
+        place, pairs = {int(v): i for i, v in enumerate(values)}, []
+        for b in simhash._links_of_cells(bits, radius)(sent):
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+                pairs.append((place[x % 2**64], place[y % 2**64]))
+        got = simhash.forest(len(values), np.array(pairs or np.zeros((0, 2)), np.int64))
+        want = simhash.forest(len(values), np.array(near, np.int64))
+        assert (got == want).all()
+    assert simhash.cell_bits(10**5, 2) == 7 and simhash.cell_bits(10**9, 2) > 12
+
+
 @pytest.mark.parametrize("small", [near_copies.SMALL, 2])
 def test_near_copies(spark, monkeypatch, small):
     import corpus_pipeline

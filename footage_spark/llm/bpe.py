@@ -1,18 +1,23 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-The different pre-tokens of a batch are encoded together in one linked list of bytes.  Pairs wait in
-buckets by merge rank; a three-level bitmap over the ranks gives the lowest bucket that holds
-anything (find first set); an entry whose pair has changed since is stale and skipped.  All pairs of
-that rank merge at once, left to right, unless the merged token can form a pair of a lower rank:
-then only the first pair of each pre-token merges before the queue is asked again.  So a very long
-pre-token costs as much per byte as a short one.
+Bytes stand in a linked list.  Pairs wait in buckets by merge rank; a three-level bitmap over the
+ranks gives the lowest bucket that holds anything (find first set); an entry whose pair has changed
+since is stale and skipped.
+
+A pre-token of LONG bytes or more goes through the queue alone: a bucket is a heap of places, the
+leftmost one merges, and so it costs about as much per byte whatever its length.  The shorter
+different pre-tokens of a batch go through one queue together: all pairs of the popped rank merge at
+once, left to right, unless the merged token can form a pair of a lower rank: then only the first
+pair of each pre-token merges before the queue is asked again.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +35,22 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 NO_PAIR = np.iinfo(np.int32).max
 #: Bytes of text whose different pre-tokens are encoded together; bounds a worker's memory.
 PIECE_BYTES = 1 << 22
+#: Bytes from which a pre-token has a queue of its own.
+LONG = 512
 
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
     """Class of every code point."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     out = np.zeros(0x110000, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, every):
-            a, b = m.span()
-            shift = lambda x: x if x <= 0xD800 else x + 0x800
-            out[shift(a) if a < 0xD800 else a + 0x800 : shift(b)] = kind
+    patterns = [(kind, regex.compile(p)) for kind, p in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+"))]
+    for first in range(0, 0x110000, 0x1000):
+        if 0xD800 <= first < 0xE000:  # surrogates are no characters
+            continue
+        block = "".join(map(chr, range(first, first + 0x1000)))
+        for kind, pattern in patterns:
+            for m in pattern.finditer(block):
+                out[first + m.start() : first + m.end()] = kind
     return out
 
 
@@ -139,12 +148,41 @@ class Ranks:
         return np.where(self.keys[at] == key, self.merged[at], NO_PAIR)
 
 
+class RankBits:
+    """A set of ranks under a three-level bitmap of 64-bit words."""
+
+    def __init__(self, size: int):
+        self.low, self.mid, self.top = [0] * (size // 64 + 1), [0] * (size // 4096 + 1), 0
+
+    def add(self, rank: int) -> None:
+        self.low[rank >> 6] |= 1 << (rank & 63)
+        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
+        self.top |= 1 << (rank >> 12)
+
+    def first(self) -> int:
+        """The lowest rank, or -1."""
+        if not self.top:
+            return -1
+        low = lambda x: (x & -x).bit_length() - 1
+        t = low(self.top)
+        m = t << 6 | low(self.mid[t])
+        return m << 6 | low(self.low[m])
+
+    def remove(self, rank: int) -> None:
+        m, t = rank >> 6, rank >> 12
+        self.low[m] &= ~(1 << (rank & 63))
+        if not self.low[m]:
+            self.mid[t] &= ~(1 << (m & 63))
+            if not self.mid[t]:
+                self.top &= ~(1 << t)
+
+
 class RankQueue:
-    """Buckets by rank under a three-level bitmap of 64-bit words."""
+    """Buckets by rank; a bucket holds arrays of places."""
 
     def __init__(self, size: int):
         self.buckets: list[list[np.ndarray] | None] = [None] * size
-        self.low, self.mid, self.top = [0] * (size // 64 + 1), [0] * (size // 4096 + 1), 0
+        self.bits = RankBits(size)
 
     def push(self, ranks: np.ndarray, nodes: np.ndarray) -> None:
         order = np.argsort(ranks, kind="stable")
@@ -154,31 +192,90 @@ class RankQueue:
             held = self.buckets[rank]
             if held is None:
                 self.buckets[rank] = [nodes[a:b]]
-                self.low[rank >> 6] |= 1 << (rank & 63)
-                self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-                self.top |= 1 << (rank >> 12)
+                self.bits.add(rank)
             else:
                 held.append(nodes[a:b])
 
     def pop(self) -> tuple[int, np.ndarray] | None:
-        if not self.top:
+        rank = self.bits.first()
+        if rank < 0:
             return None
-        first = lambda x: (x & -x).bit_length() - 1
-        t = first(self.top)
-        m = t << 6 | first(self.mid[t])
-        rank = m << 6 | first(self.low[m])
         held, self.buckets[rank] = self.buckets[rank], None
-        self.low[m] &= self.low[m] - 1
-        if not self.low[m]:
-            self.mid[t] &= self.mid[t] - 1
-            if not self.mid[t]:
-                self.top &= self.top - 1
+        self.bits.remove(rank)
         return rank, held[0] if len(held) == 1 else np.concatenate(held)
 
 
+def encode_long(ranks: Ranks, piece: bytes) -> list[int]:
+    """Ids of one pre-token: the leftmost pair of the lowest rank merges, one after the other."""
+    own, bytes_of = ranks.ids, ranks.bytes_of
+    if piece in own:
+        return [own[piece]]
+    n = len(piece)
+    ids = array("i", ranks.byte_id[np.frombuffer(piece, np.uint8)].tolist())
+    after, before, pair = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), array("i", [-1]) * n
+    buckets: dict[int, list[int]] = {}
+    bits = RankBits(ranks.size)
+    known: dict[tuple[int, int], int] = {}  # the different pairs of this pre-token
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j == n:
+            pair[i] = -1
+            return
+        two = ids[i], ids[j]
+        rank = known.get(two)
+        if rank is None:
+            rank = known[two] = own.get(bytes_of[two[0]] + bytes_of[two[1]], -1)
+        pair[i] = rank
+        if rank >= 0:
+            held = buckets.get(rank)
+            if held:
+                heappush(held, i)
+            else:
+                buckets[rank] = [i]
+                bits.add(rank)
+
+    for i in range(n - 1):
+        offer(i)
+    while (rank := bits.first()) >= 0:
+        held = buckets[rank]
+        i = heappop(held)
+        if not held:
+            bits.remove(rank)
+        if pair[i] != rank:
+            continue  # stale
+        j = after[i]
+        ids[i] = rank
+        pair[j] = -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ids[i])
+        i = after[i]
+    return out
+
+
 def encode_pieces(ranks: Ranks, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all pieces in a row, number of ids of each piece) of non-empty byte strings."""
     lengths = ends - starts
+    far = np.flatnonzero(lengths >= LONG)
+    if len(far):
+        alone = [np.array(encode_long(ranks, data[a:b].tobytes()), np.int32) for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+        near = np.flatnonzero(lengths < LONG)
+        ids, counts = encode_pieces(ranks, data, starts[near], ends[near], hashes[near]) if len(near) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        many = np.zeros(len(starts), np.int64)
+        many[near], many[far] = counts, [len(x) for x in alone]
+        at, out = np.cumsum(many) - many, np.empty(int(many.sum()), np.int32)
+        owner, place = spread(counts)
+        out[at[near][owner] + place] = ids
+        for a, x in zip(at[far].tolist(), alone, strict=True):
+            out[a : a + len(x)] = x
+        return out, many
     owner, place = spread(lengths)
     body = data[starts[owner] + place]
     n = len(body)

@@ -309,6 +309,26 @@ def test_bpe(docs, local, empty):
     assert all(ids[a:b].tolist() == enc.encode_ordinary(t) for a, b, t in zip(at, at[1:], odd))
 
 
+def test_bpe_of_very_long_pre_tokens():
+    import time
+
+    import tiktoken
+
+    ranks = bpe.load(rank_path())
+    enc = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks.ids, special_tokens={})
+    rng = random.Random(8)
+    sinks = [ranks.bytes_of[i].decode() for i in np.flatnonzero(ranks.sinks).tolist() if ranks.bytes_of[i].isalpha()]
+    texts = ["il" * 900, "ilo" * 700, "x" * 3000, *(("".join(rng.sample(sinks, 3))) * 300 for _ in range(12)), "".join(rng.choice("abcdeilot") for _ in range(4000))]
+    ids, at = bpe.encode_rows(ranks, *rows(pa.array(texts)))
+    assert all(ids[a:b].tolist() == enc.encode_ordinary(t) for a, b, t in zip(at, at[1:], texts))
+    took = []
+    for n in (4_000, 128_000):  # time per byte stays about the same
+        began = time.time()
+        bpe.encode_long(ranks, b"il" * (n // 2))
+        took.append((time.time() - began) / n)
+    assert took[1] < 3 * took[0]
+
+
 def test_jpeg(docs, local, empty):
     for r in media.media_digests(media.encode_media(docs)).collect():
         raw = (dict(local)[r["doc_id"]] or "").encode()

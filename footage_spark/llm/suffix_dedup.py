@@ -9,14 +9,14 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
 2. Keys are counted over the whole table; those of one document are left out.  What is left goes into
    a bitmap, whose size follows the number of shared keys up to MOST_FILTER_BITS.  It is a filter only:
    a wrong hit costs work and changes no result.
-3. The contexts of shared keys meet by key.  Equal contexts are merged; where a key has different
-   contexts, their suffixes are put in order by `suffix_order`, and strings that stand side by side
-   with LENGTH equal bytes share their smallest document.
+3. The contexts of shared keys meet by key, each different one once.  Their suffixes are put in order
+   by `grouped_suffixes`; strings that stand side by side there and are equal in LENGTH bytes share
+   their smallest document.  No string has an owner but by that order.
 4. A key of very many documents would gather them all in one task.  The strings of such common keys
    are keyed by PART_CORE bytes instead, so that few different contexts of a key are possible however
-   large the corpus is.  Only the smallest document of each context is sent; the occurrences look
-   their contexts up, in a table of HOT rows at most that every task has (contexts of more than
-   a HOT-th of all occurrences) or by a join (the others).
+   large the corpus is.  Only the smallest document of each context is sent to be put in order; the
+   occurrences look their contexts up, in a table of HOT rows at most that every task has (contexts of
+   more than a HOT-th of all occurrences) or in the bucket of the context's hash (the others).
 5. The strings with a smaller document give spans, which go back to their documents by a join.
 """
 
@@ -24,8 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import pickle
-from bisect import insort
 
 import numpy as np
 import pyarrow as pa
@@ -51,77 +49,92 @@ MOST_FILTER_BITS = 29
 #: Bytes of text whose keys a bucket counts, about.
 COUNT_BYTES = 1 << 26
 #: Shared keys that a bucket of the last shuffle holds, about.
-BUCKET_KEYS, LEAST_BUCKETS = 60_000, 64
+BUCKET_KEYS, LEAST_BUCKETS = 30_000, 64
 #: Symbols of contexts whose suffixes are put in order together, about; a few keys at a time stay in cache.
 BLOCK_SYMBOLS = 500
-#: Bytes of text that are hashed at a time.
-HASH_BYTES = 1 << 20
-_PLACE_BITS = 28
-_PLACE = np.uint64((1 << _PLACE_BITS) - 1)
-
-
-def suffix_order(texts: list[bytes]) -> list[tuple[int, int]]:
-    """(text, place) of every suffix of all texts in order; equal suffixes in order of the texts.
-
-    First part: groups of suffixes that share their Lyndon prefix so far are taken in descending
-    order.  A taken suffix leaves the list of open places; the nearest open place on its left (the
-    previous smaller one) takes the prefix over, k times after k taken neighbours, and moves to the
-    group of the longer prefix.  Second part: the suffixes after the ends are the smallest; going up
-    the groups, each suffix puts those whose Lyndon prefix ends where it starts next in their groups.
+#: Bytes of text that are hashed at a time; so few stay in cache.
+HASH_BYTES = 1 << 17
+#: Occurrences that are held before they are sent.
+HOLD = 1 << 18
+#: Bits of a place in a piece of text; longer texts are taken in pieces that overlap.
+PLACE_BITS = 26
+_rng = np.random.Generator(np.random.PCG64(5))
+_FACTORS = _rng.integers(0, 2**63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _groups(flat: bytes, first: list[int]) -> list[tuple[int, list[int]]]:
+    """(length of the prefix, places) of the groups of suffixes of equal Lyndon prefix, in descending order.
+
+    Groups are numbers in a linked list.  The highest group that has not been taken is taken: each of
+    its suffixes leaves the list of open places, and the nearest open place on its left, the previous
+    smaller suffix, takes the group's prefix over, k times after k taken neighbours.  It moves to a
+    new group right above its own, the higher the larger k is.  Every place is taken once and moves at
+    most as often as places point to it, so the work is linear.
     """
-    first = [0]
-    for t in texts:
-        first.append(first[-1] + len(t) + 1)  # one place for the end
-    n = first[-1]
-    flat = b"\x00".join([*texts, b""])
-    single = [bytes([i]) for i in range(256)]
-    word = [single[c] for c in flat]
-    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    by_byte: dict[int, list[int]] = {}
-    for t, a in zip(texts, first, strict=False):
+    n = len(flat)
+    before, after = list(range(-1, n)), list(range(1, n + 2))
+    held: list[list[int]] = [[] for _ in range(256)]
+    for i, c in enumerate(flat):
+        held[c].append(i)
+    ends = {a - 1 for a in first[1:]}
+    held[0] = [i for i in held[0] if i not in ends]
+    for a in first:
         before[a] = -1
-        for i, c in enumerate(t, a):
-            if c in by_byte:
-                by_byte[c].append(i)
+    rank, members = [0] * 256, []
+    for c in range(256):
+        if held[c]:
+            rank[c] = len(members)
+            members.append(held[c])
+    of, size = [rank[c] for c in flat], [1] * len(members)
+    below, above = list(range(-1, len(members) - 1)), [*range(1, len(members)), -1]
+    taken, now = [], len(members) - 1
+    while now >= 0:
+        own = [i for i in members[now] if of[i] == now]  # the others have moved on
+        runs: dict[int, int] = {}
+        for i in own:
+            p, q = before[i], after[i]
+            before[q] = p
+            if p >= 0:
+                after[p] = q
+                runs[p] = runs.get(p, 0) + 1
+        if own:
+            taken.append((size[now], own))
+        by: dict[int, list[int]] = {}
+        for p, k in runs.items():
+            if k in by:
+                by[k].append(p)
             else:
-                by_byte[c] = [i]
-    taken: list[tuple[int, list[int]]] = []  # length of the prefix, members; in descending order
-    for byte in sorted(by_byte, reverse=True):
-        # a prefix changes its group only while groups of the same first byte are taken
-        groups: dict[bytes, list[int]] = {}
-        for i in by_byte[byte]:
-            w = word[i]
-            if w in groups:
-                groups[w].append(i)
-            else:
-                groups[w] = [i]
-        order = sorted(groups)
-        while order:
-            u = order.pop()
-            members = [i for i in groups[u] if word[i] == u]  # the others have moved on
-            if not members:
-                continue
-            taken.append((len(u), members))
-            if len(members) > 1:
-                members.sort()
-            runs: dict[int, int] = {}
-            for i in members:
-                p, q = before[i], after[i]
-                before[q] = p
-                if p >= 0:
-                    after[p] = q
-                    runs[p] = runs.get(p, 0) + 1
-            for p, k in runs.items():
-                w = word[p]
-                if w == u:  # a member itself: its run is counted by what stands before it
-                    continue
-                word[p] = w = w + u if k == 1 else w + u * k
-                if flat[p] == byte:
-                    if w in groups:
-                        groups[w].append(p)
-                    else:
-                        groups[w] = [p]
-                        insort(order, w)
+                by[k] = [p]
+        top: dict[int, int] = {}
+        for k in sorted(by) if len(by) > 1 else by:
+            fresh: dict[int, int] = {}
+            for p in by[k]:
+                v = of[p]
+                g = fresh.get(v, -1)
+                if g < 0:
+                    g = fresh[v] = len(size)
+                    low = top.get(v, v)
+                    high = above[low]  # there is one: the group that is being taken is above
+                    size.append(size[v] + k * size[now])
+                    members.append([])
+                    below.append(low)
+                    above.append(high)
+                    above[low] = below[high] = top[v] = g
+                of[p] = g
+                members[g].append(p)
+        now = below[now]
+    return taken
+
+
+def grouped_suffixes(flat: bytes, first: list[int]) -> list[int]:
+    """Places of all suffixes in order, of texts that start at `first` and have one place for their end.
+
+    first ends with the length of flat; equal suffixes stand in order of their texts.  The suffixes
+    after which nothing comes are the smallest; going up the groups, each suffix puts those whose
+    Lyndon prefix ends where it starts next in their groups.
+    """
+    n = len(flat)
+    taken = _groups(flat, first)
     taken.reverse()
     group, head, more = [0] * n, [-1] * (n + 1), [-1] * n
     for g, (size, members) in enumerate(taken):
@@ -143,9 +156,35 @@ def suffix_order(texts: list[bytes]) -> list[tuple[int, int]]:
                 placed[group[j]].append(j)
                 j = more[j]
         out += own
-    starts = np.array(first[:-1])
+    return out
+
+
+def suffix_order(texts: list[bytes]) -> list[tuple[int, int]]:
+    """(text, place) of every suffix of all texts in order; equal suffixes in order of the texts."""
+    first = [0]
+    for t in texts:
+        first.append(first[-1] + len(t) + 1)
+    out = np.array(grouped_suffixes(b"\x00".join([*texts, b""]), first), np.int64)
+    starts = np.array(first[:-1], np.int64)
     text = np.searchsorted(starts, out, "right") - 1
-    return list(zip(text.tolist(), (np.array(out, np.int64) - starts[text]).tolist(), strict=True)) if out else []
+    return list(zip(text.tolist(), (out - starts[text]).tolist(), strict=True)) if len(out) else []
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number."""
+    out = np.empty(len(data) - 7, np.uint64)
+    for k in range(8):
+        many = (len(data) - k) // 8
+        out[k::8] = data[k : k + 8 * many].view("<u8")
+    return out
+
+
+def _blend(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of 8 * n bytes from each place on."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out = (out ^ (out >> np.uint64(31)) ^ words[at + 8 * k]) * _FACTORS[k]
+    return out
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray):
@@ -156,36 +195,48 @@ def contexts(data: np.ndarray, offsets: np.ndarray):
     n, none = len(data), np.zeros(0, np.int64)
     if n < LENGTH:
         return none, none.astype(np.uint64), none, none, none, none
-    sums = prefix_sums(data)
-    h = mix((sums[GRAM:] - sums[:-GRAM]) * powers(n + 1)[1][: n - GRAM + 1])
-    least = (h & ~_PLACE) | np.arange(n - GRAM + 1, dtype=np.uint64)
-    width = LENGTH - GRAM + 1
-    size = 1
+    words, place = _eights(data), np.uint64((1 << PLACE_BITS) - 1)
+    least = words[:-8] * _FACTORS[0]
+    least ^= words[8:] * _FACTORS[1]
+    least ^= least >> np.uint64(29)
+    least *= _FACTORS[2]
+    least &= ~place
+    least |= np.arange(len(least), dtype=np.uint64)
+    width, size = LENGTH - GRAM + 1, 1
     while 2 * size <= width:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     if width > size:
         least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
-    valid = np.flatnonzero(np.arange(len(least)) + LENGTH <= offsets[1:][owner])
-    if not len(valid):
-        return none, none.astype(np.uint64), none, none, none, none
-    anchor = (least[valid] & _PLACE).astype(np.int64)
-    side = valid > anchor - SIDE  # 1: the string holds the bytes after the anchor, 0: those before it
+    valid = np.ones(len(least), bool)  # places where a string starts
+    for a, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        valid[max(e - LENGTH + 1, a) : e] = False
+    anchor = (least & place).astype(np.int64)
+    side = np.arange(len(least)) > anchor - SIDE  # 1: the string holds the bytes after the anchor, 0: those before it
     part = 2 * anchor + side
-    new = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (owner[valid][1:] != owner[valid][:-1])))
-    first, last = valid[new], valid[np.append(new[1:], len(valid)) - 1]
-    anchor, side = anchor[new], side[new]
+    new = np.append(True, part[1:] != part[:-1])
+    new[offsets[:-1][offsets[:-1] < len(new)]] = True
+    first = np.flatnonzero(new & valid)
+    last = np.flatnonzero(np.append(new[1:] | ~valid[1:], True) & valid)
+    anchor, side = anchor[first], side[first]
     a = np.where(side, anchor, anchor - SIDE)
-    key = mix(span_hash(sums, a, a + CORE) + side.astype(np.uint64))
-    return owner[first], key, first, last, a - first, anchor
+    key = mix(_blend(words, a, CORE // 8) + (data[a + CORE - 1].astype(np.uint64) << np.uint64(1) | side.astype(np.uint64)) * _FACTORS[5])
+    return np.searchsorted(offsets, first, "right") - 1, key, first, last, a - first, anchor
 
 
 def _batch_contexts(batch):
+    """(first row, bytes, starts of the rows in them, contexts ...) of the chunks of a batch."""
     data, offsets = rows(batch.column("text"))
     for first, last in chunks(offsets, HASH_BYTES):
-        part = data[offsets[first] : offsets[last]]
-        yield first, part, offsets[first : last + 1] - offsets[first], *contexts(part, offsets[first : last + 1] - offsets[first])
+        a, b = int(offsets[first]), int(offsets[last])
+        if b - a < 1 << PLACE_BITS:
+            own = offsets[first : last + 1] - a
+            yield first, data[a:b], own[:-1], *contexts(data[a:b], own)
+            continue
+        step = (1 << PLACE_BITS) - LENGTH  # one long text; each of its strings is in one piece
+        for at in range(a, b - LENGTH + 1, step):
+            part = data[at : min(at + step + LENGTH - 1, b)]
+            yield first, part, np.array([a - at]), *contexts(part, np.array([0, len(part)]))
 
 
 def _split(key: np.ndarray, bits: int) -> np.ndarray:
@@ -279,38 +330,70 @@ def _among(bitmap: tuple[int, bytes], key: np.ndarray) -> np.ndarray:
     return (np.frombuffer(bitmap[1], np.uint8)[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+_PACKED = (np.uint64, np.uint8, np.uint8, np.uint8, np.int32, np.int64, np.int64, np.int32, np.int64)
+
+
+def _pack(arrays, kinds) -> tuple[bytes, int]:
+    """(arrays in one compressed blob, its size before)."""
+    raw = np.array([len(x) for x in arrays], "<i8").tobytes() + b"".join(x.astype(k, copy=False).tobytes() for x, k in zip(arrays, kinds, strict=True))
+    return pa.compress(raw, "zstd", asbytes=True), len(raw)
+
+
+def _unpack(blob: bytes, size: int, kinds) -> list[np.ndarray]:
+    raw, at, out = pa.decompress(blob, size, "zstd", asbytes=True), 8 * len(kinds), []
+    for n, k in zip(np.frombuffer(raw, "<i8", len(kinds)).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
+
+
 def _send_contexts(filters, n_buckets: int):
-    """(bucket, packed contexts with their occurrences) of a batch; each different context once, without its core."""
+    """(bucket, packed contexts with their occurrences); each different context of HOLD occurrences once, without its core."""
+
+    def pack(held, docs, prints):
+        row, key, context, n, core, start = (np.concatenate([h[i] for h in held]) for i in range(6))
+        body = np.concatenate([h[6] for h in held])
+        size = n + REST
+        begin = np.cumsum(size) - size
+        bucket = (mix(key) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.lexsort((context, bucket))
+        at = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
+        buckets, blobs, sizes = bucket[order][at].tolist(), [], []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+            own = order[a:b]
+            c = context[own]
+            new = np.append(True, c[1:] != c[:-1])
+            lead = own[new]
+            o, p = spread(size[lead])
+            used, of_row = np.unique(row[own], return_inverse=True)
+            blob, raw = _pack((key[lead], n[lead], core[lead], body[begin[lead][o] + p], np.cumsum(new) - 1, docs[used], prints[used], of_row, start[own]), _PACKED)
+            blobs.append(blob)
+            sizes.append(raw)
+        return pa.record_batch([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary()), pa.array(sizes, pa.int64())], ["bucket", "blob", "size"])
 
     def run(batches):
         shared, common = filters.value
+        held, docs, prints, n_rows, many = [], [], [], 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            prints = batch.column("print").to_numpy(zero_copy_only=False)
-            for first, part, offsets, row, key, a, b, core, _ in _batch_contexts(batch):
+            docs.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
+            prints.append(batch.column("print").to_numpy(zero_copy_only=False))
+            for first, part, starts, row, key, a, b, core, _ in _batch_contexts(batch):
                 hit = np.flatnonzero(_among(shared, key) & ~_among(common, key))
                 if not len(hit):
                     continue
                 row, key, a, b, core = row[hit], key[hit], a[hit], b[hit], core[hit]
-                sums = prefix_sums(part)
-                context = mix(span_hash(sums, a, b + LENGTH) ^ key)
-                start = (a - offsets[row]).astype(np.int64)
-                bucket = (mix(key) % np.uint64(n_buckets)).astype(np.int64)
-                order = np.lexsort((context, bucket))
-                edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-                for k in np.unique(bucket).tolist():
-                    own = order[edges[k] : edges[k + 1]]
-                    c = context[own]
-                    new = np.append(True, c[1:] != c[:-1])
-                    lead = own[new]
-                    o, p = spread(b[lead] - a[lead] + 1 + REST)
-                    at = a[lead][o] + p + np.where(p >= core[lead][o], CORE, 0)
-                    used, of_row = np.unique(row[own], return_inverse=True)
-                    small = np.int64 if start[own].max() >= 1 << 31 else np.int32
-                    blob = pickle.dumps((key[lead], (b - a + 1)[lead].astype(np.uint8), core[lead].astype(np.uint8), part[at].tobytes(), (np.cumsum(new) - 1).astype(np.int32), docs[first + used], prints[first + used], of_row.astype(np.int32), start[own].astype(small)), 5)
-                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([pa.compress(blob, "zstd", asbytes=True)], pa.binary()), pa.array([len(blob)], pa.int64())], ["bucket", "blob", "size"])
+                context = mix(span_hash(prefix_sums(part), a, b + LENGTH) ^ key)
+                o, p = spread(b - a + 1 + REST)
+                held.append((n_rows + first + row, key, context, b - a + 1, core, a - starts[row], part[a[o] + p + np.where(p >= core[o], CORE, 0)]))
+                many += len(hit)
+            n_rows += batch.num_rows
+            if many >= HOLD:
+                yield pack(held, np.concatenate(docs), np.concatenate(prints))
+                held, docs, prints, n_rows, many = [], [], [], 0, 0
+        if many:
+            yield pack(held, np.concatenate(docs), np.concatenate(prints))
 
     return run
 
@@ -322,49 +405,44 @@ def _owners(keys, n_strings, core, body, first_byte, least, core_size: int = COR
     The core is put as one symbol above all bytes; strings are equal if what is left of them and
     their keys are.
     """
-    strings = np.cumsum(n_strings) - n_strings
-    owner = np.repeat(least, n_strings)
-    new = np.append(True, keys[1:] != keys[:-1])
-    group = np.cumsum(new) - 1
-    members = np.flatnonzero(np.bincount(group)[group] > 1)
     size, rest = LENGTH - core_size + 1, LENGTH - 1 - core_size
-
-    def settle(block: list[int]) -> None:
-        begin, middle, many = first_byte[block].tolist(), core[block].tolist(), n_strings[block].tolist()
-        texts = [body[a : a + c] + b"\xff" + body[a + c : a + m + rest] for a, c, m in zip(begin, middle, many, strict=True)]
-        at, key, low = strings[block].tolist(), group[block].tolist(), least[block].tolist()
-        run: list[tuple[int, int]] = []
-        before = None
-
-        def close() -> None:
-            best: dict[int, int] = {}
-            for t, _ in run:
-                k = key[t]
-                best[k] = min(best.get(k, low[t]), low[t])
-            for t, place in run:
-                owner[at[t] + place] = best[key[t]]
-
-        for t, place in suffix_order(texts):
-            if place < many[t]:
-                here = texts[t][place : place + size]
-                if here != before:
-                    if len(run) > 1:
-                        close()
-                    run, before = [], here
-                run.append((t, place))
-        if len(run) > 1:
-            close()
-
-    block: list[int] = []
-    total = 0
-    for i, n, last in zip(members.tolist(), n_strings[members].tolist(), np.append(group[members][1:] != group[members][:-1], True)[: len(members)].tolist(), strict=True):
-        block.append(i)
-        total += n + size
-        if total >= BLOCK_SYMBOLS and last:
-            settle(block)
-            block, total = [], 0
-    if block:
-        settle(block)
+    strings = np.cumsum(n_strings) - n_strings
+    owner = np.full(int(n_strings.sum()), np.iinfo(np.int64).max)
+    length = n_strings + size  # with one place for the end
+    starts = np.append(0, np.cumsum(length))
+    o, p = spread(length)
+    inside = p != core[o]
+    symbols = np.full(len(o), 0xFF, np.uint8)
+    place = first_byte[o] + p - (p > core[o])
+    symbols[inside] = body[np.minimum(place[inside], len(body) - 1)] if len(body) else 0
+    symbols[starts[1:] - 1] = 0
+    last = np.append(np.flatnonzero(keys[1:] != keys[:-1]), len(keys) - 1) + 1  # ends of keys
+    edges, at = [0], 0
+    while at < len(keys):
+        k = int(np.searchsorted(starts[last], starts[at] + BLOCK_SYMBOLS))
+        at = int(last[min(k, len(last) - 1)])
+        edges.append(at)
+    windows = np.lib.stride_tricks.sliding_window_view(np.append(symbols, np.zeros(size, np.uint8)), size)
+    group = np.cumsum(np.append(True, keys[1:] != keys[:-1]))
+    for lo in range(0, len(edges) - 1, 1024):
+        order = []
+        for a, b in zip(edges[lo : lo + 1024], edges[lo + 1 : lo + 1025], strict=False):
+            x = int(starts[a])
+            order.append(np.array(grouped_suffixes(symbols[x : starts[b]].tobytes(), (starts[a : b + 1] - x).tolist()), np.int64) + x)
+        every = np.concatenate(order)
+        if not len(every):
+            continue
+        which = o[every]
+        string = p[every] < n_strings[which]
+        every, which = every[string], which[string]
+        here = windows[every]
+        run = np.cumsum(np.append(True, (here[1:] != here[:-1]).any(axis=1)))
+        # equal strings of different keys stand mixed: each key's are taken together
+        own = run * (int(group[-1]) + 1) + group[which]
+        by = np.argsort(own, kind="stable")
+        new = np.flatnonzero(np.append(True, own[by][1:] != own[by][:-1]))
+        best = np.minimum.reduceat(least[which[by]], new)
+        owner[strings[which[by]] + p[every[by]]] = np.repeat(best, np.diff(np.append(new, len(by))))
     return owner, strings
 
 
@@ -396,19 +474,19 @@ def _span_rows(o, p, owner, doc, prints, start):
 def _find_spans(batches):
     """(doc_id, print, spans): pairs of first and last + 1 byte that go, of the strings of one bucket."""
     for _, held in _by_bucket(batches, ["blob", "size"]):
-        parts = [pickle.loads(pa.decompress(raw, size, "zstd", asbytes=True)) for raw, size in held]
+        parts = [_unpack(raw, size, _PACKED) for raw, size in held]
         key = np.concatenate([p[0] for p in parts])
         n_strings, core = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2))
-        body = b"".join(p[3] for p in parts)
+        flat = np.concatenate([p[3] for p in parts])
         shift = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
         of = np.concatenate([p[4] + s for p, s in zip(parts, shift, strict=True)])
         doc, prints = (np.concatenate([p[i][p[7]] for p in parts]) for i in (5, 6))
-        start = np.concatenate([p[8] for p in parts]).astype(np.int64)
+        start = np.concatenate([p[8] for p in parts])
         del parts, held
         edges = np.append(0, np.cumsum(n_strings + REST))
         first_byte = edges[:-1]
         # merge equal contexts of different batches
-        flat, context = np.frombuffer(body, np.uint8), np.empty(len(key), np.uint64)
+        context = np.empty(len(key), np.uint64)
         for a, b in chunks(edges, HASH_BYTES):
             context[a:b] = span_hash(prefix_sums(flat[edges[a] : edges[b]]), edges[a:b] - edges[a], edges[a + 1 : b + 1] - edges[a])
         context = mix(context ^ ((core << 8) | n_strings).astype(np.uint64))
@@ -420,7 +498,7 @@ def _find_spans(batches):
         of = merged[of]
         least = np.full(len(lead), np.iinfo(np.int64).max)
         np.minimum.at(least, of, doc)
-        owner, strings = _owners(key[lead], n_strings[lead], core[lead], body, first_byte[lead], least)
+        owner, strings = _owners(key[lead], n_strings[lead], core[lead], flat, first_byte[lead], least)
         n = n_strings[lead][of].astype(np.int64)
         for a in range(0, len(of), 1 << 18):  # occurrences
             o, p = spread(n[a : a + (1 << 18)])
@@ -487,7 +565,7 @@ def _settle_parts(batches):
         (key, shape, least, most, times), held = held[:, :whole], held[:, whole:]
         n, before = shape >> 48 & 15, shape >> 52
         place = np.arange(PART + PART_REST)
-        body = (shape[:, None] >> (8 * place) & 255).astype(np.uint8)[place < (n + PART_REST)[:, None]].tobytes()
+        body = (shape[:, None] >> (8 * place) & 255).astype(np.uint8)[place < (n + PART_REST)[:, None]]
         owner, strings = _owners(key, n, before, body, np.cumsum(n + PART_REST) - (n + PART_REST), least, PART_CORE)
         out = np.full((whole, PART), np.iinfo(np.int64).max)
         o, p = spread(n)
@@ -517,15 +595,50 @@ def _join_codes(batches):
         yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([b"".join(x[0] for x in held)], pa.binary())], ["bucket", "codes"])
 
 
-def _look_up(filters, hot):
-    """Spans by the hot parts, and the occurrences of the other parts that the bitmap of settled parts lets by."""
+_SETTLED = (np.uint64, np.int64, np.int64, np.int64)
+_OCCURRED = (np.uint64, np.int64, np.int64, np.int64, np.int64)
+
+
+def _dealt(code: np.ndarray, n_buckets: int):
+    """(bucket, places) of the codes by bucket."""
+    bucket = (code % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    at = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))[: len(order)]
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def _send_settled(n_buckets: int):
+    """(bucket, 0, packed codes, shapes and owners) of settled parts."""
+
+    def run(batches):
+        for batch in batches:
+            key, shape, *owners = (batch.column(c).to_numpy() for c in ("key", "shape", *_OWNERS))
+            code, owners = _part_codes(key, shape), np.stack(owners, 1)
+            for bucket, own in _dealt(code, n_buckets):
+                blob, size = _pack((code[own], key[own], shape[own], owners[own].ravel()), _SETTLED)
+                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary()), pa.array([size], pa.int64())], ["bucket", "kind", "blob", "size"])
+
+    return run
+
+
+def _look_up(filters, hot, n_buckets: int):
+    """Spans by the hot parts, and packed occurrences (kind 1) of the other parts that the bitmap of settled parts lets by."""
+    columns = ["of", "of_print", "spans", "bucket", "kind", "blob", "size"]
+    none = pa.nulls
+
+    def pack(held):
+        code, key, shape, doc, prints, start = (np.concatenate([h[i] for h in held]) for i in range(6))
+        for bucket, own in _dealt(code, n_buckets):
+            blob, size = _pack((key[own].view(np.uint64), shape[own], doc[own], prints[own], start[own]), _OCCURRED)
+            yield pa.record_batch([none(1, pa.int64()), none(1, pa.int64()), none(1, pa.binary()), pa.array([bucket], pa.int32()), pa.array([1], pa.int32()), pa.array([blob], pa.binary()), pa.array([size], pa.int64())], columns)
 
     def run(batches):
         keys, shapes, owners, settled = hot.value
         codes = _part_codes(keys, shapes)
         order = np.argsort(codes)
         codes, keys, shapes, owners = codes[order], keys[order], shapes[order], owners[order]
-        none = pa.nulls
+        held, many = [], 0
         for batch in batches:
             docs, prints = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "print"))
             for row, key, shape, start, n in _common_parts(batch, filters.value):
@@ -536,22 +649,43 @@ def _look_up(filters, hot):
                     o, p = spread(n[hit])
                     for out in _span_rows(o, p, owners[which[hit][o], p], docs[row[hit]], prints[row[hit]], start[hit]):
                         m = out.num_rows
-                        yield pa.record_batch([*out.columns, *(none(m, pa.int64()) for _ in range(3))], [*out.schema.names, "key", "shape", "start"])
+                        yield pa.record_batch([*out.columns, none(m, pa.int32()), none(m, pa.int32()), none(m, pa.binary()), none(m, pa.int64())], columns)
                 rest = ~hit & _among(settled, code)
-                row, key, shape, start = row[rest], key[rest], shape[rest], start[rest]
-                if len(row):
-                    yield pa.record_batch([pa.array(docs[row]), pa.array(prints[row]), none(len(row), pa.binary()), pa.array(key), pa.array(shape), pa.array(start)], ["of", "of_print", "spans", "key", "shape", "start"])
+                if rest.any():
+                    held.append((code[rest], key[rest], shape[rest], docs[row[rest]], prints[row[rest]], start[rest]))
+                    many += int(rest.sum())
+            if many >= HOLD:
+                yield from pack(held)
+                held, many = [], 0
+        if many:
+            yield from pack(held)
 
     return run
 
 
-def _joined_spans(batches):
+def _spans_of_buckets(batches):
+    """Spans of the occurrences of a bucket, whose settled parts (kind 0) come first."""
+    now, parts, table = None, [], None
     for batch in batches:
-        if batch.num_rows:
-            doc, prints, start, shape = (batch.column(c).to_numpy() for c in ("of", "of_print", "start", "shape"))
-            owners = np.stack([batch.column(c).to_numpy() for c in _OWNERS], 1)
-            o, p = spread(shape >> 48 & 15)
-            yield from _span_rows(o, p, owners[o, p], doc, prints, start)
+        for bucket, kind, blob, size in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "blob", "size")), strict=True):
+            if bucket != now:
+                now, parts, table = bucket, [], None
+            if kind == 0:
+                parts.append(_unpack(blob, size, _SETTLED))
+                continue
+            if not parts:
+                continue
+            if table is None:
+                code, key, shape, owners = (np.concatenate([p[i] for p in parts]) for i in range(4))
+                order = np.argsort(code)
+                table = code[order], key[order], shape[order], owners.reshape(-1, PART)[order]
+            key, shape, doc, prints, start = _unpack(blob, size, _OCCURRED)
+            key = key.view(np.int64)
+            which = np.minimum(np.searchsorted(table[0], _part_codes(key, shape)), len(table[0]) - 1)
+            hit = np.flatnonzero((table[1][which] == key) & (table[2][which] == shape))
+            if len(hit):
+                o, p = spread(shape[hit] >> 48 & 15)
+                yield from _span_rows(o, p, table[3][which[hit]][o, p], doc[hit], prints[hit], start[hit])
 
 
 def _common_spans(texts: DataFrame, filters) -> DataFrame:
@@ -566,9 +700,11 @@ def _common_spans(texts: DataFrame, filters) -> DataFrame:
     hot = settled.where(F.col("times") * HOT >= total).toArrow()  # HOT rows at most
     key, shape, *owners = (hot.column(c).to_numpy() for c in ("key", "shape", *_OWNERS))
     hot_table = texts.sparkSession.sparkContext.broadcast((key, shape, np.stack(owners, 1), _bitmap(codes, "codes", n, CODE_BITS)))
-    found = cut(texts.mapInArrow(_look_up(filters, hot_table), "of long, of_print long, spans binary, key long, shape long, start long"))
-    others = found.where("spans is null").join(settled.where(F.col("times") * HOT < total), ["key", "shape"])
-    others = others.select("of", "of_print", "start", "shape", *_OWNERS).mapInArrow(_joined_spans, "of long, of_print long, spans binary")
+    n_buckets, packed = max(LEAST_BUCKETS, -(-n // BUCKET_KEYS)), "bucket int, kind int, blob binary, size long"
+    found = cut(texts.mapInArrow(_look_up(filters, hot_table, n_buckets), f"of long, of_print long, spans binary, {packed}"))
+    others = settled.where(F.col("times") * HOT < total).mapInArrow(_send_settled(n_buckets), packed)
+    others = others.unionByName(found.where("spans is null").select("bucket", "kind", "blob", "size"))
+    others = others.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_spans_of_buckets, "of long, of_print long, spans binary")
     return found.where("spans is not null").select("of", "of_print", "spans").unionByName(others)
 
 

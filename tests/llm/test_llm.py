@@ -161,6 +161,53 @@ def test_suffix_dedup(docs, local, empty, monkeypatch, common_docs, hot):
     assert suffix_dedup.dedup_texts(docs).columns == docs.columns
 
 
+def test_suffix_dedup_needs_the_suffix_groups(docs, monkeypatch):
+    """Every byte that goes does so by the order of the suffixes."""
+    bodies = [suffix_dedup.rows(pa.array([r["text"] for r in docs.select("text").collect()]))]
+    for data, offsets in bodies:
+        row, key, a, b, core, _ = suffix_dedup.contexts(data, offsets)
+        order = np.argsort(key, kind="stable")
+        key, a, n, core = key[order], a[order], (b - a + 1)[order], core[order]
+        length = n + suffix_dedup.REST
+        body = np.concatenate([np.delete(data[x : x + m + suffix_dedup.LENGTH - 1], np.s_[c : c + suffix_dedup.CORE]) for x, m, c in zip(a, n, core)])
+        make = lambda: suffix_dedup._owners(key, n, core, body, np.cumsum(length) - length, row[order])[0]
+        first: dict = {}
+        want = []
+        for x, m, k in zip(a, n, row[order]):
+            for q in range(x, x + m):
+                w = data[q : q + 50].tobytes()
+                first[w] = min(first.get(w, k), k)
+                want.append(w)
+        assert make().tolist() == [first[w] for w in want]
+        monkeypatch.setattr(suffix_dedup, "grouped_suffixes", lambda flat, first: [])
+        assert (make() == np.iinfo(np.int64).max).all()
+
+
+def test_suffix_order_takes_linear_time():
+    import time
+
+    for make in (lambda n: b"a" * (n - 1) + b"b", lambda n: b"ab" * (n // 2), lambda n: bytes(random.Random(n).choices(b"abc", k=n))):
+        took = []
+        for n in (8_000, 64_000):
+            began = time.time()
+            assert len(suffix_dedup.grouped_suffixes(make(n) + b"\0", [0, n + 1])) == n
+            took.append(time.time() - began)
+        assert took[1] < 24 * took[0]
+
+
+def test_a_text_longer_than_a_piece(monkeypatch):
+    rng = random.Random(5)
+    long = bytes(rng.choice(b"ab") for _ in range(5000)) * 2
+    strings = lambda: sorted((int(k), int(p)) for _, _, starts, row, key, a, b, _, _ in suffix_dedup._batch_contexts(pa.record_batch([pa.array([long.decode()])], ["text"])) for k, x, y, t in zip(key, a, b, row) for p in range(x - starts[t], y + 1 - starts[t]))
+    whole = strings()
+    assert len(whole) == len(long) - 49
+    monkeypatch.setattr(suffix_dedup, "HASH_BYTES", 100)
+    real = suffix_dedup.contexts
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 12)
+    pieces = [p for _, p in strings()]
+    assert sorted(pieces) == list(range(len(long) - 49)) and real is suffix_dedup.contexts
+
+
 def test_hmm(docs, local, empty):
     got = {(r["doc_id"]): r for r in hmm_lm.score_texts(docs, states=2, rounds=1).collect()}
     counts = collections.Counter()

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import chunks, prefix_sums, rows, small_batches, span_hash, spread
+from .text import chunks, prefix_sums, rows, small_batches, span_hash, spread, tidy
 
 #: Fixed value: the pre-token pattern that `boundaries` follows; another one runs through `regex`.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,7 +34,7 @@ SHORT_FORMS = ("s", "t", "re", "ve", "m", "ll", "d")
 OTHER, LETTER, NUMBER, SPACE = range(4)
 NO_PAIR = np.iinfo(np.int32).max
 #: Bytes of text whose different pre-tokens are encoded together; bounds a worker's memory.
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 21
 #: Bytes from which a pre-token has a queue of its own.
 LONG = 512
 
@@ -395,7 +395,7 @@ def encode(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
             raw = ids.astype("<u4")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=[*kept, "ids"])
 
-    return small_batches(docs).select(*kept).mapInArrow(run, schema)
+    return small_batches(docs).select(*kept).mapInArrow(tidy(run), schema)
 
 
 def decode_ids(ranks: Ranks, ids: np.ndarray) -> bytes:
@@ -413,7 +413,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             out = [None if x is None else decode_ids(ranks, np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], names=[*kept, "decoded"])
 
-    return small_batches(encoded).select(*kept).mapInArrow(run, schema)
+    return small_batches(encoded).select(*kept).mapInArrow(tidy(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
@@ -431,4 +431,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

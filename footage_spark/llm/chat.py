@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import tidy
+
 ROLES = ("system", "user", "assistant")
 #: Words that name a speaker.
 MARKERS = {
@@ -94,7 +96,7 @@ def _count_states(batches):
 
 def train_roles(known: DataFrame) -> RoleModel:
     """Model from known(turns array<struct<role, line>>); the counts have a fixed number of cells."""
-    counted = known.select("turns").mapInArrow(_count_states, "of int, a int, b int, n long").groupBy("of", "a", "b").agg(F.sum("n").alias("n"))
+    counted = known.select("turns").mapInArrow(tidy(_count_states), "of int, a int, b int, n long").groupBy("of", "a", "b").agg(F.sum("n").alias("n"))
     tables = [np.zeros((1, N_STATES)), np.zeros((N_STATES, N_STATES)), np.zeros((N_STATES, N_MARKS)), np.zeros((N_STATES, N_LENGTHS)), np.zeros((N_STATES, N_ENDS))]
     for r in counted.collect():
         tables[r["of"]][r["a"], r["b"]] = r["n"]
@@ -139,7 +141,7 @@ def format_chats(transcripts: DataFrame, model: RoleModel) -> DataFrame:
     """
     keep = [c for c in transcripts.columns if c not in ("turns", "rendered")]
     schema = T.StructType([*transcripts.select(*keep).schema, *T.StructType.fromDDL("turns array<struct<role:string,text:string,lines:int>>, rendered string")])
-    return transcripts.select(*keep).mapInArrow(_parse(transcripts.sparkSession.sparkContext.broadcast(model), keep), schema)
+    return transcripts.select(*keep).mapInArrow(tidy(_parse(transcripts.sparkSession.sparkContext.broadcast(model), keep)), schema)
 
 
 #: How the transcripts of the query name their speakers, in the order of ROLES.

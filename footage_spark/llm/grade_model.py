@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, WHITE_SPACE, chunks, mix, prefix_sums, rows, small_batches, span_hash, word_spans
+from .text import LOWER, WHITE_SPACE, chunks, mix, prefix_sums, rows, small_batches, span_hash, tidy, word_spans
 
 FIT_ROWS, BITS, LEAST_ROWS, ROUNDS, RATE, GRADES, SHRINK = 12288, 20, 8, 200, 0.2, 3, 0.7
 #: Bytes of the beginnings of longer words; they find a stem under many endings.
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grade
     graded = graded.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null")
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")
-    found = small_batches(some).mapInArrow(_collect_features, "grade int, features binary").toPandas()
+    found = small_batches(some).mapInArrow(tidy(_collect_features), "grade int, features binary").toPandas()
     lists = [np.frombuffer(bytes(x), "<u4") for x in found["features"]]
     order = sorted(range(len(lists)), key=lambda i: (int(found["grade"][i]), len(lists[i]), lists[i].tobytes()))
     return fit_grades(found["grade"].to_numpy(np.int64)[order], [lists[i] for i in order])
@@ -187,4 +187,4 @@ def grade(docs: DataFrame, model: Grader, least_tail: float = LEAST_TAIL) -> Dat
     kept = [c for c in docs.columns if c not in ("expected_grade", "p_tail", "kept")]
     schema = docs.select(*kept).schema.add("expected_grade", "double").add("p_tail", "double").add("kept", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return small_batches(docs).select(*kept).mapInArrow(_grade(shared, least_tail, kept), schema)
+    return small_batches(docs).select(*kept).mapInArrow(tidy(_grade(shared, least_tail, kept)), schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import LOWER, chunks, cut, prefix_sums, rows, small_batches, span_hash, word_spans
+from .text import LOWER, chunks, cut, prefix_sums, rows, small_batches, span_hash, tidy, word_spans
 
 HEAD, TAILS, KNOWN, STATES, ROUNDS = 1 << 14, 1024, 1 << 18, 6, 3
 #: Rows whose class counts seed the states before the rounds over all training rows.
@@ -64,7 +64,7 @@ def _count(batches):
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """h, tail, c of every different token of docs(text), the end of text included."""
-    return docs.select("text").mapInArrow(_count, "h long, tail int, c long").groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidy(_count), "h long, tail int, c long").groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
 def _least_count(histogram: list, most: int) -> int:
@@ -252,7 +252,7 @@ def _round(prepared: DataFrame, model: Hmm, base: Base) -> tuple[Hmm, float]:
     """One Baum-Welch round over all training rows; returns the new model and the old one's log10 a token."""
     states = len(model.start)
     shared = prepared.sparkSession.sparkContext.broadcast(model)
-    counted = prepared.where(~F.col("held_out")).select("classes").mapInArrow(_expect(shared, base.classes), "k int, x array<double>")
+    counted = prepared.where(~F.col("held_out")).select("classes").mapInArrow(tidy(_expect(shared, base.classes)), "k int, x array<double>")
     got = counted.groupBy("k").agg(F.array(*[F.sum(F.element_at("x", i + 1)) for i in range(states)]).alias("x")).collect()
     emit, move, start, log = np.zeros((base.classes, states)), np.zeros((states, states)), np.zeros(states), [0.0, 1.0]
     for r in got:
@@ -324,15 +324,15 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
     base = Base(counts)
     context = spark.sparkContext
     shared_base = context.broadcast(base)
-    prepared = cut(wide.mapInArrow(_prepare(shared_base), "doc_id long, held_out boolean, row_key long, n_tokens long, known long, head_score double, classes binary, rest binary"))
-    rest = prepared.where(F.length("rest") > 0).select("row_key", "rest").mapInArrow(_rest, "row_key long, h long, times long")
+    prepared = cut(wide.mapInArrow(tidy(_prepare(shared_base)), "doc_id long, held_out boolean, row_key long, n_tokens long, known long, head_score double, classes binary, rest binary"))
+    rest = prepared.where(F.length("rest") > 0).select("row_key", "rest").mapInArrow(tidy(_rest), "row_key long, h long, times long")
     rare = counts.where(F.col("c") < base.known_from).select("h", "c")
     worth = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.5) / F.lit(base.total))
     late = rest.join(rare, "h", "left").groupBy("row_key").agg(F.sum(F.col("times") * worth).alias("late_score"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("late_known"))
     model = _seed(prepared, base, states)
     for _ in range(rounds):
         model, _log = _round(prepared, model, base)
-    scored = prepared.drop("rest").mapInArrow(_score(context.broadcast(model), shared_base), "doc_id long, held_out boolean, row_key long, n_tokens long, known long, head_score double, gain double")
+    scored = prepared.drop("rest").mapInArrow(tidy(_score(context.broadcast(model), shared_base)), "doc_id long, held_out boolean, row_key long, n_tokens long, known long, head_score double, gain double")
     out = scored.join(late, "row_key", "left")
     base_score = F.col("head_score") + F.coalesce("late_score", F.lit(0.0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("late_known", F.lit(0))).alias("n_known"), F.lit(base.n).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("gain")).alias("score"))

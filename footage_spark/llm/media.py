@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import chunks, rows, small_batches, spread
+from .text import chunks, rows, small_batches, spread, tidy
 
 RESTART = 8
 #: Spectral bands of the first AC scans: (component, first, last).
@@ -432,7 +432,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
                 part = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(part[1])), pa.array(write_jpegs(*part), pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 def decode_media(media: DataFrame, tensor: bool = True) -> DataFrame:
@@ -456,7 +456,7 @@ def decode_media(media: DataFrame, tensor: bool = True) -> DataFrame:
                 )
                 del n
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), schema)
 
 
 def _decoded(batch):
@@ -493,4 +493,4 @@ def media_digests(media: DataFrame) -> DataFrame:
                     ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import WHITE_SPACE, chunks, cut, mix, prefix_sums, rows, small_batches, span_hash, word_spans
+from .text import WHITE_SPACE, chunks, cut, mix, prefix_sums, rows, small_batches, span_hash, tidy, word_spans
 
 COMMON, WINDOW = 256, 8
 #: A language needs that many words to have a reference; a document needs that many words or characters.
@@ -124,7 +124,7 @@ def _measure_words(data, offsets):
 
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """lang -> (hashes of its common words, their shares and the rest's, character-class shares)."""
-    pooled = small_batches(docs).select("text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(_pool, "lang string, kind int, key long, n long")
+    pooled = small_batches(docs).select("text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(tidy(_pool), "lang string, kind int, key long, n long")
     counts = pooled.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     counts = cut(counts)
     total = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
@@ -206,4 +206,4 @@ def judge(docs: DataFrame, max_char: float = MAX_CHAR, max_word: float = MAX_WOR
     """
     shared = docs.sparkSession.sparkContext.broadcast(references(docs))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, js_char double, js_word double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(_judge(shared, max_char, max_word), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(tidy(_judge(shared, max_char, max_word)), schema)

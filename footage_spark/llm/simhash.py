@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import cut, small_batches
+from .text import cut, small_batches, tidy
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Least bits of a cell, and about the most fingerprints that are sent to one.
@@ -65,7 +65,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_fingerprints), "doc_id long, fp long")
 
 
 @lru_cache(256)
@@ -199,8 +199,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, cell_rows: int = CELL
     prints = cut(fingerprints(docs))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     bits = cell_bits(nodes.count(), half, most_rows=cell_rows)
-    sent = nodes.select("fp").mapInArrow(_send(bits, half), "cell long, fps binary")
-    links = sent.repartition(1 << min(bits, 15), "cell").mapInArrow(_links_of_cells(bits, radius), "a long, b long")
+    sent = nodes.select("fp").mapInArrow(tidy(_send(bits, half)), "cell long, fps binary")
+    links = sent.repartition(1 << min(bits, 15), "cell").mapInArrow(tidy(_links_of_cells(bits, radius)), "a long, b long")
     member = components(links)
     named = cut(nodes.join(member, nodes["fp"] == member["member"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
     # kept by itself, so that the rows of one root with very many members can be dealt to several tasks

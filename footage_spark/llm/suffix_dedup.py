@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import chunks, cut, mix, powers, prefix_sums, rows, small_batches, span_hash, spread
+from .text import chunks, cut, mix, powers, prefix_sums, rows, small_batches, span_hash, spread, tidy
 
 LENGTH, GRAM = 50, 16
 SIDE = (LENGTH - GRAM) // 2
@@ -51,7 +51,7 @@ COUNT_BYTES = 1 << 26
 #: Shared keys that a bucket of the last shuffle holds, about.
 BUCKET_KEYS, LEAST_BUCKETS = 30_000, 64
 #: Symbols of contexts whose suffixes are put in order together, about; a few keys at a time stay in cache.
-BLOCK_SYMBOLS = 500
+BLOCK_SYMBOLS = 4000
 #: Bytes of text that are hashed at a time; so few stay in cache.
 HASH_BYTES = 1 << 17
 #: Occurrences that are held before they are sent.
@@ -99,23 +99,24 @@ def _groups(flat: bytes, first: list[int]) -> list[tuple[int, list[int]]]:
                 runs[p] = runs.get(p, 0) + 1
         if own:
             taken.append((size[now], own))
-        by: dict[int, list[int]] = {}
-        for p, k in runs.items():
-            if k in by:
+        if not runs:
+            now = below[now]
+            continue
+        u, top, by = size[now], {}, {k: [] for k in set(runs.values())}
+        if len(by) > 1:
+            for p, k in runs.items():
                 by[k].append(p)
-            else:
-                by[k] = [p]
-        top: dict[int, int] = {}
-        for k in sorted(by) if len(by) > 1 else by:
+        for k in sorted(by):
             fresh: dict[int, int] = {}
-            for p in by[k]:
+            for p in by[k] or runs:
                 v = of[p]
-                g = fresh.get(v, -1)
-                if g < 0:
+                if v in fresh:
+                    g = fresh[v]
+                else:
                     g = fresh[v] = len(size)
                     low = top.get(v, v)
                     high = above[low]  # there is one: the group that is being taken is above
-                    size.append(size[v] + k * size[now])
+                    size.append(size[v] + k * u)
                     members.append([])
                     below.append(low)
                     above.append(high)
@@ -320,7 +321,7 @@ def _bitmap(keys: DataFrame, column: str, n: int, count_bits: int) -> tuple[int,
     bits = min(max(int(32 * n).bit_length(), count_bits + 6), MOST_FILTER_BITS)
     out = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (bits - count_bits - 3)
-    for r in keys.mapInArrow(_slices(column, bits, count_bits), "bucket int, map binary").collect():
+    for r in keys.mapInArrow(tidy(_slices(column, bits, count_bits)), "bucket int, map binary").collect():
         out[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["map"], np.uint8)
     return bits, out.tobytes()
 
@@ -497,7 +498,17 @@ def _find_spans(batches):
         merged[order] = np.cumsum(new) - 1
         of = merged[of]
         least = np.full(len(lead), np.iinfo(np.int64).max)
+        most = np.full(len(lead), np.iinfo(np.int64).min)
         np.minimum.at(least, of, doc)
+        np.maximum.at(most, of, doc)
+        # keys of one document only (wrong hits of the filter) take nothing from it
+        at = np.flatnonzero(np.append(True, key[lead][1:] != key[lead][:-1]))
+        alive = np.repeat(np.minimum.reduceat(least, at) < np.maximum.reduceat(most, at), np.diff(np.append(at, len(lead))))
+        here = alive[of]
+        of, doc, prints, start = (np.cumsum(alive) - 1)[of[here]], doc[here], prints[here], start[here]
+        lead, least = lead[alive], least[alive]
+        if not len(lead):
+            continue
         owner, strings = _owners(key[lead], n_strings[lead], core[lead], flat, first_byte[lead], least)
         n = n_strings[lead][of].astype(np.int64)
         for a in range(0, len(of), 1 << 18):  # occurrences
@@ -690,21 +701,21 @@ def _spans_of_buckets(batches):
 
 def _common_spans(texts: DataFrame, filters) -> DataFrame:
     """of, of_print, spans by the strings of common keys."""
-    parts = texts.mapInArrow(_send_parts(filters), "key long, shape long, least long, most long, times long")
+    parts = texts.mapInArrow(tidy(_send_parts(filters)), "key long, shape long, least long, most long, times long")
     parts = parts.groupBy("key", "shape").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("times").alias("times"))
-    settled = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_settle_parts, "key long, shape long, times long, " + ", ".join(f"{c} long" for c in _OWNERS))
+    settled = parts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_settle_parts), "key long, shape long, times long, " + ", ".join(f"{c} long" for c in _OWNERS))
     settled = cut(settled)
     n, total = (x or 0 for x in settled.agg(F.count("key"), F.sum("times")).first())
-    codes = settled.select("key", "shape").mapInArrow(_send_codes, "bucket int, codes binary")
-    codes = codes.repartition(1 << CODE_BITS, "bucket").sortWithinPartitions("bucket").mapInArrow(_join_codes, "bucket int, codes binary")
+    codes = settled.select("key", "shape").mapInArrow(tidy(_send_codes), "bucket int, codes binary")
+    codes = codes.repartition(1 << CODE_BITS, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_join_codes), "bucket int, codes binary")
     hot = settled.where(F.col("times") * HOT >= total).toArrow()  # HOT rows at most
     key, shape, *owners = (hot.column(c).to_numpy() for c in ("key", "shape", *_OWNERS))
     hot_table = texts.sparkSession.sparkContext.broadcast((key, shape, np.stack(owners, 1), _bitmap(codes, "codes", n, CODE_BITS)))
     n_buckets, packed = max(LEAST_BUCKETS, -(-n // BUCKET_KEYS)), "bucket int, kind int, blob binary, size long"
-    found = cut(texts.mapInArrow(_look_up(filters, hot_table, n_buckets), f"of long, of_print long, spans binary, {packed}"))
-    others = settled.where(F.col("times") * HOT < total).mapInArrow(_send_settled(n_buckets), packed)
+    found = cut(texts.mapInArrow(tidy(_look_up(filters, hot_table, n_buckets)), f"of long, of_print long, spans binary, {packed}"))
+    others = settled.where(F.col("times") * HOT < total).mapInArrow(tidy(_send_settled(n_buckets)), packed)
     others = others.unionByName(found.where("spans is null").select("bucket", "kind", "blob", "size"))
-    others = others.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_spans_of_buckets, "of long, of_print long, spans binary")
+    others = others.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(tidy(_spans_of_buckets), "of long, of_print long, spans binary")
     return found.where("spans is not null").select("of", "of_print", "spans").unionByName(others)
 
 
@@ -726,13 +737,13 @@ def find_repeats(docs: DataFrame, common_docs: int = COMMON_DOCS) -> DataFrame:
     texts = small_batches(docs).where("doc_id is not null and octet_length(text) >= " + str(LENGTH)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count_bits = min(max((size // COUNT_BYTES).bit_length(), 6), 20)
-    keys = texts.select("doc_id", "text").mapInArrow(_send_keys(count_bits), "bucket int, once binary, more binary, many binary")
-    keys = cut(keys.repartition(1 << count_bits, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_keys(common_docs), "bucket int, n_shared long, n_common long, shared binary, common binary"))
+    keys = texts.select("doc_id", "text").mapInArrow(tidy(_send_keys(count_bits)), "bucket int, once binary, more binary, many binary")
+    keys = cut(keys.repartition(1 << count_bits, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_count_keys(common_docs)), "bucket int, n_shared long, n_common long, shared binary, common binary"))
     n, n_common = (x or 0 for x in keys.agg(F.sum("n_shared"), F.sum("n_common")).first())
     filters = spark.sparkContext.broadcast((_bitmap(keys, "shared", n, count_bits), _bitmap(keys, "common", n_common, count_bits)))
     n_buckets = max(LEAST_BUCKETS, -(-n // BUCKET_KEYS))
-    sent = texts.mapInArrow(_send_contexts(filters, n_buckets), "bucket int, blob binary, size long")
-    spans = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_spans, "of long, of_print long, spans binary")
+    sent = texts.mapInArrow(tidy(_send_contexts(filters, n_buckets)), "bucket int, blob binary, size long")
+    spans = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_find_spans), "of long, of_print long, spans binary")
     if n_common:
         spans = spans.unionByName(_common_spans(texts, filters))
     return spans.groupBy("of", "of_print").agg(F.collect_list("spans").alias("parts"))
@@ -768,7 +779,7 @@ def dedup_digests(docs: DataFrame, common_docs: int = COMMON_DOCS) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), common_docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), common_docs).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, common_docs: int = COMMON_DOCS) -> DataFrame:
@@ -782,4 +793,4 @@ def dedup_texts(docs: DataFrame, common_docs: int = COMMON_DOCS) -> DataFrame:
                 out.append(text if text is None or not parts else _cut_bytes(text.encode(), merge_spans(parts)).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
 
-    return _with_parts(docs, common_docs).select(*columns, "parts").mapInArrow(run, docs.schema)
+    return _with_parts(docs, common_docs).select(*columns, "parts").mapInArrow(tidy(run), docs.schema)

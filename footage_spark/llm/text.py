@@ -6,6 +6,8 @@ and the offsets of its rows.  A null text counts as empty everywhere.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -160,6 +162,22 @@ def small_batches(df):
     return df
 
 
+def tidy(run):
+    """run, for mapInArrow, that gives freed memory back to the system at the end of a partition.
+
+    Workers are used again for other stages, and wait beside those that work.
+    """
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
 def with_row(df):
     """The table with a number of its own for each row (column row), kept in the shared folder so that it stays the same."""
     from pyspark.sql import functions as F

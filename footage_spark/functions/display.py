@@ -14,25 +14,33 @@ def _col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x).cast("double")
 
 
+def _line(raw, b, c, floor):
+    """The linear part, for columns and for arrays alike."""
+    return floor((raw + b) * (1.0 + c / 50.0) + 0.5)
+
+
+def _bend(level, g, floor):
+    """The gamma part of a clamped level, for columns and for arrays alike."""
+    return floor(255.0 * (level / 255.0) ** (1.0 / g) + 0.5)
+
+
 def unclamped(raw: Column, brightness, contrast) -> Column:
     """The curve before clamping; below 0 or above 255 means the pixel is clipped."""
-    return F.floor((raw + _col(brightness)) * (F.lit(1.0) + _col(contrast) / 50.0) + 0.5)
+    return _line(raw, _col(brightness), _col(contrast), F.floor)
 
 
 def display_level(raw: Column, brightness, contrast, gamma) -> Column:
     """Display value 0..255 of a raw value: linear part, clamp, then gamma where it is neither 1 nor below 0."""
     low = F.least(F.greatest(unclamped(raw, brightness, contrast), F.lit(0)), F.lit(255)).cast("double")
     g = _col(gamma)
-    bent = F.floor(F.lit(255.0) * F.pow(low / 255.0, F.lit(1.0) / g) + 0.5)
-    return F.when((g != 1.0) & (g > 0.0), bent).otherwise(low).cast("int")
+    return F.when((g != 1.0) & (g > 0.0), _bend(low, g, F.floor)).otherwise(low).cast("int")
 
 
 def lut(brightness: float, contrast: float, gamma: float) -> bytes:
     """The same curve as 256 bytes, for binary pixels."""
-    level = np.clip(np.floor((np.arange(256.0) + brightness) * (1.0 + contrast / 50.0) + 0.5), 0, 255)
-    if gamma != 1 and gamma > 0:
-        level = np.floor(255.0 * (level / 255.0) ** (1.0 / gamma) + 0.5)
-    return level.astype(np.uint8).tobytes()
+    level = np.clip(_line(np.arange(256.0), brightness, contrast, np.floor), 0, 255)
+    bent = _bend(level, gamma, np.floor) if gamma != 1 and gamma > 0 else level
+    return bent.astype(np.uint8).tobytes()
 
 
 def frame_file_name(prefix, index: Column, extension) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.display import EXTENSIONS, frame_file_name
-from .pixels import LAYOUTS, expand
+from .pixels import LAYOUTS, column_batches, expand
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Pixels a metre (96 dpi) and gamma that files carry.
@@ -24,13 +24,19 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
+def _zlib(raw: bytes, level: int) -> bytes:
+    """A zlib stream with the header 78 5E that files state, whatever the level."""
+    pack = zlib.compressobj(level, zlib.DEFLATED, -15)
+    return b"\x78\x5e" + pack.compress(raw) + pack.flush() + struct.pack(">I", zlib.adler32(raw))
+
+
 def png(gray: bytes, width: int, height: int, layout: str = "gray8", level: int = 6) -> bytes:
     """A PNG without row filters."""
     size = LAYOUTS[layout]
     rows = np.zeros((height, 1 + width * size), np.uint8)
     rows[:, 1:] = np.frombuffer(expand(gray, layout), np.uint8).reshape(height, width * size)
     head = struct.pack(">IIBBBBB", width, height, 16 if layout.endswith("16") else 8, 6 if layout.startswith("rgba") else 0, 0, 0, 0)
-    body = [(b"IHDR", head), (b"sRGB", b"\0"), (b"gAMA", struct.pack(">I", GAMMA)), (b"pHYs", struct.pack(">IIB", PIXELS_A_METRE, PIXELS_A_METRE, 1)), (b"IDAT", zlib.compress(rows.tobytes(), level)), (b"IEND", b"")]
+    body = [(b"IHDR", head), (b"sRGB", b"\0"), (b"gAMA", struct.pack(">I", GAMMA)), (b"pHYs", struct.pack(">IIB", PIXELS_A_METRE, PIXELS_A_METRE, 1)), (b"IDAT", _zlib(rows.tobytes(), level)), (b"IEND", b"")]
     return SIGNATURE + b"".join(_chunk(*x) for x in body)
 
 
@@ -51,21 +57,36 @@ def tiff(gray: bytes, width: int, height: int) -> bytes:
     return struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags) + struct.pack("<I", 0) + gray
 
 
-def encode_frames(frames: DataFrame, fmt: str = "png", layout: str = "gray8", level: int = 6, prefix: str = "cam_", column: str = "mapped") -> DataFrame:
-    """recording, frame_index, file_name, format, image.  BMP and TIFF hold 8-bit gray, whatever the layout asked for."""
+def encoded_batches(fmt: str, layout: str, level: int, column: str, keep: list[str]):
+    """Batches of frames -> batches of the columns `keep` and `image`."""
     if fmt not in EXTENSIONS or layout not in LAYOUTS:
         raise ValueError(f"unknown format {fmt} or layout {layout}")
     level = min(max(level, 0), 9)
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for gray, w, h in zip(*(batch.column(c).to_pylist() for c in (column, "width", "height")), strict=True):
-                out.append(None if gray is None else png(gray, w, h, layout, level) if fmt == "png" else bmp(gray, w, h) if fmt == "bmp" else tiff(gray, w, h))
-            yield pa.RecordBatch.from_arrays([batch.column("recording"), batch.column("frame_index"), pa.array(out, pa.binary())], names=["recording", "frame_index", "image"])
+    def make(batch):
+        out = []
+        for gray, w, h in zip(*(batch.column(c).to_pylist() for c in (column, "width", "height")), strict=True):
+            out.append(None if gray is None else png(gray, w, h, layout, level) if fmt == "png" else bmp(gray, w, h) if fmt == "bmp" else tiff(gray, w, h))
+        return pa.array(out, pa.binary())
+
+    return column_batches(keep, "image", make)
+
 
-    made = frames.select("recording", "frame_index", "width", "height", column).mapInArrow(run, "recording string, frame_index long, image binary")
-    return made.select("recording", "frame_index", frame_file_name(prefix, F.col("frame_index"), EXTENSIONS[fmt]).alias("file_name"), F.lit(fmt).alias("format"), "image")
+def name_images(images: DataFrame, fmt: str, prefix: str) -> DataFrame:
+    """images(recording, frame_index, image) with file_name and format, and out_name where they have it."""
+    named = ["out_name"] if "out_name" in images.columns else []
+    return images.select("recording", "frame_index", *named, frame_file_name(prefix, F.col("frame_index"), EXTENSIONS[fmt]).alias("file_name"), F.lit(fmt).alias("format"), "image")
+
+
+def encode_frames(frames: DataFrame, fmt: str = "png", layout: str = "gray8", level: int = 6, prefix: str = "cam_", column: str = "mapped") -> DataFrame:
+    """recording, frame_index, file_name, format, image, and out_name where frames have it.
+
+    BMP and TIFF hold 8-bit gray, whatever the layout asked for.
+    """
+    keep = ["recording", "frame_index", *(["out_name"] if "out_name" in frames.columns else [])]
+    schema = T.StructType([*frames.select(*keep).schema, T.StructField("image", T.BinaryType())])
+    made = frames.select(*keep, "width", "height", column).mapInArrow(encoded_batches(fmt, layout, level, column, keep), schema)
+    return name_images(made, fmt, prefix)
 
 
 def list_frame_images(spark: SparkSession, root: str, prefix: str = "cam_", extension: str = ".Png") -> DataFrame:

@@ -13,40 +13,54 @@ from ..functions.display import display_level, lut, unclamped
 LAYOUTS = {"gray8": 1, "gray16": 2, "rgba8": 4, "rgba16": 8}
 
 
+#: What a frame needs of its recording's row to be mapped.
+CURVE = ("mode_b", "mode_c", "mode_g")
+#: Most recordings whose curves are sent to every task: some hundred bytes each.
+MOST_CURVES = 200_000
+
+
 def with_curve(frames: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Frames with mode_b, mode_c, mode_g of their own recording.
+    """Frames with mode_b, mode_c, mode_g of their own recording, for frames that did not bring them.
 
-    The catalogue side has a few numbers a recording; Spark broadcasts it where it is below the
-    session's threshold and joins by shuffle of the catalogue and the frames' keys otherwise.
+    read_frames(carry=CURVE) needs no join.  Here up to MOST_CURVES recordings are counted and sent to
+    every task, so pixels stay where they are; with more the frames are shuffled by recording.
     """
-    return frames.join(recordings.select("recording", "mode_b", "mode_c", "mode_g"), "recording")
+    curves = recordings.select("recording", *CURVE)
+    few = curves.limit(MOST_CURVES + 1).count() <= MOST_CURVES
+    return frames.join(F.broadcast(curves) if few else curves, "recording")
+
+
+def column_batches(keep: list[str], name: str, make):
+    """Batches -> batches of the columns `keep` and one that is made from each batch."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), make(batch)], names=[*keep, name])
+
+    return run
 
 
 def _with_column(df: DataFrame, name: str, kind: str, make) -> DataFrame:
     """df with a column made from each Arrow batch; a column of that name is replaced."""
     keep = [c for c in df.columns if c != name]
     schema = T.StructType([*df.select(*keep).schema, *T.StructType.fromDDL(f"{name} {kind}")])
+    return df.mapInArrow(column_batches(keep, name, make), schema)
 
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), make(batch)], names=[*keep, name])
 
-    return df.mapInArrow(run, schema)
+def mapped_pixels(batch) -> pa.Array:
+    """Pixels of a batch through their frames' curves."""
+    tables: dict[tuple, bytes] = {}
+    out = []
+    for raw, b, c, g in zip(*(batch.column(x).to_pylist() for x in ("pixels", *CURVE)), strict=True):
+        if (b, c, g) not in tables and None not in (b, c, g):
+            tables[b, c, g] = lut(b, c, g)
+        out.append(None if raw is None or None in (b, c, g) else raw.translate(tables[b, c, g]))
+    return pa.array(out, pa.binary())
 
 
 def apply_display_transform(frames: DataFrame) -> DataFrame:
     """`mapped`: pixels through the frame's curve (mode_b, mode_c, mode_g); null pixels stay null."""
-
-    def make(batch):
-        tables: dict[tuple, bytes] = {}
-        out = []
-        for raw, b, c, g in zip(*(batch.column(x).to_pylist() for x in ("pixels", "mode_b", "mode_c", "mode_g")), strict=True):
-            if (b, c, g) not in tables and None not in (b, c, g):
-                tables[b, c, g] = lut(b, c, g)
-            out.append(None if raw is None or None in (b, c, g) else raw.translate(tables[b, c, g]))
-        return pa.array(out, pa.binary())
-
-    return _with_column(frames, "mapped", "binary", make)
+    return _with_column(frames, "mapped", "binary", mapped_pixels)
 
 
 def expand(gray: bytes, layout: str) -> bytes:
@@ -115,7 +129,11 @@ def saturation_report(histogram: DataFrame, curves: DataFrame) -> DataFrame:
     )
 
 
-def playback_timeline(frames: DataFrame, fps: float, start: int = 0) -> DataFrame:
-    """Mapped frames with pts in seconds, in order within each recording."""
-    out = apply_display_transform(frames).withColumn("pts", (F.col("frame_index") - start) / F.lit(float(fps)))
-    return out.repartitionByRange("recording", "frame_index").sortWithinPartitions("recording", "frame_index")
+def playback_timeline(frames: DataFrame, fps: float, start: int = 0, in_order: bool = False) -> DataFrame:
+    """Mapped frames with pts in seconds, in order within each recording, without the raw pixels.
+
+    in_order: the frames come from read_frames(in_order=True) and are in order already; others are
+    dealt by range of (recording, frame_index), which moves the mapped pixels.
+    """
+    out = apply_display_transform(frames).drop("pixels").withColumn("pts", (F.col("frame_index") - start) / F.lit(float(fps)))
+    return out if in_order else out.repartitionByRange("recording", "frame_index").sortWithinPartitions("recording", "frame_index")

@@ -37,7 +37,7 @@ SQL: dict[str, str] = {
     "s7_frame_range": f"WITH {FRAMES} SELECT recording, frame_index, {RAW_MD5} AS md5 FROM f WHERE frame_index BETWEEN 10 AND 24",
     "s8_read_timestamps": f"WITH {FRAMES} SELECT recording, frame_index, 10000000 + 2000 * frame_index AS timestamp_raw, printf('0x%016X', 10000000 + 2000 * frame_index) AS timestamp_hex FROM f",
     "s9_frame_lookup": f"WITH {FRAMES}, n AS ({COUNTED}) SELECT f.recording, frame_index, {MAPPED_MD5} AS md5 FROM f JOIN n ON f.recording = n.recording AND frame_index = n // 2",
-    "s10_list_frame_images": "SELECT printf('brow_%05d.Png', o_orderkey) AS file_name, o_orderkey AS frame_index FROM orders WHERE o_orderkey % 5 <> 0",
+    "s10_list_frame_images": "SELECT printf('shot_%05d.Png', o_orderkey) AS file_name, o_orderkey AS frame_index FROM orders WHERE o_orderkey % 5 <> 0",
     "s11_read_frame_images": f"WITH {FRAMES} SELECT recording, frame_index, 8 AS width, 8 AS height, 16 AS bit_depth, 6 AS color_type, CAST(NULL AS VARCHAR) AS error, {MAPPED_MD5} AS md5 FROM f",
     "t1_build_lut": """WITH g AS (SELECT DISTINCT p_size AS b FROM part), r AS (SELECT b, CAST(i AS INTEGER) AS raw, least(greatest(floor((i + b) * 1.36 + 0.5), 0), 255) AS l FROM g, unnest(range(0, 256)) u(i))
       SELECT b, raw, CAST(CASE WHEN b % 2 = 0 THEN floor(255.0 * pow(l / 255.0, 1.0 / 2.2::DOUBLE) + 0.5) ELSE l END AS INTEGER) AS level FROM r""",
@@ -45,7 +45,7 @@ SQL: dict[str, str] = {
     "t3_resolve_mode": f"WITH {CATALOG} SELECT p_partkey, 'reference' AS mode, CASE WHEN has THEN w::DOUBLE END AS mode_b, CASE WHEN has THEN 18::DOUBLE END AS mode_c, CASE WHEN has THEN 1::DOUBLE END AS mode_g, status FROM s",
     "t4_expand_layout": f"WITH {FRAMES} SELECT recording, frame_index, 512 AS n_bytes, md5(unhex(list_aggregate(list_transform({MAPPED}, lambda v: repeat(printf('%02x', v), 6) || 'ffff'), 'string_agg', ''))) AS md5 FROM f",
     "t5_explode_pixels": f"WITH {PIXELS} SELECT recording, frame_index, CAST(pos % 8 AS INTEGER) AS x, CAST(pos // 8 AS INTEGER) AS y, r AS raw, {LEVEL} AS mapped FROM p",
-    "t6_frame_names": "SELECT o_orderkey, printf('brow_%05d.Png', o_orderkey) AS file_name, 'cam_' || (o_orderkey // 10) || '_' || (o_orderkey % 10) AS out_name FROM orders",
+    "t6_frame_names": "SELECT o_orderkey, printf('shot_%05d.Png', o_orderkey) AS file_name, 'cam_' || (o_orderkey // 10) || '_' || (o_orderkey % 10) AS out_name FROM orders",
     "t7_playback_timeline": f"WITH {FRAMES} SELECT recording, frame_index, (frame_index - 5) / 25.0::DOUBLE AS pts, {MAPPED_MD5} AS md5 FROM f WHERE frame_index BETWEEN 5 AND 24",
     "j1_sidecar_pairing": "SELECT p_partkey, p_partkey % 3 > 0 AS paired, CASE WHEN p_partkey % 3 > 0 THEN p_size END AS xml_width FROM part",
     "j2_verify_pairing": f"WITH {FRAMES} SELECT recording || printf('/cam_%05d.Png', frame_index) AS file_name, frame_index, CASE WHEN frame_index % 2 = 0 THEN 'equal' ELSE 'only_ref' END AS outcome FROM f",
@@ -74,7 +74,7 @@ SQL: dict[str, str] = {
     "v3_fingerprint_set_equal": f"WITH {FX4}, a AS (SELECT md5(text) AS m FROM ref EXCEPT ALL SELECT md5(text) FROM o), b AS (SELECT md5(text) AS m FROM o EXCEPT ALL SELECT md5(text) FROM ref) SELECT *, only_a = 0 AND only_b = 0 AS equal FROM (SELECT (SELECT count(*) FROM a) AS only_a, (SELECT count(*) FROM b) AS only_b)",
     "x1_write_timestamps": f"WITH {TICKS} SELECT 'cam_' || recording || '_timestamps' AS name, frame_index, tick AS timestamp_raw, printf('0x%016X', tick) AS timestamp_hex FROM t",
     "x2_encode_frames": f"WITH {FRAMES} SELECT recording, frame_index, layout, {MAPPED_MD5} AS md5, CAST(NULL AS VARCHAR) AS error FROM f, (VALUES ('gray8'), ('gray16'), ('rgba8'), ('rgba16')) l(layout)",
-    "x3_bmp_tiff": f"WITH {FRAMES} SELECT recording, frame_index, format, n_bytes, md5(unhex({HEX.format('(' + MAPPED + ')[57:64]')})) AS md5 FROM f, (VALUES ('bmp', 1142), ('tiff', 198)) l(format, n_bytes)",
+    "x3_bmp_tiff": f"WITH {FRAMES} SELECT recording, frame_index, format, n_bytes, {MAPPED_MD5} AS md5 FROM f, (VALUES ('bmp', 1142), ('tiff', 198)) l(format, n_bytes)",
     "x4_write_frame_files": f"WITH {FRAMES} SELECT recording, frame_index, 198::BIGINT AS bytes FROM f",
     "x5_write_metadata": f"SELECT recording AS out_name, 8 AS width, n AS frames, 10000000 + 2000 * (n - 1) AS last_tick, 500.0::DOUBLE AS effective_fps, recording AS camera FROM ({COUNTED})",
     "x6_extract": f"SELECT recording, n AS frames_written, n AS frames_total, n * 72 AS input_bytes FROM ({COUNTED}) WHERE recording = 'cam_3'",

@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.images import encode_frames
-from ..operators.pixels import apply_display_transform, with_curve
+from ..operators.images import encoded_batches, name_images
+from ..operators.pixels import CURVE, column_batches, mapped_pixels
 from ..operators.timing import recording_metadata
-from ..sources.footage import read_frames, read_timestamps
+from ..sources.footage import plan_scan, read_timestamps, scan_batches, small_batches
 from ..sources.recordings import recordings
 
 
+def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows with the out_name that they brought from the source, else by a join with names."""
+    return rows if "out_name" in rows.columns else rows.join(names.select("recording", "out_name"), "recording")
+
+
 def write_timestamps(timestamps: DataFrame, names: DataFrame, path: str) -> None:
     """CSV (frame_index, timestamp_raw, timestamp_hex) in a folder for each recording, named <out_name>_timestamps."""
-    named = timestamps.join(names.select("recording", F.concat("out_name", F.lit("_timestamps")).alias("name")), "recording")
+    named = _named(timestamps, names).withColumn("name", F.concat("out_name", F.lit("_timestamps")))
     named.select("name", "frame_index", "timestamp_raw", "timestamp_hex").sortWithinPartitions("name", "frame_index").write.mode("overwrite").partitionBy("name").csv(path, header=True)
 
 
@@ -29,7 +35,7 @@ def write_metadata(ticks: DataFrame, catalog: DataFrame, path: str) -> None:
 
 def write_images(images: DataFrame, names: DataFrame, path: str) -> None:
     """The lake form: Parquet by recording."""
-    images.join(names.select("recording", "out_name"), "recording").write.mode("overwrite").partitionBy("out_name").parquet(path)
+    _named(images, names).write.mode("overwrite").partitionBy("out_name").parquet(path)
 
 
 def write_frame_files(images: DataFrame, names: DataFrame, out_root: str) -> DataFrame:
@@ -53,14 +59,22 @@ def write_frame_files(images: DataFrame, names: DataFrame, out_root: str) -> Dat
                 sizes.append(len(image))
             yield pa.RecordBatch.from_arrays([batch.column("recording"), batch.column("frame_index"), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["recording", "frame_index", "path", "bytes"])
 
-    named = images.join(names.select("recording", "out_name"), "recording").where("image is not null")
+    named = _named(images, names).where("image is not null")
     return named.select("recording", "frame_index", "out_name", "file_name", "image").mapInArrow(run, "recording string, frame_index long, path string, bytes long")
 
 
 def extract_images(spark: SparkSession, catalog: DataFrame, start: int = 0, count: int | None = None, fmt: str = "png", layout: str = "gray8", level: int = 6, prefix: str = "cam_") -> DataFrame:
-    """Scan, curve, layout and encoding as one lazy chain."""
-    frames = with_curve(read_frames(spark, catalog, start, count), catalog.withColumn("recording", F.regexp_replace("recording", "^file:", "")))
-    return encode_frames(apply_display_transform(frames), fmt, layout, level, prefix)
+    """Scan, curve, layout and encoding in one pass of a worker: a task gets chunk rows and gives images.
+
+    Curve and out_name stand in the chunk's row, so nothing is joined, and raw pixels never leave the worker.
+    """
+    carry, keep = [*CURVE, "out_name"], ["recording", "frame_index", "out_name"]
+    scan = scan_batches(["recording", "frame_index", "width", "height", "pixels"], carry)
+    mapped = column_batches([*keep, "width", "height"], "mapped", mapped_pixels)
+    encoded = encoded_batches(fmt, layout, level, "mapped", keep)
+    small_batches(spark)
+    made = plan_scan(catalog, start, count, carry).mapInArrow(lambda batches: encoded(mapped(scan(batches))), "recording string, frame_index long, out_name string, image binary")
+    return name_images(made, fmt, prefix)
 
 
 def extract_report(images: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -78,17 +92,18 @@ def with_speed(report: DataFrame, seconds: float) -> DataFrame:
 
 
 def batch_extract(spark: SparkSession, root: str, out: str, start: int = 0, count: int | None = None, fmt: str = "png", layout: str = "gray8", level: int = 6, files: bool = False, recording: str | None = None, **options) -> DataFrame:
-    """All recordings under root (or one): images, timestamps and metadata under out; returns the report.
+    """All recordings under root (or one): images, timestamps and metadata under out; returns the report with its speed.
 
     Recordings that cannot be read go to out/failed with their status; the others go on.
     """
+    began = time.time()
     catalog = recordings(spark, root, **options)
     if recording is not None:
         catalog = catalog.where(F.regexp_replace("recording", "^file:", "") == recording.removeprefix("file:"))
     catalog = catalog.withColumn("recording", F.regexp_replace("recording", "^file:", ""))
     catalog.where("status <> 'ok'").write.mode("overwrite").parquet(f"{out}/failed")
     good = catalog.where("status = 'ok'")
-    images = extract_images(spark, good, start, count, fmt, layout, level)
+    images = extract_images(spark, good, start, count, fmt, layout, level)  # the speed is of the whole run
     if files:
         written = write_frame_files(images, good, f"{out}/frames")
         written.write.mode("overwrite").parquet(f"{out}/manifest")
@@ -96,7 +111,7 @@ def batch_extract(spark: SparkSession, root: str, out: str, start: int = 0, coun
     else:
         write_images(images, good, f"{out}/images")
         done = spark.read.parquet(f"{out}/images")
-    stamps = read_timestamps(spark, good, start, count)
+    stamps = read_timestamps(spark, good, start, count, carry=["out_name"])
     write_timestamps(stamps, good, f"{out}/timestamps")
     write_metadata(stamps.withColumnRenamed("timestamp_raw", "tick"), good, f"{out}/metadata")
-    return extract_report(done, good)
+    return with_speed(extract_report(done, good), time.time() - began)

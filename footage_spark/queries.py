@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +24,15 @@ B, C, G = fx.BRIGHTNESS, fx.CONTRAST, fx.GAMMA
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
+    """A new folder that driver and executors share; one under /tmp only in local mode, where none is named (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         return tempfile.mkdtemp(prefix="spark-lake-")
-    import os
-    import uuid
-
-    path = f"{base.removeprefix('file://').removeprefix('file:')}/lake-{uuid.uuid4().hex}"
+    path = f"{ft.local_path(base)}/lake-{uuid.uuid4().hex}"
+    if "://" in path:
+        raise ValueError("recordings are opened by path: the shared folder must be mounted")
     os.makedirs(path)
     return path
 
@@ -97,16 +100,16 @@ def s8_read_timestamps(spark, sf_dir):
 
 
 def s9_frame_lookup(spark, sf_dir):
-    """The middle frame of every recording, display-mapped: a semi join with the asked-for indices."""
+    """The middle frame of every recording, display-mapped; no other frame is read."""
     _, catalog = _lake(spark, sf_dir)
-    asked = _short(catalog).select("recording", F.expr("frames_total div 2").alias("frame_index"))
-    frames = _short(ft.read_frames(spark, catalog)).join(asked, ["recording", "frame_index"], "left_semi")
-    return px.apply_display_transform(px.with_curve(frames, _short(catalog))).select("recording", "frame_index", F.md5("mapped").alias("md5"))
+    asked = catalog.select("recording", F.expr("frames_total div 2").alias("frame_index"))
+    frames = ft.read_frames_at(spark, catalog, asked, carry=px.CURVE)
+    return _short(px.apply_display_transform(frames)).select("recording", "frame_index", F.md5("mapped").alias("md5"))
 
 
 def s10_list_frame_images(spark, sf_dir):
-    names = fx.table(spark, sf_dir, "orders").select(frame_file_name("brow_", F.col("o_orderkey"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("a.Png")).otherwise(F.lit(".Png"))).alias("file_name"))
-    return im.named_frames(names, "brow_", ".Png")
+    names = fx.table(spark, sf_dir, "orders").select(frame_file_name("shot_", F.col("o_orderkey"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("a.Png")).otherwise(F.lit(".Png"))).alias("file_name"))
+    return im.named_frames(names, "shot_", ".Png")
 
 
 def s11_read_frame_images(spark, sf_dir):
@@ -148,12 +151,14 @@ def t5_explode_pixels(spark, sf_dir):
 
 def t6_frame_names(spark, sf_dir):
     orders = fx.table(spark, sf_dir, "orders")
-    return orders.select("o_orderkey", frame_file_name("brow_", F.col("o_orderkey"), ".Png").alias("file_name"), output_name(F.concat(F.lit("cam_"), (F.col("o_orderkey") / 10).cast("decimal(20,1)").cast("string"))).alias("out_name"))
+    return orders.select("o_orderkey", frame_file_name("shot_", F.col("o_orderkey"), ".Png").alias("file_name"), output_name(F.concat(F.lit("cam_"), (F.col("o_orderkey") / 10).cast("decimal(20,1)").cast("string"))).alias("out_name"))
 
 
 def t7_playback_timeline(spark, sf_dir):
-    frames = _curved(spark, sf_dir).where("frame_index between 5 and 24")
-    return px.playback_timeline(frames, 25.0, 5).select("recording", "frame_index", "pts", F.md5("mapped").alias("md5"))
+    """Frames 5 to 24 of every recording in order; the order is that of the chunks."""
+    _, catalog = _lake(spark, sf_dir)
+    frames = ft.read_frames(spark, catalog, 5, 20, carry=px.CURVE, in_order=True)
+    return _short(px.playback_timeline(frames, 25.0, 5, in_order=True)).select("recording", "frame_index", "pts", F.md5("mapped").alias("md5"))
 
 
 # joins
@@ -162,8 +167,8 @@ def t7_playback_timeline(spark, sf_dir):
 def j1_sidecar_pairing(spark, sf_dir):
     """part as files, those with p_partkey % 3 > 0 have a sidecar: which are paired."""
     bins = fx.table(spark, sf_dir, "part").select(F.concat(F.lit("cam_"), "p_partkey").alias("stem"), "p_partkey")
-    cars = rc.parse_sidecars(fx.sidecar_rows(spark, sf_dir).where("p_partkey % 3 > 0")).select(F.concat(F.lit("cam_"), "p_partkey").alias("stem"), "xml_width")
-    return bins.join(cars, "stem", "left").select("p_partkey", F.col("xml_width").isNotNull().alias("paired"), "xml_width")
+    cars = rc.parse_sidecars(fx.sidecar_rows(spark, sf_dir).where("p_partkey % 3 > 0")).select(F.concat(F.lit("cam_"), "p_partkey").alias("car"), "xml_width", "has_processing")
+    return rc.pair_sidecars(bins, cars, "stem", "car").select("p_partkey", F.col("xml_width").isNotNull().alias("paired"), "xml_width")
 
 
 def _fx4(spark, sf_dir):
@@ -282,18 +287,18 @@ def x2_encode_frames(spark, sf_dir):
 
 
 def x3_bmp_tiff(spark, sf_dir):
-    """Sizes of the files and the pixels found in them by their offsets."""
+    """Sizes of the files, and all pixels of the 8 x 8 frames found in them by their offsets (BMP has the last row first)."""
     mapped = px.apply_display_transform(_curved(spark, sf_dir))
-    bmp = im.encode_frames(mapped, "bmp").select("recording", "frame_index", "format", F.octet_length("image").alias("n_bytes"), F.md5(F.expr("substring(image, 1079, 8)")).alias("md5"))
-    tiff = im.encode_frames(mapped, "tiff").select("recording", "frame_index", "format", F.octet_length("image").alias("n_bytes"), F.md5(F.expr("substring(image, octet_length(image) - 7, 8)")).alias("md5"))
-    return bmp.unionByName(tiff)  # 8 x 8: both show the last row
+    rows = F.concat(*[F.expr(f"substring(image, {1079 + 8 * k}, 8)") for k in range(7, -1, -1)])
+    bmp = im.encode_frames(mapped, "bmp").select("recording", "frame_index", "format", F.octet_length("image").alias("n_bytes"), F.md5(rows).alias("md5"))
+    tiff = im.encode_frames(mapped, "tiff").select("recording", "frame_index", "format", F.octet_length("image").alias("n_bytes"), F.md5(F.expr("substring(image, octet_length(image) - 63, 64)")).alias("md5"))
+    return bmp.unionByName(tiff)
 
 
 def x4_write_frame_files(spark, sf_dir):
     root, catalog = _lake(spark, sf_dir)
-    names = catalog.withColumn("recording", F.regexp_replace("recording", "^file:", ""))
-    images = ex.extract_images(spark, names, fmt="tiff")
-    written = ex.write_frame_files(images, names, f"{root}/out")
+    images = ex.extract_images(spark, catalog, fmt="tiff")
+    written = ex.write_frame_files(images, catalog, f"{root}/out")
     return _short(written).select("recording", "frame_index", "bytes")
 
 
@@ -334,7 +339,7 @@ def st1_ingest_new_recordings(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Recordings written and read by the source, mapped, and their clipping reported."""
     _, catalog = _lake(spark, sf_dir)
-    return px.saturation_report(px.pixel_histogram(_short(ft.read_frames(spark, catalog))), _short(catalog))
+    return px.saturation_report(_short(px.pixel_histogram(ft.read_frames(spark, catalog))), _short(catalog))
 
 
 NAMES = """s1_discover_recordings s2_parse_footage s3_recordings s4_resolve_geometry s5_resolve_frame_count s6_footage s7_frame_range s8_read_timestamps

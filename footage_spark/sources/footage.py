@@ -1,24 +1,34 @@
-"""The `footage` batch source: frames of many recordings, read in parallel by seeking.
+"""Frames of many recordings, read in parallel by seeking.
 
-A frame is an unsigned 64-bit little-endian tick and width * height bytes.  Ranges are load options
-(each partition is one chunk of one recording); a schema without `pixels` makes the reader skip the
-pixel bytes.  Paths are opened where tasks run: use a shared mount.
+A frame is an unsigned 64-bit little-endian tick and width * height bytes.  The work is planned as a
+table of chunks (a run of frames of one recording), made from the catalogue by expressions: ranges
+cut it before anything is read, what a frame needs of its recording (curve, output name) stands in
+the chunk's row, and no join is needed once there are pixels.  The `footage` batch source takes the
+same chunks from load options.  Paths are opened where tasks run: use a shared mount.
 """
 
 from __future__ import annotations
 
 import json
-import struct
+import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "recording string, frame_index bigint, tick bigint, width int, height int, pixels binary"
 HEADERS = "recording string, frame_index bigint, tick bigint"
+TYPES = {"recording": pa.string(), "frame_index": pa.int64(), "tick": pa.int64(), "width": pa.int32(), "height": pa.int32(), "pixels": pa.binary()}
 CHUNK_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+#: Frames of a chunk of headers, and the largest frame whose header is read along with its pixels.
+HEADER_FRAMES, HEADER_BLOCK = 1 << 18, 4096
+#: Most partitions of a scan; a partition then has several chunks.
+MOST_PARTITIONS = 100_000
 
 
 @dataclass
@@ -31,6 +41,51 @@ class Chunk(InputPartition):
     height: int
 
 
+def local_path(recording: str) -> str:
+    return recording.removeprefix("file://").removeprefix("file:")
+
+
+def _block(fd: int, at: int, size: int) -> bytes:
+    """Bytes [at, at + size) of a file, fewer at its end."""
+    parts = []
+    while size > 0 and (got := os.pread(fd, size, at)):
+        parts.append(got)
+        at, size = at + len(got), size - len(got)
+    return b"".join(parts)
+
+
+def read_chunk(c: Chunk, fields: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of a chunk's frames; without `pixels` only 8 bytes of a large frame are read.  A cut-off frame is left out."""
+    if not c.n:
+        return
+    size, wanted = c.width * c.height, "pixels" in fields
+    whole = wanted or c.stride <= HEADER_BLOCK
+    per = max(1, BATCH_BYTES // c.stride) if whole else 65536
+    fd = os.open(c.path, os.O_RDONLY)
+    try:
+        for a in range(c.first, c.first + c.n, per):
+            m = min(per, c.first + c.n - a)
+            if whole:
+                raw = np.frombuffer(_block(fd, a * c.stride, m * c.stride), np.uint8)
+                m = len(raw) // c.stride
+                frames = raw[: m * c.stride].reshape(m, c.stride)
+                ticks = np.ascontiguousarray(frames[:, :8]).view("<i8").ravel()
+            else:
+                heads = [os.pread(fd, 8, i * c.stride) for i in range(a, a + m)]
+                heads = [h for h in heads if len(h) == 8]
+                m, ticks = len(heads), np.frombuffer(b"".join(heads), "<i8")
+            have = {"recording": lambda m=m: pa.array([c.path] * m, pa.string()), "frame_index": lambda a=a, m=m: pa.array(np.arange(a, a + m)), "tick": lambda t=ticks: pa.array(t)}
+            have |= {"width": lambda m=m: pa.array(np.full(m, c.width, np.int32)), "height": lambda m=m: pa.array(np.full(m, c.height, np.int32))}
+            if wanted:
+                body = np.ascontiguousarray(frames[:, 8 : 8 + size])
+                ends = pa.py_buffer((np.arange(m + 1) * size).astype(np.int32))
+                have["pixels"] = lambda m=m, ends=ends, body=body: pa.Array.from_buffers(pa.binary(), m, [None, ends, pa.py_buffer(body)])
+            if m:
+                yield pa.record_batch([have[f]() for f in fields], fields)
+    finally:
+        os.close(fd)
+
+
 class FootageReader(DataSourceReader):
     def __init__(self, options, schema):
         self.catalog = json.loads(options.get("catalog", "[]"))
@@ -45,28 +100,12 @@ class FootageReader(DataSourceReader):
         return out or [Chunk("", 0, 0, 8, 0, 0)]
 
     def read(self, part):
-        size, wanted = part.width * part.height, "pixels" in self.fields
-        types = {"recording": pa.string(), "frame_index": pa.int64(), "tick": pa.int64(), "width": pa.int32(), "height": pa.int32(), "pixels": pa.binary()}
-        per = max(1, BATCH_BYTES // part.stride) if wanted else 65536
-        if not part.n:
-            return
-        with open(part.path, "rb") as file:
-            for a in range(part.first, part.first + part.n, per):
-                ticks, pixels = [], []
-                for i in range(a, min(a + per, part.first + part.n)):
-                    file.seek(i * part.stride)
-                    head = file.read(8)
-                    if len(head) < 8:
-                        break
-                    ticks.append(struct.unpack("<q", head)[0])
-                    if wanted:
-                        pixels.append(file.read(size))
-                n = len(ticks)
-                have = {"recording": [part.path] * n, "frame_index": list(range(a, a + n)), "tick": ticks, "width": [part.width] * n, "height": [part.height] * n, "pixels": pixels}
-                yield pa.record_batch([pa.array(have[f], types[f]) for f in self.fields], self.fields)
+        yield from read_chunk(part, self.fields)
 
 
 class FootageSource(DataSource):
+    """spark.read.format("footage") with the option `catalog`: a JSON list of path, first, n, stride, width, height."""
+
     @classmethod
     def name(cls):
         return "footage"
@@ -78,56 +117,89 @@ class FootageSource(DataSource):
         return FootageReader(self.options, schema)
 
 
-def _load(spark: SparkSession, recordings: DataFrame, schema: str, start: int, count: int | None) -> DataFrame:
-    """Only rows with status ok are read; a start past every recording's end raises."""
+def load_footage(spark: SparkSession, catalog: list[dict], schema: str = SCHEMA) -> DataFrame:
+    """Frames of a few recordings by the batch source; the list passes the driver."""
     spark.dataSource.register(FootageSource)
-    rows = recordings.where("status = 'ok'").select("recording", "frame_stride", "width", "height", "frames_total").collect()  # one small row a recording
-    catalog = []
-    for r in rows:
-        n = r["frames_total"] - start if count is None else min(count, r["frames_total"] - start)
-        if start >= 0 and n > 0:
-            catalog.append({"path": r["recording"].removeprefix("file:"), "first": start, "n": n, "stride": r["frame_stride"], "width": r["width"], "height": r["height"]})
-    if rows and not catalog:
-        raise ValueError(f"no recording has frame {start}")
     return spark.read.format("footage").schema(schema).option("catalog", json.dumps(catalog)).load()
 
 
-def read_frames(spark: SparkSession, recordings: DataFrame, start: int = 0, count: int | None = None) -> DataFrame:
-    """Frames [start, start + count) of every recording, by absolute index."""
-    return _load(spark, recordings, SCHEMA, start, count)
+def plan_chunks(recordings: DataFrame, start: int = 0, count: int | None = None, chunk_bytes: int = CHUNK_BYTES, least_frames: int = 1, carry=()) -> DataFrame:
+    """recording, frame_stride, width, height, first, n and the carried columns of each chunk of the frames [start, start + count)."""
+    end = F.col("frames_total") if count is None else F.least(F.col("frames_total"), F.lit(start + count).cast("long"))
+    per = F.greatest(F.expr(f"{chunk_bytes}L div frame_stride"), F.lit(least_frames).cast("long"))
+    ok = recordings.where("status = 'ok'").withColumn("end", end).withColumn("per", per).where((F.col("end") > start) & F.lit(start >= 0))
+    parts = ok.select(F.regexp_replace("recording", "^file:(//)?", "").alias("recording"), "frame_stride", "width", "height", "end", "per", *carry, F.explode(F.sequence(F.lit(start).cast("long"), F.col("end") - 1, F.col("per"))).alias("first"))
+    return parts.select("recording", "frame_stride", "width", "height", "first", F.least("per", F.col("end") - F.col("first")).alias("n"), *carry)
 
 
-def read_timestamps(spark: SparkSession, recordings: DataFrame, start: int = 0, count: int | None = None) -> DataFrame:
-    """The same range without pixels: 8 bytes a frame are read."""
-    from ..functions.display import tick_hex
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to and from workers in batches of BATCH_BYTES at most: the session's setting is lowered where it is higher."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
-    heads = _load(spark, recordings, HEADERS, start, count)
-    return heads.select("recording", "frame_index", F.col("tick").alias("timestamp_raw"), tick_hex(F.col("tick")).alias("timestamp_hex"))
 
+def scan_batches(fields: list[str], carry=()):
+    """Batches of chunk rows -> batches of their frames, each with the carried columns of its chunk."""
 
-def read_frame(spark: SparkSession, recordings: DataFrame, recording: str, index: int) -> DataFrame:
-    """One frame; the index is clamped to the recording's frames."""
-    one = recordings.where(F.col("recording") == recording)
-    total = one.select("frames_total").first()
-    last = (total["frames_total"] if total and total["frames_total"] else 1) - 1
-    return _load(spark, one, SCHEMA, max(0, min(index, last)), 1)
+    def run(batches):
+        for batch in batches:
+            rest = [batch.column(c) for c in carry]
+            for i, r in enumerate(batch.select(["recording", "first", "n", "frame_stride", "width", "height"]).to_pylist()):
+                for out in read_chunk(Chunk(local_path(r["recording"]), r["first"], r["n"], r["frame_stride"], r["width"], r["height"]), fields):
+                    again = pa.array(np.full(out.num_rows, i))
+                    yield pa.RecordBatch.from_arrays([*out.columns, *(x.take(again) for x in rest)], names=[*fields, *carry])
 
+    return run
 
-def read_chunks(spark: SparkSession, recordings: DataFrame, chunk_frames: int = 512) -> DataFrame:
-    """The same frames for very many recordings: the chunks are rows, so no catalogue passes the driver."""
-    ok = recordings.where("status = 'ok' and frames_total > 0").select("recording", "frame_stride", "width", "height", "frames_total")
-    parts = ok.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames_total") - 1, F.lit(chunk_frames).cast("long"))).alias("first"))
-    parts = parts.withColumn("n", F.least(F.lit(chunk_frames).cast("long"), F.col("frames_total") - F.col("first")))
 
-    class Schema:
-        fields = [type("F", (), {"name": n}) for n in ("recording", "frame_index", "tick", "width", "height", "pixels")]
+def scan_chunks(parts: DataFrame, schema: str = SCHEMA, carry=()) -> DataFrame:
+    """Frames of chunk rows, each with the carried columns of its chunk."""
+    small_batches(parts.sparkSession)
+    full = T.StructType([*T.StructType.fromDDL(schema), *parts.select(*carry).schema])
+    return parts.mapInArrow(scan_batches([f.name for f in T.StructType.fromDDL(schema)], carry), full)
 
-    def run(batches):
-        reader = FootageReader({}, Schema)
-        for batch in batches:
-            for r in batch.to_pylist():
-                for out in reader.read(Chunk(r["recording"].removeprefix("file:"), r["first"], r["n"], r["frame_stride"], r["width"], r["height"])):
-                    arrays = [pa.array([r["recording"]] * out.num_rows) if f == "recording" else out.column(f) for f in out.schema.names]
-                    yield pa.RecordBatch.from_arrays(arrays, names=out.schema.names)
 
-    return parts.repartition("recording", "first").mapInArrow(run, SCHEMA)
+def plan_scan(recordings: DataFrame, start: int = 0, count: int | None = None, carry=(), in_order: bool = False, chunk_bytes: int = CHUNK_BYTES, least_frames: int = 1) -> DataFrame:
+    """Chunk rows dealt to tasks.  Only recordings with status ok are read; a start past every recording's end raises."""
+    parts = plan_chunks(recordings, start, count, chunk_bytes, least_frames, carry)
+    n = parts.count()  # one number; chunk rows themselves stay where they are
+    if not n and not recordings.where("status = 'ok'").isEmpty():
+        raise ValueError(f"no recording has frame {start}")
+    # a stated number of partitions: a chunk's row is so small that Spark would else put all in one
+    n = min(max(n, 1), MOST_PARTITIONS)
+    return parts.repartitionByRange(n, "recording", "first").sortWithinPartitions("recording", "first") if in_order else parts.repartition(n, "recording", "first")
+
+
+def read_frames(spark: SparkSession, recordings: DataFrame, start: int = 0, count: int | None = None, carry=(), in_order: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Frames [start, start + count) of every recording, by absolute index, with columns of its catalogue row (carry).
+
+    in_order: partitions and the frames in them come in order of (recording, frame_index); only the
+    chunk rows are shuffled for it.
+    """
+    return scan_chunks(plan_scan(recordings, start, count, list(carry), in_order, chunk_bytes), SCHEMA, list(carry))
+
+
+def read_timestamps(spark: SparkSession, recordings: DataFrame, start: int = 0, count: int | None = None, carry=()) -> DataFrame:
+    """The same range without pixels: of frames over HEADER_BLOCK bytes 8 bytes are read."""
+    from ..functions.display import tick_hex
+
+    heads = scan_chunks(plan_scan(recordings, start, count, list(carry), least_frames=HEADER_FRAMES), HEADERS, list(carry))
+    return heads.select("recording", "frame_index", F.col("tick").alias("timestamp_raw"), tick_hex(F.col("tick")).alias("timestamp_hex"), *carry)
+
+
+def read_frames_at(spark: SparkSession, recordings: DataFrame, asked: DataFrame, carry=()) -> DataFrame:
+    """The asked(recording, frame_index) frames alone; an index is clamped to the recording's frames."""
+    ok = recordings.where("status = 'ok' and frames_total > 0").withColumn("recording", F.regexp_replace("recording", "^file:(//)?", ""))
+    names = asked.select(F.regexp_replace("recording", "^file:(//)?", "").alias("recording"), "frame_index")
+    index = F.greatest(F.lit(0).cast("long"), F.least(F.col("frame_index").cast("long"), F.col("frames_total") - 1))
+    parts = names.join(ok, "recording").select("recording", "frame_stride", "width", "height", index.alias("first"), F.lit(1).cast("long").alias("n"), *carry).distinct()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return scan_chunks(parts.repartition(n, "recording", "first"), SCHEMA, list(carry))
+
+
+def read_frame(spark: SparkSession, recordings: DataFrame, recording: str, index: int) -> DataFrame:
+    """One frame; the index is clamped to the recording's frames."""
+    one = recordings.where(F.regexp_replace("recording", "^file:(//)?", "") == local_path(recording))
+    return read_frames_at(spark, one, one.select("recording", F.lit(index).cast("long").alias("frame_index")))

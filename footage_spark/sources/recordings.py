@@ -31,10 +31,13 @@ def discover_recordings(spark: SparkSession, root: str) -> DataFrame:
     stem = F.regexp_extract("recording", r"([^/]+)\.bin$", 1)
     folder = F.regexp_extract("recording", r"^(.*)/[^/]+$", 1)
     found = files.select("recording", folder.alias("camera_dir"), stem.alias("stem"), "file_size")
-    # equal output names (a.b and a_b, or one stem in two cameras) get a number
-    names = Window.partitionBy("name").orderBy("recording")
-    found = found.withColumn("name", output_name(F.col("stem"))).withColumn("k", F.row_number().over(names))
-    return found.select("recording", "camera_dir", "stem", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.col("k"))).alias("out_name"), F.concat("camera_dir", F.lit("/"), "stem", F.lit(".footage")).alias("sidecar_path"), "file_size")
+    # equal output names (a.b and a_b, or one stem in two cameras) get a number, and where another
+    # recording has that name already, a hash of the path too
+    found = found.withColumn("name", output_name(F.col("stem"))).withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("recording")))
+    found = found.withColumn("name", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.col("k"))))
+    found = found.withColumn("again", F.row_number().over(Window.partitionBy("name").orderBy("k", "recording")))
+    out_name = F.when(F.col("again") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.md5("recording")))
+    return found.select("recording", "camera_dir", "stem", out_name.alias("out_name"), F.concat("camera_dir", F.lit("/"), "stem", F.lit(".footage")).alias("sidecar_path"), "file_size")
 
 
 def parse_sidecars(texts: DataFrame, xml: str = "xml") -> DataFrame:
@@ -88,6 +91,11 @@ def resolve_mode(catalog: DataFrame, mode: str = "reference", brightness=None, c
     return catalog.withColumns({"mode": F.lit("raw" if mode == "linear" else mode), "mode_b": value("brightness", brightness, 0.0), "mode_c": value("contrast", contrast, 0.0), "mode_g": F.when(g > 0, g).otherwise(F.when(g.isNotNull(), 1.0))})
 
 
+def resolve(paired: DataFrame, mode: str = "reference", width=None, height=None, stride=None, frames=None, use_capacity=False, brightness=None, contrast=None, gamma=None) -> DataFrame:
+    """Geometry, frame counts, curve and status of paired files and sidecars."""
+    return with_status(resolve_mode(resolve_frame_count(resolve_geometry(paired, width, height, stride), frames, use_capacity), mode, brightness, contrast, gamma))
+
+
 def with_status(catalog: DataFrame) -> DataFrame:
     """status: ok, or the first thing that is wrong; other recordings go on."""
     status: Column = (
@@ -102,8 +110,13 @@ def with_status(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("status", status).withColumn("verified_operating_point", F.coalesce(verified, F.lit(False)))
 
 
+def pair_sidecars(bins: DataFrame, sidecars: DataFrame, bin_key: str = "sidecar_path", sidecar_key: str = "footage_path") -> DataFrame:
+    """bins with the fields of their sidecars, null where there is none; has_processing is false there."""
+    paired = bins.join(sidecars, bins[bin_key] == sidecars[sidecar_key], "left")
+    return paired.withColumn("has_processing", F.coalesce("has_processing", F.lit(False)))
+
+
 def recordings(spark: SparkSession, root: str, mode: str = "reference", width=None, height=None, stride=None, frames=None, use_capacity=False, brightness=None, contrast=None, gamma=None) -> DataFrame:
     """One row a recording: files, sidecar (if there), geometry, counts, curve and status."""
     bins, cars = discover_recordings(spark, root), read_sidecars(spark, root)
-    paired = bins.join(cars, bins["sidecar_path"] == cars["footage_path"], "left").drop("sidecar_path").withColumn("has_processing", F.coalesce("has_processing", F.lit(False)))
-    return with_status(resolve_mode(resolve_frame_count(resolve_geometry(paired, width, height, stride), frames, use_capacity), mode, brightness, contrast, gamma))
+    return resolve(pair_sidecars(bins, cars).drop("sidecar_path"), mode, width, height, stride, frames, use_capacity, brightness, contrast, gamma)

@@ -2,42 +2,98 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.recordings import recordings
+from ..functions.display import output_name
+from ..sources.footage import local_path
+from ..sources.recordings import parse_sidecars, resolve
 
 SIDECAR_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def complete(catalog: DataFrame) -> DataFrame:
-    """status becomes incomplete where the sidecar announces more frames than the file has yet."""
-    short = F.coalesce(F.col("file_size") < F.col("num_images") * F.col("frame_stride"), F.lit(False))
+    """status becomes incomplete where the file is missing, or the sidecar announces more frames than it has yet."""
+    short = F.col("file_size").isNull() | F.coalesce(F.col("file_size") < F.col("num_images") * F.col("frame_stride"), F.lit(False))
     return catalog.withColumn("status", F.when(short, "incomplete").otherwise(F.col("status")))
 
 
+def _with_size(rows: DataFrame) -> DataFrame:
+    """rows with file_size of `recording` as it is now, null where there is none; looked up where tasks run."""
+
+    def run(batches):
+        for batch in batches:
+            paths = [local_path(x) for x in batch.column("recording").to_pylist()]
+            sizes = [os.path.getsize(x) if os.path.exists(x) else None for x in paths]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=[*batch.schema.names, "file_size"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("file_size", T.LongType())]))
+
+
+def catalog_of(sidecars: DataFrame, **options) -> DataFrame:
+    """Catalogue rows of sidecar files(path, content): only these files and the recordings beside them are looked at.
+
+    The output name has a hash of the path, as the other recordings are not known here.
+    """
+    found = sidecars.select(F.col("path").alias("footage_path"), F.regexp_replace("path", r"\.footage$", ".bin").alias("recording"), F.decode("content", "UTF-8").alias("xml"))
+    stem = F.regexp_extract("recording", r"([^/]+)\.bin$", 1)
+    found = found.withColumn("camera_dir", F.regexp_extract("recording", r"^(.*)/[^/]+$", 1)).withColumn("stem", stem)
+    found = found.withColumn("out_name", F.concat(output_name(F.col("stem")), F.lit("_"), F.substring(F.md5("recording"), 1, 12)))
+    return complete(resolve(parse_sidecars(_with_size(found)).drop("xml"), **options))
+
+
+def _so_far(spark: SparkSession, out: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(out)
+    except AnalysisException:  # nothing has been written yet
+        return None
+
+
+def retry_incomplete(spark: SparkSession, out: str, **options) -> DataFrame | None:
+    """Recordings that were incomplete in every run so far and are whole now, as catalogue rows; None before the first run."""
+    seen = _so_far(spark, out)
+    if seen is None:
+        return None
+    done = seen.where("status <> 'incomplete'").select("recording")
+    waiting = seen.where("status = 'incomplete'").select("footage_path", "recording").distinct().join(done, "recording", "left_anti")
+    paths = waiting.select(F.col("footage_path").alias("path"))
+
+    def run(batches):
+        for batch in batches:
+            read = []
+            for x in batch.column("path").to_pylist():
+                with open(local_path(x), "rb") as file:
+                    read.append(file.read())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(read, pa.binary())], names=["path", "content"])
+
+    return catalog_of(paths.mapInArrow(run, "path string, content binary"), **options).where("status <> 'incomplete'")
+
+
 def ingest_new_recordings(spark: SparkSession, root: str, out: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None, **options):
     """Stream the sidecars under root once each (available now) and append their catalogue rows to out.
 
-    A recording whose file is still short is written with status incomplete; it is taken again from
-    `retry_incomplete`.  Rows of a batch that runs twice replace themselves.
+    A recording whose file is missing or still short is written with status incomplete; each run first
+    takes those again that are whole by then, and appends them.  A batch looks at its own files only.
+    Rows of a batch that runs twice replace themselves.
     """
-    arrived = spark.readStream.format("binaryFile").schema(SIDECAR_FILES).option("recursiveFileLookup", True).option("pathGlobFilter", "*.footage").load(root).select("path", "length")
+    again = retry_incomplete(spark, out, **options)
+    if again is not None and not again.isEmpty():
+        path = f"{out}/epoch=retry-{uuid.uuid4().hex}"
+        again.write.parquet(path)
+        if then is not None:
+            then(spark.read.parquet(path).where("status = 'ok'"))
+    arrived = spark.readStream.format("binaryFile").schema(SIDECAR_FILES).option("recursiveFileLookup", True).option("pathGlobFilter", "*.footage").load(root).select("path", "content")
 
     def take(batch: DataFrame, epoch: int) -> None:
-        catalog = complete(recordings(batch.sparkSession, root, **options))
-        rows = catalog.join(batch.select(F.col("path").alias("footage_path")).distinct(), "footage_path", "left_semi")
-        rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        catalog_of(batch, **options).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         if then is not None:
             then(batch.sparkSession.read.parquet(f"{out}/epoch={epoch}").where("status = 'ok'"))
 
     return arrived.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(take).start()
-
-
-def retry_incomplete(spark: SparkSession, root: str, out: str, **options) -> DataFrame:
-    """Recordings that were incomplete in every epoch so far and are whole now."""
-    seen = spark.read.parquet(out)
-    waiting = seen.where("status = 'incomplete'").select("recording").distinct().join(seen.where("status = 'ok'").select("recording"), "recording", "left_anti")
-    return complete(recordings(spark, root, **options)).join(waiting, "recording", "left_semi").where("status = 'ok'")

@@ -12,8 +12,10 @@ from footage_spark.operators import images as im
 from footage_spark.operators import pixels as px
 from footage_spark.operators import timing as tm
 from footage_spark.operators import verify as vf
+from footage_spark.plans import extract as ex
 from footage_spark.sources import footage as ft
 from footage_spark.sources import recordings as rc
+from footage_spark.streaming import ingest as ing
 
 W, H, N = 16, 12, 40
 
@@ -56,14 +58,112 @@ def test_scan_ranges_and_chunks(spark, lake):
     part = ft.read_frames(spark, catalog, 10, 5).where("recording like '%/a/%'").orderBy("frame_index").collect()
     assert [r["frame_index"] for r in part] == [10, 11, 12, 13, 14]
     assert all(bytes(r["pixels"]) == lake[1][r["frame_index"]].tobytes() for r in part)
-    chunked = ft.read_chunks(spark, catalog, 7).select(F.md5("pixels").alias("m"))
-    assert chunked.exceptAll(whole.select(F.md5("pixels").alias("m"))).count() == 0 and chunked.count() == 2 * N + 3
+    small = ft.read_frames(spark, catalog, chunk_bytes=7 * (8 + W * H)).select("recording", "frame_index", "tick", F.md5("pixels").alias("m"))
+    assert small.exceptAll(whole.select("recording", "frame_index", "tick", F.md5("pixels").alias("m"))).count() == 0 and small.count() == 2 * N + 3
+    rows = catalog.where("status = 'ok'").collect()
+    source = ft.load_footage(spark, [{"path": ft.local_path(r["recording"]), "first": 0, "n": r["frames_total"], "stride": r["frame_stride"], "width": W, "height": H} for r in rows])
+    assert source.select("recording", "frame_index", "tick", F.md5("pixels").alias("m")).exceptAll(small).count() == 0 and source.count() == 2 * N + 3
+    ordered = ft.read_frames(spark, catalog, 2, 30, carry=["out_name"], in_order=True, chunk_bytes=7 * (8 + W * H)).select("out_name", "recording", "frame_index").collect()
+    assert [tuple(r)[1:] for r in ordered] == sorted(tuple(r)[1:] for r in ordered) and len(ordered) == 61 and {r[0] for r in ordered} == {"good", "good_2", "cut"}
+    asked = catalog.where("status = 'ok'").select("recording", F.explode(F.expr("array(-3L, 2L, 77L)")).alias("frame_index"))
+    at = sorted((os.path.basename(r["recording"]), r["frame_index"]) for r in ft.read_frames_at(spark, catalog, asked).collect())
+    assert at == [("cut.bin", 0), ("cut.bin", 2), *[("good.bin", i) for i in (0, 0, 2, 2, N - 1, N - 1)]]
     with pytest.raises(ValueError):
         ft.read_frames(spark, catalog, N)
     name = catalog.where("stem = 'cut'").first()["recording"]
     assert ft.read_frame(spark, catalog, name, 99).first()["frame_index"] == 2
 
 
+def test_headers_of_large_frames(spark, tmp_path):
+    pixels = np.zeros((5, 80, 90), np.uint8)
+    fx.write_recording(f"{tmp_path}/a/big", pixels, [7, 8, 9, 10, 2**64 - 1], fx.sidecar_text(90, 80, 5))
+    got = ft.read_timestamps(spark, rc.recordings(spark, str(tmp_path)), 1, 9).orderBy("frame_index").collect()
+    assert [(r["frame_index"], r["timestamp_raw"]) for r in got] == [(1, 8), (2, 9), (3, 10), (4, -1)]
+
+
+def test_output_names_never_collide(spark, tmp_path):
+    for x in ("a/good", "b/good", "c/good_2", "d/go.od", "e/go_od"):
+        fx.write_recording(f"{tmp_path}/{x}", np.zeros((1, 2, 2), np.uint8), [1], fx.sidecar_text(2, 2, 1))
+    names = [r["out_name"] for r in rc.recordings(spark, str(tmp_path)).select("out_name").collect()]
+    assert len(set(names)) == 5 and {"good", "good_2", "go_od", "go_od_2"} < set(names)
+
+
+def test_pixels_are_never_shuffled(spark, tmp_path):
+    """Recordings of 3.84 GB (sparse files): every exchange of an extraction is of chunk rows, below the frame scan."""
+    for k in range(4):
+        os.makedirs(f"{tmp_path}/c{k}")
+        with open(f"{tmp_path}/c{k}/r{k}.bin", "wb") as out:
+            out.truncate(50_000 * 76_808)
+        with open(f"{tmp_path}/c{k}/r{k}.footage", "w") as out:
+            out.write(fx.sidecar_text(256, 300, 50_000))
+    catalog = rc.recordings(spark, str(tmp_path))
+    images = ex._named(ex.extract_images(spark, catalog), catalog)
+    timeline = px.playback_timeline(ft.read_frames(spark, catalog, 100, 2000, carry=px.CURVE, in_order=True), 25.0, 100, in_order=True)
+    for df in (images, timeline):
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        scan = max(i for i, x in enumerate(lines) if "MapInArrow" in x)
+        assert not any("Exchange" in x or "Join" in x for x in lines[:scan]) and any("Exchange" in x for x in lines[scan:])
+    assert ex.extract_images(spark, catalog, 49_998, 9).count() == 8
+
+
+def test_extraction(spark, lake, tmp_path):
+    """Images are the same in every run and for every level; files, stamps, metadata and failures stand where they should."""
+    root, pixels = lake
+    want = [im.png(p.tobytes().translate(lut(49, 18, 1)), W, H) for p in pixels]
+    one = ex.batch_extract(spark, root, f"{tmp_path}/one", files=True).collect()
+    assert {os.path.basename(r["recording"]): (r["frames_written"], r["input_bytes"]) for r in one}["cut.bin"] == (3, 3 * (8 + W * H)) and len(one) == 3
+    assert all(r["frames_a_second"] > 0 and r["mib_a_second"] > 0 for r in one)
+    assert sorted(os.listdir(f"{tmp_path}/one/frames")) == ["cut", "good", "good_2"]
+    for k in range(N):
+        with open(f"{tmp_path}/one/frames/good/cam_{k:05d}.Png", "rb") as file:
+            assert file.read() == want[k]
+    assert spark.read.parquet(f"{tmp_path}/one/failed").count() == 4
+    stamps = spark.read.csv(f"{tmp_path}/one/timestamps", header=True)
+    assert stamps.where("name = 'good_timestamps'").count() == N and stamps.count() == 2 * N + 3
+    assert spark.read.text(f"{tmp_path}/one/metadata").where("value like '%\"effective_fps_from_timestamps\":500.0%'").count() == 3
+    ex.batch_extract(spark, root, f"{tmp_path}/two", start=10, count=5, recording=f"{root}/a/good.bin")
+    two = spark.read.parquet(f"{tmp_path}/two/images").orderBy("frame_index").collect()
+    assert [r["frame_index"] for r in two] == list(range(10, 15)) and [bytes(r["image"]) for r in two] == want[10:15]
+    frames = ft.read_frames(spark, rc.recordings(spark, root), carry=px.CURVE).repartition(7)
+    low, high = (im.encode_frames(px.apply_display_transform(frames), level=x) for x in (-5, 99))  # levels are clamped to 0..9
+    assert vf.verify_images(low, high.where("frame_index >= 0"))[1].first()["mismatched"] == 0
+    marks = [vf.frame_fingerprint(im.encode_frames(px.apply_display_transform(f)), "image") for f in (frames, frames.coalesce(1))]
+    assert vf.fingerprint_set_equal(*marks, "image").first()["equal"]
+
+
+def test_zlib_header():
+    body = im.png(bytes(range(100)), 10, 10)
+    kinds, at = [], 8
+    while at < len(body):
+        n = int.from_bytes(body[at : at + 4], "big")
+        kinds.append(body[at + 4 : at + 8])
+        if kinds[-1] == b"IDAT":
+            assert body[at + 8 : at + 10] == b"\x78\x5e"
+        at += 12 + n
+    assert kinds == [b"IHDR", b"sRGB", b"gAMA", b"pHYs", b"IDAT", b"IEND"]
+
+
+def test_ingest_takes_late_recordings_again(spark, tmp_path):
+    root, pixels = f"{tmp_path}/lake", np.zeros((6, 4, 4), np.uint8)
+    fx.write_recording(f"{root}/a/whole", pixels, range(6), fx.sidecar_text(4, 4, 6))
+    fx.write_recording(f"{root}/b/short", pixels[:2], range(2), fx.sidecar_text(4, 4, 6))
+    os.makedirs(f"{root}/c")
+    with open(f"{root}/c/none.footage", "w") as car:
+        car.write(fx.sidecar_text(4, 4, 6))
+    taken = []
+
+    def run():
+        ing.ingest_new_recordings(spark, root, f"{tmp_path}/out", f"{tmp_path}/state", then=lambda df: taken.extend(r["stem"] for r in df.collect())).awaitTermination()
+        return sorted((r["stem"], r["status"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    first = [("none", "incomplete"), ("short", "incomplete"), ("whole", "ok")]
+    assert run() == first and run() == first and taken == ["whole"]
+    fx.write_recording(f"{root}/b/short", pixels, range(6), fx.sidecar_text(4, 4, 6))
+    fx.write_recording(f"{root}/d/new", pixels, range(6), fx.sidecar_text(4, 4, 6))
+    assert run() == sorted([*first, ("short", "ok"), ("new", "ok")]) and run() == sorted([*first, ("short", "ok"), ("new", "ok")])
+    assert sorted(taken) == ["new", "short", "whole"]
+
+
 def test_unsigned_ticks(spark, lake):
     stamps = ft.read_timestamps(spark, rc.recordings(spark, lake[0])).where("recording like '%/b/%'")
     assert stamps.where("frame_index = 1").first()["timestamp_hex"] == f"0x{2**63 + 2000:016X}"

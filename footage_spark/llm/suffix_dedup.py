@@ -27,7 +27,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import chunks, cut, mix, powers, prefix_sums, rows, small_batches, span_hash, spread, tidy
@@ -49,13 +49,13 @@ MOST_FILTER_BITS = 29
 #: Bytes of text whose keys a bucket counts, about.
 COUNT_BYTES = 1 << 26
 #: Shared keys that a bucket of the last shuffle holds, about.
-BUCKET_KEYS, LEAST_BUCKETS = 30_000, 64
+BUCKET_KEYS, LEAST_BUCKETS = 60_000, 64
 #: Symbols of contexts whose suffixes are put in order together, about; a few keys at a time stay in cache.
 BLOCK_SYMBOLS = 4000
 #: Bytes of text that are hashed at a time; so few stay in cache.
 HASH_BYTES = 1 << 17
-#: Occurrences that are held before they are sent.
-HOLD = 1 << 18
+#: Occurrences, and keys to count, that are held before they are sent.
+HOLD, HOLD_KEYS = 1 << 18, 1 << 20
 #: Bits of a place in a piece of text; longer texts are taken in pieces that overlap.
 PLACE_BITS = 26
 _rng = np.random.Generator(np.random.PCG64(5))
@@ -89,40 +89,47 @@ def _groups(flat: bytes, first: list[int]) -> list[tuple[int, list[int]]]:
     below, above = list(range(-1, len(members) - 1)), [*range(1, len(members)), -1]
     taken, now = [], len(members) - 1
     while now >= 0:
-        own = [i for i in members[now] if of[i] == now]  # the others have moved on
-        runs: dict[int, int] = {}
+        own = members[now]
+        if len(own) > 1:
+            own = [i for i in own if of[i] == now]  # the others have moved on
+        elif not own or of[own[0]] != now:
+            now = below[now]
+            continue
+        u = size[now]
+        taken.append((u, own))
+        moved: list[int] = []  # previous smaller suffixes, once for each that they take over
         for i in own:
             p, q = before[i], after[i]
             before[q] = p
             if p >= 0:
                 after[p] = q
+                moved.append(p)
+        by = {1: moved}
+        if len(moved) > 1 and len(set(moved)) < len(moved):
+            runs: dict[int, int] = {}
+            for p in moved:
                 runs[p] = runs.get(p, 0) + 1
-        if own:
-            taken.append((size[now], own))
-        if not runs:
-            now = below[now]
-            continue
-        u, top, by = size[now], {}, {k: [] for k in set(runs.values())}
-        if len(by) > 1:
+            by = {k: [] for k in set(runs.values())}
             for p, k in runs.items():
                 by[k].append(p)
+        top: dict[int, int] = {}
         for k in sorted(by):
             fresh: dict[int, int] = {}
-            for p in by[k] or runs:
+            for p in by[k]:
                 v = of[p]
-                if v in fresh:
-                    g = fresh[v]
-                else:
-                    g = fresh[v] = len(size)
+                g = fresh.get(v)
+                if g is None:
+                    g = fresh[v] = of[p] = len(size)
                     low = top.get(v, v)
                     high = above[low]  # there is one: the group that is being taken is above
                     size.append(size[v] + k * u)
-                    members.append([])
+                    members.append([p])
                     below.append(low)
                     above.append(high)
                     above[low] = below[high] = top[v] = g
-                of[p] = g
-                members[g].append(p)
+                else:
+                    of[p] = g
+                    members[g].append(p)
         now = below[now]
     return taken
 
@@ -244,30 +251,45 @@ def _split(key: np.ndarray, bits: int) -> np.ndarray:
     return (key >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _shrink(keys: np.ndarray) -> bytes:
+    """Sorted 32-bit keys as compressed differences, first bytes first."""
+    steps = np.diff(keys, prepend=np.uint32(0)).astype("<u4")
+    return pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _grow(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _send_keys(count_bits: int):
-    """(bucket, keys of one document, keys of more documents, how many) of a batch; 32 bits of a key go."""
+    """(bucket, keys of one document, keys of more documents, how many) of HOLD_KEYS contexts; 32 bits of a key go."""
+
+    def send(held):
+        key, doc_of = np.concatenate(held, 1)
+        order = np.lexsort((doc_of, key))
+        key, doc_of = key[order], doc_of[order]
+        key = key[np.append(True, (key[1:] != key[:-1]) | (doc_of[1:] != doc_of[:-1]))]
+        u, n = np.unique(key, return_counts=True)
+        bucket = _split(u, count_bits)
+        low = ((u >> np.uint64(32 - count_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        for k in np.unique(bucket).tolist():
+            own = slice(*np.searchsorted(bucket, [k, k + 1]))
+            one, more, many = low[own][n[own] == 1], low[own][n[own] > 1], n[own][n[own] > 1].astype(np.uint32)
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([len(one)], pa.int32()), *(pa.array([x], pa.binary()) for x in (_shrink(one), more.tobytes(), many.tobytes()))], ["bucket", "n_once", "once", "more", "many"])
 
     def run(batches):
+        held, total = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            _, doc = np.unique(docs, return_inverse=True)
-            held = []
+            docs = batch.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64)
             for first, _, _, row, key, *_ in _batch_contexts(batch):
-                _, one = np.unique(mix(key + (doc[first + row] + 1).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), return_index=True)
-                held.append(np.stack([key[one], doc[first + row[one]].astype(np.uint64)]))
-            key, doc_of = np.concatenate(held, 1) if held else np.zeros((2, 0), np.uint64)
-            order = np.lexsort((doc_of, key))
-            key, doc_of = key[order], doc_of[order]
-            key = key[np.append(True, (key[1:] != key[:-1]) | (doc_of[1:] != doc_of[:-1]))[: len(key)]]
-            u, n = np.unique(key, return_counts=True)
-            bucket = _split(u, count_bits)
-            low = ((u >> np.uint64(32 - count_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            for k in np.unique(bucket).tolist():
-                own = slice(*np.searchsorted(bucket, [k, k + 1]))
-                one, more, many = low[own][n[own] == 1], low[own][n[own] > 1], n[own][n[own] > 1].astype(np.uint32)
-                yield pa.record_batch([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (one, more, many))], ["bucket", "once", "more", "many"])
+                held.append(np.stack([key, docs[first + row]]))
+                total += len(key)
+            if total >= HOLD_KEYS:
+                yield from send(held)
+                held, total = [], 0
+        if total:
+            yield from send(held)
 
     return run
 
@@ -288,9 +310,9 @@ def _by_bucket(batches, columns):
 
 def _count_keys(common_docs: int):
     def run(batches):
-        for bucket, held in _by_bucket(batches, ["once", "more", "many"]):
-            once, more, many = (np.frombuffer(b"".join(x[i] for x in held), np.uint32) for i in range(3))
-            once = np.sort(once)
+        for bucket, held in _by_bucket(batches, ["n_once", "once", "more", "many"]):
+            once = np.sort(np.concatenate([_grow(x[1], x[0]) for x in held]))
+            more, many = (np.frombuffer(b"".join(x[i] for x in held), np.uint32) for i in (2, 3))
             again = once[1:][once[1:] == once[:-1]]
             # a key seen once in a batch and more often in another is among `more` already
             shared, which = np.unique(np.concatenate([again, more]), return_inverse=True)
@@ -331,7 +353,7 @@ def _among(bitmap: tuple[int, bytes], key: np.ndarray) -> np.ndarray:
     return (np.frombuffer(bitmap[1], np.uint8)[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-_PACKED = (np.uint64, np.uint8, np.uint8, np.uint8, np.int32, np.int64, np.int64, np.int32, np.int64)
+_PACKED = (np.uint64, np.uint8, np.uint8, np.uint8, np.uint8, np.int64, np.int64, np.int32, np.int32)
 
 
 def _pack(arrays, kinds) -> tuple[bytes, int]:
@@ -367,7 +389,7 @@ def _send_contexts(filters, n_buckets: int):
             lead = own[new]
             o, p = spread(size[lead])
             used, of_row = np.unique(row[own], return_inverse=True)
-            blob, raw = _pack((key[lead], n[lead], core[lead], body[begin[lead][o] + p], np.cumsum(new) - 1, docs[used], prints[used], of_row, start[own]), _PACKED)
+            blob, raw = _pack((key[lead], n[lead], core[lead], body[begin[lead][o] + p], new, docs[used], prints[used], of_row, start[own]), _PACKED)
             blobs.append(blob)
             sizes.append(raw)
         return pa.record_batch([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary()), pa.array(sizes, pa.int64())], ["bucket", "blob", "size"])
@@ -480,9 +502,9 @@ def _find_spans(batches):
         n_strings, core = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2))
         flat = np.concatenate([p[3] for p in parts])
         shift = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
-        of = np.concatenate([p[4] + s for p, s in zip(parts, shift, strict=True)])
+        of = np.concatenate([np.cumsum(p[4], dtype=np.int64) - 1 + s for p, s in zip(parts, shift, strict=True)])
         doc, prints = (np.concatenate([p[i][p[7]] for p in parts]) for i in (5, 6))
-        start = np.concatenate([p[8] for p in parts])
+        start = np.concatenate([p[8] for p in parts]).astype(np.int64)
         del parts, held
         edges = np.append(0, np.cumsum(n_strings + REST))
         first_byte = edges[:-1]
@@ -546,17 +568,31 @@ def _common_parts(batch, filters):
 
 
 def _send_parts(filters):
-    """(key, shape, least and most document, times) of the parts of common keys, each part once a chunk."""
+    """(key, shape, least and most document, times) of the parts of common keys, each part of HOLD occurrences once."""
+
+    def send(held):
+        key, shape, least, most, times = np.concatenate(held, 1)
+        order = np.lexsort((shape, key))
+        key, shape = key[order], shape[order]
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (shape[1:] != shape[:-1])))
+        return np.stack([key[new], shape[new], np.minimum.reduceat(least[order], new), np.maximum.reduceat(most[order], new), np.add.reduceat(times[order], new)])
 
     def run(batches):
+        held, total = [], 0
+        names = ["key", "shape", "least", "most", "times"]
         for batch in batches:
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for row, key, shape, _, _ in _common_parts(batch, filters.value):
-                order = np.lexsort((shape, key))
-                key, shape, doc = key[order], shape[order], docs[row[order]]
-                new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (shape[1:] != shape[:-1])))
-                times = np.diff(np.append(new, len(key)))
-                yield pa.record_batch([pa.array(x) for x in (key[new], shape[new], np.minimum.reduceat(doc, new), np.maximum.reduceat(doc, new), times)], ["key", "shape", "least", "most", "times"])
+                held.append(np.stack([key, shape, docs[row], docs[row], np.ones(len(key), np.int64)]))
+                total += len(key)
+            if total >= HOLD:
+                held = [send(held)]
+                total = held[0].shape[1]
+                if total >= HOLD // 2:
+                    yield pa.record_batch([pa.array(x) for x in held[0]], names)
+                    held, total = [], 0
+        if total:
+            yield pa.record_batch([pa.array(x) for x in send(held)], names)
 
     return run
 
@@ -730,14 +766,19 @@ def merge_spans(parts: list[bytes]) -> list[tuple[int, int]]:
     return list(zip(every[new, 0].tolist(), reach[np.append(new[1:], len(every)) - 1].tolist(), strict=True))
 
 
+def _print(docs: DataFrame, text: Column) -> Column:
+    """What tells texts of one doc_id apart: a hash of the text, or 0 where no doc_id stands twice and none is needed."""
+    alone = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return F.lit(0).cast("long") if alone else F.xxhash64(text)
+
+
 def find_repeats(docs: DataFrame, common_docs: int = COMMON_DOCS) -> DataFrame:
     """of, of_print, parts (array of packed spans) for each different (doc_id, text) that loses bytes."""
     spark = docs.sparkSession
-    # long texts first would be uneven; rows are taken as the source deals them
-    texts = small_batches(docs).where("doc_id is not null and octet_length(text) >= " + str(LENGTH)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
+    texts = small_batches(docs).where("doc_id is not null and octet_length(text) >= " + str(LENGTH)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", _print(docs, F.col("text")).alias("print"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count_bits = min(max((size // COUNT_BYTES).bit_length(), 6), 20)
-    keys = texts.select("doc_id", "text").mapInArrow(tidy(_send_keys(count_bits)), "bucket int, once binary, more binary, many binary")
+    keys = texts.select("doc_id", "text").mapInArrow(tidy(_send_keys(count_bits)), "bucket int, n_once int, once binary, more binary, many binary")
     keys = cut(keys.repartition(1 << count_bits, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_count_keys(common_docs)), "bucket int, n_shared long, n_common long, shared binary, common binary"))
     n, n_common = (x or 0 for x in keys.agg(F.sum("n_shared"), F.sum("n_common")).first())
     filters = spark.sparkContext.broadcast((_bitmap(keys, "shared", n, count_bits), _bitmap(keys, "common", n_common, count_bits)))
@@ -751,7 +792,7 @@ def find_repeats(docs: DataFrame, common_docs: int = COMMON_DOCS) -> DataFrame:
 
 def _with_parts(docs: DataFrame, common_docs: int) -> DataFrame:
     found = find_repeats(docs, common_docs)
-    return docs.join(found, (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("of_print")), "left").drop("of", "of_print")
+    return docs.join(found, (F.col("doc_id") == F.col("of")) & (_print(docs, F.col("text")) == F.col("of_print")), "left").drop("of", "of_print")
 
 
 def _cut_bytes(raw: bytes, spans) -> bytes:

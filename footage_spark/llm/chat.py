@@ -136,6 +136,7 @@ def _parse(shared, keep: list[str]):
 def format_chats(transcripts: DataFrame, model: RoleModel) -> DataFrame:
     """transcripts(transcript, ...) with turns (role, text, lines) and the canonical text `rendered`.
 
+    A role that is none of ROLES has no marker of its own, and its lines are read as one of them.
     A null or empty transcript has no turns and an empty rendering; repeated rows get equal results;
     columns already named turns or rendered are replaced.  An empty table gives an empty result.
     """
@@ -153,11 +154,14 @@ def transcripts_of(conversations: DataFrame) -> DataFrame:
 
     Each conversation names its speakers in one of STYLES; one turn in eight has no marker.  Turns
     stand in order of turn, then role and text; a null text is an empty line, a null role has no marker.
+    A row with a null conv_id belongs to no other: it is a transcript of its own.  One conversation is
+    one row, so it must be under 2 GB.
     """
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
     named = F.coalesce(*[F.when((style == i) & (F.col("role") == role), F.lit(names[j])) for i, names in enumerate(STYLES) for j, role in enumerate(ROLES)], F.lit(""))
     bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0
     line = F.concat(F.when(bare, F.lit("")).otherwise(named), F.coalesce("text", F.lit("")))
     turns = conversations.select("conv_id", F.struct("turn", "role", line.alias("line")).alias("t"))
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    grouped = turns.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    grouped = grouped.unionByName(turns.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
     return grouped.select("conv_id", F.concat_ws("\n", F.transform("turns", lambda x: x["line"])).alias("transcript"), F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["line"].alias("line"))).alias("turns"))

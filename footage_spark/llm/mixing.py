@@ -107,9 +107,9 @@ def mix_sources(docs: DataFrame, share: float = SHARE, ceiling: float = CEILING,
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     sized = cut(docs.select("doc_id", "source", size, F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row")))
-    by_source = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")).select("source", "source_size", "n_docs").drop("n_docs"), share, ceiling, weights)
-    counts = sized.where("size > 0").groupBy("source").count().withColumnRenamed("count", "n")
-    plan = cut(by_source.join(counts, by_source["source"].eqNullSafe(counts["source"]), "left").drop(counts["source"]).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
+    by_source = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, ceiling, weights)
+    counts = sized.where("size > 0").groupBy(F.col("source").alias("of_source")).agg(F.count(F.lit(1)).alias("n"))
+    plan = cut(by_source.join(counts, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
     joined = sized.join(plan.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
     whole = F.floor(F.col("rate") + F.lit(1e-9))
     part = F.greatest(F.col("rate") - whole, F.lit(0.0))

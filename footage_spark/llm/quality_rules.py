@@ -17,7 +17,9 @@ from .text import WHITE_SPACE, chunks, cut, mix, prefix_sums, rows, small_batche
 
 COMMON, WINDOW = 256, 8
 #: A language needs that many words to have a reference; a document needs that many words or characters.
-MIN_LANGUAGE_WORDS, MIN_WORDS, MIN_CHARS = 2000, 60, 300
+MIN_LANGUAGE_WORDS, MIN_LANGUAGE_CHARS, MIN_WORDS, MIN_CHARS = 2000, 16_000, 60, 300
+#: Most languages with a reference of their own: each has this share of all characters at least.
+MOST_LANGUAGES = 4096
 #: Most distance to the language of a kept document.
 MAX_CHAR, MAX_WORD = 0.315, 0.42
 
@@ -68,8 +70,8 @@ def _measure(data: np.ndarray, offsets: np.ndarray):
         inside = np.flatnonzero(row[:many] == row[WINDOW - 1 :])
         key = key[inside]
         order = np.argsort(key)
-        same = np.append(False, key[order][1:] == key[order][:-1])
-        same |= np.append(same[1:], False)
+        same = np.append(False, key[order][1:] == key[order][:-1])[: len(key)]
+        same |= np.append(same[1:], False)[: len(key)]
         starts = inside[order[same]]
         cover = np.zeros(len(h) + 1, np.int32)
         np.add.at(cover, starts, 1)
@@ -122,27 +124,36 @@ def _measure_words(data, offsets):
     return h, row, kinds, None
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """lang -> (hashes of its common words, their shares and the rest's, character-class shares)."""
+def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray | None, np.ndarray]]:
+    """lang -> (hashes of its common words, their shares and the rest's, character-class shares).
+
+    A language without common words (a script without spaces, or too few words) has its character
+    classes alone.  Under None stand the classes of all languages that are too small for their own.
+    """
     pooled = small_batches(docs).select("text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(tidy(_pool), "lang string, kind int, key long, n long")
-    counts = pooled.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    counts = cut(counts)
-    total = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    common = counts.join(F.broadcast(total) if total.count() < 10_000 else total, ["lang", "kind"]).where((F.col("kind") == 1) | ((F.col("n") * COMMON >= F.col("total")) & (F.col("total") >= MIN_LANGUAGE_WORDS)))
-    out: dict = {}
-    for r in common.collect():
-        words, kinds, size = out.setdefault(r["lang"], ({}, np.zeros(N_CLASSES), [0]))
-        if r["kind"]:
-            kinds[r["key"]] = r["n"]
-        else:
-            words[r["key"] & (2**64 - 1)] = r["n"]
-            size[0] = r["total"]
-    made = {}
-    for lang, (words, kinds, size) in out.items():
-        if words:
-            h = np.array(sorted(words), np.uint64)
-            n = np.array([words[int(x)] for x in h], np.float64)
-            made[lang] = (h, np.append(n, size[0] - n.sum()) / size[0], kinds / kinds.sum())
+    counts = cut(pooled.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
+    classes, words = counts.where("kind = 1"), counts.where("kind = 0")
+    chars = classes.groupBy("lang").agg(F.sum("n").alias("chars"))
+    every = chars.agg(F.sum("chars")).first()[0] or 0
+    own = chars.where(F.col("chars") >= max(MIN_LANGUAGE_CHARS, every / MOST_LANGUAGES)).select("lang")  # MOST_LANGUAGES rows at most
+    kinds: dict[str | None, np.ndarray] = {}
+    for x in classes.join(F.broadcast(own), "lang").collect():
+        kinds.setdefault(x["lang"], np.zeros(N_CLASSES))[x["key"]] = x["n"]
+    for x in classes.join(F.broadcast(own), "lang", "left_anti").groupBy("key").agg(F.sum("n").alias("n")).collect():
+        kinds.setdefault(None, np.zeros(N_CLASSES))[x["key"]] = x["n"]
+    if None in kinds and kinds[None].sum() < MIN_LANGUAGE_CHARS:
+        del kinds[None]
+    words = words.join(F.broadcast(own), "lang")
+    total = words.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_LANGUAGE_WORDS)
+    common: dict[str, tuple[dict[int, int], int]] = {}
+    for x in words.join(F.broadcast(total), "lang").where(F.col("n") * COMMON >= F.col("total")).collect():  # COMMON rows a language at most
+        common.setdefault(x["lang"], ({}, x["total"]))[0][x["key"] & (2**64 - 1)] = x["n"]
+    made: dict = {}
+    for lang, k in kinds.items():
+        held, size = common.get(lang, ({}, 0))
+        h = np.array(sorted(held), np.uint64)
+        n = np.array([held[int(x)] for x in h], np.float64)
+        made[lang] = (h, np.append(n, size - n.sum()) / size if held else None, k / max(k.sum(), 1))
     return made
 
 
@@ -169,13 +180,16 @@ def _judge(shared, max_char: float, max_word: float):
                 chars = kinds.sum(1)
                 js_char, js_word = np.zeros(n), np.zeros(n)
                 for k in np.unique(code[first:last]):
-                    if names[k] not in refs:
+                    ref = refs.get(names[k], refs.get(None))
+                    if ref is None:
                         continue
-                    words, share, kind_share = refs[names[k]]
+                    words, share, kind_share = ref
                     own = np.flatnonzero(code[first:last] == k)
                     place = np.full(n, -1)
                     place[own] = np.arange(len(own))
                     js_char[own] = js_distance(kinds[own] / np.maximum(chars[own], 1)[:, None], kind_share)
+                    if share is None:
+                        continue
                     at = place[row]
                     here = at >= 0
                     slot = np.minimum(np.searchsorted(words, h[here]), len(words) - 1)
@@ -200,9 +214,11 @@ def _judge(shared, max_char: float, max_word: float):
 def judge(docs: DataFrame, max_char: float = MAX_CHAR, max_word: float = MAX_WORD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, js_char, js_word.
 
-    A null text has no words and fails.  A null language counts as a language of its own; one with
-    under MIN_LANGUAGE_WORDS words has no reference, and its documents are judged by the base rules
-    alone.  Repeated rows each get the same result.  An empty table gives an empty result.
+    A null text has no words and fails.  A null language counts as a language of its own.  A language
+    of under MIN_LANGUAGE_WORDS words, or without common words, is held against its character classes
+    alone; those of under MIN_LANGUAGE_CHARS characters (or a MOST_LANGUAGES-th of all) are held
+    against the classes of all such languages together, and by the base rules alone where these are
+    too few.  Repeated rows each get the same result.  An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(references(docs))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, js_char double, js_word double"

@@ -454,6 +454,138 @@ def test_chat(spark):
     assert chat.parse(model, "") == [] and chat.parse(model, None) == []
 
 
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(7)
+    n = chat.N_STATES
+    model = chat.RoleModel(rng.random(n) * 9, rng.random((n, n)) * 9, rng.random((n, chat.N_MARKS)) * 9, rng.random((n, chat.N_LENGTHS)) * 9, rng.random((n, chat.N_ENDS)) * 9)
+    for length in (1, 2, 4):
+        for _ in range(4):
+            shown = np.stack([rng.integers(0, chat.N_MARKS, length), rng.integers(0, chat.N_LENGTHS, length), rng.integers(0, chat.N_ENDS, length)], 1)
+            seen = lambda t, s: model.mark[s, shown[t, 0]] + model.length[s, shown[t, 1]] + model.ends[s, shown[t, 2]]  # noqa: E731, B023
+            value = lambda path: model.start[path[0]] + seen(0, path[0]) + sum(model.move[a, b] + seen(t + 1, b) for t, (a, b) in enumerate(zip(path, path[1:])))
+            best = max(value(p) for p in itertools.product(range(n), repeat=length))
+            assert math.isclose(value(model.viterbi(shown).tolist()), best, rel_tol=1e-12)
+
+
+def test_chat_without_ids_and_with_other_roles(spark, empty):
+    turns = [(None, 0, "user", "One?"), (None, 1, "assistant", "Two."), (None, 0, "user", "One?"), (5, 0, "narrator", "Then it rained."), (5, 1, "user", "Hm?")]
+    made = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    written = chat.transcripts_of(made)
+    assert written.count() == 4 and written.where("conv_id is null").where("size(turns) = 1").count() == 3
+    got = chat.format_chats(written, chat.train_roles(written)).collect()
+    assert len(got) == 4 and all(t["role"] in chat.ROLES for r in got for t in r["turns"])
+    none = chat.transcripts_of(made.where("false"))
+    assert none.count() == 0 and chat.format_chats(none, chat.train_roles(none)).count() == 0
+
+
+def test_js_distance_and_verdict(spark):
+    def by_hand(p, q):
+        kl = lambda a, b: sum(x * math.log2(x / y) for x, y in zip(a, b) if x > 0)
+        m = [(x + y) / 2 for x, y in zip(p, q)]
+        return math.sqrt(max((kl(p, m) + kl(q, m)) / 2, 0))
+
+    rng = np.random.default_rng(2)
+    p, q = rng.dirichlet(np.ones(6), 5), rng.dirichlet(np.ones(6))
+    p[0] = [1, 0, 0, 0, 0, 0]
+    assert np.allclose(quality_rules.js_distance(p, q), [by_hand(x, q) for x in p.tolist()])
+    pick = random.Random(3)
+    say = lambda words, n: " ".join(pick.choice(words) for _ in range(n))
+    usual = ["the", "of", "and", "house", "stone", "river", "walks", "under"]
+    made = [(i, say(usual, 80), "en") for i in range(60)] + [(i, say(["".join(pick.choice("这是没有空格的一种文字") for _ in range(90))], 1), "zh") for i in range(100, 420)]
+    made += [(900, say(["X9#7", "Q$2", "%%8", "ZZ&1"], 80), "en"), (901, say(["zyx", "wvu", "tsr"], 80), "en"), (902, say(usual, 80), "xx"), (903, None, "en")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(made, "doc_id long, text string, lang string")).collect()}
+    # character classes and common words of "en", by hand
+    texts = [(i, t) for i, t, lang in made if lang == "en" and t]
+    all_words = collections.Counter(w for _, t in texts for w in t.split())
+    total = sum(all_words.values())
+    common = {w: n for w, n in all_words.items() if n * quality_rules.COMMON >= total}
+    hist = lambda c: [*(c.get(w, 0) / max(sum(c.values()), 1) for w in common), sum(n for w, n in c.items() if w not in common) / max(sum(c.values()), 1)]
+    for i, t in texts:
+        assert math.isclose(got[i]["js_word"], by_hand(hist(collections.Counter(t.split())), hist(all_words)), abs_tol=1e-9)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and got[i]["js_char"] <= quality_rules.MAX_CHAR and got[i]["js_word"] <= quality_rules.MAX_WORD)
+    assert all(got[i]["kept"] for i in range(60)) and not got[900]["kept"] and not got[903]["kept"] and got[902]["kept"]
+    refs = quality_rules.references(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    assert refs["zh"][1] is None and math.isclose(refs["zh"][2].sum(), 1) and "xx" not in refs
+
+
+def test_baum_welch_raises_the_likelihood():
+    """A round is the expectation over all paths, by hand, and no round makes the training texts less likely."""
+    rng = np.random.default_rng(5)
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    model = hmm_lm.Hmm(norm(rng.random(2)), norm(rng.random((2, 2))), norm(rng.random((2, 4))).T)
+    seqs = [np.array(s, "<u2") for s in ([0, 3, 2, 1, 1], [2], [1, 0, 2], [3, 3])]
+    batch = pa.record_batch([pa.array([s.tobytes() for s in seqs], pa.binary())], ["classes"])
+
+    def counts(m):
+        out = next(iter(hmm_lm._expect(type("B", (), {"value": m}), 4)(iter([batch]))))
+        return dict(zip(out.column("k").to_pylist(), out.column("x").to_pylist()))
+
+    emit, move, start, log = np.zeros((4, 2)), np.zeros((2, 2)), np.zeros(2), 0.0
+    for s in seqs:
+        paths = {p: model.start[p[0]] * math.prod(model.move[a, b] for a, b in zip(p, p[1:])) * math.prod(model.emit[o, q] for o, q in zip(s, p)) for p in itertools.product(range(2), repeat=len(s))}
+        whole = sum(paths.values())
+        log += math.log10(whole)
+        for p, v in paths.items():
+            start[p[0]] += v / whole
+            for o, q in zip(s, p):
+                emit[o, q] += v / whole
+            for a, b in zip(p, p[1:]):
+                move[a, b] += v / whole
+    got = counts(model)
+    assert all(np.allclose(got[k], emit[k]) for k in range(4)) and np.allclose([got[-1], got[-2]], move) and np.allclose(got[-3], start) and math.isclose(got[-4][0], log)
+    before = log
+    for _ in range(6):
+        got = counts(model)
+        emit = np.array([got[k] for k in range(4)])
+        model = hmm_lm.Hmm(norm(np.array(got[-3])), norm(np.array([got[-1], got[-2]])), emit / emit.sum(0))
+        now = counts(model)[-4][0]
+        assert now >= before - 1e-9
+        before = now
+
+
+def test_mix_targets_by_hand(spark):
+    """Water filling, step by step: full sources give what is over to the others by weight, until none is above."""
+    sizes = {"a": 10, "b": 400, "c": 30, "d": 1000, None: 55, "e": 0}
+    made = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(sizes.items())]
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, target, open_ = 1.5 * sum(sizes.values()), {}, set(sizes)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 2 * sizes[s]}
+        for s in over or open_:
+            target[s] = 2 * sizes[s] if over else level * weight[s]
+            left -= target[s] if over else 0
+        open_ = open_ - over if over else set()
+    got = {r["source"]: r for r in mixing.mix_sources(spark.createDataFrame(made, "doc_id long, text string, source string")).collect()}
+    assert all(math.isclose(got[s]["target"], target[s], abs_tol=1e-9) for s in sizes)
+
+
+def test_pipeline_of_odd_rows(spark, docs, tmp_path):
+    """Null, repeated and empty rows and clashing columns go through every stage; nothing but the stage's work is lost."""
+    import corpus_pipeline
+
+    labels = f"{tmp_path}/labels.parquet"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(labels)  # nothing is known: all stay
+    for table in (docs, docs.limit(0)):
+        now = table
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, str(tmp_path))
+            path = f"{tmp_path}/{name}-{table.count()}"
+            now.write.parquet(path)
+            now = spark.read.parquet(path)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert tuple(now.columns) == corpus_pipeline.COLUMNS
+            if name == "classifier":
+                assert now.count() == table.count()
+            if name == "near_duplicates" and table is docs:
+                assert now.where("text is null or trim(text) = ''").count() == 1 and now.where("doc_id is null").count() == 0
+            if name == "repeated_bytes":
+                kept = now.select("doc_id", "text").collect()
+        if table is docs:
+            assert {r["doc_id"] for r in now.collect()} <= {r["doc_id"] for r in kept} and now.count() > 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

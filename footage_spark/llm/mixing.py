@@ -74,7 +74,7 @@ def _settle(a: Column, b: Column) -> Column:
 
 def _round_blocks(rows: DataFrame) -> DataFrame:
     """One level: rows (source, block, row, tie, s, p) -> (source, done array, go)."""
-    item = "struct<row:bigint,tie:bigint,s:double,p:double>"
+    item = f"struct<row:{rows.schema['row'].dataType.simpleString()},tie:bigint,s:double,p:double>"
     grouped = rows.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("o"), "tie", "row", "s", "p"))).alias("items"))
     zero = F.struct(F.expr(f"cast(array() as array<{item}>)").alias("done"), F.expr(f"cast(null as {item})").alias("go"))
 

@@ -179,7 +179,15 @@ def tidy(run):
 
 
 def with_row(df):
-    """The table with a number of its own for each row (column row), kept in the shared folder so that it stays the same."""
+    """The table with a text of its own for each row (column row), the same in every pass.
+
+    Rows of files are named by file and place.  Others are numbered and kept in the shared folder, as
+    numbers would change with the partitions.
+    """
+    from pyspark.errors import AnalysisException
     from pyspark.sql import functions as F
 
-    return cut(df.withColumn("row", F.monotonically_increasing_id()))
+    try:
+        return df.select(*df.columns, F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("row"))
+    except AnalysisException:  # not read straight from files
+        return cut(df.withColumn("row", F.monotonically_increasing_id().cast("string")))

@@ -67,8 +67,8 @@ def sidecar_text(width, height, count, first_tick=FIRST_TICK, brightness=BRIGHTN
     return f"<Recording><Footage>{body}</Footage>{curve}<Camera><Name>{name}</Name></Camera></Recording>"
 
 
-def write_recording(path: str, pixels: np.ndarray, ticks_: list[int], sidecar: str | None) -> None:
-    """path.bin (and path.footage) of frames (n, height, width)."""
+def write_recording(path: str, pixels, ticks_, sidecar: str | None) -> None:
+    """path.bin (and path.footage) of frames, each (height, width)."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(f"{path}.bin", "wb") as out:
         for tick, frame in zip(ticks_, pixels, strict=True):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.images import encoded_batches, name_images
 from ..operators.pixels import CURVE, column_batches, mapped_pixels
 from ..operators.timing import recording_metadata
-from ..sources.footage import plan_scan, read_timestamps, scan_batches, small_batches
+from ..sources.footage import CHUNK_BYTES, plan_scan, read_timestamps, scan_batches, small_batches
 from ..sources.recordings import recordings
 
 
@@ -63,7 +63,7 @@ def write_frame_files(images: DataFrame, names: DataFrame, out_root: str) -> Dat
     return named.select("recording", "frame_index", "out_name", "file_name", "image").mapInArrow(run, "recording string, frame_index long, path string, bytes long")
 
 
-def extract_images(spark: SparkSession, catalog: DataFrame, start: int = 0, count: int | None = None, fmt: str = "png", layout: str = "gray8", level: int = 6, prefix: str = "cam_") -> DataFrame:
+def extract_images(spark: SparkSession, catalog: DataFrame, start: int = 0, count: int | None = None, fmt: str = "png", layout: str = "gray8", level: int = 6, prefix: str = "cam_", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Scan, curve, layout and encoding in one pass of a worker: a task gets chunk rows and gives images.
 
     Curve and out_name stand in the chunk's row, so nothing is joined, and raw pixels never leave the worker.
@@ -73,7 +73,7 @@ def extract_images(spark: SparkSession, catalog: DataFrame, start: int = 0, coun
     mapped = column_batches([*keep, "width", "height"], "mapped", mapped_pixels)
     encoded = encoded_batches(fmt, layout, level, "mapped", keep)
     small_batches(spark)
-    made = plan_scan(catalog, start, count, carry).mapInArrow(lambda batches: encoded(mapped(scan(batches))), "recording string, frame_index long, out_name string, image binary")
+    made = plan_scan(catalog, start, count, carry, chunk_bytes=chunk_bytes).mapInArrow(lambda batches: encoded(mapped(scan(batches))), "recording string, frame_index long, out_name string, image binary")
     return name_images(made, fmt, prefix)
 
 

@@ -315,7 +315,8 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
 
     A null text is empty: one token, the end.  A null doc_id counts as training.  Repeated rows each
     count and get the same scores.  With no training rows the counts are all 0 and the model is the
-    base model over nothing.  An empty table gives an empty result.
+    base model over nothing.  Other columns are left out.  An empty table gives an empty result.  The
+    forward and backward values of one text are held whole, some 24 bytes a token and state.
     """
     spark = docs.sparkSession
     wide = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -423,7 +423,12 @@ def payload_of(image: Image, coef: np.ndarray, first: int) -> bytes:
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (a progressive JPEG) of docs(doc_id, text); a null text is empty."""
+    """doc_id, n_bytes, media (a progressive JPEG) of docs(doc_id, text), one row for each row.
+
+    A null text is empty, and an empty one still makes a file.  Repeated rows give equal media; a null
+    doc_id stays null; other columns are left out.  An empty table gives an empty result.  A text is
+    one image, so a worker holds some twenty times the bytes of its longest text.
+    """
 
     def run(batches):
         for batch in batches:
@@ -476,7 +481,11 @@ def feature_of(rgb: np.ndarray) -> str:
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """What is read back from media(doc_id, n_bytes, media), as digests."""
+    """What is read back from media(doc_id, n_bytes, media), as digests, one row for each row.
+
+    Repeated rows give equal digests; other columns are left out.  A broken or null medium raises: a
+    lossless store must not lose a row.  An empty table gives an empty result.
+    """
 
     def run(batches):
         for batch in batches:

@@ -9,9 +9,9 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
 2. Keys are counted over the whole table; those of one document are left out.  What is left goes into
    a bitmap, whose size follows the number of shared keys up to MOST_FILTER_BITS.  It is a filter only:
    a wrong hit costs work and changes no result.
-3. The contexts of shared keys meet by key, each different one once.  Their suffixes are put in order
-   by `grouped_suffixes`; strings that stand side by side there and are equal in LENGTH bytes share
-   their smallest document.  No string has an owner but by that order.
+3. The contexts of shared keys meet by key, each different one once.  Where a key has several, their
+   suffixes are put in order by `grouped_suffixes`; strings that stand side by side there and are
+   equal in LENGTH bytes share their smallest document.  A key with one context needs no order.
 4. A key of very many documents would gather them all in one task.  The strings of such common keys
    are keyed by PART_CORE bytes instead, so that few different contexts of a key are possible however
    large the corpus is.  Only the smallest document of each context is sent to be put in order; the
@@ -23,7 +23,6 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
 from __future__ import annotations
 
 import hashlib
-import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -426,8 +425,19 @@ def _owners(keys, n_strings, core, body, first_byte, least, core_size: int = COR
 
     All contexts of a key hold the same core_size bytes at one place, and so does every string of theirs.
     The core is put as one symbol above all bytes; strings are equal if what is left of them and
-    their keys are.
+    their keys are.  A key with one context has nothing to order: its strings differ, as they have
+    their anchor at different places, and their smallest document is the context's.
     """
+    many = np.ones(len(keys), bool)
+    many[1:-1] = (keys[1:-1] == keys[:-2]) | (keys[1:-1] == keys[2:])
+    if len(keys):
+        many[0], many[-1] = len(keys) > 1 and keys[0] == keys[1], len(keys) > 1 and keys[-1] == keys[-2]
+    if not many.all():
+        owner = np.repeat(least, n_strings)
+        at = np.flatnonzero(many)
+        if len(at):
+            owner[np.repeat(many, n_strings)] = _owners(keys[at], n_strings[at], core[at], body, first_byte[at], least[at], core_size)[0]
+        return owner, np.cumsum(n_strings) - n_strings
     size, rest = LENGTH - core_size + 1, LENGTH - 1 - core_size
     strings = np.cumsum(n_strings) - n_strings
     owner = np.full(int(n_strings.sum()), np.iinfo(np.int64).max)
@@ -567,32 +577,37 @@ def _common_parts(batch, filters):
             yield first + row, key, shape, at - offsets[row], n
 
 
-def _send_parts(filters):
-    """(key, shape, least and most document, times) of the parts of common keys, each part of HOLD occurrences once."""
+def _merge_parts(parts: np.ndarray) -> np.ndarray:
+    """Rows key, shape, least, most, times: one column for each different part, sorted by key."""
+    order = np.lexsort((parts[1], parts[0]))
+    key, shape, least, most, times = parts[:, order]
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (shape[1:] != shape[:-1])))
+    return np.stack([key[new], shape[new], np.minimum.reduceat(least, new), np.maximum.reduceat(most, new), np.add.reduceat(times, new)])
 
-    def send(held):
-        key, shape, least, most, times = np.concatenate(held, 1)
-        order = np.lexsort((shape, key))
-        key, shape = key[order], shape[order]
-        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (shape[1:] != shape[:-1])))
-        return np.stack([key[new], shape[new], np.minimum.reduceat(least[order], new), np.maximum.reduceat(most[order], new), np.add.reduceat(times[order], new)])
+
+def _send_parts(filters, n_buckets: int):
+    """(bucket, packed parts of common keys); each part of HOLD occurrences once, with its least and most document and times."""
+
+    def pack(parts):
+        for bucket, own in _dealt(mix(parts[0].view(np.uint64)), n_buckets):
+            blob, size = _pack([parts[:, own].ravel()], (np.int64,))
+            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), pa.array([size], pa.int64())], ["bucket", "blob", "size"])
 
     def run(batches):
         held, total = [], 0
-        names = ["key", "shape", "least", "most", "times"]
         for batch in batches:
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for row, key, shape, _, _ in _common_parts(batch, filters.value):
                 held.append(np.stack([key, shape, docs[row], docs[row], np.ones(len(key), np.int64)]))
                 total += len(key)
             if total >= HOLD:
-                held = [send(held)]
+                held = [_merge_parts(np.concatenate(held, 1))]
                 total = held[0].shape[1]
                 if total >= HOLD // 2:
-                    yield pa.record_batch([pa.array(x) for x in held[0]], names)
+                    yield from pack(held[0])
                     held, total = [], 0
         if total:
-            yield pa.record_batch([pa.array(x) for x in send(held)], names)
+            yield from pack(_merge_parts(np.concatenate(held, 1)))
 
     return run
 
@@ -601,24 +616,20 @@ _OWNERS = [f"owner{i}" for i in range(PART)]
 
 
 def _settle_parts(batches):
-    """(key, shape, times, owner of each string) of the parts of which a document loses bytes; rows come by key."""
-    held = np.zeros((5, 0), np.int64)
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            held = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("key", "shape", "least", "most", "times")])], 1)
-        whole = held.shape[1] if batch is None else int(np.searchsorted(held[0], held[0, -1])) if held.shape[1] else 0
-        if not whole:
-            continue
-        (key, shape, least, most, times), held = held[:, :whole], held[:, whole:]
+    """(key, shape, times, owner of each string) of the parts of a bucket of which a document loses bytes."""
+    for _, held in _by_bucket(batches, ["blob", "size"]):
+        parts = np.concatenate([_unpack(blob, size, (np.int64,))[0].reshape(5, -1) for blob, size in held], 1)
+        key, shape, least, most, times = _merge_parts(parts)
         n, before = shape >> 48 & 15, shape >> 52
         place = np.arange(PART + PART_REST)
         body = (shape[:, None] >> (8 * place) & 255).astype(np.uint8)[place < (n + PART_REST)[:, None]]
         owner, strings = _owners(key, n, before, body, np.cumsum(n + PART_REST) - (n + PART_REST), least, PART_CORE)
-        out = np.full((whole, PART), np.iinfo(np.int64).max)
+        out = np.full((len(key), PART), np.iinfo(np.int64).max)
         o, p = spread(n)
         out[o, p] = owner
         lost = np.flatnonzero((out < most[:, None]).any(axis=1))
-        yield pa.record_batch([pa.array(x[lost]) for x in (key, shape, times, *out.T)], ["key", "shape", "times", *_OWNERS])
+        if len(lost):
+            yield pa.record_batch([pa.array(x[lost]) for x in (key, shape, times, *out.T)], ["key", "shape", "times", *_OWNERS])
 
 
 CODE_BITS = 6
@@ -735,11 +746,11 @@ def _spans_of_buckets(batches):
                 yield from _span_rows(o, p, table[3][which[hit]][o, p], doc[hit], prints[hit], start[hit])
 
 
-def _common_spans(texts: DataFrame, filters) -> DataFrame:
+def _common_spans(texts: DataFrame, filters, n_common: int) -> DataFrame:
     """of, of_print, spans by the strings of common keys."""
-    parts = texts.mapInArrow(tidy(_send_parts(filters)), "key long, shape long, least long, most long, times long")
-    parts = parts.groupBy("key", "shape").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("times").alias("times"))
-    settled = parts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_settle_parts), "key long, shape long, times long, " + ", ".join(f"{c} long" for c in _OWNERS))
+    n_parts = max(LEAST_BUCKETS, -(-n_common // BUCKET_KEYS))
+    parts = texts.mapInArrow(tidy(_send_parts(filters, n_parts)), "bucket int, blob binary, size long")
+    settled = parts.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_settle_parts), "key long, shape long, times long, " + ", ".join(f"{c} long" for c in _OWNERS))
     settled = cut(settled)
     n, total = (x or 0 for x in settled.agg(F.count("key"), F.sum("times")).first())
     codes = settled.select("key", "shape").mapInArrow(tidy(_send_codes), "bucket int, codes binary")
@@ -786,7 +797,7 @@ def find_repeats(docs: DataFrame, common_docs: int = COMMON_DOCS) -> DataFrame:
     sent = texts.mapInArrow(tidy(_send_contexts(filters, n_buckets)), "bucket int, blob binary, size long")
     spans = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_find_spans), "of long, of_print long, spans binary")
     if n_common:
-        spans = spans.unionByName(_common_spans(texts, filters))
+        spans = spans.unionByName(_common_spans(texts, filters, n_common))
     return spans.groupBy("of", "of_print").agg(F.collect_list("spans").alias("parts"))
 
 

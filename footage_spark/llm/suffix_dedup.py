@@ -777,16 +777,16 @@ def merge_spans(parts: list[bytes]) -> list[tuple[int, int]]:
     return list(zip(every[new, 0].tolist(), reach[np.append(new[1:], len(every)) - 1].tolist(), strict=True))
 
 
-def _print(docs: DataFrame, text: Column) -> Column:
+def _print(docs: DataFrame) -> Column:
     """What tells texts of one doc_id apart: a hash of the text, or 0 where no doc_id stands twice and none is needed."""
     alone = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return F.lit(0).cast("long") if alone else F.xxhash64(text)
+    return F.lit(0).cast("long") if alone else F.xxhash64("text")
 
 
-def find_repeats(docs: DataFrame, common_docs: int = COMMON_DOCS) -> DataFrame:
+def find_repeats(docs: DataFrame, common_docs: int = COMMON_DOCS, print_: Column | None = None) -> DataFrame:
     """of, of_print, parts (array of packed spans) for each different (doc_id, text) that loses bytes."""
     spark = docs.sparkSession
-    texts = small_batches(docs).where("doc_id is not null and octet_length(text) >= " + str(LENGTH)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", _print(docs, F.col("text")).alias("print"))
+    texts = small_batches(docs).where("doc_id is not null and octet_length(text) >= " + str(LENGTH)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", (_print(docs) if print_ is None else print_).alias("print"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count_bits = min(max((size // COUNT_BYTES).bit_length(), 6), 20)
     keys = texts.select("doc_id", "text").mapInArrow(tidy(_send_keys(count_bits)), "bucket int, n_once int, once binary, more binary, many binary")
@@ -802,8 +802,9 @@ def find_repeats(docs: DataFrame, common_docs: int = COMMON_DOCS) -> DataFrame:
 
 
 def _with_parts(docs: DataFrame, common_docs: int) -> DataFrame:
-    found = find_repeats(docs, common_docs)
-    return docs.join(found, (F.col("doc_id") == F.col("of")) & (_print(docs, F.col("text")) == F.col("of_print")), "left").drop("of", "of_print")
+    print_ = _print(docs)
+    found = find_repeats(docs, common_docs, print_)
+    return docs.join(found, (F.col("doc_id") == F.col("of")) & (print_ == F.col("of_print")), "left").drop("of", "of_print")
 
 
 def _cut_bytes(raw: bytes, spans) -> bytes:

@@ -1,11 +1,11 @@
-"""The thin queries op1 ... op10 over the given tables, and their SQL where SQL can express them."""
+"""The thin queries op1 ... op13 over the given tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, grade_model, hmm_lm, line_dedup, media, mixing, quality_rules, simhash, suffix_dedup
+from . import bpe, chat, grade_model, hmm_lm, line_dedup, media, mixing, quality_rules, simhash, suffix_dedup, warc
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -70,10 +70,16 @@ def op10_chat_format(spark, sf_dir):
     return parsed.select("conv_id", F.size("turns").alias("n_turns"), roles.alias("roles"), "rendered")
 
 
+def op11_warc(spark, sf_dir):
+    """Pages as WARC records, written as whole-file gzip streams, made seekable and read back by the index."""
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 def queries():
     return {
         f.__name__: f
-        for f in (op1_line_dedup, op2_mix_sources, op3_suffix_dedup, op4_hmm_lm, op5_quality_rules, op6_simhash, op7_bpe, op8_progressive_jpeg, op9_grade_model, op10_chat_format)
+        for f in (op1_line_dedup, op2_mix_sources, op3_suffix_dedup, op4_hmm_lm, op5_quality_rules, op6_simhash, op7_bpe, op8_progressive_jpeg, op9_grade_model, op10_chat_format, op11_warc)
     }
 
 
@@ -101,5 +107,17 @@ FROM documents d LEFT JOIN gone ON d.doc_id = gone.doc_id LEFT JOIN kept ON d.do
 """
 
 
+#: op11: base 32 of the SHA-1, four letters of each five hexadecimal digits.
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+  h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS d, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((('0x' || substr(d, CAST(k // 4 * 5 + 1 AS BIGINT), 5))::BIGINT >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < keeper THEN keeper END AS refers_to
+FROM h
+"""
+
+
 def oracle_sql():
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op11_warc": OP11_SQL}

@@ -178,8 +178,8 @@ def tidy(run):
     return tidied
 
 
-def with_row(df):
-    """The table with a text of its own for each row (column row), the same in every pass.
+def with_row(df, columns=None):
+    """The table (or the columns named) with a text of its own for each row (column row), the same in every pass.
 
     Rows of files are named by file and place.  Others are numbered and kept in the shared folder, as
     numbers would change with the partitions.
@@ -187,7 +187,8 @@ def with_row(df):
     from pyspark.errors import AnalysisException
     from pyspark.sql import functions as F
 
+    columns = df.columns if columns is None else columns
     try:
-        return df.select(*df.columns, F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("row"))
+        return df.select(*columns, F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("row"))
     except AnalysisException:  # not read straight from files
-        return cut(df.withColumn("row", F.monotonically_increasing_id().cast("string")))
+        return cut(df.select(*columns, F.monotonically_increasing_id().cast("string").alias("row")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, grade_model, hmm_lm, line_dedup, media, mixing, quality_rules, simhash, suffix_dedup, warc
+from . import bpe, chat, collocations, grade_model, hmm_lm, line_dedup, media, mixing, prefix_trie, quality_rules, simhash, suffix_dedup, warc
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -76,10 +76,18 @@ def op11_warc(spark, sf_dir):
     return read.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
+def op12_collocations(spark, sf_dir):
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries():
     return {
         f.__name__: f
-        for f in (op1_line_dedup, op2_mix_sources, op3_suffix_dedup, op4_hmm_lm, op5_quality_rules, op6_simhash, op7_bpe, op8_progressive_jpeg, op9_grade_model, op10_chat_format, op11_warc)
+        for f in (op1_line_dedup, op2_mix_sources, op3_suffix_dedup, op4_hmm_lm, op5_quality_rules, op6_simhash, op7_bpe, op8_progressive_jpeg, op9_grade_model, op10_chat_format, op11_warc, op12_collocations, op13_prefix_trie)
     }
 
 
@@ -119,5 +127,43 @@ FROM h
 """
 
 
+#: op12: pieces, words and all phrases of 1 to 4 words; products as HUGEINT.
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, list_aggregate(ws[i:i + k - 1], 'string_agg', ' ') AS phrase FROM w, unnest(range(1, 5)) x(k), unnest(range(1, len(ws) - k + 2)) y(i)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+cuts AS (SELECT c.*, j, fl.a AS l, fr.a AS r, CAST(2000000::HUGEINT * c.a // (fl.a + fr.a) AS BIGINT) AS score
+  FROM c, unnest(range(1, k)) x(j)
+  JOIN f fl ON fl.lang = c.lang AND fl.phrase = list_aggregate(ws[1:j], 'string_agg', ' ')
+  JOIN f fr ON fr.lang = c.lang AND fr.phrase = list_aggregate(ws[j + 1:], 'string_agg', ' ')),
+s AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (SELECT DISTINCT c.lang, list_aggregate(ws[i:i + m - 1], 'string_agg', ' ') AS phrase, c.a AS f FROM c, unnest(range(2, k)) x(m), unnest(range(1, k - m + 2)) y(i)),
+top AS (SELECT lang, phrase, max(f) AS f FROM inner_ GROUP BY ALL),
+kept AS (SELECT s.* FROM s LEFT JOIN top ON s.lang = top.lang AND s.phrase = top.phrase WHERE top.f IS NULL OR 100 * top.f < 80 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN t ON t.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
+#: op13: CRC-32 bit by bit; a node is the list of its turns, and its subtree the nodes whose first conversation passes it.
+OP13_SQL = """
+WITH o AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, ts, CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) AS BIGINT) % 9 AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.ts, [])[1:h.h], h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 5),
+m AS (SELECT conv_id, d AS depth, ts[1:d] AS key, d = len(ts) AS is_end FROM r, unnest(range(0, len(ts) + 1)) x(d)),
+n AS (SELECT min(conv_id) AS conv_id, depth, key, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '') AS ends FROM m GROUP BY depth, key),
+p AS (SELECT n.*, u.conv_id AS parent_conv_id, CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * strlen(n.key[n.depth].t) END AS saved FROM n LEFT JOIN n u ON u.depth = n.depth - 1 AND u.key = n.key[1:n.depth - 1]),
+k AS (SELECT p.*, (SELECT count(*) FROM p c WHERE c.depth = p.depth + 1 AND c.parent_conv_id = p.conv_id) AS n_children FROM p),
+a AS (SELECT m.depth, m.key, sum(k.saved) AS saved, count(*) FILTER (k.n_children = 0) AS leaves FROM k JOIN m ON m.conv_id = k.conv_id AND m.depth <= k.depth GROUP BY m.depth, m.key)
+SELECT k.conv_id, k.depth, k.parent_conv_id, k.n_convs, k.n_children, a.leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM k JOIN a ON a.depth = k.depth AND a.key = k.key
+"""
+
+
 def oracle_sql():
-    return {"op1_line_dedup": OP1_SQL, "op11_warc": OP11_SQL}
+    return {"op13_prefix_trie": OP13_SQL, "op12_collocations": OP12_SQL, "op1_line_dedup": OP1_SQL, "op11_warc": OP11_SQL}

@@ -192,3 +192,19 @@ def with_row(df, columns=None):
         return df.select(*columns, F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("row"))
     except AnalysisException:  # not read straight from files
         return cut(df.select(*columns, F.monotonically_increasing_id().cast("string").alias("row")))
+
+
+def join_hot(big, small, keys, most: int = 10_000):
+    """Inner join of big with small(keys, ...), whose keys are unique, that no key of big can make lopsided.
+
+    Keys with a most-th of big's rows or more (so `most` of them at the utmost) are sent to every task; the
+    rest meet in a shuffle.  big is read three times: cut it before.
+    """
+    from pyspark.sql import functions as F
+
+    least = max(big.count() / most, 1000)  # under 1000 rows of one key no task suffers
+    hot = cut(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select(*keys))
+    if hot.isEmpty():
+        return big.join(small, keys)
+    cold = big.join(F.broadcast(hot), keys, "left_anti").join(small, keys)
+    return cold.unionByName(big.join(F.broadcast(small.join(F.broadcast(hot), keys, "left_semi")), keys))

@@ -177,13 +177,20 @@ class Summary:
         self.n_waiting = 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Merge another summary (or exact counts) into this one."""
+        """Take in exact counts of different keys."""
         self.waiting.append((keys, counts))
         self.n_waiting += len(keys)
         self.mass += int(counts.sum())
         if self.n_waiting >= self.buffer:
             self.settle()
 
+    def merge(self, other: Summary) -> None:
+        """Take in another summary of the same capacity: what either took off counts, and together stays under their mass / capacity."""
+        other.settle()
+        self.mass += other.mass - int(other.counts.sum())
+        self.taken += other.taken
+        self.add(other.keys, other.counts)
+
     def settle(self) -> None:
         parts = [(self.keys, self.counts), *self.waiting]
         self.keys, self.counts = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))

@@ -155,7 +155,7 @@ class Inflated:
 
     def __init__(self, source, block: int = BLOCK):
         self.source, self.block, self.held, self.ended = source, block, b"", False
-        self.pack = zlib.decompressobj(31)
+        self.pack, self.begun = zlib.decompressobj(31), False
 
     def more(self) -> bool:
         """Inflate up to a block more; False at the end of the file.  A stream that stops short raises."""
@@ -169,8 +169,12 @@ class Inflated:
                 self.pack = zlib.decompressobj(31)
             elif not raw:
                 raw = self.source.read(self.block)
+                if not raw and not self.begun:  # an empty file
+                    self.ended = True
+                    break
                 if not raw:
                     raise ValueError("gzip stream stops short")
+                self.begun = True
             got = self.pack.decompress(raw, self.block)
             raw = self.pack.unconsumed_tail
             if got:
@@ -224,9 +228,10 @@ def _length(fields: dict[str, str]) -> int:
 def normalise_stream(source, out, index, level: int = 6) -> tuple[int, str | None]:
     """Records of a gzip stream to members of their own, and lines of the index; (records, what went wrong).
 
-    A block at a time, so memory follows neither file nor record.  What stands before a fault is kept.
+    A block at a time, so memory follows neither file nor record.  What stands before a fault is kept;
+    a record that was begun then has no line in the index, and its member is closed as it is.
     """
-    records, read = 0, Inflated(source)
+    records, read, pack = 0, Inflated(source), None
     try:
         while head := read.head():
             fields, at = fields_of(head), out.tell()
@@ -238,8 +243,10 @@ def normalise_stream(source, out, index, level: int = 6) -> tuple[int, str | Non
             out.write(pack.compress(b"\r\n\r\n") + pack.flush())
             line = {"offset": at, "length": out.tell() - at, "type": fields.get("warc-type"), "id": fields.get("warc-record-id"), "uri": fields.get("warc-target-uri"), "digest": fields.get("warc-payload-digest")}
             index.write((json.dumps(line) + "\n").encode())
-            records += 1
+            records, pack = records + 1, None
     except (ValueError, zlib.error) as e:
+        if pack is not None:
+            out.write(pack.flush())
         return records, str(e)
     return records, None
 

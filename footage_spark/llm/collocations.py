@@ -24,7 +24,7 @@ LEAST, MOST_WORDS, TOP, DOMINANCE, SCALE = 30, 4, 2000, 80, 2_000_000
 #: Expected n-grams of a hash partition, and the largest bitmap (64 MB).
 PARTITION_MASS, FILTER_BITS = 1 << 24, 1 << 29
 #: N-gram keys that a task sorts at a time in the first pass; bytes of text that it counts at a time in the second.
-HOLD_KEYS, HOLD_BYTES, CHUNK = 1 << 22, 32 << 20, 1 << 20
+HOLD_KEYS, HOLD_BYTES, CHUNK = 1 << 22, 10 << 20, 1 << 20
 #: What divides pieces, and words within them.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -297,12 +297,10 @@ def exact_counts(docs: DataFrame, found: np.ndarray, bits: int, size: int) -> Da
             before = whole
 
     def flush(held, known):
-        texts = np.concatenate([h[0] for h in held])
         sizes = np.cumsum([0, *(len(h[0]) for h in held)])
-        g = np.concatenate([h[1] for h in held])
-        start = np.concatenate([h[2] + s for h, s in zip(held, sizes, strict=False)])
-        length = np.concatenate([h[3] for h in held])
-        k, lang = np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held])
+        held[:] = [(h[0], h[1], h[2] + np.int32(s), *h[3:]) for h, s in zip(held, sizes, strict=False)]
+        texts, g, start, length, k, lang = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order = np.argsort(g, kind="stable")
         g = g[order]
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
@@ -310,9 +308,9 @@ def exact_counts(docs: DataFrame, found: np.ndarray, bits: int, size: int) -> Da
         for a in range(0, len(one), 1 << 16):
             some = one[a : a + (1 << 16)]
             ends = np.concatenate([[0], np.cumsum(length[some])])
-            at = np.repeat(start[some] - ends[:-1], length[some]) + np.arange(ends[-1])
+            at = np.repeat(start[some] - ends[:-1], length[some]) + np.arange(ends[-1])  # places in texts
             phrase = pa.Array.from_buffers(pa.string(), len(some), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(texts[at])])
-            yield pa.record_batch([pa.array(known, pa.string()).take(pa.array(lang[some])), phrase, pa.array(k[some]), pa.array(counts[a : a + (1 << 16)])], ["lang", "phrase", "k", "c"])
+            yield pa.record_batch([pa.array(known, pa.string()).take(pa.array(lang[some])), phrase, pa.array(k[some].astype(np.int32)), pa.array(counts[a : a + (1 << 16)])], ["lang", "phrase", "k", "c"])
 
     def run(batches):
         have = np.frombuffer(shared.value, np.uint8)
@@ -333,12 +331,12 @@ def exact_counts(docs: DataFrame, found: np.ndarray, bits: int, size: int) -> Da
                 parts = []
                 for n, hit in enumerate(passing(grams, have)):
                     at = np.flatnonzero(hit)
-                    parts.append((grams.g[n][at], starts[at].astype(np.int64), (ends[at + n] - starts[at]).astype(np.int32), np.full(len(at), n + 1, np.int32), mine[grams.row[at]]))
+                    parts.append((grams.g[n][at], starts[at].astype(np.int32), (ends[at + n] - starts[at]).astype(np.int32), np.full(len(at), n + 1, np.int8), mine[grams.row[at]]))
                 held.append((text, *(np.concatenate(x) for x in zip(*parts, strict=True))))
                 size_held += len(text)
                 if size_held >= HOLD_BYTES:
                     yield from flush(held, known)
-                    held, size_held = [], 0
+                    size_held = 0
         if held:
             yield from flush(held, known)
         yield pa.record_batch([pa.array([known[i] for i in words], pa.string()), pa.array([None] * len(words), pa.string()), pa.array([0] * len(words), pa.int32()), pa.array(list(words.values()), pa.int64())], ["lang", "phrase", "k", "c"])

@@ -6,14 +6,16 @@ mass divided by the threshold, so what is subtracted stays under the threshold a
 that is frequent keeps a counter; summaries merge, so blocks of keys are merged into it as they come, in
 any order.  A hash that two n-grams share only lets a needless one through.  The survivors become a
 bitmap of at most FILTER_BITS, each partition its own slice.  The second pass counts what passes the
-bitmap exactly, as strings; an n-gram passes only if its shorter parts do.  Repeated n-grams are summed
-up before any shuffle, so one phrase may hold any share of the corpus.
+bitmap exactly; an n-gram passes only if its shorter parts do.  Repeated n-grams are summed up before any
+shuffle, so one phrase may hold any share of the corpus; what is shuffled are blocks of phrases by hash
+partition.  Phrases are told apart by 64-bit hashes there (a billion of them: a chance of 3 % that two are one).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -280,10 +282,73 @@ def bitmap(found: DataFrame, bits: int, size: int) -> np.ndarray:
     return out
 
 
-def exact_counts(docs: DataFrame, found: np.ndarray, bits: int, size: int) -> DataFrame:
-    """lang, phrase, k (words), c: n-grams that pass the bitmap, summed up by each task; phrase null: all words of the language."""
+class Phrases:
+    """Different phrases with their counts, in order of their hashes: columns side by side, texts end to end."""
+
+    def __init__(self):
+        none = np.zeros(0, np.int64)
+        self.key, self.count, self.lang, self.k, self.length, self.text = none.astype(np.uint64), none, none.astype(np.int32), none.astype(np.int8), none.astype(np.int32), np.zeros(0, np.uint8)
+        self.waiting, self.n_waiting = [], 0
+
+    def add(self, key, count, lang, k, start, length, text) -> None:
+        """Take in phrases that stand in text at start, repeated ones too; counts of equal hashes are added up."""
+        own = np.cumsum(self.length) - self.length
+        key, count, lang, k, length = (np.concatenate([x, y]) for x, y in ((self.key, key), (self.count, count), (self.lang, lang), (self.k, k), (self.length, length)))
+        start = np.concatenate([own, start + len(self.text)])
+        text = np.concatenate([self.text, text])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        one = order[first]
+        self.key, self.count = key[first], np.add.reduceat(count[order], first) if len(first) else count
+        self.lang, self.k, self.length = lang[one], k[one], length[one]
+        ends = np.concatenate([[0], np.cumsum(self.length, dtype=np.int64)])
+        self.text = text[np.repeat(start[one] - ends[:-1], self.length) + np.arange(ends[-1])]
+
+    def blocks(self, bits: int, langs: list[str]):
+        """Rows of BLOCKS, one for each hash partition."""
+        if not len(self.key):
+            return
+        bucket = (places(self.key, bits) >> np.uint64(32)).astype(np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        at = np.concatenate([[0], np.cumsum(self.length, dtype=np.int64)])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            used, lang = np.unique(self.lang[a:b], return_inverse=True)
+            parts = (self.count[a:b].astype("<i8"), lang.astype("<i4"), self.k[a:b], self.length[a:b].astype("<i4"), self.text[at[a] : at[b]])
+            raw = b"".join(x.tobytes() for x in parts)
+            yield {"bucket": int(bucket[a]), "n": int(b - a), "langs": [langs[i] for i in used], "size": len(raw), "body": pa.compress(raw, "zstd", asbytes=True)}
+
+    def add_block(self, n: int, size: int, body: bytes, langs: list[str], number: dict[str, int]) -> None:
+        raw = pa.decompress(body, size, "zstd", asbytes=True)
+        count, lang = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i4", n, 8 * n)
+        k, length, text = np.frombuffer(raw, np.int8, n, 12 * n), np.frombuffer(raw, "<i4", n, 13 * n), np.frombuffer(raw, np.uint8, -1, 17 * n)
+        mine = np.array([number.setdefault(x, len(number)) for x in langs], np.int32)
+        ends = np.cumsum(length, dtype=np.int64)
+        key = mix(span_hash(prefix_sums(text), ends - length, ends) ^ _codes(langs)[lang])
+        self.waiting.append((key, count, mine[lang], k, ends - length, length, text))
+        self.n_waiting += n
+        if self.n_waiting >= max(len(self.key), 1 << 18):  # so each phrase is merged a few times only
+            self.settle()
+
+    def settle(self) -> None:
+        """Merge the blocks that wait."""
+        if self.waiting:
+            sizes = np.cumsum([0, *(len(x[-1]) for x in self.waiting)])
+            parts = [(*x[:4], x[4] + s, *x[5:]) for x, s in zip(self.waiting, sizes, strict=False)]
+            self.waiting, self.n_waiting = [], 0
+            self.add(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+BLOCKS = "bucket int, n long, langs array<string>, size long, body binary"
+#: Different phrases that a task holds before it passes them on.
+HOLD_PHRASES = 1 << 20
+
+
+def phrase_blocks(docs: DataFrame, found: np.ndarray, bits: int, size: int) -> DataFrame:
+    """BLOCKS of the n-grams that pass the bitmap, summed up by each task; a phrase without words has a language's number of words."""
     shared = docs.sparkSession.sparkContext.broadcast(found.tobytes())
     shift = np.uint64(bits + 32 - size)
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("langs", pa.list_(pa.string())), ("size", pa.int64()), ("body", pa.binary())])
 
     def passing(grams, have):
         """Where n-grams begin that may be frequent: they pass and so do the two that are a word shorter."""
@@ -296,36 +361,22 @@ def exact_counts(docs: DataFrame, found: np.ndarray, bits: int, size: int) -> Da
             yield whole & ok
             before = whole
 
-    def flush(held, known):
+    def merge(phrases, held):
         sizes = np.cumsum([0, *(len(h[0]) for h in held)])
-        held[:] = [(h[0], h[1], h[2] + np.int32(s), *h[3:]) for h, s in zip(held, sizes, strict=False)]
-        texts, g, start, length, k, lang = (np.concatenate(x) for x in zip(*held, strict=True))
+        held[:] = [(h[0], h[1], h[2] + s, *h[3:]) for h, s in zip(held, sizes, strict=False)]
+        text, key, start, length, k, lang = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.argsort(g, kind="stable")
-        g = g[order]
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-        counts, one = np.diff(np.append(first, len(g))), order[first]
-        for a in range(0, len(one), 1 << 16):
-            some = one[a : a + (1 << 16)]
-            ends = np.concatenate([[0], np.cumsum(length[some])])
-            at = np.repeat(start[some] - ends[:-1], length[some]) + np.arange(ends[-1])  # places in texts
-            phrase = pa.Array.from_buffers(pa.string(), len(some), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(texts[at])])
-            yield pa.record_batch([pa.array(known, pa.string()).take(pa.array(lang[some])), phrase, pa.array(k[some].astype(np.int32)), pa.array(counts[a : a + (1 << 16)])], ["lang", "phrase", "k", "c"])
+        phrases.add(key, np.ones(len(key), np.int64), lang, k, start, length, text)
 
     def run(batches):
         have = np.frombuffer(shared.value, np.uint8)
-        held, size_held, known, number, words = [], 0, [], {}, {}
+        phrases, held, size_held, number, words = Phrases(), [], 0, {}, {}
         for batch in batches:
             for grams, langs, index in _grams(batch):
-                for x in langs:
-                    if x not in number:
-                        number[x] = len(known)
-                        known.append(x)
-                mine = np.array([number[x] for x in langs], np.int32)[index]
+                mine = np.array([number.setdefault(x, len(number)) for x in langs], np.int32)[index]
                 if not len(grams.starts):
                     continue
-                own = grams.row[grams.ok[0]]
-                for i, c in enumerate(np.bincount(mine[own], minlength=len(known)).tolist()):
+                for i, c in enumerate(np.bincount(mine[grams.row[grams.ok[0]]]).tolist()):
                     words[i] = words.get(i, 0) + c
                 text, starts, ends = grams.normal()
                 parts = []
@@ -335,13 +386,50 @@ def exact_counts(docs: DataFrame, found: np.ndarray, bits: int, size: int) -> Da
                 held.append((text, *(np.concatenate(x) for x in zip(*parts, strict=True))))
                 size_held += len(text)
                 if size_held >= HOLD_BYTES:
-                    yield from flush(held, known)
+                    merge(phrases, held)
                     size_held = 0
+                    if len(phrases.key) >= HOLD_PHRASES:
+                        yield from tables(phrases, number)
+                        phrases = Phrases()
         if held:
-            yield from flush(held, known)
-        yield pa.record_batch([pa.array([known[i] for i in words], pa.string()), pa.array([None] * len(words), pa.string()), pa.array([0] * len(words), pa.int32()), pa.array(list(words.values()), pa.int64())], ["lang", "phrase", "k", "c"])
+            merge(phrases, held)
+        yield from tables(phrases, number)
+        total = Phrases()
+        names, zero = list(number), np.zeros(len(words), np.int32)
+        total.add(_codes([names[i] for i in words]), np.array(list(words.values()), np.int64), np.array(list(words), np.int32), zero.astype(np.int8), zero, zero, np.zeros(0, np.uint8))
+        yield from tables(total, number)
+
+    def tables(phrases, number):
+        for row in phrases.blocks(bits, list(number)):
+            yield pa.RecordBatch.from_pylist([row], schema)
+
+    return docs.mapInArrow(tidy(run), BLOCKS)
+
+
+def summed_phrases(blocks: DataFrame, least: int, partitions: int) -> DataFrame:
+    """lang, phrase, k, c of phrases of `least` or more; phrase null: all words of the language."""
+
+    def run(batches):
+        held: dict[int, Phrases] = {}
+        number: dict[str, int] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                held.setdefault(r["bucket"], Phrases()).add_block(r["n"], r["size"], r["body"], r["langs"], number)
+        names = pa.array(list(number), pa.string())
+        for bucket in list(held):
+            got = held.pop(bucket)
+            got.settle()
+            ends = np.cumsum(got.length, dtype=np.int64)
+            kept = np.flatnonzero((got.count >= least) | (got.k == 0))
+            for a in range(0, len(kept), 1 << 16):
+                some = kept[a : a + (1 << 16)]
+                to = np.concatenate([[0], np.cumsum(got.length[some], dtype=np.int64)])
+                at = np.repeat(ends[some] - got.length[some] - to[:-1], got.length[some]) + np.arange(to[-1])
+                phrase = pa.Array.from_buffers(pa.large_string(), len(some), [None, pa.py_buffer(to), pa.py_buffer(got.text[at])]).cast(pa.string())
+                phrase = pc.if_else(pa.array(got.k[some] == 0), pa.scalar(None, pa.string()), phrase)
+                yield pa.record_batch([names.take(pa.array(got.lang[some])), phrase, pa.array(got.k[some].astype(np.int32)), pa.array(got.count[some])], ["lang", "phrase", "k", "c"])
 
-    return docs.mapInArrow(tidy(run), "lang string, phrase string, k int, c long")
+    return blocks.repartition(partitions, "bucket").mapInArrow(tidy(run), "lang string, phrase string, k int, c long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, partition_mass: int = PARTITION_MASS, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -357,8 +445,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, partition_mass: int =
     n = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = min(max((256 * n).bit_length(), bits + 13), filter_bits.bit_length() - 1, bits + 32)
     size = max(size, bits + 3)  # a slice is a byte at least
-    counted = exact_counts(docs, bitmap(found, bits, size), bits, size)
-    return cut(counted.groupBy("lang", "phrase", "k").agg(F.sum("c").alias("c")).where((F.col("c") >= least) | F.col("phrase").isNull()))
+    return cut(summed_phrases(phrase_blocks(docs, bitmap(found, bits, size), bits, size), least, 1 << bits))
 
 
 def _parts(phrase: str, k: int) -> tuple[Column, Column]:
@@ -366,10 +453,10 @@ def _parts(phrase: str, k: int) -> tuple[Column, Column]:
     return F.substring_index(phrase, " ", k), F.expr(f"substring({phrase}, char_length(substring_index({phrase}, ' ', {k})) + 2)")
 
 
-def score_phrases(counts: DataFrame, scale: int = SCALE) -> DataFrame:
-    """lang, phrase, k, a, l, r, score of phrases of 2 words or more: the cut of the lowest score, the shortest first part on ties."""
+def score_phrases(counts: DataFrame, scale: int = SCALE, but: DataFrame | None = None) -> DataFrame:
+    """Of all phrases but those of `but`: lang, phrase, k, a, l, r, score of phrases of 2 words or more: the cut of the lowest score, the shortest first part on ties."""
     known = counts.where("phrase is not null").select("lang", F.col("phrase").alias("part"), F.col("c").alias("f"))
-    long = counts.where("k >= 2")
+    long = counts.where("k >= 2") if but is None else counts.where("k >= 2").join(but, ["lang", "phrase"], "left_anti")
     asked = []
     for k in range(1, MOST_WORDS):
         l, r = _parts("phrase", k)
@@ -401,7 +488,7 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, percent: i
     not looked at, an empty table (or one without frequent phrases) gives no rows.  Texts of any length are taken in ranges.
     """
     counts = frequent_phrases(docs, least, partition_mass, filter_bits)
-    kept = score_phrases(counts).join(dominated(counts, percent), ["lang", "phrase"], "left_anti")
+    kept = score_phrases(counts, but=dominated(counts, percent))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # a language is cut to `top` in parts first, so that no task sorts all its phrases
     parts = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))

@@ -73,17 +73,17 @@ def encoded_batches(fmt: str, layout: str, level: int, column: str, keep: list[s
 
 
 def name_images(images: DataFrame, fmt: str, prefix: str) -> DataFrame:
-    """images(recording, frame_index, image) with file_name and format, and out_name where they have it."""
-    named = ["out_name"] if "out_name" in images.columns else []
+    """images(recording, frame_index, image) with file_name and format, and tick and out_name where they have them."""
+    named = [c for c in ("tick", "out_name") if c in images.columns]
     return images.select("recording", "frame_index", *named, frame_file_name(prefix, F.col("frame_index"), EXTENSIONS[fmt]).alias("file_name"), F.lit(fmt).alias("format"), "image")
 
 
 def encode_frames(frames: DataFrame, fmt: str = "png", layout: str = "gray8", level: int = 6, prefix: str = "cam_", column: str = "mapped") -> DataFrame:
-    """recording, frame_index, file_name, format, image, and out_name where frames have it.
+    """recording, frame_index, file_name, format, image, and tick and out_name where frames have them.
 
     BMP and TIFF hold 8-bit gray, whatever the layout asked for.
     """
-    keep = ["recording", "frame_index", *(["out_name"] if "out_name" in frames.columns else [])]
+    keep = ["recording", "frame_index", *(c for c in ("tick", "out_name") if c in frames.columns)]
     schema = T.StructType([*frames.select(*keep).schema, T.StructField("image", T.BinaryType())])
     made = frames.select(*keep, "width", "height", column).mapInArrow(encoded_batches(fmt, layout, level, column, keep), schema)
     return name_images(made, fmt, prefix)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,19 +22,69 @@ LAYOUTS = {"gray8": 1, "gray16": 2, "rgba8": 4, "rgba16": 8}
 
 #: What a frame needs of its recording's row to be mapped.
 CURVE = ("mode_b", "mode_c", "mode_g")
-#: Most recordings whose curves are sent to every task: some hundred bytes each.
+#: Most recordings whose curves are sent to every task: some hundred bytes each.  Beyond it tasks look theirs up.
 MOST_CURVES = 200_000
+#: Recordings of one file of the table of curves, about.
+CURVES_A_FILE = 50_000
 
 
-def with_curve(frames: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Frames with mode_b, mode_c, mode_g of their own recording, for frames that did not bring them.
+def with_curve(frames: DataFrame, recordings: DataFrame, folder: str | None = None, most: int = MOST_CURVES) -> DataFrame:
+    """Frames with mode_b, mode_c, mode_g of their own recording, for frames that did not bring them; pixels stay where they are.
 
-    read_frames(carry=CURVE) needs no join.  Here up to MOST_CURVES recordings are counted and sent to
-    every task, so pixels stay where they are; with more the frames are shuffled by recording.
+    read_frames(carry=CURVE) needs nothing of this.  Here up to `most` recordings are counted and sent
+    to every task.  With more, curves are written to a table in folder (or the shared folder), by hash of the recording,
+    and each task reads the few files that its own recordings are in.  Frames of unknown recordings go.
     """
     curves = recordings.select("recording", *CURVE)
-    few = curves.limit(MOST_CURVES + 1).count() <= MOST_CURVES
-    return frames.join(F.broadcast(curves) if few else curves, "recording")
+    n = curves.count()
+    if n <= most:
+        return frames.join(F.broadcast(curves), "recording")
+    return _looked_up(frames, curves, folder or shared_folder(frames.sparkSession), max(1, n // CURVES_A_FILE))
+
+
+def shared_folder(spark) -> str:
+    """A new folder under spark.checkpoint.dir; in local mode, where none is named, a temporary one (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        return tempfile.mkdtemp(prefix="spark-lake-")
+    path = f"{re.sub('^file:(//)?', '', base)}/lake-{uuid.uuid4().hex}"
+    if "://" in path:
+        raise ValueError("recordings are opened by path: the shared folder must be mounted")
+    os.makedirs(path)
+    return path
+
+
+def _bucket(recording: str, buckets: int) -> int:
+    return zlib.crc32(recording.encode()) % buckets
+
+
+def _looked_up(frames: DataFrame, curves: DataFrame, folder: str, buckets: int) -> DataFrame:
+    """frames with CURVE from a table of `buckets` folders that tasks read when they meet a recording."""
+    path = f"{folder}/curves"
+    bucket = (F.crc32(F.col("recording").cast("binary")) % buckets).cast("int")
+    curves.select("recording", *(F.col(c).cast("double").alias(c) for c in CURVE), bucket.alias("bucket")).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+    def run(batches):
+        known: dict[int, dict[str, tuple]] = {}
+        for batch in batches:
+            rows = []
+            for name in batch.column("recording").to_pylist():
+                k = _bucket(name, buckets)
+                if k not in known:
+                    if len(known) >= 8:  # few files at a time, whatever the order of recordings
+                        known.pop(next(iter(known)))
+                    here = f"{path}/bucket={k}"
+                    table = pq.read_table(here, columns=["recording", *CURVE], partitioning=None) if os.path.isdir(here) else None
+                    known[k] = {} if table is None else dict(zip(table.column("recording").to_pylist(), zip(*(table.column(c).to_pylist() for c in CURVE), strict=True), strict=True))
+                rows.append(known[k].get(name))
+            kept = np.array([r is not None for r in rows], bool)
+            mine = [r for r in rows if r is not None]
+            batch = batch.filter(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[i] for r in mine], pa.float64()) for i in range(len(CURVE)))], names=[*batch.schema.names, *CURVE])
+
+    return frames.mapInArrow(run, T.StructType([*frames.schema, *(T.StructField(c, T.DoubleType()) for c in CURVE)]))
 
 
 def column_batches(keep: list[str], name: str, make):
@@ -118,6 +175,42 @@ def pixel_histogram(frames: DataFrame, column: str = "pixels") -> DataFrame:
     return frames.select("recording", column).mapInArrow(run, "recording string, raw int, n long").groupBy("recording", "raw").agg(F.sum("n").alias("n"))
 
 
+BINS = "level string, recording string, frame_index long, mode string, bins array<long>"
+
+
+def grouped_histograms(frames: DataFrame, column: str = "pixels") -> DataFrame:
+    """BINS: the 256 counts of pixels by frame, by recording and by mode, of frames(recording, frame_index, mode, pixels).
+
+    Each task adds up its frames' arrays for every level first (one row a group and batch, none for a pixel or
+    bin); arrays of a group then meet element by element.  Null pixels count as none.
+    """
+    schema = pa.schema([("level", pa.string()), ("recording", pa.string()), ("frame_index", pa.int64()), ("mode", pa.string()), ("bins", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            held: dict[tuple, np.ndarray] = {}
+            names = zip(*(batch.column(c).to_pylist() for c in ("recording", "frame_index", "mode")), strict=True)
+            for (recording, index, mode), pixels in zip(names, batch.column(column), strict=True):
+                raw = np.frombuffer(pixels.as_buffer(), np.uint8) if pixels.is_valid else np.zeros(0, np.uint8)
+                one = np.bincount(raw, minlength=256)
+                for group in (("frame", recording, index, mode), ("recording", recording, None, None), ("mode", None, None, mode)):
+                    held[group] = held[group] + one if group in held else one
+            groups = list(held)
+            for a in range(0, len(groups), 1024):
+                part = groups[a : a + 1024]
+                flat = np.concatenate([held[g] for g in part])
+                bins = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 256, dtype=np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(zip(*part, strict=True), schema.types[:4], strict=True)), bins], schema=schema)
+
+    part = frames.select("recording", "frame_index", "mode", column).mapInArrow(run, BINS)
+    return part.groupBy("level", "recording", "frame_index", "mode").agg(F.array(*(F.sum(F.col("bins")[i]) for i in range(256))).alias("bins"))
+
+
+def histogram_rows(grouped: DataFrame) -> DataFrame:
+    """level, recording, frame_index, mode, raw, n: the bins of grouped histograms that are not empty."""
+    return grouped.select("level", "recording", "frame_index", "mode", F.posexplode("bins").alias("raw", "n")).where("n > 0")
+
+
 def saturation_report(histogram: DataFrame, curves: DataFrame) -> DataFrame:
     """Pixels that each recording's curve clips, and levels before and after it."""
     h = histogram.join(curves.select("recording", "mode_b", "mode_c", "mode_g"), "recording")

@@ -81,5 +81,20 @@ SQL: dict[str, str] = {
     "x7_batch_extract": f"SELECT recording, n AS frames_written, n AS frames_total, n * 72 AS input_bytes FROM ({COUNTED})",
     "f1_frame_fingerprint": "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents",
     "st1_ingest_new_recordings": f"SELECT recording AS stem, 1::BIGINT AS times, n AS frames_total, 'ok' AS status FROM ({COUNTED})",
+    "st1_late_recordings": f"""WITH n AS ({COUNTED}) SELECT recording AS stem, 'ok' AS status, 1::BIGINT AS times FROM n WHERE recording <> 'cam_5'
+      UNION ALL SELECT recording, s, 1 FROM n, (VALUES ('incomplete'), ('expired')) v(s) WHERE recording = 'cam_5' OR (recording = 'cam_3' AND s = 'incomplete')""",
+    "s7_source_options": f"WITH {FRAMES} SELECT recording, frame_index, 10000000 + 2000 * frame_index AS tick, 8 AS width, 8 AS height, {RAW_MD5} AS md5 FROM f WHERE frame_index BETWEEN 10 AND 19 AND recording IN ('cam_0', 'cam_1', 'cam_2', 'cam_3', 'cam_4', 'cam_9')",
+    "t6_name_register": """WITH b AS (SELECT p_partkey, replace(p_brand, '#', '_') AS base FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey % 2, p_partkey) AS k FROM b)
+      SELECT p_partkey, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS out_name FROM k""",
+    "v1_verify_images": f"""WITH {FRAMES} SELECT layout, recording || printf('/cam_%05d.Png', frame_index) AS file_name, frame_index, CASE WHEN frame_index % 5 = 1 OR frame_index % 7 = 3 THEN 'mismatch' ELSE 'equal' END AS outcome
+      FROM f, (VALUES ('gray8'), ('gray16'), ('rgba8'), ('rgba16')) l(layout)""",
+    "a4_grouped_histograms": f"""WITH {PIXELS}, m AS (SELECT *, CASE WHEN CAST(substr(recording, 5) AS INTEGER) % 2 = 0 THEN 'raw' ELSE 'reference' END AS mode FROM p)
+      SELECT 'frame' AS level, recording, frame_index, mode, r AS raw, count(*) AS n FROM m GROUP BY ALL
+      UNION ALL SELECT 'recording', recording, NULL, NULL, r, count(*) FROM m GROUP BY recording, r
+      UNION ALL SELECT 'mode', NULL, NULL, mode, r, count(*) FROM m GROUP BY mode, r""",
+    "a7_batch_status": f"""WITH {CATALOG}, g AS (SELECT grouping_id(p_brand, p_partkey) AS g, p_brand AS camera_dir, p_partkey, count(*) AS recordings, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status <> 'ok') AS failed,
+        CAST(coalesce(sum(total) FILTER (status = 'ok'), 0) AS BIGINT) AS frames, min(status) AS own FROM s GROUP BY GROUPING SETS ((p_brand, p_partkey), (p_brand), ()))
+      SELECT CASE g WHEN 0 THEN 'recording' WHEN 1 THEN 'camera' ELSE 'batch' END AS level, camera_dir, p_partkey, recordings, ok, failed, frames, CASE WHEN g = 0 THEN own WHEN failed > 0 THEN 'failed' ELSE 'ok' END AS status FROM g""",
 }
+SQL["j3_curve_table"] = SQL["j3_params_to_frames"]
 SQL["flagship"] = SQL["a5_saturation_report"]

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,23 +22,9 @@ from .streaming import ingest as ing
 B, C, G = fx.BRIGHTNESS, fx.CONTRAST, fx.GAMMA
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; one under /tmp only in local mode, where none is named (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        return tempfile.mkdtemp(prefix="spark-lake-")
-    path = f"{ft.local_path(base)}/lake-{uuid.uuid4().hex}"
-    if "://" in path:
-        raise ValueError("recordings are opened by path: the shared folder must be mounted")
-    os.makedirs(path)
-    return path
-
-
 def _lake(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """Recordings made from embeddings, written to a shared folder, and their catalogue."""
-    root = _shared(spark)
+    root = px.shared_folder(spark)
     fx.write_lake(fx.frames(spark, sf_dir), root)
     return root, rc.recordings(spark, root)
 
@@ -94,6 +79,15 @@ def s7_frame_range(spark, sf_dir):
     return _short(ft.read_frames(spark, catalog, 10, 15)).select("recording", "frame_index", F.md5("pixels").alias("md5"))
 
 
+def s7_source_options(spark, sf_dir):
+    """SQL over the source: frames 10 to 24 of the recordings with one-digit names below 5, and a filter on the frame number."""
+    root, _ = _lake(spark, sf_dir)
+    ft.register_footage(spark)
+    name = f"footage_{os.path.basename(root).replace('-', '_')}"
+    spark.sql(f"CREATE TEMPORARY VIEW {name} USING footage OPTIONS (root '{root}', start '10', count '15', recordings 'cam_[0-4],cam_9/cam_9')")
+    return _short(spark.sql(f"SELECT recording, frame_index, tick, width, height, md5(pixels) AS md5 FROM {name} WHERE frame_index < 20"))
+
+
 def s8_read_timestamps(spark, sf_dir):
     _, catalog = _lake(spark, sf_dir)
     return _short(ft.read_timestamps(spark, catalog))
@@ -154,6 +148,15 @@ def t6_frame_names(spark, sf_dir):
     return orders.select("o_orderkey", frame_file_name("shot_", F.col("o_orderkey"), ".Png").alias("file_name"), output_name(F.concat(F.lit("cam_"), (F.col("o_orderkey") / 10).cast("decimal(20,1)").cast("string"))).alias("out_name"))
 
 
+def t6_name_register(spark, sf_dir):
+    """part as recordings that arrive in two runs, even keys first: names given once stay."""
+    register = f"{px.shared_folder(spark)}/names"
+    stem = F.replace("p_brand", F.lit("#"), F.when(F.col("p_partkey") % 3 == 0, F.lit(".")).otherwise(F.lit("_")))
+    found = fx.table(spark, sf_dir, "part").select("p_partkey", F.format_string("/lake/%07d/x.bin", "p_partkey").alias("recording"), stem.alias("stem"))
+    rc.with_names(found.where("p_partkey % 2 = 0"), register)
+    return rc.with_names(found, register).select("p_partkey", "out_name")
+
+
 def t7_playback_timeline(spark, sf_dir):
     """Frames 5 to 24 of every recording in order; the order is that of the chunks."""
     _, catalog = _lake(spark, sf_dir)
@@ -182,6 +185,22 @@ def v1_verify_frames(spark, sf_dir):
     return vf.compare_content(ref, out, "doc_id", "text").select(F.col("key").alias("doc_id"), "outcome")
 
 
+def v1_verify_images(spark, sf_dir):
+    """Images of every layout against gray ones; of each fifth frame one byte of the file is flipped, of each seventh a pixel differs."""
+    mapped = px.apply_display_transform(_curved(spark, sf_dir))
+    name = F.concat_ws("/", "recording", "file_name")
+    ref = im.encode_frames(mapped).withColumn("file_name", name)
+    flipped = F.concat(F.expr("substring(image, 1, 119)"), F.expr("unhex(lpad(hex(255 - conv(hex(substring(image, 120, 1)), 16, 10)), 2, '0'))"), F.expr("substring(image, 121)"))
+    other = mapped.withColumn("mapped", F.when(F.col("frame_index") % 7 == 3, F.concat(F.expr("unhex(lpad(hex((conv(hex(substring(mapped, 1, 1)), 16, 10) + 1) % 256), 2, '0'))"), F.expr("substring(mapped, 2)"))).otherwise(F.col("mapped")))
+    out = None
+    for layout in px.LAYOUTS:
+        made = im.encode_frames(other, layout=layout).withColumn("file_name", name)
+        made = made.withColumn("image", F.when(F.col("frame_index") % 5 == 1, flipped).otherwise(F.col("image")))
+        detail = vf.verify_images(ref, made)[0].select(F.lit(layout).alias("layout"), F.col("key").alias("file_name"), F.col("order_value").alias("frame_index"), "outcome")
+        out = detail if out is None else out.unionByName(detail)
+    return out
+
+
 def j2_verify_pairing(spark, sf_dir):
     """Frames against their files, paired by name: images of every other frame in another layout."""
     mapped = px.apply_display_transform(_curved(spark, sf_dir))
@@ -198,6 +217,13 @@ def j3_params_to_frames(spark, sf_dir):
     return px.apply_display_transform(px.with_curve(frames, own)).select("recording", "frame_index", "mode_b", F.md5("mapped").alias("md5"))
 
 
+def j3_curve_table(spark, sf_dir):
+    """The same curves where there are more than are sent to every task: looked up in a table, pixels stay where they are."""
+    frames = fx.frames(spark, sf_dir)
+    own = fx.curves(frames).withColumn("mode_b", 10.0 * F.regexp_extract("recording", r"(\d+)$", 1).cast("double"))
+    return px.apply_display_transform(px.with_curve(frames, own, most=0)).select("recording", "frame_index", "mode_b", F.md5("mapped").alias("md5"))
+
+
 # aggregates
 
 
@@ -211,15 +237,24 @@ def a2_effective_fps(spark, sf_dir):
 
 
 def a3_extract_report(spark, sf_dir):
-    images = im.encode_frames(px.apply_display_transform(_curved(spark, sf_dir)), "bmp")
-    totals = images.groupBy("recording").agg(F.count(F.lit(1)).alias("frames_total")).withColumn("frame_stride", F.lit(72))
-    return ex.extract_report(images, totals)
+    """BMP images written, and reported by the sizes beside them."""
+    root, catalog = _lake(spark, sf_dir)
+    catalog = catalog.where("status = 'ok'")
+    ex.write_images(ex.extract_images(spark, catalog, fmt="bmp"), catalog, f"{root}-images")
+    return _short(ex.extract_report(spark.read.parquet(f"{root}-images").drop("image"), catalog))
 
 
 def a4_pixel_histogram(spark, sf_dir):
     return px.pixel_histogram(fx.frames(spark, sf_dir))
 
 
+def a4_grouped_histograms(spark, sf_dir):
+    """By frame, recording and mode: recordings of even number are raw."""
+    frames = fx.frames(spark, sf_dir)
+    mode = F.when(F.regexp_extract("recording", r"(\d+)$", 1).cast("int") % 2 == 0, "raw").otherwise("reference")
+    return px.histogram_rows(px.grouped_histograms(frames.withColumn("mode", mode)))
+
+
 def a5_saturation_report(spark, sf_dir):
     frames = fx.frames(spark, sf_dir)
     return px.saturation_report(px.pixel_histogram(frames), fx.curves(frames))
@@ -230,8 +265,17 @@ def a6_verify_report(spark, sf_dir):
     return vf.verify_report(vf.compare_content(ref, out, "doc_id", "text"))
 
 
+def _summary(spark, sf_dir):
+    return tm.batch_summary(_catalog(spark, sf_dir).withColumn("camera_dir", F.col("camera_name")), "p_partkey")
+
+
 def a7_batch_summary(spark, sf_dir):
-    return tm.batch_summary(_catalog(spark, sf_dir).withColumn("camera_dir", F.col("camera_name")))
+    return _summary(spark, sf_dir).where("level <> 'recording'").select("camera_dir", "recordings", "ok", "failed", "frames")
+
+
+def a7_batch_status(spark, sf_dir):
+    """Every level with its status."""
+    return _summary(spark, sf_dir).withColumnRenamed("recording", "p_partkey")
 
 
 # windows, order, sets
@@ -269,7 +313,7 @@ def v3_fingerprint_set_equal(spark, sf_dir):
 
 def x1_write_timestamps(spark, sf_dir):
     """Written as CSV and read again."""
-    path = f"{_shared(spark)}/stamps"
+    path = f"{px.shared_folder(spark)}/stamps"
     stamps = fx.ticks(spark, sf_dir).select(F.col("recording").cast("string").alias("recording"), "frame_index", F.col("tick").alias("timestamp_raw"), tick_hex(F.col("tick")).alias("timestamp_hex"))
     ex.write_timestamps(stamps, stamps.select("recording", F.concat(F.lit("cam_"), "recording").alias("out_name")).distinct(), path)
     back = spark.read.schema("frame_index long, timestamp_raw long, timestamp_hex string, name string").csv(path, header=True)
@@ -336,6 +380,28 @@ def st1_ingest_new_recordings(spark, sf_dir):
     return got.groupBy("stem").agg(F.count(F.lit(1)).alias("times"), F.max("frames_total").alias("frames_total"), F.max("status").alias("status"))
 
 
+def st1_late_recordings(spark, sf_dir):
+    """Three runs: cam_3 is cut short in the first and whole in the second, cam_5 stays short and is given up in the third."""
+    root, _ = _lake(spark, sf_dir)
+    held = {}
+    for k in (3, 5):
+        with open(f"{root}/cam_{k}/cam_{k}.bin", "r+b") as file:
+            held[k] = file.read()
+            file.truncate(len(held[k]) - 10)
+
+    def run(seconds):
+        ing.ingest_new_recordings(spark, root, f"{root}-catalog", f"{root}-state", wait_seconds=seconds).awaitTermination()
+
+    run(5)
+    with open(f"{root}/cam_3/cam_3.bin", "wb") as file:
+        file.write(held[3])
+    time.sleep(0.2)
+    run(5)
+    time.sleep(5)
+    run(5)
+    return spark.read.parquet(f"{root}-catalog").groupBy("stem", "status").agg(F.count(F.lit(1)).alias("times"))
+
+
 def flagship(spark, sf_dir):
     """Recordings written and read by the source, mapped, and their clipping reported."""
     _, catalog = _lake(spark, sf_dir)
@@ -347,7 +413,8 @@ s9_frame_lookup s10_list_frame_images s11_read_frame_images t1_build_lut t2_appl
 t6_frame_names t7_playback_timeline j1_sidecar_pairing j2_verify_pairing j3_params_to_frames a1_recording_metadata a2_effective_fps a3_extract_report
 a4_pixel_histogram a5_saturation_report a6_verify_report a7_batch_summary w1_tick_delta w3_time_marker_check o1_first_mismatch v1_verify_frames
 v2_name_set_compare v3_fingerprint_set_equal x1_write_timestamps x2_encode_frames x3_bmp_tiff x4_write_frame_files x5_write_metadata x6_extract
-x7_batch_extract f1_frame_fingerprint st1_ingest_new_recordings flagship""".split()
+x7_batch_extract f1_frame_fingerprint st1_ingest_new_recordings flagship
+st1_late_recordings s7_source_options t6_name_register j3_curve_table v1_verify_images a4_grouped_histograms a7_batch_status""".split()
 
 
 def queries():

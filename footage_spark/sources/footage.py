@@ -3,23 +3,31 @@
 A frame is an unsigned 64-bit little-endian tick and width * height bytes.  The work is planned as a
 table of chunks (a run of frames of one recording), made from the catalogue by expressions: ranges
 cut it before anything is read, what a frame needs of its recording (curve, output name) stands in
-the chunk's row, and no join is needed once there are pixels.  The `footage` batch source takes the
-same chunks from load options.  Paths are opened where tasks run: use a shared mount.
+the chunk's row, and no join is needed once there are pixels.  The `footage` batch source plans the
+same chunks from a root and load options.  Paths are opened where tasks run: use a shared mount.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
+from xml.etree import ElementTree
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+
+from .recordings import _names, read_folder
 
 SCHEMA = "recording string, frame_index bigint, tick bigint, width int, height int, pixels binary"
 HEADERS = "recording string, frame_index bigint, tick bigint"
@@ -86,25 +94,113 @@ def read_chunk(c: Chunk, fields: list[str]) -> Iterator[pa.RecordBatch]:
         os.close(fd)
 
 
+@dataclass
+class Chunks(InputPartition):
+    """Chunks that one task reads."""
+
+    chunks: list[Chunk]
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"\s*[+-]?[0-9]+\s*", text) else None
+
+
+def sidecar_numbers(xml: str | None) -> tuple[int | None, int | None, int | None]:
+    """Width, height and number of images of a sidecar, null where absent or unreadable: as parse_sidecars, for planning."""
+    try:
+        top = ElementTree.fromstring(xml or "").find("Footage")
+    except ElementTree.ParseError:
+        top = None
+    return (None,) * 3 if top is None else tuple(_number(top.findtext(x)) for x in ("ResolutionX", "ResolutionY", "NumberOfImages"))
+
+
+def plan_root(root: str, names: list[str], width: int | None = None, height: int | None = None, stride: int | None = None) -> list[dict]:
+    """path, n, stride, width, height of the recordings in root and right below it whose geometry is known.
+
+    names: patterns of which one must match a recording's stem or folder/stem; none: all.
+    """
+    base = local_path(root).rstrip("/") or "/"
+    folders = [base, *(f"{base}/{x}" for x in sorted(_names(base)[0]))]
+    out = []
+    for r in (r for folder in folders for r in read_folder(folder, True)):
+        label = f"{os.path.basename(r['camera_dir'])}/{r['stem']}"
+        if names and not any(fnmatchcase(r["stem"], x) or fnmatchcase(label, x) for x in names):
+            continue
+        w, h, stated = sidecar_numbers(r["xml"])
+        w, h = width or (w if w and w > 0 else None), height or (h if h and h > 0 else None)
+        step = stride or (8 + w * h if w and h else None)
+        if not w or not h or step < 8 + w * h:
+            continue
+        held = r["file_size"] // step
+        out.append({"path": r["recording"], "n": min(stated, held) if stated and stated > 0 else held, "stride": step, "width": w, "height": h})
+    return out
+
+
 class FootageReader(DataSourceReader):
     def __init__(self, options, schema):
-        self.catalog = json.loads(options.get("catalog", "[]"))
+        whole = lambda x: None if options.get(x) is None else int(options[x])
         self.fields = [f.name for f in schema.fields]
+        if unknown := set(self.fields) - set(TYPES):
+            raise ValueError(f"no such columns: {sorted(unknown)}")
         self.chunk_bytes = int(options.get("chunk_bytes", CHUNK_BYTES))
+        self.listed, self.root = options.get("catalog"), options.get("root") or options.get("path")
+        self.start, self.count = whole("start") or 0, whole("count")
+        self.names = [x.strip() for x in options.get("recordings", "").split(",") if x.strip()]
+        self.geometry = whole("width"), whole("height"), whole("stride")
+        self.only, self.low, self.high, self.given = None, 0, None, dict(options)
+
+    def pushFilters(self, filters):
+        """Recordings and frame ranges asked for are not planned otherwise; Spark applies the filters again."""
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if column == ("recording",) and isinstance(f, EqualTo | In):
+                asked = {value} if isinstance(f, EqualTo) else set(value)
+                self.only = asked if self.only is None else self.only & asked
+            elif column == ("frame_index",) and isinstance(value, int):
+                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                    self.low = max(self.low, value + isinstance(f, GreaterThan))
+                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                    end = value + (not isinstance(f, LessThan))
+                    self.high = end if self.high is None else min(self.high, end)
+            yield f
 
     def partitions(self):
-        out = []
-        for r in self.catalog:
-            per = max(1, self.chunk_bytes // r["stride"])
-            out += [Chunk(r["path"], a, min(per, r["first"] + r["n"] - a), r["stride"], r["width"], r["height"]) for a in range(r["first"], r["first"] + r["n"], per)]
-        return out or [Chunk("", 0, 0, 8, 0, 0)]
+        if self.listed is not None:
+            known = [r | {"first": r.get("first", 0)} for r in json.loads(self.listed)]
+        elif self.root:
+            if self.start < 0:
+                raise ValueError("start is below 0")
+            known = [r | {"first": self.start, "n": r["n"] - self.start if self.count is None else min(self.count, r["n"] - self.start)} for r in plan_root(self.root, self.names, *self.geometry)]
+            if known and all(r["n"] <= 0 for r in known) and self.count != 0:
+                raise ValueError(f"no recording has frame {self.start}")
+        else:
+            raise ValueError(f"footage needs a root (or path), or a catalog: {self.given}")
+        chunks = []
+        for r in known:
+            if self.only is not None and r["path"] not in self.only:
+                continue
+            first, end = max(r["first"], self.low), r["first"] + r["n"]
+            end = end if self.high is None else min(end, self.high)
+            # without pixels a chunk is as many frames as one task reads headers of
+            per = max(1, self.chunk_bytes // r["stride"], 1 if "pixels" in self.fields else HEADER_FRAMES)
+            chunks += [Chunk(r["path"], a, min(per, end - a), r["stride"], r["width"], r["height"]) for a in range(first, end, per)]
+        some = -(-len(chunks) // MOST_PARTITIONS) or 1
+        return [Chunks(chunks[a : a + some]) for a in range(0, len(chunks), some)] or [Chunks([])]
 
     def read(self, part):
-        yield from read_chunk(part, self.fields)
+        for chunk in part.chunks:
+            yield from read_chunk(chunk, self.fields)
 
 
 class FootageSource(DataSource):
-    """spark.read.format("footage") with the option `catalog`: a JSON list of path, first, n, stride, width, height."""
+    """spark.read.format("footage").load(root), or CREATE TABLE ... USING footage OPTIONS (root '...').
+
+    Options: start and count (frames of every recording, by absolute index), recordings (patterns of stems
+    or folder/stem, comma-separated), width, height and stride (where sidecars do not say), chunk_bytes.  A schema
+    without pixels reads headers only.  Planned on the driver, one entry a chunk: for lakes of very many
+    recordings read_frames plans the same in tasks.  catalog: a JSON list of path, first, n, stride,
+    width, height in place of a path.
+    """
 
     @classmethod
     def name(cls):
@@ -117,9 +213,32 @@ class FootageSource(DataSource):
         return FootageReader(self.options, schema)
 
 
+@contextmanager
+def code_by_value():
+    """What is pickled meanwhile takes its code along: the processes that plan sources and state may not find this package."""
+    package = sys.modules[__name__.partition(".")[0]]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)
+
+
+def register_source(spark: SparkSession, source: type[DataSource]) -> None:
+    """Make a source known to the session."""
+    with code_by_value():
+        spark.dataSource.register(source)
+
+
+def register_footage(spark: SparkSession) -> None:
+    """Make the source known to the session, with filters that reach its planning."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    register_source(spark, FootageSource)
+
+
 def load_footage(spark: SparkSession, catalog: list[dict], schema: str = SCHEMA) -> DataFrame:
     """Frames of a few recordings by the batch source; the list passes the driver."""
-    spark.dataSource.register(FootageSource)
+    register_footage(spark)
     return spark.read.format("footage").schema(schema).option("catalog", json.dumps(catalog)).load()
 
 

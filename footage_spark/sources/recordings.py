@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.display import output_name
 
@@ -16,28 +21,135 @@ SIDECAR = (
 VERIFIED = {"brightness": 49.0, "contrast": 18.0, "gamma": 1.0}
 
 
-def discover_recordings(spark: SparkSession, root: str) -> DataFrame:
-    """recording, camera_dir, stem, out_name, footage_path, file_size of `.bin` files in root and one level below.
+#: What a folder's listing gives of each recording.
+FOUND = "recording string, camera_dir string, stem string, sidecar_path string, file_size bigint, footage_path string, xml string"
+SUFFIX, SIDECAR_SUFFIX = ".bin", ".footage"
+
+
+def plain_path(column) -> Column:
+    """A path without the scheme of local files."""
+    return F.regexp_replace(column, "^file:(//)?", "")
+
+
+def _names(folder: str) -> tuple[list[str], dict[str, int | None], set[str]]:
+    """Folders, recordings with their sizes, and sidecars in a folder; names that start with a dot are left out."""
+    folders, bins, cars = [], {}, set()
+    with os.scandir(folder) as entries:
+        for e in entries:
+            if e.name.startswith("."):
+                continue
+            if e.is_dir():
+                folders.append(e.name)
+            elif e.name.endswith(SUFFIX) and len(e.name) > len(SUFFIX):
+                bins[e.name.removesuffix(SUFFIX)] = e.stat().st_size
+            elif e.name.endswith(SIDECAR_SUFFIX):
+                cars.add(e.name.removesuffix(SIDECAR_SUFFIX))
+    return folders, bins, cars
+
+
+def read_folder(folder: str, read: bool) -> list[dict]:
+    """FOUND rows of the recordings that stand in a folder itself; sidecars are read if asked for."""
+    try:
+        _, bins, cars = _names(folder)
+    except OSError:  # gone or not to be read: its recordings are not seen, others are
+        return []
+    made = []
+    for stem, size in sorted(bins.items()):
+        side = f"{folder}/{stem}{SIDECAR_SUFFIX}"
+        xml = None
+        if read and stem in cars:
+            try:
+                with open(side, "rb") as file:
+                    xml = file.read().decode("utf-8", "replace")
+            except OSError:
+                cars.discard(stem)
+        made.append({"recording": f"{folder}/{stem}{SUFFIX}", "camera_dir": folder, "stem": stem, "sidecar_path": side, "file_size": size, "footage_path": side if stem in cars else None, "xml": xml})
+    return made
+
+
+def list_recordings(spark: SparkSession, root: str, sidecars: bool = False) -> DataFrame:
+    """FOUND rows of the recordings in root and in the folders right below it.
+
+    Folders are rows: one task lists root, then each folder is listed where tasks run, with its sidecars in
+    the same visit.  Nothing deeper is ever opened, whatever stands there.
+    """
+    base = root.removeprefix("file://").removeprefix("file:").rstrip("/") or "/"
+    if not os.path.isdir(base):
+        raise FileNotFoundError(base)
+    fields = [f.name for f in T.StructType.fromDDL(FOUND)]
+
+    def below(batches):
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                found = [folder, *(f"{folder}/{x}" for x in sorted(_names(folder)[0]))]
+                yield pa.record_batch([pa.array(found, pa.string())], ["folder"])
+
+    def run(batches):
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                made = read_folder(folder, sidecars)
+                for a in range(0, len(made), 1000):
+                    part = made[a : a + 1000]
+                    yield pa.record_batch([pa.array([r[f] for r in part], pa.int64() if f == "file_size" else pa.string()) for f in fields], fields)
+
+    top = spark.range(1).select(F.lit(base).alias("folder")).mapInArrow(below, "folder string")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return top.repartition(n, "folder").mapInArrow(run, FOUND)
+
+
+def _numbered(found: DataFrame, known: DataFrame | None) -> DataFrame:
+    """found with base, k and out_name: equal output names (a.b and a_b, or one stem in two cameras) get a number, after those
+    in known(base, k, out_name); where a recording has that name already, a hash of the path too."""
+    named = found.withColumn("base", output_name(F.col("stem"))).withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("recording")))
+    if known is not None:
+        named = named.join(known.groupBy("base").agg(F.max("k").alias("so_far")), "base", "left").withColumn("k", F.col("k") + F.coalesce("so_far", F.lit(0))).drop("so_far")
+    named = named.withColumn("name", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("k"))))
+    again = F.row_number().over(Window.partitionBy("name").orderBy("k", "recording")) > 1
+    named = named.withColumn("again", again)
+    if known is not None:
+        named = named.join(known.select(F.col("out_name").alias("name"), F.lit(True).alias("theirs")), "name", "left").withColumn("again", F.col("again") | F.coalesce("theirs", F.lit(False))).drop("theirs")
+    return named.withColumn("out_name", F.when(F.col("again"), F.concat("name", F.lit("_"), F.md5("recording"))).otherwise(F.col("name"))).drop("name", "again")
+
+
+REGISTER = "recording string, base string, k int, out_name string"
+
+
+def read_register(spark: SparkSession, register: str) -> DataFrame | None:
+    """The names given so far, or None before the first."""
+    try:
+        return spark.read.schema(REGISTER).parquet(register)
+    except AnalysisException:
+        return None
+
+
+def with_names(found: DataFrame, register: str | None = None) -> DataFrame:
+    """found(recording, stem, ...) with out_name, which no two recordings share.
+
+    Without a register names hold for this listing only.  A register is a table that only grows: who has a name keeps
+    it whatever comes later, and new ones are appended before anything uses them.  One run at a time may write to it.
+    """
+    if register is None:
+        return _numbered(found, None).drop("base", "k")
+    spark = found.sparkSession
+    known = read_register(spark, register)
+    path = plain_path("recording")
+    names = found.select(path.alias("recording"), "stem").distinct()
+    fresh = names if known is None else names.join(known.select("recording"), "recording", "left_anti")
+    made = _numbered(fresh, known).select("recording", "base", F.col("k").cast("int").alias("k"), "out_name")
+    if not fresh.isEmpty():
+        made.write.mode("append").parquet(register)  # the committer shows all of them or none
+        known = read_register(spark, register)
+    if known is None:
+        return found.withColumn("out_name", F.lit(None).cast("string"))
+    return found.withColumn("of", path).join(known.select(F.col("recording").alias("of"), "out_name"), "of").drop("of")
+
+
+def discover_recordings(spark: SparkSession, root: str, register: str | None = None) -> DataFrame:
+    """recording, camera_dir, stem, out_name, sidecar_path, file_size of `.bin` files in root and one level below.
 
     Names that start with a dot are left out.  Content is never read.
     """
-    from urllib.parse import unquote
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.bin").load(root).select(F.col("path").alias("recording"), F.col("length").alias("file_size"))
-    base = unquote(root.rstrip("/").rpartition(":")[2]).lstrip("/")
-    inside = F.substring_index("recording", base + "/", -1)
-    files = files.withColumn("inside", inside)
-    files = files.where(F.col("inside").rlike(r"^(?:[^/.][^/]*/)?[^/.][^/]*\.bin$"))
-    stem = F.regexp_extract("recording", r"([^/]+)\.bin$", 1)
-    folder = F.regexp_extract("recording", r"^(.*)/[^/]+$", 1)
-    found = files.select("recording", folder.alias("camera_dir"), stem.alias("stem"), "file_size")
-    # equal output names (a.b and a_b, or one stem in two cameras) get a number, and where another
-    # recording has that name already, a hash of the path too
-    found = found.withColumn("name", output_name(F.col("stem"))).withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("recording")))
-    found = found.withColumn("name", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.col("k"))))
-    found = found.withColumn("again", F.row_number().over(Window.partitionBy("name").orderBy("k", "recording")))
-    out_name = F.when(F.col("again") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.md5("recording")))
-    return found.select("recording", "camera_dir", "stem", out_name.alias("out_name"), F.concat("camera_dir", F.lit("/"), "stem", F.lit(".footage")).alias("sidecar_path"), "file_size")
+    return with_names(list_recordings(spark, root), register).select("recording", "camera_dir", "stem", "out_name", "sidecar_path", "file_size")
 
 
 def parse_sidecars(texts: DataFrame, xml: str = "xml") -> DataFrame:
@@ -56,16 +168,10 @@ def parse_sidecars(texts: DataFrame, xml: str = "xml") -> DataFrame:
         typed("SettingsProcessing.Brightness", "double").alias("brightness"),
         typed("SettingsProcessing.Contrast", "double").alias("contrast"),
         typed("SettingsProcessing.Gamma", "double").alias("gamma"),
-        F.col("x.SettingsProcessing").isNotNull().alias("has_processing"),
+        F.coalesce(F.col("x.SettingsProcessing").isNotNull(), F.lit(False)).alias("has_processing"),
     )
 
 
-def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.footage").load(root)
-    path = F.col("path")
-    return parse_sidecars(files.select(path.alias("footage_path"), F.decode("content", "UTF-8").alias("xml"))).drop("xml")
-
-
 def resolve_geometry(catalog: DataFrame, width: int | None = None, height: int | None = None, stride: int | None = None) -> DataFrame:
     """width, height, frame_stride, capacity_frames, trailing_bytes: what is asked for, else the sidecar's."""
     w = F.coalesce(F.lit(width).cast("int"), F.when(F.col("xml_width") > 0, F.col("xml_width")))
@@ -116,7 +222,7 @@ def pair_sidecars(bins: DataFrame, sidecars: DataFrame, bin_key: str = "sidecar_
     return paired.withColumn("has_processing", F.coalesce("has_processing", F.lit(False)))
 
 
-def recordings(spark: SparkSession, root: str, mode: str = "reference", width=None, height=None, stride=None, frames=None, use_capacity=False, brightness=None, contrast=None, gamma=None) -> DataFrame:
-    """One row a recording: files, sidecar (if there), geometry, counts, curve and status."""
-    bins, cars = discover_recordings(spark, root), read_sidecars(spark, root)
-    return resolve(pair_sidecars(bins, cars).drop("sidecar_path"), mode, width, height, stride, frames, use_capacity, brightness, contrast, gamma)
+def recordings(spark: SparkSession, root: str, mode: str = "reference", width=None, height=None, stride=None, frames=None, use_capacity=False, brightness=None, contrast=None, gamma=None, register: str | None = None) -> DataFrame:
+    """One row a recording: files, sidecar (if there), geometry, counts, curve and status; names by the register, if one is given."""
+    found = with_names(list_recordings(spark, root, sidecars=True), register)
+    return resolve(parse_sidecars(found).drop("xml", "sidecar_path"), mode, width, height, stride, frames, use_capacity, brightness, contrast, gamma)

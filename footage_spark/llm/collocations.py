@@ -13,6 +13,8 @@ partition.  Phrases are told apart by 64-bit hashes there (a billion of them: a
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,9 +26,9 @@ from .text import LOWER, cut, join_hot, mix, prefix_sums, rows, small_batches, s
 
 LEAST, MOST_WORDS, TOP, DOMINANCE, SCALE = 30, 4, 2000, 80, 2_000_000
 #: Expected n-grams of a hash partition, and the largest bitmap (64 MB).
-PARTITION_MASS, FILTER_BITS = 1 << 24, 1 << 29
+PARTITION_MASS, FILTER_BITS = 1 << 23, 1 << 29
 #: N-gram keys that a task sorts at a time in the first pass; bytes of text that it counts at a time in the second.
-HOLD_KEYS, HOLD_BYTES, CHUNK = 1 << 22, 10 << 20, 1 << 20
+HOLD_KEYS, HOLD_BYTES, CHUNK = 1 << 22, 6 << 20, 1 << 20
 #: What divides pieces, and words within them.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -172,7 +174,7 @@ class Summary:
     more than stated, no more is taken off and the counters grow: a key of `least` is never lost.
     """
 
-    def __init__(self, capacity: int, least: int, buffer: int = 1 << 21):
+    def __init__(self, capacity: int, least: int, buffer: int = 1 << 19):
         self.capacity, self.least, self.buffer = capacity, least, max(buffer, capacity)
         self.keys, self.counts, self.taken, self.mass = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
@@ -214,15 +216,17 @@ def key_blocks(docs: DataFrame, bits: int) -> DataFrame:
     """bucket, ones, many, counts: packed keys of n-grams, those that a task saw once and those with counts."""
 
     def blocks(held):
-        both = np.sort(np.concatenate(held))
+        both = np.concatenate(held)
+        held.clear()
+        both.sort()
         first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-        keys, counts = both[first], np.diff(np.append(first, len(both)))
-        bucket = (keys >> np.uint64(32)).astype(np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-        low = (keys & _LOW).astype(np.int64)
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            more = counts[a:b] > 1
-            yield int(bucket[a]), pack(low[a:b][~more]), pack(low[a:b][more]), np.minimum(counts[a:b][more], 0xFFFFFFFF).astype("<u4").tobytes()
+        keys, counts = both[first], np.diff(first, append=len(both))
+        del both, first
+        edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(32)).tolist() + [len(keys)]
+        for bucket, (a, b) in enumerate(itertools.pairwise(edges)):
+            if a < b:
+                low, more = (keys[a:b] & _LOW).astype(np.int64), counts[a:b] > 1
+                yield bucket, pack(low[~more]), pack(low[more]), np.minimum(counts[a:b][more], 0xFFFFFFFF).astype("<u4").tobytes()
 
     def table(held):
         made = list(zip(*blocks(held), strict=True))
@@ -237,7 +241,7 @@ def key_blocks(docs: DataFrame, bits: int) -> DataFrame:
                     n += len(held[-1])
                 if n >= HOLD_KEYS:
                     yield table(held)
-                    held, n = [], 0
+                    n = 0
         if n:
             yield table(held)
 
@@ -282,6 +286,19 @@ def bitmap(found: DataFrame, bits: int, size: int) -> np.ndarray:
     return out
 
 
+def gathered(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The pieces of text end to end; places of a few pieces at a time are held."""
+    ends = np.cumsum(length, dtype=np.int64)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for a in range(0, len(start), 1 << 15):
+        some, to = slice(a, a + (1 << 15)), int(ends[a]) - int(length[a])
+        n = int(ends[min(a + (1 << 15), len(ends)) - 1]) - to
+        at = np.repeat(start[some] - (ends[some] - length[some] - to), length[some])
+        at += np.arange(n)
+        out[to : to + n] = text[at]
+    return out
+
+
 class Phrases:
     """Different phrases with their counts, in order of their hashes: columns side by side, texts end to end."""
 
@@ -302,8 +319,7 @@ class Phrases:
         one = order[first]
         self.key, self.count = key[first], np.add.reduceat(count[order], first) if len(first) else count
         self.lang, self.k, self.length = lang[one], k[one], length[one]
-        ends = np.concatenate([[0], np.cumsum(self.length, dtype=np.int64)])
-        self.text = text[np.repeat(start[one] - ends[:-1], self.length) + np.arange(ends[-1])]
+        self.text = gathered(text, start[one], self.length)
 
     def blocks(self, bits: int, langs: list[str]):
         """Rows of BLOCKS, one for each hash partition."""
@@ -424,8 +440,8 @@ def summed_phrases(blocks: DataFrame, least: int, partitions: int) -> DataFrame:
             for a in range(0, len(kept), 1 << 16):
                 some = kept[a : a + (1 << 16)]
                 to = np.concatenate([[0], np.cumsum(got.length[some], dtype=np.int64)])
-                at = np.repeat(ends[some] - got.length[some] - to[:-1], got.length[some]) + np.arange(to[-1])
-                phrase = pa.Array.from_buffers(pa.large_string(), len(some), [None, pa.py_buffer(to), pa.py_buffer(got.text[at])]).cast(pa.string())
+                text = gathered(got.text, ends[some] - got.length[some], got.length[some])
+                phrase = pa.Array.from_buffers(pa.large_string(), len(some), [None, pa.py_buffer(to), pa.py_buffer(text)]).cast(pa.string())
                 phrase = pc.if_else(pa.array(got.k[some] == 0), pa.scalar(None, pa.string()), phrase)
                 yield pa.record_batch([names.take(pa.array(got.lang[some])), phrase, pa.array(got.k[some].astype(np.int32)), pa.array(got.count[some])], ["lang", "phrase", "k", "c"])
 

@@ -22,7 +22,6 @@ from ..sources.footage import local_path, register_source
 
 SCHEMA = "recording string, frame_index bigint, tick bigint, out_name string, file_name string, image binary"
 MANIFEST = "recording string, frame_index bigint, tick bigint, out_name string, path string, bytes bigint"
-STAGING, COMMITS, MANIFESTS = "_staging", "_commits", "_manifest"
 
 
 @dataclass
@@ -37,7 +36,7 @@ class Staged(WriterCommitMessage):
 class FrameFileWriter(DataSourceArrowWriter):
     def __init__(self, options):
         self.root, self.job = local_path(options["path"]), options.get("job") or uuid.uuid4().hex
-        self.staging = f"{self.root}/{STAGING}/{self.job}"
+        self.staging = f"{jobs(self.root)}/staging/{self.job}"
 
     def write(self, iterator):
         context = TaskContext.get()
@@ -61,8 +60,8 @@ class FrameFileWriter(DataSourceArrowWriter):
     def commit(self, messages):
         got = [m for m in messages if m is not None]
         record = {"job": self.job, "listings": [m.listing for m in got], "frames": sum(m.frames for m in got), "bytes": sum(m.size for m in got)}
-        os.makedirs(f"{self.root}/{COMMITS}", exist_ok=True)
-        part = f"{self.root}/{COMMITS}/.{self.job}.part"
+        os.makedirs(f"{jobs(self.root)}/commits", exist_ok=True)
+        part = f"{jobs(self.root)}/commits/.{self.job}.part"
         with open(part, "w") as out:
             json.dump(record, out)
         os.replace(part, commit_path(self.root, self.job))
@@ -85,8 +84,13 @@ class FrameFiles(DataSource):
         return FrameFileWriter(self.options)
 
 
+def jobs(root: str) -> str:
+    """The folder beside root (on one file system with it) for what is staged, commit records and manifests."""
+    return f"{root.rstrip('/')}-jobs"
+
+
 def commit_path(root: str, job: str) -> str:
-    return f"{root}/{COMMITS}/{job}.json"
+    return f"{jobs(root)}/commits/{job}.json"
 
 
 def _placed(staging: str, root: str, listing: str):
@@ -104,14 +108,14 @@ def _placed(staging: str, root: str, listing: str):
 
 
 def promote(spark: SparkSession, root: str, job: str) -> DataFrame:
-    """Give the files of a committed job their names, and return its manifest (a table under root).
+    """Give the files of a committed job their names, and return its manifest (a table beside root).
 
     May be called again after a failure: renaming starts from the commit record.
     """
     root = local_path(root)
     with open(commit_path(root, job)) as file:
         listings = json.load(file)["listings"]
-    staging, manifest = f"{root}/{STAGING}/{job}", f"{root}/{MANIFESTS}/job={job}"
+    staging, manifest = f"{jobs(root)}/staging/{job}", f"{jobs(root)}/manifest/job={job}"
     kinds = [("recording", pa.string()), ("frame_index", pa.int64()), ("tick", pa.int64()), ("out_name", pa.string()), ("path", pa.string()), ("bytes", pa.int64())]
 
     def run(batches):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,23 +78,21 @@ def list_recordings(spark: SparkSession, root: str, sidecars: bool = False) -> D
         raise FileNotFoundError(base)
     fields = [f.name for f in T.StructType.fromDDL(FOUND)]
 
-    def below(batches):
-        for batch in batches:
-            for folder in batch.column("folder").to_pylist():
-                found = [folder, *(f"{folder}/{x}" for x in sorted(_names(folder)[0]))]
-                yield pa.record_batch([pa.array(found, pa.string())], ["folder"])
+    def below(frames):
+        for frame in frames:
+            for folder in frame["folder"]:
+                yield pd.DataFrame({"folder": [folder, *(f"{folder}/{x}" for x in sorted(_names(folder)[0]))]})
 
-    def run(batches):
-        for batch in batches:
-            for folder in batch.column("folder").to_pylist():
+    def run(frames):
+        for frame in frames:
+            for folder in frame["folder"]:
                 made = read_folder(folder, sidecars)
                 for a in range(0, len(made), 1000):
-                    part = made[a : a + 1000]
-                    yield pa.record_batch([pa.array([r[f] for r in part], pa.int64() if f == "file_size" else pa.string()) for f in fields], fields)
+                    yield pd.DataFrame(made[a : a + 1000], columns=fields)
 
-    top = spark.range(1).select(F.lit(base).alias("folder")).mapInArrow(below, "folder string")
+    top = spark.range(1).select(F.lit(base).alias("folder")).mapInPandas(below, "folder string")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return top.repartition(n, "folder").mapInArrow(run, FOUND)
+    return top.repartition(n, "folder").mapInPandas(run, FOUND)
 
 
 def _numbered(found: DataFrame, known: DataFrame | None) -> DataFrame:

@@ -110,16 +110,27 @@ def parse(model: RoleModel, text: str) -> list[tuple[str, str, int]]:
     lines = [line_features(x) for x in text.split("\n")]
     states = model.viterbi(np.array([x[:3] for x in lines], np.int64))
     turns: list[tuple[str, list[str]]] = []
-    for state, (_, _, _, rest) in zip(states.tolist(), lines, strict=True):
+    for state, line, (_, _, _, rest) in zip(states.tolist(), text.split("\n"), lines, strict=True):
         if state % 2 and turns:
-            turns[-1][1].append(rest)
+            turns[-1][1].append(line)  # whole: what looks like a marker there belongs to the text
         else:
             turns.append((ROLES[state // 2], [rest]))
     return [(role, "\n".join(x).strip(), len(x)) for role, x in turns]
 
 
+_PLAIN, _ESCAPED, _TURN = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|"), re.compile(r"<\|(" + "|".join(ROLES) + r")\|>\n")
+
+
 def render(turns) -> str:
-    return "".join(f"{TURN_START}{role}{TURN_END}\n{text}\n" for role, text, *_ in turns)
+    """Turns one after the other; `<|` in a text gets a backslash between, and one more where there are some already."""
+    return "".join(f"{TURN_START}{role}{TURN_END}\n{_PLAIN.sub(lambda m: f'<{m[1]}\\|', text)}\n" for role, text, *_ in turns)
+
+
+def parse_rendered(rendered: str) -> list[tuple[str, str]]:
+    """(role, text) of the turns of rendered text, as they were."""
+    marks = list(_TURN.finditer(rendered))
+    ends = [m.start() for m in marks[1:]] + [len(rendered)] * bool(marks)
+    return [(m[1], _ESCAPED.sub(lambda x: f"<{x[1]}|", rendered[m.end() : end - 1])) for m, end in zip(marks, ends, strict=True)]
 
 
 def _parse(shared, keep: list[str]):

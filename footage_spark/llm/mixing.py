@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import cut
+from .text import cut, join_hot, number_equals
 
 #: The weights of sources in order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -96,29 +96,40 @@ def _round_blocks(rows: DataFrame) -> DataFrame:
     return grouped.select("source", F.aggregate("items", zero, step).alias("r")).select("source", "r.done", "r.go")
 
 
+#: Most sources whose plan is sent to every task (some 100 bytes each).
+MOST_SOURCES = 100_000
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """rows(source, ...) with the other columns of plan; one source may have any share of the rows."""
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("__of")
+    small = plan.select(key, *(c for c in plan.columns if c != "source"))
+    named = rows.select("*", key)
+    return (named.join(F.broadcast(small), "__of") if few else join_hot(cut(named), small, ["__of"])).drop("__of")
+
+
 def mix_sources(docs: DataFrame, share: float = SHARE, ceiling: float = CEILING, block: int = BLOCK, weights=WEIGHTS, row: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, source, row of every row of docs(doc_id, text, source).
 
     row is a number of its own for each row: the column of that name (unique and stable), or a new
     one.  A null text has size 0; rows without words get no copies.  A null source is a source of its
-    own, the last one.  Rows are settled one by one: the draws of a row with a doc_id of its own
-    depend on that alone, those of rows with a null or repeated doc_id on row.  An empty table gives
-    an empty result.
+    own, the last one.  Rows are settled one by one.  A row's draws depend on its doc_id, text and source
+    alone, and on its number among rows that are equal in them (which of those has which number makes no
+    difference), so reruns agree however the table is stored or split.  An empty table gives an empty result.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    sized = cut(docs.select("doc_id", "source", size, F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row")))
+    content = F.xxhash64("doc_id", "text", "source").alias("content")
+    sized = cut(docs.select("doc_id", "source", size, content, F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row")))
     by_source = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, ceiling, weights)
     counts = sized.where("size > 0").groupBy(F.col("source").alias("of_source")).agg(F.count(F.lit(1)).alias("n"))
     plan = cut(by_source.join(counts, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
-    joined = sized.join(plan.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
+    few = plan.count() <= MOST_SOURCES
+    joined = _with_plan(sized, plan, few)
     whole = F.floor(F.col("rate") + F.lit(1e-9))
     part = F.greatest(F.col("rate") - whole, F.lit(0.0))
-    level = joined.where("size > 0").select("doc_id", "source", "row", F.col("size").cast("double").alias("s"), part.alias("p"), "n").where("p > 1e-9")
-    # a doc_id of its own is the tie; many rows of one doc_id, or of none, would meet in one block
-    of_row = F.xxhash64("row", F.lit("row"))
-    again = sized.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
-    named = level.where("doc_id is not null").join(again, F.col("doc_id") == F.col("again"), "left").withColumn("tie", F.when(F.col("again").isNull(), F.col("doc_id").cast("long")).otherwise(of_row)).drop("again")
-    level = named.unionByName(level.where("doc_id is null").withColumn("tie", of_row)).select("source", "row", "tie", "s", "p", "n")
+    numbered = number_equals(sized.where("size > 0"), "content", "among")
+    tied = numbered.select("source", "row", F.xxhash64("content", "among").alias("tie"), F.col("size").cast("double").alias("s"))
+    level = _with_plan(tied, plan, few).select("source", "row", "tie", "s", part.alias("p"), "n").where("p > 1e-9")
     level = level.withColumn("blocks", F.ceil(F.col("n") / block))
     settled = None
     most = plan.agg(F.max("n")).first()[0] or 0
@@ -126,7 +137,7 @@ def mix_sources(docs: DataFrame, share: float = SHARE, ceiling: float = CEILING,
     while True:
         depth += 1
         last = most <= 1
-        out = cut(_round_blocks(level.withColumn("block", F.pmod(F.xxhash64("tie", F.lit(depth)), F.greatest("blocks", F.lit(1))))).join(plan.select(F.col("source").alias("name"), "n"), F.col("source").eqNullSafe(F.col("name")), "left").drop("name"))
+        out = cut(_with_plan(_round_blocks(level.withColumn("block", F.pmod(F.xxhash64("tie", F.lit(depth)), F.greatest("blocks", F.lit(1))))), plan.select("source", "n"), few))
         done = out.select(F.explode("done").alias("x"), "source").select("source", "x.*")
         settled = done if settled is None else settled.unionByName(done)
         level = out.where("go is not null").select("source", "go.*", "n").withColumn("blocks", F.ceil(F.col("n") / float(block) ** (depth + 1)))

@@ -181,17 +181,37 @@ def tidy(run):
 def with_row(df, columns=None):
     """The table (or the columns named) with a text of its own for each row (column row), the same in every pass.
 
-    Rows of files are named by file and place.  Others are numbered and kept in the shared folder, as
-    numbers would change with the partitions.
+    It begins with a hash of the row's columns, so that rows which differ come in the same order in every run, wherever
+    they are stored; equal rows are told apart by file and place.  Tables that are not read straight from
+    files are numbered and kept in the shared folder, as numbers would change with the partitions.  A column row that is there
+    already is replaced.
     """
     from pyspark.errors import AnalysisException
     from pyspark.sql import functions as F
 
-    columns = df.columns if columns is None else columns
+    columns = [c for c in (df.columns if columns is None else columns) if c != "row"]
+    digits = lambda *x: F.lpad(F.hex(F.xxhash64(*x)), 16, "0")
+    content = digits(*(F.col(c) for c in columns))
     try:
-        return df.select(*columns, F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("row"))
+        return df.select(*columns, F.concat(content, digits("_metadata.file_path", "_metadata.row_index")).alias("row"))
     except AnalysisException:  # not read straight from files
-        return cut(df.select(*columns, F.monotonically_increasing_id().cast("string").alias("row")))
+        return cut(df.select(*columns, F.concat(content, digits(F.monotonically_increasing_id())).alias("row")))
+
+
+def number_equals(df, key: str, name: str):
+    """df, read back from a checkpoint, with a number (column name) from 1 among the rows of equal key.
+
+    Rows of a key are numbered within their partition, and the counts of the partitions before are added: no
+    task holds more of one key than a partition does.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    parts = df.withColumn("__part", F.spark_partition_id()).withColumn("__in", F.row_number().over(Window.partitionBy(key, "__part").orderBy(key)))
+    counts = parts.groupBy(key, "__part").agg(F.max("__in").alias("__n"))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(key, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return parts.join(offsets, [key, "__part"]).select(*df.columns, (F.col("__before") + F.col("__in")).alias(name))
 
 
 def join_hot(big, small, keys, most: int = 10_000):

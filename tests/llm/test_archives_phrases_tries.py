@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from footage_spark.llm import chat, mixing
 from footage_spark.llm import collocations as co
 from footage_spark.llm import prefix_trie as pt
 from footage_spark.llm import text as tx
@@ -330,3 +331,82 @@ def test_end_digests_over_several_ranges(spark):
     got = pt.end_digests(spark.createDataFrame([(2, 1, 1, i) for i in ids] + [(2, 1, 0, 9)], "depth long, k1 long, k2 long, conv_id long").repartition(3)).collect()
     digest = lambda x: hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()
     assert {(r["k2"], r["ends_sha256"]) for r in got} == {(1, digest(ids)), (0, digest([9]))}
+
+
+# earlier operators
+
+
+def odd_mix_rows():
+    """Null and repeated ids, repeated rows, a source with a third of all."""
+    rng = random.Random(8)
+    made = [(rng.choice([None, k, k % 40]), " ".join(["w"] * rng.randrange(0, 30)) if k % 50 else None, rng.choice(["hot", "s1", "s2", None])) for k in range(900)]
+    return [*made, *made[:60], *[(None, "w w w", "hot")] * 40]
+
+
+def test_mix_is_the_same_however_rows_are_split(spark):
+    made = odd_mix_rows()
+    frame = spark.createDataFrame(made, "doc_id long, text string, source string")
+    got = []
+    for k, rows in enumerate((made, made[::-1], random.Random(1).sample(made, len(made)))):
+        out = mixing.mix_sources(spark.createDataFrame(rows, frame.schema).repartition(2 * k + 1), block=16)
+        got.append(collections.Counter(tuple(r) for r in out.select("doc_id", "size", "source", "target", "taken").collect()))
+    assert got[0] == got[1] == got[2] and sum(got[0].values()) == len(made)
+
+
+def test_mix_plans_no_exchange_by_source_and_joins_beyond_the_limit(spark, monkeypatch):
+    frame = spark.createDataFrame(odd_mix_rows(), "doc_id long, text string, source string")
+    few = mixing.mix_sources(frame)
+    assert "hashpartitioning(source" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
+    names = ["doc_id", "size", "source", "target", "taken"]
+    assert collections.Counter(map(tuple, mixing.mix_sources(frame).select(names).collect())) == collections.Counter(map(tuple, few.select(names).collect()))
+
+
+def test_rows_are_named_alike_in_every_run(spark, tmp_path):
+    import corpus_pipeline
+
+    made = [(None if k % 3 else k % 20, f"text {k % 7} of several words that are shared by all of its group", "en", f"s{k % 2}", k % 5) for k in range(60)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    runs = []
+    for k in (1, 4):
+        frame.orderBy(F.rand(k)).repartition(k).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        kept = corpus_pipeline.drop_near_copies(spark, docs.withColumn("row", F.lit("clash")), None)
+        runs.append([collections.Counter(map(tuple, x.collect())) for x in (kept, corpus_pipeline.mix(spark, docs, None))])
+        assert tx.with_row(docs).select("row").distinct().count() == 60
+    assert runs[0] == runs[1]
+
+
+def chats(spark):
+    turns = [(c, t, ["user", "assistant"][t % 2], f"hello {c} {t}?" if t % 2 == 0 else "A long answer.\nWith lines. " * 3) for c in range(60) for t in range(4)]
+    return chat.transcripts_of(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))
+
+
+def test_lines_that_go_on_with_a_turn_stay_whole(spark):
+    model = chat.train_roles(chats(spark))
+    text = "User: hello 1 2?\nAssistant: A long answer.\nQ: Two plus two?\nWith lines. A long answer."
+    turns = chat.parse(model, text)
+    states = model.viterbi(np.array([chat.line_features(x)[:3] for x in text.split("\n")]))
+    said = "\n".join(x[1] for x in turns)
+    for state, line in zip(states.tolist(), text.split("\n"), strict=True):
+        assert (line if state % 2 else chat.line_features(line)[3]) in said
+    going_on = chat.RoleModel([1, 0, 1, 0, 1, 0], np.tile([0, 1e6], (6, 3)), np.ones((6, 4)), np.ones((6, 5)), np.ones((6, 3)))
+    assert chat.parse(going_on, text)[0][1] == text.removeprefix("User: ")
+
+
+def test_rendered_turns_parse_to_the_same_turns():
+    rng = random.Random(2)
+    for _ in range(300):
+        turns = [(rng.choice(chat.ROLES), "".join(rng.choice(["<|", "|>", "<", "|", "\\", "system", "<|user|>\n", "\n", "x", "<\\|"]) for _ in range(rng.randrange(12)))) for _ in range(rng.randrange(5))]
+        assert chat.parse_rendered(chat.render(turns)) == turns
+    assert chat.render([("user", "say <|system|>")]) == "<|user|>\nsay <\\|system|>\n"
+
+
+def test_roles_of_a_style_that_was_not_trained(spark, monkeypatch):
+    right = []
+    for held_out in range(len(chat.STYLES)):
+        every = chats(spark).withColumn("style", F.pmod(F.xxhash64("conv_id"), F.lit(len(chat.STYLES))))
+        model = chat.train_roles(every.where(F.col("style") != held_out))
+        got = chat.format_chats(every.where(F.col("style") == held_out).select("conv_id", "transcript"), model).collect()
+        right += [[t["role"] for t in r["turns"]] == ["user", "assistant"] * 2 for r in got]
+    assert len(right) == 60 and sum(right) >= 50

@@ -24,19 +24,43 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def _zlib(raw: bytes, level: int) -> bytes:
+def _zlib(raw: bytes, level: int, strategy: int = zlib.Z_DEFAULT_STRATEGY) -> bytes:
     """A zlib stream with the header 78 5E that files state, whatever the level."""
-    pack = zlib.compressobj(level, zlib.DEFLATED, -15)
+    pack = zlib.compressobj(level, zlib.DEFLATED, -15, 9, strategy)
     return b"\x78\x5e" + pack.compress(raw) + pack.flush() + struct.pack(">I", zlib.adler32(raw))
 
 
+#: A frame whose runs alone pack to less than this share of it is packed by matches too, and the smaller is kept.
+PLAIN_SHARE = 1 / 16
+
+
+def _packed(rows: np.ndarray, layout: str, level: int) -> bytes:
+    """Filtered rows as a zlib stream.
+
+    Differences of neighbours in sensor noise have few matches but short codes: gray frames are packed by runs
+    and codes alone.  Other layouts repeat each difference, so they need matches, and at one level less they are as small as
+    unfiltered rows.
+    """
+    raw = rows.tobytes()
+    if layout != "gray8" or not level:
+        return _zlib(raw, level if level in (0, 1) or level > 6 else level - 1)
+    runs = _zlib(raw, level, zlib.Z_RLE)
+    if level <= 6 and len(runs) > PLAIN_SHARE * len(raw):
+        return runs
+    return min(runs, _zlib(raw, level), key=len)
+
+
 def png(gray: bytes, width: int, height: int, layout: str = "gray8", level: int = 6) -> bytes:
-    """A PNG without row filters."""
+    """A PNG whose rows hold each pixel's difference to the one before (row filter 1; level 0: as they are)."""
     size = LAYOUTS[layout]
+    samples = np.frombuffer(expand(gray, layout), np.uint8).reshape(height, width * size)
     rows = np.zeros((height, 1 + width * size), np.uint8)
-    rows[:, 1:] = np.frombuffer(expand(gray, layout), np.uint8).reshape(height, width * size)
+    rows[:, 1:] = samples
+    if level:
+        rows[:, 0] = 1
+        rows[:, 1 + size :] -= samples[:, :-size]
     head = struct.pack(">IIBBBBB", width, height, 16 if layout.endswith("16") else 8, 6 if layout.startswith("rgba") else 0, 0, 0, 0)
-    body = [(b"IHDR", head), (b"sRGB", b"\0"), (b"gAMA", struct.pack(">I", GAMMA)), (b"pHYs", struct.pack(">IIB", PIXELS_A_METRE, PIXELS_A_METRE, 1)), (b"IDAT", _zlib(rows.tobytes(), level)), (b"IEND", b"")]
+    body = [(b"IHDR", head), (b"sRGB", b"\0"), (b"gAMA", struct.pack(">I", GAMMA)), (b"pHYs", struct.pack(">IIB", PIXELS_A_METRE, PIXELS_A_METRE, 1)), (b"IDAT", _packed(rows, layout, level)), (b"IEND", b"")]
     return SIGNATURE + b"".join(_chunk(*x) for x in body)
 
 
@@ -134,6 +158,10 @@ def decode_png(raw: bytes) -> tuple[int, int, int, int, bytes]:
     if len(flat) != height * (1 + width * step):
         raise ValueError("wrong size")
     rows = np.frombuffer(flat, np.uint8).reshape(height, 1 + width * step)
+    if (rows[:, 0] <= 1).all():  # no row needs the one above: all at once
+        out, sums = rows[:, 1:].copy(), rows[:, 0] == 1
+        out[sums] = np.cumsum(out[sums].reshape(-1, width, step), axis=1, dtype=np.uint8).reshape(-1, width * step)
+        return width, height, depth, colour, out.tobytes()
     out, above = np.zeros((height, width * step), np.uint8), np.zeros(width * step, np.uint8)
     for y in range(height):
         above = out[y] = _unfilter(int(rows[y, 0]), rows[y, 1:], above, step)

@@ -187,6 +187,23 @@ def test_png_round_trip(layout):
     assert (width, height) == (16, 12) and im.to_gray8(samples, depth, colour) == gray
 
 
+@pytest.mark.parametrize("layout", list(px.LAYOUTS))
+def test_png_of_every_level(layout):
+    """Flat, noisy and repeating frames, one pixel wide ones too; noise packs smaller than as unfiltered rows."""
+    rng = np.random.default_rng(3)
+    noise = np.clip(60 + rng.normal(0, 3, (40, 64)), 0, 255).astype(np.uint8)
+    for frame in (noise, np.full((30, 50), 7, np.uint8), np.tile(rng.integers(0, 256, (1, 16), dtype=np.uint8), (40, 4)), rng.integers(0, 256, (9, 1), dtype=np.uint8)):
+        h, w = frame.shape
+        for level in range(10):
+            made = im.png(frame.tobytes(), w, h, layout, level)
+            width, height, depth, colour, samples = im.decode_png(made)
+            assert (width, height) == (w, h) and im.to_gray8(samples, depth, colour) == frame.tobytes()
+            assert samples == px.expand(frame.tobytes(), layout)
+    plain = np.zeros((40, 65), np.uint8)
+    plain[:, 1:] = noise
+    assert len(im.png(noise.tobytes(), 64, 40, "gray8", 6)) < len(im._zlib(plain.tobytes(), 6)) + 120
+
+
 @pytest.mark.parametrize("kind", range(5))
 def test_png_row_filters(kind):
     import struct

@@ -96,12 +96,13 @@ OP1_SQL = r"""
 WITH u AS (
   SELECT doc_id, i AS place, parts[i] AS unit, trim(regexp_replace(lower(parts[i]), '[ \t\n\r\f\v]+', ' ', 'g')) AS norm
   FROM (
-    SELECT doc_id, string_split(replace(regexp_replace(text, '([.!?])([ \t\n\r\f\v])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS parts FROM documents
+    SELECT doc_id, string_split(regexp_replace(replace(regexp_replace(text, '([.!?])([ \t\n\r\f\v])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), '([\x{3002}\x{FF01}\x{FF1F}])', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents
   ) d, unnest(range(1, len(parts) + 1)) t(i)
 ), p AS (
   SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u
 ), k AS (
-  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) AS rank FROM p WHERE len(string_split(norm, ' ')) >= 16
+  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) AS rank FROM p
+  WHERE norm <> '' AND len(string_split(norm, ' ')) + length(regexp_replace(unit, '[^\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{3134F}]', '', 'g')) >= 16
 ), gone AS (
   SELECT doc_id, count(*) AS n, string_agg(CAST(CAST(start AS INTEGER) AS VARCHAR) || ':' || CAST(length(unit) AS VARCHAR), ',' ORDER BY place) AS removed
   FROM k WHERE rank > 1 GROUP BY doc_id

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from footage_spark.llm import chat, mixing
+from footage_spark.llm import chat, line_dedup, mixing
 from footage_spark.llm import collocations as co
 from footage_spark.llm import prefix_trie as pt
 from footage_spark.llm import text as tx
@@ -410,3 +410,23 @@ def test_roles_of_a_style_that_was_not_trained(spark, monkeypatch):
         got = chat.format_chats(every.where(F.col("style") == held_out).select("conv_id", "transcript"), model).collect()
         right += [[t["role"] for t in r["turns"]] == ["user", "assistant"] * 2 for r in got]
     assert len(right) == 60 and sum(right) >= 50
+
+
+def test_passages_in_scripts_without_blanks(spark):
+    """A Chinese, a Thai and a Japanese passage in three texts each; short sentences, and texts with blanks, are as before."""
+    passages = ["这是一段没有空格的文字，它在许多文件里重复出现，所以应该只留下一份。第二句话也很长，它同样在别的文件里出现过很多次！短句。", "ข้อความนี้ไม่มีช่องว่างระหว่างคำและปรากฏในเอกสารหลายฉบับ\n", "この文章には単語の間に空白がありませんので、文字を数えます。"]
+    made = [(k * 10 + i, f"第{i}号。{p}尾{i}") for k, p in enumerate(passages) for i in range(3)] + [(90, "Ça va? Oui, très bien — merci.\n" * 2), (91, None), (92, "")]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_units(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    for i, text in made:
+        if i >= 90 or i % 10 == 0:
+            assert got[i]["text"] == text and got[i]["n_removed"] == 0
+    assert got[1]["text"] == "第1号。短句。尾1" and got[1]["n_removed"] == 2 and got[12]["text"] == "第2号。尾2" and got[21]["text"] == "第1号。尾1"
+    # the SQL says the same
+    import duckdb
+    import pandas as pd
+
+    from footage_spark.llm.queries import OP1_SQL
+
+    documents = pd.DataFrame(made, columns=["doc_id", "text"])  # noqa: F841
+    want = {r[0]: (r[1], r[3]) for r in duckdb.sql(OP1_SQL).fetchall()}
+    assert {i: (r["n_removed"], r["text"]) for i, r in got.items()} == want

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from footage_spark.llm import chat, line_dedup, mixing
 from footage_spark.llm import collocations as co
+from footage_spark.llm import near_copies as nc
 from footage_spark.llm import prefix_trie as pt
 from footage_spark.llm import text as tx
 from footage_spark.llm import warc
@@ -430,3 +431,28 @@ def test_passages_in_scripts_without_blanks(spark):
     documents = pd.DataFrame(made, columns=["doc_id", "text"])  # noqa: F841
     want = {r[0]: (r[1], r[3]) for r in duckdb.sql(OP1_SQL).fetchall()}
     assert {i: (r["n_removed"], r["text"]) for i, r in got.items()} == want
+
+
+@pytest.mark.parametrize("size", [3, 40, 1000])
+def test_pairs_of_a_large_key_meet_block_by_block(spark, size):
+    rng = np.random.default_rng(6)
+    bases = [rng.integers(0, 2**62, 30) for _ in range(6)]
+    made = []
+    for i in range(90):
+        own = bases[i % 6].copy()
+        own[: rng.integers(0, 6)] = rng.integers(0, 2**62)
+        made.append((i % 2, i, i // 9, sorted(set(own.tolist()))))
+    frame = spark.createDataFrame(made, "key long, node long, root long, set array<long>")
+    placed = tx.cut(frame.drop("set").repartition(3))
+    met = nc._paired_blocks(placed, size).join(frame.select("node", "set"), "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    got = {tuple(sorted(r)) for r in met.mapInArrow(nc._across, "a long, b long").collect()}
+    like = lambda x, y: 5 * len(set(x) & set(y)) >= 4 * len(set(x) | set(y))
+    want = {(a[1], b[1]) for a in made for b in made if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and like(a[3], b[3])}
+    # those of the largest root of a block are asked from the other side, so no pair is left out
+    assert got == want and len(want) > 100
+
+
+def test_a_key_of_very_many_texts_is_dealt_to_bounded_groups(spark):
+    placed = tx.cut(spark.range(40_000).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("node"), F.col("id").alias("root")))
+    groups = nc._paired_blocks(placed, 4000).groupBy("key", "low", "high").count().collect()
+    assert len(groups) == 55 and max(r["count"] for r in groups) < 9000 and sum(r["count"] for r in groups) == 400_000

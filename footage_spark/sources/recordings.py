@@ -120,23 +120,25 @@ def read_register(spark: SparkSession, register: str) -> DataFrame | None:
         return None
 
 
-def with_names(found: DataFrame, register: str | None = None) -> DataFrame:
+def with_names(found: DataFrame, register: str | None = None, listing: DataFrame | None = None) -> DataFrame:
     """found(recording, stem, ...) with out_name, which no two recordings share.
 
     Without a register names hold for this listing only.  A register is a table that only grows: who has a name keeps
     it whatever comes later, and new ones are appended before anything uses them.  One run at a time may write to it.
+    listing: the same recordings where found is dear to make twice; one that lands in between waits for the next run.
     """
     if register is None:
         return _numbered(found, None).drop("base", "k")
     spark = found.sparkSession
     known = read_register(spark, register)
     path = plain_path("recording")
-    names = found.select(path.alias("recording"), "stem").distinct()
-    fresh = names if known is None else names.join(known.select("recording"), "recording", "left_anti")
+    names = (found if listing is None else listing).select(path.alias("recording"), "stem").distinct()
+    fresh = (names if known is None else names.join(known.select("recording"), "recording", "left_anti")).persist()
     made = _numbered(fresh, known).select("recording", "base", F.col("k").cast("int").alias("k"), "out_name")
     if not fresh.isEmpty():
         made.write.mode("append").parquet(register)  # the committer shows all of them or none
         known = read_register(spark, register)
+    fresh.unpersist()
     if known is None:
         return found.withColumn("out_name", F.lit(None).cast("string"))
     return found.withColumn("of", path).join(known.select(F.col("recording").alias("of"), "out_name"), "of").drop("of")
@@ -222,5 +224,5 @@ def pair_sidecars(bins: DataFrame, sidecars: DataFrame, bin_key: str = "sidecar_
 
 def recordings(spark: SparkSession, root: str, mode: str = "reference", width=None, height=None, stride=None, frames=None, use_capacity=False, brightness=None, contrast=None, gamma=None, register: str | None = None) -> DataFrame:
     """One row a recording: files, sidecar (if there), geometry, counts, curve and status; names by the register, if one is given."""
-    found = with_names(list_recordings(spark, root, sidecars=True), register)
+    found = with_names(list_recordings(spark, root, sidecars=True), register, list_recordings(spark, root))
     return resolve(parse_sidecars(found).drop("xml", "sidecar_path"), mode, width, height, stride, frames, use_capacity, brightness, contrast, gamma)

@@ -29,6 +29,8 @@ def keep_good(spark, docs, sf_dir):
 def drop_near_copies(spark, docs, sf_dir):
     """One row of each group of near copies (Jaccard 0.8 of five-word shingles): the one with the smallest doc_id.
 
+    Candidates are the links of SimHash (op6's ball hashing, on fingerprints of five-word shingles) and, for the pairs
+    that are more than its 4 bits apart, those of MinHash keys; each is confirmed by the exact similarity.
     A row with a null doc_id stays only where its group has no other (of several such the first by a hash of
     its columns, in every run); of equal rows one stays.
     Texts without words, null ones too, are one group.

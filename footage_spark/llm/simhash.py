@@ -54,6 +54,17 @@ def fingerprint_of(words: list[bytes], size: int = SHINGLE, seed: int = SEED) ->
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Fingerprint of every row of ready hashes (counts of them a row): a bit is 1 if set in over half; zero without any."""
+    ones, owner = np.zeros((len(counts), 64), np.int64), np.repeat(np.arange(len(counts)), counts)
+    for first in range(0, len(hashes), 1 << 15):
+        own = owner[first : first + (1 << 15)]
+        at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        bits = np.unpackbits(hashes[first : first + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones[own[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > counts[:, None], axis=1).view(">u8").ravel().astype(_U)
+
+
 def _fingerprints(batches):
     for batch in batches:
         out = []
@@ -187,6 +198,14 @@ def components(links: DataFrame) -> DataFrame:
         last = state
 
 
+def ball_links(nodes: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links (a, b) by which the different fingerprints of nodes(fp) within radius bits are connected; read twice: cut it before."""
+    half = (radius + 1) // 2
+    bits = cell_bits(nodes.count(), half, most_rows=cell_rows)
+    sent = nodes.select("fp").mapInArrow(tidy(_send(bits, half)), "cell long, fps binary")
+    return sent.repartition(1 << min(bits, 15), "cell").mapInArrow(tidy(_links_of_cells(bits, radius)), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of docs(doc_id, text).
 
@@ -195,13 +214,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, cell_rows: int = CELL
     null one.  Repeated rows share a component.  Other columns are left out.  An empty table gives an
     empty result.
     """
-    half = (radius + 1) // 2
     prints = cut(fingerprints(docs))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    bits = cell_bits(nodes.count(), half, most_rows=cell_rows)
-    sent = nodes.select("fp").mapInArrow(tidy(_send(bits, half)), "cell long, fps binary")
-    links = sent.repartition(1 << min(bits, 15), "cell").mapInArrow(tidy(_links_of_cells(bits, radius)), "a long, b long")
-    member = components(links)
+    member = components(ball_links(nodes, radius, cell_rows))
     named = cut(nodes.join(member, nodes["fp"] == member["member"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
     # kept by itself, so that the rows of one root with very many members can be dealt to several tasks
     lowest = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))

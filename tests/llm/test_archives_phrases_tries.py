@@ -456,3 +456,29 @@ def test_a_key_of_very_many_texts_is_dealt_to_bounded_groups(spark):
     placed = tx.cut(spark.range(40_000).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("node"), F.col("id").alias("root")))
     groups = nc._paired_blocks(placed, 4000).groupBy("key", "low", "high").count().collect()
     assert len(groups) == 55 and max(r["count"] for r in groups) < 9000 and sum(r["count"] for r in groups) == 400_000
+
+
+def test_near_copies_come_through_simhash(spark, monkeypatch):
+    """Fingerprints are the majority of the shingles' bits; without any MinHash candidate the copies within 4 bits are still found, and confirmed."""
+    from footage_spark.llm import simhash
+
+    rng = np.random.default_rng(12)
+    counts = np.array([0, 1, 7, 70_000, 2, 0])
+    hashes = rng.integers(0, 2**64, counts.sum(), np.uint64)
+    got, at = simhash.majority(hashes, counts), np.append(0, np.cumsum(counts))
+    for k in range(len(counts)):
+        mine = hashes[at[k] : at[k + 1]]
+        assert int(got[k]) == sum(1 << b for b in range(64) if 2 * int(((mine >> np.uint64(b)) & np.uint64(1)).sum()) > len(mine))
+
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 800)] for _ in range(20)]
+    made = [" ".join(w) for w in base] + [" ".join(w[:400] + ["new"] + w[401:]) for w in base] + ["no copy of any other text here"]
+    docs = spark.createDataFrame([(i, t, str(i)) for i, t in enumerate(made)], "doc_id long, text string, row string")
+    sets = [set(nc.shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tolist()) for t in made]
+    prints = [int(simhash.majority(np.array(sorted(s), np.uint64), np.array([len(s)]))[0]) for s in sets]
+    near = [i for i in range(20) if (prints[i] ^ prints[i + 20]).bit_count() <= 4]
+    monkeypatch.setattr(nc, "_candidates", lambda small: lambda batches: iter(()))
+    kept = {int(r["row"]) for r in nc.first_of_groups(docs).collect()}
+    assert len(near) > 10 and kept == set(range(41)) - {i + 20 for i in near}
+    # the exact check follows: alike in bits alone is no copy
+    monkeypatch.setattr(nc, "LEAST", (1, 1))
+    assert nc.first_of_groups(docs).count() == 41

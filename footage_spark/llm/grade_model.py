@@ -75,6 +75,10 @@ def _collect_features(batches):
         yield pa.record_batch([batch.column("grade"), pa.array(out, pa.binary())], ["grade", "features"])
 
 
+#: Rows of the fit that are added up at a time.
+PART_ROWS = 1024
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -107,7 +111,9 @@ def fit_grades(grades: np.ndarray, lists: list[np.ndarray], rounds: int = ROUNDS
     use = rows_of >= LEAST_ROWS  # rarer features tell nothing that the pull below would leave
     use[: SHARES * STEPS] = True
     lists = [x[use[x]] for x in lists]
-    flat, of = np.concatenate(lists), np.repeat(np.arange(m), [len(x) for x in lists])
+    flat, sizes = np.concatenate(lists), np.array([len(x) for x in lists])
+    del lists
+    edges, parts = np.append(0, np.cumsum(sizes)), [(a, min(a + PART_ROWS, m)) for a in range(0, m, PART_ROWS)]
     held = np.flatnonzero(use & (rows_of > 0))
     place = np.zeros(size, np.int64)
     place[held] = np.arange(len(held))
@@ -118,12 +124,13 @@ def fit_grades(grades: np.ndarray, lists: list[np.ndarray], rounds: int = ROUNDS
     mean, square = np.zeros(len(held)), np.zeros(len(held))
     t_mean, t_square = np.zeros(GRADES - 1), np.zeros(GRADES - 1)
     for k in range(rounds):
-        z = np.bincount(of, weights=v[flat], minlength=m)
+        # some rows at a time: the driver holds fewer arrays as long as flat
+        z = np.concatenate([np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), weights=v[flat[edges[a] : edges[b]]], minlength=b - a) for a, b in parts])
         p = np.hstack([np.ones((m, 1)), _sigmoid(z[:, None] - t), np.zeros((m, 1))])
         slope = p * (1 - p)
         mine = np.maximum(p[every, grades] - p[every, grades + 1], 1e-9)
         low, high = slope[every, grades] / mine, slope[every, grades + 1] / mine
-        grad = np.bincount(flat, weights=(low - high)[of], minlength=len(held)) / m
+        grad = np.bincount(flat, weights=np.repeat(low - high, sizes), minlength=len(held)) / m
         dt = np.zeros((m, GRADES + 1))
         dt[every, grades] -= low
         dt[every, grades + 1] += high
@@ -158,7 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grade
     found = small_batches(some).mapInArrow(tidy(_collect_features), "grade int, features binary").toPandas()
     lists = [np.frombuffer(bytes(x), "<u4") for x in found["features"]]
     order = sorted(range(len(lists)), key=lambda i: (int(found["grade"][i]), len(lists[i]), lists[i].tobytes()))
-    return fit_grades(found["grade"].to_numpy(np.int64)[order], [lists[i] for i in order])
+    grades, lists = found["grade"].to_numpy(np.int64)[order], [lists[i] for i in order]
+    del found
+    return fit_grades(grades, lists)
 
 
 def _grade(shared, least_tail: float, keep_columns: list[str]):

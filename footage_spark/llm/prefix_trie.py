@@ -5,7 +5,9 @@ A node is a different sequence of first turns.  Its key is the exclusive or of t
 range, so that a conversation of any length is spread over tasks, and what stands before a task's part
 is added afterwards.  A parent's key is the node's without its last turn.
 
-Totals over subtrees come from contraction rounds, each a few joins on unique keys: `rake` takes all
+The nodes of one conv_id (their smallest member) are a chain: who is the smallest at a node is the smallest at each
+of its own nodes below.  So totals over subtrees are taken over the tree of chains, which is small and flat, and then added
+up along each chain from its end.  Totals over the tree of chains come from contraction rounds, each a few joins on unique keys: `rake` takes all
 leaves off and adds their totals to their parents (grouped, so a node may have any number of
 children); `compress` takes nodes with one child out of their chain, an independent set of them by
 hash, and leaves what they hold on the edge to that child.  Rounds are logarithmic in the tree's size, however
@@ -27,6 +29,8 @@ from .text import cut, join_hot, small_batches, tidy
 GROUP, TURNS = 5, 9
 #: Conversations whose ids are joined to one text before those texts meet: ids that differ in the last ID_BITS bits.
 ID_BITS = 12
+#: Depths of a chain that are added up in one task.
+RUN = 4096
 NODE = ["depth", "k1", "k2"]
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -185,6 +189,28 @@ def subtree_totals(tree: DataFrame) -> DataFrame:
     return totals.unionByName(back)
 
 
+def node_totals(nodes: DataFrame) -> DataFrame:
+    """conv_id, depth, leaves, saved: sums over the subtree of each of nodes(conv_id, depth, parent_conv_id, leaves, saved), which is read several times.
+
+    Chains are added up in runs of RUN depths, and the runs after one another, so a chain of any length is spread over tasks.
+    """
+    zero = F.lit(0).cast("long")
+    tops = nodes.where("parent_conv_id <> conv_id").select("conv_id", F.col("parent_conv_id").alias("under"), (F.col("depth") - 1).alias("at"))
+    chains = nodes.groupBy(F.col("conv_id").alias("id")).agg(F.max(F.when(F.col("parent_conv_id") != F.col("conv_id"), F.col("parent_conv_id"))).alias("parent"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
+    kids = tops.groupBy("under").agg(F.count(F.lit(1)).alias("kids"))
+    tree = chains.join(kids, F.col("id") == F.col("under"), "left").select("id", "parent", F.coalesce("kids", zero).alias("kids"), "leaves", "saved")
+    totals = cut(subtree_totals(tree)).withColumnsRenamed({"leaves": "chain_leaves", "saved": "chain_saved"})
+    hanging = tops.join(totals, F.col("conv_id") == F.col("id")).groupBy(F.col("under").alias("conv_id"), F.col("at").alias("depth")).agg(F.sum("chain_leaves").alias("more_leaves"), F.sum("chain_saved").alias("more_saved"))
+    own = nodes.join(hanging, ["conv_id", "depth"], "left").select("conv_id", "depth", F.expr(f"depth div {RUN}").alias("run"), _plus("leaves", "more_leaves").alias("leaves"), _plus("saved", "more_saved").alias("saved"))
+    below = Window.partitionBy("conv_id", "run").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = cut(own.select("conv_id", "depth", "run", F.sum("leaves").over(below).alias("leaves"), F.sum("saved").over(below).alias("saved")))
+    after = Window.partitionBy("conv_id").orderBy(F.desc("run")).rowsBetween(Window.unboundedPreceding, -1)
+    # a run's first depth has the sum of the run
+    runs = own.groupBy("conv_id", "run").agg(F.max(F.struct(-F.col("depth"), "leaves", "saved")).alias("sum"))
+    runs = runs.select("conv_id", "run", F.sum("sum.leaves").over(after).alias("more_leaves"), F.sum("sum.saved").over(after).alias("more_saved"))
+    return own.join(runs, ["conv_id", "run"]).select("conv_id", "depth", _plus("leaves", "more_leaves").alias("leaves"), _plus("saved", "more_saved").alias("saved"))
+
+
 def prefix_trie(turns: DataFrame, group: int = GROUP, lent: int = TURNS) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of each node.
 
@@ -201,14 +227,11 @@ def prefix_trie(turns: DataFrame, group: int = GROUP, lent: int = TURNS) -> Data
     nodes = cut(made.unionByName(root).withColumn("above", F.col("depth") - 1))
     names = nodes.select(F.col("depth").alias("above"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
     placed = join_hot(nodes, names, ["above", "p1", "p2"]).select(*nodes.columns, "parent_conv_id").unionByName(nodes.where("depth = 0").withColumn("parent_conv_id", F.lit(None).cast("long")))
-    identity = F.struct("conv_id", "depth")
-    parent = F.when(F.col("depth") > 0, F.struct(F.col("parent_conv_id").alias("conv_id"), F.col("above").alias("depth")))
-    placed = cut(placed.withColumns({"id": identity, "parent": parent}))
-    children = placed.where("depth > 0").groupBy(F.col("parent").alias("of")).agg(F.count(F.lit(1)).alias("n_children"))
-    full = placed.join(children, F.col("id") == F.col("of"), "left").withColumn("n_children", F.coalesce("n_children", zero)).drop("of")
+    placed = cut(placed)
+    children = placed.where("depth > 0").groupBy(F.col("parent_conv_id").alias("of"), F.col("above").alias("at")).agg(F.count(F.lit(1)).alias("n_children"))
+    full = placed.join(children, (F.col("conv_id") == F.col("of")) & (F.col("depth") == F.col("at")), "left").withColumn("n_children", F.coalesce("n_children", zero)).drop("of", "at")
     ends = members.where("is_end").select(*NODE, "conv_id").unionByName(convs.where("length = 0").select(zero.alias("depth"), zero.alias("k1"), zero.alias("k2"), "conv_id"))
     full = cut(full.join(end_digests(ends), NODE, "left"))
-    own = full.select("id", "parent", F.col("n_children").alias("kids"), (F.col("n_children") == 0).cast("long").alias("leaves"), ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved"))
-    totals = subtree_totals(own).withColumnRenamed("id", "of")
-    out = full.join(totals, F.col("id") == F.col("of"))
+    totals = node_totals(full.select("conv_id", "depth", "parent_conv_id", (F.col("n_children") == 0).cast("long").alias("leaves"), ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved")))
+    out = full.join(totals, ["conv_id", "depth"])
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(EMPTY)).alias("ends_sha256"))

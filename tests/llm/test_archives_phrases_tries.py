@@ -296,6 +296,18 @@ def test_trie_with_one_very_long_conversation(spark, monkeypatch):
     assert len(rounds) < 120
 
 
+@pytest.mark.parametrize("run", [pt.RUN, 7])
+def test_trie_is_contracted_chain_by_chain(spark, monkeypatch, run):
+    """Every chain of nodes is one node of what is contracted, so long chains add no rounds (and no plans on the driver)."""
+    monkeypatch.setattr(pt, "RUN", run)
+    rounds = []
+    cut = pt.cut
+    monkeypatch.setattr(pt, "cut", lambda df: rounds.append(1) or cut(df))
+    made = [(10 * c, d, "user", f"turn {d}" if d < 40 * (7 - c) else f"own {c} {d}") for c in range(7) for d in range(300)]
+    assert rows_of(spark, made) == by_repr(trie_by_hand(made))
+    assert len(rounds) < 40
+
+
 def test_trie_of_nothing(spark):
     assert rows_of(spark, []) == []
     assert rows_of(spark, [(None, 0, "user", "x")]) == []

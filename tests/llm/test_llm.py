@@ -414,6 +414,27 @@ def test_grades(spark, docs, empty):
     assert sorted(clash.columns) == sorted([*docs.columns, "expected_grade", "p_tail"]) and dict(clash.dtypes)["p_tail"] == "double"
 
 
+def test_grades_are_fitted_in_a_task(spark, monkeypatch):
+    """The driver holds no rows of the fit, and the model is that of a fit of all rows at once."""
+    texts = [f"word{i % 3} other{i % 7} {'junk' if i % 3 == 0 else 'fine'}" for i in range(90)]
+    some = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 1)) for i in range(90)], "doc_id long, quality int, toxic int")
+    lists = []
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        lists.append(np.sort(grade_model.features(raw, np.array([0, len(raw)]))[1]).astype("<u4"))
+    grades = np.array([min(i % 3, 1) + (i % 3 == 2) for i in range(90)])
+    order = sorted(range(90), key=lambda i: (grades[i], len(lists[i]), lists[i].tobytes()))
+    whole = grade_model.fit_grades(grades[order], [lists[i] for i in order])
+
+    def none(*_):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(grade_model, "fit_grades", none)
+    model = grade_model.train(some, labels)
+    assert np.allclose(model.weights, whole.weights, atol=1e-9) and np.allclose(model.thresholds, whole.thresholds, atol=1e-9) and (model.weights != 0).any()
+
+
 def test_grades_fit_is_at_the_least_loss():
     """The gradient of the pulled log likelihood, by differences, is about nothing where the fit ends."""
     rng = np.random.default_rng(4)

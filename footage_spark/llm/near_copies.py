@@ -257,6 +257,7 @@ def first_of_groups(docs: DataFrame, small: int = SMALL) -> DataFrame:
         placed = cut(placed.join(mixed, "key", "left_semi"))
         met = _paired_blocks(placed, BLOCK).join(sets, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
         more = met.mapInArrow(tidy(_across), "a long, b long")
-        member = components(cut(links.unionByName(more.distinct())))
+        # a member and its root connect what the links did, in fewer rows and rounds
+        member = components(cut(member.select(F.col("member").alias("a"), F.col("root").alias("b")).unionByName(more.distinct())))
     named = nodes.join(member, nodes["node"] == member["member"], "left").select(F.coalesce("root", "node").alias("root"), "best")
     return named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))

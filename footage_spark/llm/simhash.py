@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .text import cut, small_batches, tidy
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
+#: Links that a task of a step of components reads, about.
+PART_EDGES = 1 << 14
 #: Least bits of a cell, and about the most fingerprints that are sent to one.
 CELL_BITS, CELL_ROWS = 7, 1 << 20
 #: Variants that a task holds at a time, about.
@@ -184,8 +186,10 @@ def components(links: DataFrame) -> DataFrame:
     node, and no node ever gathers its neighbours as a list.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    last = None
+    last, many = None, edges.count()
     while True:
+        # every task of a shuffle leaves files of its own, however little it sends
+        edges = edges.coalesce(max(1, many // PART_EDGES))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         edges = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -195,7 +199,7 @@ def components(links: DataFrame) -> DataFrame:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == last:
             return edges.select(F.col("u").alias("member"), F.col("v").alias("root"))
-        last = state
+        last, many = state, state[0]
 
 
 def ball_links(nodes: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators.timing import recording_metadata
 from ..sources.footage import CHUNK_BYTES, local_path, plan_scan, scan_batches, small_batches
 from ..sources.recordings import plain_path, recordings
 from .frame_files import write_files
+from .stamp_files import read_stamp_files, write_stamp_files
 
 
 def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
@@ -22,9 +23,22 @@ def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def write_timestamps(timestamps: DataFrame, names: DataFrame, path: str) -> None:
-    """CSV (frame_index, timestamp_raw, timestamp_hex) in a folder for each recording, named <out_name>_timestamps."""
+    """CSV (frame_index, timestamp_raw, timestamp_hex) in a folder for each recording, named <out_name>_timestamps.
+
+    On a mounted folder tasks write the files themselves; elsewhere Spark's writer does.
+    """
     named = _named(timestamps, names).withColumn("name", F.concat("out_name", F.lit("_timestamps")))
-    named.select("name", "frame_index", "timestamp_raw", "timestamp_hex").sortWithinPartitions("name", "frame_index").write.mode("overwrite").partitionBy("name").csv(path, header=True)
+    named = named.select("name", "frame_index", "timestamp_raw", "timestamp_hex")
+    if "://" not in local_path(path):
+        return write_stamp_files(named, local_path(path))
+    named.sortWithinPartitions("name", "frame_index").write.mode("overwrite").partitionBy("name").csv(path, header=True)
+
+
+def read_timestamps_csv(spark: SparkSession, path: str) -> DataFrame:
+    """frame_index, timestamp_raw, timestamp_hex, name of what write_timestamps wrote."""
+    if "://" not in local_path(path):
+        return read_stamp_files(spark, local_path(path))
+    return spark.read.schema("frame_index long, timestamp_raw long, timestamp_hex string, name string").csv(path, header=True)
 
 
 def write_metadata(ticks: DataFrame, catalog: DataFrame, path: str) -> None:

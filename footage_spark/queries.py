@@ -316,8 +316,7 @@ def x1_write_timestamps(spark, sf_dir):
     path = f"{px.shared_folder(spark)}/stamps"
     stamps = fx.ticks(spark, sf_dir).select(F.col("recording").cast("string").alias("recording"), "frame_index", F.col("tick").alias("timestamp_raw"), tick_hex(F.col("tick")).alias("timestamp_hex"))
     ex.write_timestamps(stamps, stamps.select("recording", F.concat(F.lit("cam_"), "recording").alias("out_name")).distinct(), path)
-    back = spark.read.schema("frame_index long, timestamp_raw long, timestamp_hex string, name string").csv(path, header=True)
-    return back.select("name", "frame_index", "timestamp_raw", "timestamp_hex")
+    return ex.read_timestamps_csv(spark, path).select("name", "frame_index", "timestamp_raw", "timestamp_hex")
 
 
 def x2_encode_frames(spark, sf_dir):

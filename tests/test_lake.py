@@ -267,3 +267,20 @@ def test_batch_status(spark):
         ("recording", "cam1", "a"): (1, 1, 0, 5, "ok"), ("recording", "cam1", "b"): (1, 0, 1, 0, "no frames"), ("recording", "cam2", "c"): (1, 1, 0, 7, "ok"),
         ("camera", "cam1", None): (2, 1, 1, 5, "failed"), ("camera", "cam2", None): (1, 1, 0, 7, "ok"), ("batch", None, None): (3, 2, 1, 12, "failed"),
     }
+
+
+def test_timestamp_folders_without_a_listing_each(spark, tmp_path):
+    """Names of any kind, nulls, a recording in several tasks; read the same by Spark, and by few tasks; written again, the old go."""
+    from footage_spark.plans import stamp_files as sf
+
+    rows = [(n, i, None if i == 2 else i * 10, None if i == 2 else f"0x{i:016X}") for n in ("a b", "x=1/y%", "z:[", "caf\u00e9", "plain") for i in range(5)]
+    stamps = spark.createDataFrame(rows, "name string, frame_index long, timestamp_raw long, timestamp_hex string").repartition(3, "frame_index")
+    path = str(tmp_path / "stamps")
+    for _ in range(2):
+        sf.write_stamp_files(stamps, path)
+        back = sf.read_stamp_files(spark, path).select("name", "frame_index", "timestamp_raw", "timestamp_hex")
+        plain = spark.read.schema("frame_index long, timestamp_raw long, timestamp_hex string, name string").csv(path, header=True)
+        key = lambda r: tuple(map(str, r))
+        assert sorted(map(tuple, back.collect()), key=key) == sorted(rows, key=key)
+        assert sorted(map(tuple, plain.select(*back.columns).collect()), key=key) == sorted(rows, key=key)
+    assert not os.listdir(f"{path}-jobs")

@@ -7,18 +7,20 @@ import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.display import display_level, lut, unclamped
 
 LAYOUTS = {"gray8": 1, "gray16": 2, "rgba8": 4, "rgba16": 8}
-
+#: Bytes of an Arrow batch to or from a worker, about; one longer row is a batch of its own.
+BATCH_BYTES = 2 << 20
 
 #: What a frame needs of its recording's row to be mapped.
 CURVE = ("mode_b", "mode_c", "mode_g")
@@ -87,37 +89,59 @@ def _looked_up(frames: DataFrame, curves: DataFrame, folder: str, buckets: int)
     return frames.mapInArrow(run, T.StructType([*frames.schema, *(T.StructField(c, T.DoubleType()) for c in CURVE)]))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to and from workers in batches of BATCH_BYTES at most: the session's setting is lowered where it is higher."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def pieces(values: Iterable, size=lambda value: len(value or b"")) -> Iterator[tuple[int, list]]:
+    """(number of the first, values) of runs that end as soon as they have BATCH_BYTES: small rows may make large values."""
+    first, held, n = 0, [], 0
+    for value in values:
+        held.append(value)
+        n += size(value)
+        if n >= BATCH_BYTES:
+            yield first, held
+            first, held, n = first + len(held), [], 0
+    if held:
+        yield first, held
+
+
 def column_batches(keep: list[str], name: str, make):
-    """Batches -> batches of the columns `keep` and one that is made from each batch."""
+    """Batches -> batches of the columns `keep` and a binary one whose values are made, one by one, from each batch."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), make(batch)], names=[*keep, name])
+            for first, made in pieces(make(batch)):
+                part = batch.slice(first, len(made))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(made, pa.binary())], names=[*keep, name])
 
     return run
 
 
-def _with_column(df: DataFrame, name: str, kind: str, make) -> DataFrame:
-    """df with a column made from each Arrow batch; a column of that name is replaced."""
+def _with_column(df: DataFrame, name: str, make) -> DataFrame:
+    """df with a binary column made from each Arrow batch; a column of that name is replaced."""
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != name]
-    schema = T.StructType([*df.select(*keep).schema, *T.StructType.fromDDL(f"{name} {kind}")])
+    schema = T.StructType([*df.select(*keep).schema, T.StructField(name, T.BinaryType())])
     return df.mapInArrow(column_batches(keep, name, make), schema)
 
 
-def mapped_pixels(batch) -> pa.Array:
+def mapped_pixels(batch) -> Iterator[bytes | None]:
     """Pixels of a batch through their frames' curves."""
     tables: dict[tuple, bytes] = {}
-    out = []
     for raw, b, c, g in zip(*(batch.column(x).to_pylist() for x in ("pixels", *CURVE)), strict=True):
         if (b, c, g) not in tables and None not in (b, c, g):
             tables[b, c, g] = lut(b, c, g)
-        out.append(None if raw is None or None in (b, c, g) else raw.translate(tables[b, c, g]))
-    return pa.array(out, pa.binary())
+        yield None if raw is None or None in (b, c, g) else raw.translate(tables[b, c, g])
 
 
 def apply_display_transform(frames: DataFrame) -> DataFrame:
     """`mapped`: pixels through the frame's curve (mode_b, mode_c, mode_g); null pixels stay null."""
-    return _with_column(frames, "mapped", "binary", mapped_pixels)
+    return _with_column(frames, "mapped", mapped_pixels)
 
 
 def expand(gray: bytes, layout: str) -> bytes:
@@ -136,7 +160,7 @@ def expand_layout(frames: DataFrame, layout: str, column: str = "mapped") -> Dat
     """`samples`: the pixels of a column in another layout."""
     if layout not in LAYOUTS:
         raise ValueError(f"unknown layout {layout}")
-    return _with_column(frames, "samples", "binary", lambda batch: pa.array([None if x is None else expand(x, layout) for x in batch.column(column).to_pylist()], pa.binary()))
+    return _with_column(frames, "samples", lambda batch: (None if x is None else expand(x, layout) for x in batch.column(column).to_pylist()))
 
 
 def explode_pixels(frames: DataFrame) -> DataFrame:

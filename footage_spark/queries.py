@@ -107,8 +107,7 @@ def s10_list_frame_images(spark, sf_dir):
 
 
 def s11_read_frame_images(spark, sf_dir):
-    made = im.encode_frames(px.apply_display_transform(_curved(spark, sf_dir)), layout="rgba16")
-    read = im.canonical(im.read_frame_images(made))
+    read = im.read_gray_images(im.encode_mapped(_curved(spark, sf_dir), layout="rgba16"))
     return read.select("recording", "frame_index", "width", "height", "bit_depth", "color_type", "error", F.md5("gray").alias("md5"))
 
 
@@ -187,9 +186,9 @@ def v1_verify_frames(spark, sf_dir):
 
 def v1_verify_images(spark, sf_dir):
     """Images of every layout against gray ones; of each fifth frame one byte of the file is flipped, of each seventh a pixel differs."""
-    mapped = px.apply_display_transform(_curved(spark, sf_dir))
-    name = F.concat_ws("/", "recording", "file_name")
-    ref = im.encode_frames(mapped).withColumn("file_name", name)
+    curved = _curved(spark, sf_dir)
+    mapped, name = px.apply_display_transform(curved), F.concat_ws("/", "recording", "file_name")
+    ref = im.encode_mapped(curved).withColumn("file_name", name)
     flipped = F.concat(F.expr("substring(image, 1, 119)"), F.expr("unhex(lpad(hex(255 - conv(hex(substring(image, 120, 1)), 16, 10)), 2, '0'))"), F.expr("substring(image, 121)"))
     other = mapped.withColumn("mapped", F.when(F.col("frame_index") % 7 == 3, F.concat(F.expr("unhex(lpad(hex((conv(hex(substring(mapped, 1, 1)), 16, 10) + 1) % 256), 2, '0'))"), F.expr("substring(mapped, 2)"))).otherwise(F.col("mapped")))
     out = None
@@ -203,9 +202,9 @@ def v1_verify_images(spark, sf_dir):
 
 def j2_verify_pairing(spark, sf_dir):
     """Frames against their files, paired by name: images of every other frame in another layout."""
-    mapped = px.apply_display_transform(_curved(spark, sf_dir))
-    ref = im.encode_frames(mapped).withColumn("file_name", F.concat_ws("/", "recording", "file_name"))
-    out = im.encode_frames(mapped.where("frame_index % 2 = 0"), layout="rgba8").withColumn("file_name", F.concat_ws("/", "recording", "file_name"))
+    curved = _curved(spark, sf_dir)
+    ref = im.encode_mapped(curved).withColumn("file_name", F.concat_ws("/", "recording", "file_name"))
+    out = im.encode_mapped(curved.where("frame_index % 2 = 0"), layout="rgba8").withColumn("file_name", F.concat_ws("/", "recording", "file_name"))
     detail, _ = vf.verify_images(ref, out, subset=True)
     return detail.select(F.col("key").alias("file_name"), F.col("order_value").alias("frame_index"), "outcome")
 
@@ -321,8 +320,8 @@ def x1_write_timestamps(spark, sf_dir):
 
 def x2_encode_frames(spark, sf_dir):
     """PNG in all four layouts, decoded again."""
-    mapped = px.apply_display_transform(_curved(spark, sf_dir))
-    parts = [im.canonical(im.read_frame_images(im.encode_frames(mapped, layout=x))).select("recording", "frame_index", F.lit(x).alias("layout"), F.md5("gray").alias("md5"), "error") for x in px.LAYOUTS]
+    curved = _curved(spark, sf_dir)
+    parts = [im.read_gray_images(im.encode_mapped(curved, layout=x)).select("recording", "frame_index", F.lit(x).alias("layout"), F.md5("gray").alias("md5"), "error") for x in px.LAYOUTS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -331,10 +330,10 @@ def x2_encode_frames(spark, sf_dir):
 
 def x3_bmp_tiff(spark, sf_dir):
     """Sizes of the files, and all pixels of the 8 x 8 frames found in them by their offsets (BMP has the last row first)."""
-    mapped = px.apply_display_transform(_curved(spark, sf_dir))
+    curved = _curved(spark, sf_dir)
     rows = F.concat(*[F.expr(f"substring(image, {1079 + 8 * k}, 8)") for k in range(7, -1, -1)])
-    bmp = im.encode_frames(mapped, "bmp").select("recording", "frame_index", "format", F.octet_length("image").alias("n_bytes"), F.md5(rows).alias("md5"))
-    tiff = im.encode_frames(mapped, "tiff").select("recording", "frame_index", "format", F.octet_length("image").alias("n_bytes"), F.md5(F.expr("substring(image, octet_length(image) - 63, 64)")).alias("md5"))
+    bmp = im.encode_mapped(curved, "bmp").select("recording", "frame_index", "format", F.octet_length("image").alias("n_bytes"), F.md5(rows).alias("md5"))
+    tiff = im.encode_mapped(curved, "tiff").select("recording", "frame_index", "format", F.octet_length("image").alias("n_bytes"), F.md5(F.expr("substring(image, octet_length(image) - 63, 64)")).alias("md5"))
     return bmp.unionByName(tiff)
 
 

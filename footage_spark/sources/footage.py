@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from ..operators.pixels import BATCH_BYTES, small_batches
 from .recordings import _names, read_folder
 
 SCHEMA = "recording string, frame_index bigint, tick bigint, width int, height int, pixels binary"
 HEADERS = "recording string, frame_index bigint, tick bigint"
 TYPES = {"recording": pa.string(), "frame_index": pa.int64(), "tick": pa.int64(), "width": pa.int32(), "height": pa.int32(), "pixels": pa.binary()}
-CHUNK_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+CHUNK_BYTES = 64 << 20
 #: Frames of a chunk of headers, and the largest frame whose header is read along with its pixels.
 HEADER_FRAMES, HEADER_BLOCK = 1 << 18, 4096
 #: Most partitions of a scan; a partition then has several chunks.
@@ -251,14 +252,6 @@ def plan_chunks(recordings: DataFrame, start: int = 0, count: int | None = None,
     return parts.select("recording", "frame_stride", "width", "height", "first", F.least("per", F.col("end") - F.col("first")).alias("n"), *carry)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows go to and from workers in batches of BATCH_BYTES at most: the session's setting is lowered where it is higher."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, None)
-    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def scan_batches(fields: list[str], carry=()):
     """Batches of chunk rows -> batches of their frames, each with the carried columns of its chunk."""
 

@@ -241,3 +241,31 @@ def test_queries_have_sql():
     from footage_spark import queries
 
     assert set(queries.queries()) == set(queries.oracle_sql())
+
+
+def test_images_are_read_in_one_pass_and_in_pieces(spark, lake, tmp_path):
+    """Small files of large frames do not make one large batch; reading and its gray form, mapping and encoding are one pass each."""
+    import pyarrow as pa
+
+    from footage_spark.queries import queries
+
+    flat = im.png(bytes(1 << 20), 1024, 1024)
+    batch = pa.record_batch([pa.array(range(20)), pa.array([flat] * 18 + [None, flat[:-1]], pa.binary())], ["id", "image"])
+    got = list(im.decoded_batches(["id"])([batch]))
+    assert max(x.nbytes for x in got) < px.BATCH_BYTES + (2 << 20) and len(got) > 2
+    rows = [r for x in got for r in x.to_pylist()]
+    assert [r["id"] for r in rows] == list(range(20)) and all(r["pixels"] == bytes(1 << 20) for r in rows[:18]) and [r["error"] for r in rows[17:]] == [None, "not a PNG", "incomplete PNG"]
+    wide = list(px.column_batches(["id"], "samples", lambda b: (px.expand(bytes(1 << 20), "rgba16") for _ in range(b.num_rows)))([batch]))
+    assert len(wide) == 20 and [x.column("id")[0].as_py() for x in wide] == list(range(20))
+    frames = ft.read_frames(spark, rc.recordings(spark, lake[0]), carry=px.CURVE)
+    for layout in px.LAYOUTS:
+        made = im.encode_mapped(frames, layout=layout)
+        apart = im.encode_frames(px.apply_display_transform(frames), layout=layout)
+        assert made.columns == apart.columns and made.exceptAll(apart).count() == 0 and made.count() == apart.count() == 2 * N + 3
+        broken = made.withColumn("image", F.when(F.col("frame_index") % 9 == 1, F.substring("image", 1, 40)).when(F.col("frame_index") % 9 == 2, F.lit(None)).otherwise(F.col("image")))
+        read, apart = im.read_gray_images(broken), im.canonical(im.read_frame_images(broken))
+        assert read.schema == apart.schema and read.exceptAll(apart).count() == 0 and read.count() == 2 * N + 3
+    spark.range(20).selectExpr("id AS vec_id", "transform(sequence(1, 64), x -> CAST(0.01 * x - 0.3 AS FLOAT)) AS embedding", "CAST(id % 3 AS INT) AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    query = queries()["s11_read_frame_images"](spark, str(tmp_path))
+    plan = query._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and query.where("error is null").count() == 20

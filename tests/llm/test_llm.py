@@ -84,6 +84,49 @@ def test_lines_of_repeated_rows(spark):
     assert sorted(long in t for t in got) == [False, True] and sum("Only here." in t for t in got) == sum("Only there." in t for t in got) == 1
 
 
+def joined_by_hand(local, least_words):
+    """{(doc_id, text): spans that go} where units stand in a row; texts of one doc_id are given once here."""
+    seen, out = set(), {}
+    for i, t in sorted((x for x in set(local) if None not in x), key=lambda x: x[0]):
+        units = [(*m.span(), m[0].lower().encode().split()) for m in re.finditer(r"[^\n]*?(?:\n|[.!?](?=\s)|$)", t) if m[0].split()]
+        gone = set()
+        for k in range(len(units)):
+            end = next((j for j in range(k + 1, len(units) + 1) if sum(len(u[2]) for u in units[k:j]) >= least_words), None)
+            if end is not None:
+                words = tuple(w for u in units[k:end] for w in u[2])
+                gone |= set(range(units[k][0], units[end - 1][1])) if words in seen else set()
+                seen.add(words)
+        starts = [c for c in sorted(gone) if c - 1 not in gone]
+        out[i, t] = [(c, next(e for e in itertools.count(c) if e not in gone)) for c in starts]
+    return out
+
+
+@pytest.mark.parametrize("least_words", [16, 32])
+def test_lines_joined(spark, docs, least_words):
+    """Passages of over 50 words in sentences of at most 12: single units find none of them, joined ones all."""
+    rng = random.Random(5)
+    own = itertools.count()
+    sentence = lambda n: " ".join(f"w{next(own)}" for _ in range(n)) + "."
+    passages = [" ".join(sentence(rng.randint(4, 12)) for _ in range(12)) for _ in range(6)]
+    made = [(k, f"{sentence(9)}\n{p} {sentence(9)}") for k, p in enumerate(passages)]
+    made += [(10 + k, f"{sentence(20)} {p.upper()}\n\n{sentence(20)}") for k, p in enumerate(passages)]
+    made += [(20 + k, " ".join(sentence(10) for _ in range(8)) + "\nAll rights reserved.\n") for k in range(6)]  # clean, but for a short line
+    made += [(30, "a b.\n" * 40), (31, None), (32, ""), made[0], (33, passages[0]), (34, passages[0].replace(". ", ".\n"))]
+    made += [(i + 100, t) for i, t in {(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None}]
+    table = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = line_dedup.dedup_units(table, least_words, joined=True).collect()
+    want = joined_by_hand(made, least_words)
+    assert len(got) == len(made)
+    for r in got:
+        t, lost = dict(made)[r["doc_id"]], {c for x in r["removed"] for c in range(x["start"], x["start"] + x["length"])}
+        assert lost == {c for a, b in want.get((r["doc_id"], t), []) for c in range(a, b)}
+        assert r["text"] == (None if t is None else "".join(c for k, c in enumerate(t) if k not in lost)) and r["n_removed"] == len(r["removed"])
+    hit = {r["doc_id"] for r in got if r["n_removed"] and r["doc_id"] < 100}
+    assert hit == {*range(10, 16), 30, 33, 34}
+    single = {r["doc_id"] for r in line_dedup.dedup_units(table).collect() if r["n_removed"]}
+    assert not single & hit
+
+
 def test_lines_are_made_in_linear_time():
     import time
 
